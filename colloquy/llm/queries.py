@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from colloquy.llm.decontaminate import OP10_SQL, op10_decontaminate
 from colloquy.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 
 QUERIES = {
+    "op10_decontaminate": op10_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
 }
 ORACLES = {
+    "op10_decontaminate": OP10_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
