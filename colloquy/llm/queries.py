@@ -5,7 +5,10 @@ from __future__ import annotations
 from colloquy.llm.decontaminate import OP10_SQL, op10_decontaminate
 from colloquy.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 
+from colloquy.llm.packing import op9_packing
+
 QUERIES = {
+    "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
 }
