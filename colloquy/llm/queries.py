@@ -7,7 +7,10 @@ from colloquy.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 
 from colloquy.llm.packing import op9_packing
 
+from colloquy.llm.warc import op5_warc
+
 QUERIES = {
+    "op5_warc": op5_warc,
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
