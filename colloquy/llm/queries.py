@@ -9,13 +9,17 @@ from colloquy.llm.packing import op9_packing
 
 from colloquy.llm.warc import op5_warc
 
+from colloquy.llm.chat import OP4_SQL, op4_chat_format
+
 QUERIES = {
+    "op4_chat_format": op4_chat_format,
     "op5_warc": op5_warc,
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
     "op7_exact_dedup": op7_exact_dedup,
 }
 ORACLES = {
+    "op4_chat_format": OP4_SQL,
     "op10_decontaminate": OP10_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
