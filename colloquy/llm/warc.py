@@ -136,8 +136,11 @@ def read(index: DataFrame, uri: str, *, payloads: bool = True) -> DataFrame:
     """
     spark = index.sparkSession
     kind = index.schema["page_id"].dataType.simpleString()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     plan = (
-        index.groupBy("file", F.floor(F.col("offset") / STRETCH_BYTES).alias("stretch"))
+        index.withColumn("stretch", F.floor(F.col("offset") / STRETCH_BYTES))
+        .repartition(parts, "file", "stretch")  # by number, as few rows stand for much reading
+        .groupBy("file", "stretch")
         .agg(F.array_sort(F.collect_list(F.struct("offset", "length", "page_id", "url"))).alias("records"))
     )
     arrow_rows(spark, 8)
