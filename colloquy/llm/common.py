@@ -22,6 +22,11 @@ def lower_ascii(col):
     return F.translate(col, UPPER, LOWER)
 
 
+def let(value, body):
+    """body(value) with value computed once a row, also where body uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share.
 

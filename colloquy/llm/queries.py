@@ -11,7 +11,12 @@ from colloquy.llm.warc import op5_warc
 
 from colloquy.llm.chat import OP4_SQL, op4_chat_format
 
+from colloquy.llm.licences import op3_licence_scan
+from colloquy.llm.url_filter import op6_url_filter
+
 QUERIES = {
+    "op3_licence_scan": op3_licence_scan,
+    "op6_url_filter": op6_url_filter,
     "op4_chat_format": op4_chat_format,
     "op5_warc": op5_warc,
     "op9_packing": op9_packing,
