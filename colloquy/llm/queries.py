@@ -14,7 +14,10 @@ from colloquy.llm.chat import OP4_SQL, op4_chat_format
 from colloquy.llm.licences import op3_licence_scan
 from colloquy.llm.url_filter import op6_url_filter
 
+from colloquy.llm.quality import op8_quality
+
 QUERIES = {
+    "op8_quality": op8_quality,
     "op3_licence_scan": op3_licence_scan,
     "op6_url_filter": op6_url_filter,
     "op4_chat_format": op4_chat_format,
