@@ -40,14 +40,34 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/colloquy-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, *, keep_empty: bool = True) -> DataFrame:
+#: Lets Spark delete the shuffle files of a query when it ends; what is stashed never needs them again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stash(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstash(*frames: DataFrame) -> None:
+    """Deletes what stash wrote; nothing that is still to be computed may read it."""
+    for df in frames:
+        for file in df.inputFiles()[:1]:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def arrow_rows(spark: SparkSession, rows: int) -> None:
     """Rows of an Arrow batch sent to Python, so that a batch of long texts stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

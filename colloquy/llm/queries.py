@@ -16,7 +16,10 @@ from colloquy.llm.url_filter import op6_url_filter
 
 from colloquy.llm.quality import op8_quality
 
+from colloquy.llm.near_dedup import OP2_SQL, op2_near_dedup
+
 QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
     "op8_quality": op8_quality,
     "op3_licence_scan": op3_licence_scan,
     "op6_url_filter": op6_url_filter,
@@ -27,6 +30,7 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
 }
 ORACLES = {
+    "op2_near_dedup": OP2_SQL,
     "op4_chat_format": OP4_SQL,
     "op10_decontaminate": OP10_SQL,
     "op7_exact_dedup": OP7_SQL,
