@@ -18,7 +18,10 @@ from colloquy.llm.quality import op8_quality
 
 from colloquy.llm.near_dedup import OP2_SQL, op2_near_dedup
 
+from colloquy.llm.html_extract import op1_html_extract
+
 QUERIES = {
+    "op1_html_extract": op1_html_extract,
     "op2_near_dedup": op2_near_dedup,
     "op8_quality": op8_quality,
     "op3_licence_scan": op3_licence_scan,
