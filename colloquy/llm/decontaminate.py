@@ -252,7 +252,8 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_co
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without any hit, with the columns of docs."""
-    return find(docs, benchmark).filter(F.size("dec_hits") == 0).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))  # whatever the columns' names
+    return find(rows, benchmark).filter(F.size("dec_hits") == 0).select("row.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

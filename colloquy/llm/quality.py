@@ -203,7 +203,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Discriminant, DataFrame]:
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least threshold, with the columns of docs."""
     model, _ = train(docs, labels)
-    return with_score(docs, model).filter(F.col("qda_score") >= threshold).select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))  # whatever the columns' names
+    return with_score(rows, model).filter(F.col("qda_score") >= threshold).select("row.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
