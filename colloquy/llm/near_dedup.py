@@ -10,9 +10,10 @@ Equal shingle sets are one node. Only nodes that share a first half key with
 another get table keys. In each table every node is held against one node of the
 bucket, the same few everywhere, on full sets: copies of one text come together
 without a row for each pair. What is then still in different components and meets
-in a bucket is compared by 256 further minhashes, in blocks of bounded size, and
-confirmed on full sets too, so that no link between nodes that share a table is
-lost to the first step's choice.
+in a bucket is compared by one bit each of 4,096 further minhashes, in blocks of
+bounded size; what such a sketch can't tell from linked is confirmed on full sets
+too, so that no link between nodes that share a table is lost to the first step's
+choice.
 """
 
 from __future__ import annotations
@@ -31,16 +32,16 @@ from colloquy.llm.kernels import NOT_SPACE, U64, Words, mixed, shingles, slices
 WORDS = 5
 PERCENT = 75
 HALVES, ROWS = 20, 3
-SKETCH = 256
-#: Of 256 bytes that must agree for a full comparison; 0.75 lies almost five deviations higher.
-AGREE = int(0.62 * SKETCH)
-BLOCK = 1000
+SKETCH = 4096
+#: Bits that must agree for a full comparison: those of a similarity of 0.705. 0.75 lies over four deviations higher.
+AGREE = int((1 + 0.705) / 2 * SKETCH)
+BLOCK = 400
 BATCH_BYTES = 2 << 20
 
 _random = np.random.default_rng(20)
-_N = 2 * HALVES * ROWS + SKETCH
-_MASKS = _random.integers(0, 1 << 32, _N, dtype=np.uint32)
-_ODD = _random.integers(0, 1 << 32, _N, dtype=np.uint32) | np.uint32(1)
+_N = 2 * HALVES * ROWS
+_MASKS = _random.integers(0, 1 << 32, _N + SKETCH, dtype=np.uint32)
+_ODD = _random.integers(0, 1 << 32, _N + SKETCH, dtype=np.uint32) | np.uint32(1)
 _SALTS = _random.integers(0, 1 << 63, 2 * HALVES, dtype=np.uint64)
 
 
@@ -54,49 +55,53 @@ def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def minhashes(shingle_set: np.ndarray) -> np.ndarray:
+def minhashes(shingle_set: np.ndarray, which: slice, chunk: int) -> np.ndarray:
     x = (shingle_set >> U64(32)).astype(np.uint32)
-    least = np.full(_N, 0xFFFFFFFF, np.uint32)
-    for a in range(0, len(x), 1024):
-        least = np.minimum(least, ((x[a : a + 1024, None] ^ _MASKS) * _ODD).min(0))
+    masks, odd = _MASKS[which], _ODD[which]
+    least = np.full(len(masks), 0xFFFFFFFF, np.uint32)
+    for a in range(0, len(x), chunk):
+        least = np.minimum(least, ((x[a : a + chunk, None] ^ masks) * odd).min(0))
     return least
 
 
+def sketch_of(shingle_set: np.ndarray) -> bytes:
+    """A bit of each of the further minhashes."""
+    return np.packbits(minhashes(shingle_set, slice(_N, None), 128) & np.uint32(1)).tobytes()
+
+
 def half_keys(least: np.ndarray) -> np.ndarray:
     """Keys of both collections, one after the other, from minhashes (a row per text)."""
-    parts = least[:, : 2 * HALVES * ROWS].reshape(len(least), 2 * HALVES, ROWS).astype(U64)
+    parts = least.reshape(len(least), 2 * HALVES, ROWS).astype(U64)
     key = np.broadcast_to(_SALTS, parts.shape[:2]).copy()
     for k in range(ROWS):
         key = mixed(key ^ parts[:, :, k])
     return key.view(np.int64)
 
 
-SIGNATURE = "n_shingles long, fingerprint binary, half_a array<long>, half_b array<long>, sketch binary"
+SIGNATURE = "n_shingles long, fingerprint binary, half_a array<long>, half_b array<long>"
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, fingerprint, half_a, half_b, sketch); a text without words has a null fingerprint."""
+    """(doc_id, n_shingles, fingerprint, half_a, half_b); a text without words has a null fingerprint."""
     arrow_rows(docs.sparkSession, 1000)
 
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column("text"))
-            least = np.array([minhashes(s) for s in sets]).reshape(len(sets), _N)
-            keys = half_keys(least)
-            sketch = (least[:, 2 * HALVES * ROWS :] & 0xFF).astype(np.uint8)
+            keys = half_keys(np.array([minhashes(s, slice(_N), 1024) for s in sets]).reshape(len(sets), _N))
             off = np.arange(len(sets) + 1, dtype=np.int32) * HALVES
             half = [pa.ListArray.from_arrays(off, np.ascontiguousarray(k).ravel()) for k in (keys[:, :HALVES], keys[:, HALVES:])]
             prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), *half, pa.array([s.tobytes() for s in sketch], pa.binary())],
-                ["doc_id", "n_shingles", "fingerprint", "half_a", "half_b", "sketch"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), *half],
+                ["doc_id", "n_shingles", "fingerprint", "half_a", "half_b"],
             )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, f"doc_id long, {SIGNATURE}")
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """(node, shingles) of docs (node, text)."""
+    """(node, shingles, sketch) of docs (node, text)."""
     arrow_rows(docs.sparkSession, 500)
 
     def run(batches):
@@ -104,9 +109,9 @@ def full_sets(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(batch.column("text"))
             off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(off, values)], ["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(off, values), pa.array([sketch_of(s) for s in sets], pa.binary())], ["node", "shingles", "sketch"])
 
-    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    return docs.select("node", "text").mapInArrow(run, "node long, shingles array<long>, sketch binary")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -132,7 +137,7 @@ def first_pairs(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     return keyed.join(heads.hint("merge"), "key").filter(F.col("node") != F.col("v")).filter(fits(F.col("n_shingles"), F.col("n_v"))).select(F.col("node").alias("u"), "v").distinct()
 
 
-def rest_pairs(shared: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+def rest_pairs(shared: DataFrame, nodes: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
     """(u, v): nodes of different components that share a table and whose sketches agree."""
     spark = shared.sparkSession
     known = stash(shared.join(comps, "node", "left").select("half", "node", F.coalesce("component", "node").alias("component")))
@@ -147,7 +152,8 @@ def rest_pairs(shared: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFra
     arrow_rows(spark, 2000)
     dealt = (
         members.union(askers)
-        .join(nodes.select("node", "n_shingles", "half_a", "half_b", "sketch"), "node")
+        .join(nodes.select("node", "n_shingles", "half_a", "half_b"), "node")
+        .join(sets.select("node", "sketch"), "node")
         .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "half", "m", "o")
         .sortWithinPartitions("half", "m", "o")
     )
@@ -172,9 +178,9 @@ def _compare(group: pa.RecordBatch):
     """Pairs of an asker and a member whose first common half key is this group's."""
     column = lambda c: group.column(c).to_numpy(zero_copy_only=False)
     asks, out, node, comp, size = column("asks"), column("out"), column("node"), column("component"), column("n_shingles")
-    fixed = lambda c, width, kind: np.frombuffer(b"".join(group.column(c).to_pylist()), kind).reshape(-1, width)
+    sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
     keys = lambda c: group.column(c).flatten().to_numpy().reshape(-1, HALVES)
-    sketch, a, b = fixed("sketch", SKETCH, np.uint8), keys("half_a"), keys("half_b")
+    a, b = keys("half_a"), keys("half_b")
     askers, members = np.flatnonzero(asks), np.flatnonzero(~asks)
     if not len(askers) or not len(members):
         return
@@ -186,7 +192,7 @@ def _compare(group: pa.RecordBatch):
         m = m[(b[m] == b[i]).any(1)]
         if len(m):
             m = m[a[i][(a[m] == a[i]).argmax(1)] == half]
-            m = m[(sketch[m] == sketch[i]).sum(1) >= AGREE]
+            m = m[SKETCH - np.bitwise_count(sketch[m] ^ sketch[i]).sum(1, dtype=np.int64) >= AGREE]
             us.append(np.full(len(m), node[i]))
             vs.append(node[m])
     if us:
@@ -207,7 +213,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = stash(signatures(docs))
     groups = stash(signed.filter("fingerprint IS NOT NULL AND doc_id IS NOT NULL").groupBy("fingerprint").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")))
     heads = groups.select("fingerprint", F.col("node").alias("doc_id"))
-    nodes = stash(signed.join(heads, ["fingerprint", "doc_id"]).dropDuplicates(["fingerprint", "doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", "half_a", "half_b", "sketch"))
+    nodes = stash(signed.join(heads, ["fingerprint", "doc_id"]).dropDuplicates(["fingerprint", "doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", "half_a", "half_b"))
     halves = nodes.select("node", F.explode("half_a").alias("half"))
     twice = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("half")
     shared = stash(halves.join(twice.hint("merge"), "half"))
@@ -216,7 +222,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = stash(first_pairs(shared, nodes))
     links = stash(confirm(pairs, sets))
     comps = stash(components(links))
-    more = stash(rest_pairs(shared, nodes, comps))
+    more = stash(rest_pairs(shared, nodes, sets, comps))
     links2 = stash(confirm(more, sets))
     final = stash(components(links.union(links2)))
     unstash(nodes, shared, sets, pairs, more, links, links2, comps)
