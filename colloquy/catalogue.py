@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLES = {}
+from colloquy.plans import evidence, transcript, vectors
+
+_PLANS = (transcript, vectors, evidence)
+QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
