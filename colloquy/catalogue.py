@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from colloquy.plans import evidence, relational, transcript, vectors
+from colloquy.plans import evidence, kernels, relational, transcript, vectors
 
-_PLANS = (transcript, vectors, evidence, relational)
+_PLANS = (transcript, vectors, evidence, relational, kernels)
 QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
