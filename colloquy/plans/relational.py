@@ -138,7 +138,7 @@ def semi_anti(spark, sf_dir):
     c, o = A.table(spark, sf_dir, "customer"), A.table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
     big = o.filter("o_totalprice > 300000")
     per = lambda df, name: df.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias(name))
-    return per(c.join(big, "c_custkey", "left_semi"), "with_large").join(per(c.join(big, "c_custkey", "left_anti"), "without"), "c_mktsegment", "full")
+    return per(c.join(big, "c_custkey", "left_semi"), "with_large").join(per(c.join(big, "c_custkey", "left_anti"), "without"), "c_mktsegment", "full").na.fill(0)
 
 
 def location_tree(spark, sf_dir):
