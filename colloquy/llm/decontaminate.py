@@ -33,14 +33,14 @@ HIT = "struct<word_start:int,word_end:int,char_start:int,char_end:int>"
 
 
 class FMIndex:
-    """Backward search and location over an array of symbols from 1; 0 ends it."""
+    """Backward search and location over an array of symbols from 1 to ``largest``; 0 ends it. Patterns have no larger symbols."""
 
-    def __init__(self, symbols: np.ndarray):
+    def __init__(self, symbols: np.ndarray, largest: int):
         s = np.append(symbols, 0).astype(np.int64)
         self.n = n = len(s)
         self.suffixes = sa = suffix_array(s)
         bwt = s[sa - 1]
-        self.levels = max(1, int(s.max()).bit_length())
+        self.levels = max(1, int(largest).bit_length())
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=1 << self.levels))])
         self.bwt, self.ones, self.zeros = bwt, [], []
         for level in reversed(range(self.levels)):
@@ -154,7 +154,7 @@ def search_shard(texts: pa.Array, phrases: Phrases) -> tuple[np.ndarray, dict[in
     text[place] = symbol[at]
     word_at = np.full(len(text), -1)
     word_at[place] = at
-    index = FMIndex(text)
+    index = FMIndex(text, len(phrases.vocabulary) + 1)
     low, high = index.search(phrases.patterns, phrases.lengths)
     found = np.flatnonzero(high > low)
     if not len(found):

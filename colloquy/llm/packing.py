@@ -125,20 +125,29 @@ def plan(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, int, i
         left, rank = counts[length], 0
         while left:
             capacity = tree.tightest(length)
-            if capacity is None:
-                capacity, first, n = window, sequences, left
-                sequences += n
+            new = capacity is None
+            if new:
+                capacity, first, there = window, sequences, left
             else:
                 first, there = open_[capacity].popleft()
-                n = min(left, there)
+            # a window that has taken one piece is now the tightest for the next, until it is full
+            each = capacity // length
+            n = min(there, left // each)
+            if not n:
+                n, each = 1, left
+            if new:
+                sequences += n
+            else:
                 if there > n:
                     open_[capacity].appendleft((first + n, there - n))
                 tree.add(capacity, -n)
-            out.append((length, rank, n, first, window - capacity))
-            if capacity > length:
-                open_[capacity - length].append((first, n))
-                tree.add(capacity - length, n)
-            rank, left = rank + n, left - n
+            for layer in range(each):
+                out.append((length, rank, n, first, window - capacity + layer * length))
+                rank += n
+            left -= n * each
+            if rest := capacity - each * length:
+                open_[rest].append((first, n))
+                tree.add(rest, n)
     return out
 
 

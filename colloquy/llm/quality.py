@@ -139,7 +139,7 @@ def fit(rows: DataFrame, shrinkage: float = SHRINKAGE) -> Discriminant:
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     sums = {r["label"]: r for r in rows.filter("label IN (0, 1)").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(x(i)) for i in range(d)]).alias("s"), F.array(*[F.sum(x(i) * x(j)) for i, j in pairs]).alias("q")).collect()}
     if len(sums) < 2:
-        return Discriminant(np.zeros((2, d)), np.zeros((2, d, d)), np.zeros(2), float(next(iter(sums))) if sums else 0.5)
+        return Discriminant(np.zeros((2, d)), np.zeros((2, d, d)), np.zeros(2), only=float(next(iter(sums))) if sums else 0.5)
     means, factors, constants = [], [], []
     n_all = sum(r["n"] for r in sums.values())
     for k in (0, 1):
