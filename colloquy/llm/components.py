@@ -17,9 +17,11 @@ def components(links: DataFrame) -> DataFrame:
     edges = stash(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     before = None
     while True:
-        stars = stash(_small(_large(edges)))
-        unstash(edges)
-        edges = stars
+        for step in (_large, _small):
+            found, least = step(edges)
+            stars = stash(found)
+            unstash(edges, least)
+            edges = stars
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum("v"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == before or not now[0]:
             break
@@ -28,16 +30,20 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def _large(edges: DataFrame) -> DataFrame:
-    """Every larger neighbour of u is tied to the smallest of u and its neighbours."""
+def _large(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every larger neighbour of u is tied to the smallest of u and its neighbours.
+
+    The smallest ones are written first, so that the join has a plain shuffle on
+    either side and Spark splits the neighbours of a hub.
+    """
     both = edges.union(edges.select("v", "u"))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    least = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+    return both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), least
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """u and its smaller neighbours are tied to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    tied = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    return tied.union(least.select("u", "m")).distinct()
+    least = stash(down.groupBy("u").agg(F.min("v").alias("m")))
+    tied = down.join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    return tied.union(least.select("u", "m")).distinct(), least
