@@ -30,26 +30,26 @@ def propagate(phi: np.ndarray, left: np.ndarray, right: np.ndarray, same: np.nda
     src, dst = np.concatenate([left, right]), np.concatenate([right, left])
     back = np.concatenate([np.arange(len(left)) + len(left), np.arange(len(left))])
     s, d = np.tile(same, 2)[:, None], np.tile(different, 2)[:, None]
-    gather = np.zeros((n, len(src)))
-    gather[dst, np.arange(len(src))] = 1
+
+    def at_nodes(nodes: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.column_stack([np.bincount(nodes, x[:, c], n) for c in range(k)])
+
     message, before = np.zeros((len(src), k)), None
     for sweep in range(1, most + 1):
-        base = (phi + gather @ message)[src] - message[back]
+        base = (phi + at_nodes(dst, message))[src] - message[back]
         top = base.max(1, keepdims=True)
         e = np.exp(base - top)
         # all others differ, this one is equal: scaled by the largest of the row
         fresh = np.log(np.maximum((e.sum(1, keepdims=True) - e) * np.exp(d) + e * np.exp(s), 1e-300)) + top
         message = damping * message + (1 - damping) * fresh
-        p = _normalised(phi + gather @ message)
+        p = _normalised(phi + at_nodes(dst, message))
         if before is not None and sweep >= sweeps and np.abs(p - before).max() <= tolerance:
             return p, "bp"
         before = p
     q = np.full((n, k), 1 / k)
-    scatter = np.zeros((n, len(src)))
-    scatter[src, np.arange(len(src))] = 1
     for _ in range(50):
         near = q[dst] * np.exp(s) + (1 - q[dst]) * np.exp(d)
-        q = damping * q + (1 - damping) * _normalised(phi + scatter @ np.log(np.maximum(near, 1e-12)))
+        q = damping * q + (1 - damping) * _normalised(phi + at_nodes(src, np.log(np.maximum(near, 1e-12))))
     return q, "mean_field"
 
 
