@@ -207,3 +207,73 @@ def name_recall(drafts: DataFrame) -> DataFrame:
     shared = F.size(F.filter("benchmark_names", lambda w: F.array_contains(low, F.lower(w))))
     count = [f"{side}_{k}" for side in ("draft", "benchmark") for k in ("words", "sentences", "blocks")]
     return rows.select("id", *count, shared.alias("shared"), (F.size("benchmark_names") - shared).alias("missing"), F.size(F.array_except("draft_names", "benchmark_names")).alias("extra"))
+
+
+#: Channels that can be a second reason, in the order that breaks ties, and how strong one must be.
+SECOND_REASONS = ["self_name", "capability", "address", "narration", "ooc", "voice_mode", "identity_note"]
+REASON = 1.5
+
+
+def self_name(claims: DataFrame, names: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(session_id, ordinal, candidate, log_lr) of lines whose speaker says a name of the roster.
+
+    claims (session_id, ordinal, name, first_person, strength), names
+    (session_id, name, candidate). Claims of one candidate add up; whoever isn't
+    named loses a share of the largest gain. Names nobody has say nothing.
+    """
+    known = names.join(candidates, ["session_id", "candidate"]).select("session_id", normal(F.col("name")).alias("key"), "candidate")
+    weight = F.when(F.col("first_person"), E.SELF_NAME_FIRST).otherwise(E.SELF_NAME_THIRD) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("strength")))
+    gains = claims.withColumn("key", normal(F.col("name"))).join(known, ["session_id", "key"]).groupBy("session_id", "ordinal", "candidate").agg(F.sum(weight).alias("gain"))
+    lines = gains.groupBy("session_id", "ordinal").agg(F.max("gain").alias("best"), F.map_from_entries(F.collect_list(F.struct("candidate", "gain"))).alias("gains"))  # as many as sit at a table
+    roster = candidates.groupBy("session_id").agg(F.collect_set("candidate").alias("roster"))
+    dense = lines.join(roster, "session_id").select("*", F.explode("roster").alias("candidate"))
+    return dense.select("session_id", "ordinal", "candidate", F.coalesce(F.try_element_at("gains", F.col("candidate")), E.spread(F.col("best"), F.size("roster"))).alias("log_lr"))
+
+
+def corroboration(evidence: DataFrame, best: DataFrame) -> DataFrame:
+    """Per line (session_id, ref, best) the strongest channel besides voice that speaks for the best candidate by itself."""
+    order = F.array_position(F.array(*[F.lit(c) for c in SECOND_REASONS]), F.col("channel"))
+    own = evidence.filter(F.col("channel").isin(*SECOND_REASONS) & (F.col("log_lr") >= REASON))
+    hits = own.join(best, (own["session_id"] == best["session_id"]) & (own["ref"] == best["ref"]) & (own["candidate"] == best["best"])).select(own["session_id"], own["ref"], "channel", "log_lr")
+    first = F.struct(F.round(-F.col("log_lr"), 9).alias("l"), order.alias("o"))
+    return hits.groupBy("session_id", "ref").agg(F.min_by("channel", first).alias("channel"), F.max("log_lr").alias("log_lr"))
+
+
+def greedy_groups(lines: DataFrame, max_tokens: int, max_items: int | None = None) -> DataFrame:
+    """Lines (session_id, idx, tokens) in order into groups within both bounds; a line over the bound is a group by itself.
+
+    Where a group ends decides where the next begins, so a session's token counts are folded in order.
+    """
+    most = max_items or (1 << 30)
+    start = F.struct(F.lit(0).alias("group"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast("array<struct<idx:bigint,group:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        full = (a["n"] > 0) & ((a["used"] + x["tokens"] > max_tokens) | (a["n"] >= most))
+        group = F.when(full, a["group"] + 1).otherwise(a["group"])
+        placed = F.array(F.struct(x["idx"].cast("long").alias("idx"), group.alias("group")))
+        return F.struct(group.alias("group"), (F.when(full, F.lit(0)).otherwise(a["used"]) + x["tokens"]).cast("long").alias("used"), (F.when(full, 0).otherwise(a["n"]) + 1).alias("n"), F.concat(a["out"], placed).alias("out"))
+
+    ordered = lines.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("idx", "tokens"))).alias("lines"))
+    return ordered.select("session_id", F.explode(F.aggregate("lines", start, step, lambda a: a["out"])).alias("r")).select("session_id", "r.idx", "r.group")
+
+
+def rewrite_segments(transcript: DataFrame, refined: DataFrame) -> DataFrame:
+    """Label and text of the refined segment (session_id, pos, start, end, speaker, text) of equal times, the last of several."""
+    keys = ["session_id", "start", "end"]
+    new = refined.filter("start IS NOT NULL AND `end` IS NOT NULL").groupBy(*keys).agg(F.max_by(F.struct("speaker", "text"), "pos").alias("new"))
+    out = transcript.join(new, keys, "left")
+    return out.select(*[F.when(F.col("new").isNotNull(), F.col(f"new.{c}")).otherwise(F.col(c)).alias(c) if c in ("speaker", "text") else c for c in transcript.columns])
+
+
+def ordered_names(rows: DataFrame, keys: list[str], name: str, position: str) -> DataFrame:
+    """Per group the names in order of first appearance, each once whatever its case, as first written."""
+    first = rows.filter(F.trim(name) != "").groupBy(*keys, F.lower(F.trim(name)).alias("_key")).agg(F.min(position).alias("_at"), F.min_by(F.trim(name), position).alias("_name"))
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_key", "_name"))), lambda s: s["_name"]).alias("names"))
+
+
+def run_checks(drafts: DataFrame, checks: list[tuple[str, str, str | int]]) -> DataFrame:
+    """(id, check, passed) of drafts (id, text, beats): checks are (name, min_beats | match | no_match, value), a setting."""
+    text = F.coalesce("text", F.lit(""))
+    test = {"min_beats": lambda v: F.coalesce("beats", F.lit(0)) >= int(v), "match": lambda v: text.rlike(str(v)), "no_match": lambda v: ~text.rlike(str(v))}
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("check"), test[kind](v).alias("passed")) for n, kind, v in checks]))
+    return drafts.select("id", each.alias("c")).select("id", "c.check", "c.passed")

@@ -148,10 +148,53 @@ def campaign_runtime(spark, sf_dir):
     per = s.groupBy("session_id").agg((F.max("end") - F.min("start")).alias("seconds"))
     return per.groupBy((F.col("session_id") % 4).alias("campaign")).agg(F.count(F.lit(1)).alias("sessions"), F.round(F.sum("seconds"), 1).alias("seconds"))
 
+def _claims(spark, sf_dir):
+    u = A.utterances(spark, sf_dir).filter("ordinal % 2 = 1")
+    return u.select("session_id", "ordinal", F.when(F.col("ordinal") % 3 == 0, "nobody").otherwise(F.concat(F.lit(" The "), "speaker")).alias("name"), (F.col("ordinal") % 4 == 1).alias("first_person"), ((F.col("ordinal") % 5) / 3).alias("strength"))
+
+
+def _roster(spark, sf_dir):
+    u = A.utterances(spark, sf_dir)
+    return u.select("session_id", F.concat(F.lit("member:"), "speaker").alias("candidate")).union(u.select("session_id", F.lit("unknown"))).distinct()
+
+
+def self_name_channel(spark, sf_dir):
+    names = A.utterances(spark, sf_dir).select("session_id", F.concat(F.lit("the "), "speaker").alias("name"), F.concat(F.lit("member:"), "speaker").alias("candidate")).distinct()
+    return R.self_name(_claims(spark, sf_dir), names, _roster(spark, sf_dir)).select("session_id", "ordinal", "candidate", F.round("log_lr", 5).alias("log_lr"))
+
+
+def corroborated(spark, sf_dir):
+    evidence = R.channels(_lines(spark, sf_dir), _roster(spark, sf_dir), DM).withColumnRenamed("ordinal", "ref")
+    best = A.utterances(spark, sf_dir).select("session_id", F.col("ordinal").alias("ref"), F.lit(DM).alias("best")).distinct()
+    return R.corroboration(evidence, best).select("session_id", "ref", "channel", F.round("log_lr", 5).alias("log_lr"))
+
+
+def evidence_groups(spark, sf_dir):
+    u = A.utterances(spark, sf_dir).select("session_id", F.col("ordinal").alias("idx"), X.estimate_tokens(F.col("text")).alias("tokens"))
+    return R.greedy_groups(u, 150, 3)
+
+
+def transcript_rewrite(spark, sf_dir):
+    seg = A.segments(spark, sf_dir)
+    refined = seg.filter("seg_idx % 3 = 0").select("session_id", F.col("seg_idx").alias("pos"), "start", "end", F.lit("R").alias("speaker"), F.upper("text").alias("text"))
+    return R.rewrite_segments(seg.select("session_id", "seg_idx", "start", "end", "speaker", "text"), refined).select("session_id", "seg_idx", "speaker", "text")
+
+
+def ordered_aliases(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_id") % 2 == 0, F.initcap("event_type")).otherwise(F.col("event_type")).alias("name"))
+    return R.ordered_names(e, ["user_id"], "name", "event_id").select("user_id", F.array_join("names", ",").alias("names"))
+
+
+def draft_checks(spark, sf_dir):
+    d = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", (F.col("n_chars") / 500).cast("int").alias("beats"))
+    return R.run_checks(d, [("enough", "min_beats", 4), ("has_number", "match", "[0-9]"), ("no_markup", "no_match", "[<>]")])
+
+
 
 QUERIES = {f.__name__: f for f in (
     line_channels, question_options, answer_spread, posterior_moved, voice_guesses, voice_identities, scene_layout, scene_stitching, pass_merge, assignment_upsert,
     summary_patch, label_forms, chunk_plan, clock_order, place_names, filler_texts, draft_recall, campaign_runtime,
+    self_name_channel, corroborated, evidence_groups, transcript_rewrite, ordered_aliases, draft_checks,
 )}
 
 _POST = P.POSTERIOR_SQL.rstrip()
@@ -220,3 +263,24 @@ ORACLES = {
       len(list_filter(bn, lambda w: NOT list_contains(list_transform(dn, lambda y: lower(y)), lower(w)))) AS missing, len(list_filter(dn, lambda w: NOT list_contains(bn, w))) AS extra FROM x""",
     "campaign_runtime": f"""WITH {A.SEGMENTS_SQL}, s AS (SELECT session_id, max("end") - min(start) AS seconds FROM segments WHERE "end" > start GROUP BY 1) SELECT session_id % 4 AS campaign, count(*) AS sessions, round(sum(seconds), 1) AS seconds FROM s GROUP BY 1""",
 }
+
+ORACLES |= {
+    "self_name_channel": f"""WITH {A.UTTERANCES_SQL}, c AS (SELECT DISTINCT session_id, 'member:' || speaker AS candidate FROM utterances UNION SELECT DISTINCT session_id, 'unknown' FROM utterances
+    ), n AS (SELECT session_id, count(*) AS n FROM c GROUP BY 1
+    ), g AS (SELECT session_id, ordinal, 'member:' || speaker AS who, sum(CASE WHEN ordinal % 4 = 1 THEN 3.5 ELSE 2.0 END * least(1, (ordinal % 5) / 3)) AS gain FROM utterances WHERE ordinal % 2 = 1 AND ordinal % 3 <> 0 GROUP BY 1, 2, 3
+    ), b AS (SELECT session_id, ordinal, max(gain) AS best FROM g GROUP BY 1, 2)
+    SELECT b.session_id, b.ordinal, candidate, round(coalesce(gain, -least(0.5, abs(best) / n)), 5) AS log_lr FROM b JOIN n USING (session_id) JOIN c USING (session_id) LEFT JOIN g ON g.session_id = b.session_id AND g.ordinal = b.ordinal AND g.who = candidate""",
+    "corroborated": f"""WITH {A.UTTERANCES_SQL}, l AS (SELECT DISTINCT session_id, ordinal, max(speaker = 'system') OVER (PARTITION BY session_id, ordinal) AS told, ordinal % 4 = 3 AS npc FROM utterances
+    ), h AS (SELECT DISTINCT session_id FROM utterances WHERE speaker = 'system')
+    SELECT session_id, ordinal AS ref, 'narration' AS channel, 2.2::DOUBLE AS log_lr FROM l JOIN h USING (session_id) WHERE told OR npc""",
+    "evidence_groups": f"""WITH RECURSIVE {A.UTTERANCES_SQL}, l AS (SELECT session_id, ordinal AS idx, greatest(1, length(coalesce(text, '')) // 4) AS tokens, row_number() OVER (PARTITION BY session_id ORDER BY ordinal, length(text) // 4) AS k FROM utterances
+    ), w AS (SELECT session_id, k, idx, 0 AS grp, tokens AS used, 1 AS n FROM l WHERE k = 1
+      UNION ALL SELECT l.session_id, l.k, l.idx, CASE WHEN used + tokens > 150 OR n >= 3 THEN grp + 1 ELSE grp END, CASE WHEN used + tokens > 150 OR n >= 3 THEN tokens ELSE used + tokens END, CASE WHEN used + tokens > 150 OR n >= 3 THEN 1 ELSE n + 1 END
+      FROM w JOIN l ON l.session_id = w.session_id AND l.k = w.k + 1) SELECT session_id, idx, grp AS "group" FROM w""",
+    "transcript_rewrite": f"""WITH {A.SEGMENTS_SQL}, n AS (SELECT session_id, start, "end", arg_max(upper(text), seg_idx) AS t FROM segments WHERE seg_idx % 3 = 0 GROUP BY 1, 2, 3)
+    SELECT s.session_id, seg_idx, CASE WHEN t IS NULL THEN speaker ELSE 'R' END AS speaker, coalesce(t, text) AS text FROM segments s LEFT JOIN n USING (session_id, start, "end")""",
+    "ordered_aliases": """WITH f AS (SELECT user_id, event_type, min(event_id) AS at_, arg_min(CASE WHEN event_id % 2 = 0 THEN upper(event_type[1]) || event_type[2:] ELSE event_type END, event_id) AS name FROM events GROUP BY 1, 2)
+    SELECT user_id, string_agg(name, ',' ORDER BY at_) AS names FROM f GROUP BY 1""",
+    "draft_checks": """SELECT doc_id AS id, 'enough' AS "check", (n_chars // 500) >= 4 AS passed FROM documents UNION ALL SELECT doc_id, 'has_number', regexp_matches(coalesce(text, ''), '[0-9]') FROM documents
+    UNION ALL SELECT doc_id, 'no_markup', NOT regexp_matches(coalesce(text, ''), '[<>]') FROM documents""",
+}

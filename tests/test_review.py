@@ -50,3 +50,22 @@ def test_recall_of_names(spark):
     df = spark.createDataFrame([(1, "Then Mara met Otto. The end", "Yesterday Mara saw Ivo! Otto left")], "id int, draft string, benchmark string")
     r = R.name_recall(df).first()
     assert (r.shared, r.missing, r.extra, r.draft_sentences, r.benchmark_words) == (1, 1, 1, 2, 6)
+
+
+def test_groups_keep_every_line(spark):
+    df = spark.createDataFrame([("s", i, t) for i, t in enumerate([5, 5, 30, 1, 1, 1, 1])], "session_id string, idx int, tokens int")
+    assert [r.group for r in R.greedy_groups(df, 10, 3).orderBy("idx").collect()] == [0, 0, 1, 2, 2, 2, 3]
+
+
+def test_self_naming(spark):
+    claims = spark.createDataFrame([("s", 1, " Mara ", True, 2.0), ("s", 2, "nobody", True, 1.0)], "session_id string, ordinal int, name string, first_person boolean, strength double")
+    names = spark.createDataFrame([("s", "mara", "a")], "session_id string, name string, candidate string")
+    roster = spark.createDataFrame([("s", c) for c in "abcdefgh"], "session_id string, candidate string")
+    found = {(r.ordinal, r.candidate): r.log_lr for r in R.self_name(claims, names, roster).collect()}
+    assert found[1, "a"] == 3.5 and found[1, "b"] == -3.5 / 8 and len(found) == 8
+
+
+def test_rewriting_by_times(spark):
+    t = spark.createDataFrame([("s", 0, 0.0, 1.0, "A", "a"), ("s", 1, 1.0, 2.0, "B", "b")], "session_id string, seg_idx int, start double, end double, speaker string, text string")
+    r = spark.createDataFrame([("s", 0, 0.0, 1.0, "X", "x"), ("s", 1, 0.0, 1.0, None, "y")], "session_id string, pos int, start double, end double, speaker string, text string")
+    assert [(x.speaker, x.text) for x in R.rewrite_segments(t, r).orderBy("seg_idx").collect()] == [(None, "y"), ("B", "b")]
