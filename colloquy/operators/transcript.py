@@ -234,3 +234,42 @@ def contained(inner: DataFrame, outer: DataFrame, slack: float = 0.05, width: fl
 
 def tokens(lines: DataFrame) -> DataFrame:
     return lines.withColumn("tokens", estimate_tokens(F.col("line")))
+
+
+def time_at(fraction: Column, start: Column, end: Column, words: Column) -> Column:
+    """When that share of an utterance's characters has been said: by its words (word, start, end), or in proportion without them."""
+    total = F.greatest(F.lit(1), F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w["word"])))
+    state = F.struct(F.lit(0).alias("seen"), F.lit(None).cast("double").alias("at"))
+    walked = F.aggregate(words, state, lambda a, w: F.struct((a["seen"] + F.length(w["word"])).alias("seen"), F.when(a["at"].isNull() & ((a["seen"] + F.length(w["word"])) / total >= fraction), w["end"]).otherwise(a["at"]).alias("at")))
+    by_words = F.coalesce(F.least(F.greatest(walked["at"], start), end), end)
+    return F.when(F.size(F.coalesce(words, F.array().cast(WORDS))) > 0, by_words).otherwise(F.least(start + (end - start) * fraction, end))
+
+
+WORDS = "array<struct<word:string,start:double,end:double>>"
+
+
+def split_at(utterances: DataFrame) -> DataFrame:
+    """Utterances (session_id, ordinal, start, end, text, words, cut) as two parts each: session_id, ordinal, part, start, end, text.
+
+    A word goes where its middle lies. Without word times, or if they leave a
+    part empty, words are dealt in proportion, at least one to either part. A cut
+    outside the utterance leaves it whole, with an empty second part.
+    """
+    cut = F.least(F.greatest("cut", "start"), F.col("end"))
+    u = utterances.withColumn("cut", cut).withColumn("words", F.coalesce(F.col("words").cast(WORDS), F.array().cast(WORDS)))
+    middle = lambda w: (w["start"] + w["end"]) / 2
+    said = lambda low, high: F.trim(F.array_join(F.transform(F.filter("words", lambda w: (middle(w) >= low) & (middle(w) < high)), lambda w: w["word"]), " "))
+    u = u.withColumns({"a": said(F.col("start"), F.col("cut")), "b": said(F.col("cut"), F.col("end")), "all": F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\S+)"), 1)})
+    n = F.size("all")
+    share = F.when(F.col("end") > F.col("start"), (F.col("cut") - F.col("start")) / (F.col("end") - F.col("start"))).otherwise(0.0)
+    at = F.greatest(F.lit(0), F.least(F.greatest(F.lit(1), F.bround(n * share).cast("int")), n - 1))
+    u = u.withColumn("at", at)
+    whole = (F.col("cut") <= F.col("start")) | (F.col("cut") >= F.col("end"))
+    by_words = (F.col("a") != "") & (F.col("b") != "")
+    head = F.when(whole, F.col("text")).when(by_words, F.col("a")).otherwise(F.array_join(F.slice("all", F.lit(1), F.col("at")), " "))
+    tail = F.when(whole, F.lit("")).when(by_words, F.col("b")).otherwise(F.array_join(F.slice("all", F.col("at") + 1, F.greatest(n, F.lit(1))), " "))
+    parts = F.array(
+        F.struct(F.lit(0).alias("part"), F.col("start").alias("start"), F.when(whole, F.col("end")).otherwise(F.col("cut")).alias("end"), head.alias("text")),
+        F.struct(F.lit(1).alias("part"), F.col("cut").alias("start"), F.when(whole, F.col("cut")).otherwise(F.col("end")).alias("end"), tail.alias("text")),
+    )
+    return u.select("session_id", "ordinal", F.explode(parts).alias("p")).select("session_id", "ordinal", "p.*")

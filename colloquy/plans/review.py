@@ -9,6 +9,7 @@ from colloquy import adapters as A
 from colloquy.functions import text as X
 from colloquy.operators import evidence as E
 from colloquy.operators import review as R
+from colloquy.operators import transcript as T
 from colloquy.operators import vectors as V
 from colloquy.plans import evidence as P
 from colloquy.plans.vectors import _PAIRS
@@ -190,11 +191,17 @@ def draft_checks(spark, sf_dir):
     return R.run_checks(d, [("enough", "min_beats", 4), ("has_number", "match", "[0-9]"), ("no_markup", "no_match", "[<>]")])
 
 
+def utterance_split(spark, sf_dir):
+    """Utterances of ten characters a second, cut at a quarter of the time more for each ordinal; no word times here."""
+    u = A.utterances(spark, sf_dir).withColumns({"start": F.lit(0.0), "end": F.length("text") / 10, "words": F.lit(None).cast(T.WORDS)})
+    return T.split_at(u.withColumn("cut", F.col("end") * (F.col("ordinal") % 5) / 4)).select("session_id", "ordinal", "part", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), "text")
+
+
 
 QUERIES = {f.__name__: f for f in (
     line_channels, question_options, answer_spread, posterior_moved, voice_guesses, voice_identities, scene_layout, scene_stitching, pass_merge, assignment_upsert,
     summary_patch, label_forms, chunk_plan, clock_order, place_names, filler_texts, draft_recall, campaign_runtime,
-    self_name_channel, corroborated, evidence_groups, transcript_rewrite, ordered_aliases, draft_checks,
+    self_name_channel, corroborated, evidence_groups, transcript_rewrite, ordered_aliases, draft_checks, utterance_split,
 )}
 
 _POST = P.POSTERIOR_SQL.rstrip()
@@ -283,4 +290,8 @@ ORACLES |= {
     SELECT user_id, string_agg(name, ',' ORDER BY at_) AS names FROM f GROUP BY 1""",
     "draft_checks": """SELECT doc_id AS id, 'enough' AS "check", (n_chars // 500) >= 4 AS passed FROM documents UNION ALL SELECT doc_id, 'has_number', regexp_matches(coalesce(text, ''), '[0-9]') FROM documents
     UNION ALL SELECT doc_id, 'no_markup', NOT regexp_matches(coalesce(text, ''), '[<>]') FROM documents""",
+    "utterance_split": f"""WITH {A.UTTERANCES_SQL}, u AS (SELECT session_id, ordinal, text, length(text) / 10 AS e, length(text) / 10 * (ordinal % 5) / 4 AS cut, regexp_extract_all(text, '\\S+') AS w FROM utterances
+    ), x AS (SELECT *, cut <= 0 OR cut >= e AS whole, greatest(0, least(greatest(1, round_even(len(w) * (cut / e), 0)::INT), len(w) - 1)) AS at_ FROM u)
+    SELECT session_id, ordinal, 0 AS part, 0.0::DOUBLE AS start, round(CASE WHEN whole THEN e ELSE cut END, 4) AS "end", CASE WHEN whole THEN text ELSE array_to_string(w[1:at_], ' ') END AS text FROM x
+    UNION ALL SELECT session_id, ordinal, 1, round(cut, 4), round(CASE WHEN whole THEN cut ELSE e END, 4), CASE WHEN whole THEN '' ELSE array_to_string(w[at_ + 1:], ' ') END FROM x""",
 }

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from colloquy.operators import transcript as T
 
 SEGMENT = "session_id long, seg_idx int, start double, end double, speaker string, chunk int, text string, speaker_confidence double"
@@ -63,3 +65,16 @@ def test_chunk_ranges_go_on_for_lines_over_budget(spark):
 
 def test_empty_input(spark):
     assert T.speaker_turns(spark.createDataFrame([], SEGMENT)).count() == 0
+
+
+def test_splitting_keeps_every_word(spark):
+    words = [("a", 0.0, 1.0), ("bb", 1.0, 2.0), ("c", 2.0, 4.0)]
+    rows = [("s", 1, 0.0, 4.0, "a bb c", words, 2.5), ("s", 2, 0.0, 4.0, "x y z w", None, 1.0), ("s", 3, 0.0, 4.0, "one", None, 2.0), ("s", 4, 0.0, 4.0, "p q", words, 9.0), ("s", 5, 0.0, 4.0, None, None, 2.0)]
+    df = spark.createDataFrame(rows, f"session_id string, ordinal int, start double, end double, text string, words {T.WORDS}, cut double")
+    found = {(r.ordinal, r.part): (r.start, r.end, r.text) for r in T.split_at(df).collect()}
+    assert found[1, 0] == (0.0, 2.5, "a bb") and found[1, 1] == (2.5, 4.0, "c")
+    assert found[2, 0][2] == "x" and found[2, 1][2] == "y z w"
+    assert (found[3, 0][2], found[3, 1][2]) == ("", "one") and found[4, 0] == (0.0, 4.0, "p q") and found[4, 1] == (4.0, 4.0, "")
+    assert (found[5, 0][2], found[5, 1][2]) == ("", "")
+    at = df.filter("ordinal < 3").orderBy("ordinal").select(T.time_at(F.lit(0.5), F.col("start"), F.col("end"), F.col("words"))).collect()
+    assert [r[0] for r in at] == [2.0, 2.0]
