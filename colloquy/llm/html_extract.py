@@ -1,20 +1,24 @@
-"""HTML extraction with a suffix array per host.
+"""HTML extraction with counted suffixes per host.
 
 A page is read into blocks. What the markup declares decides first: text inside
 an article or main element is the main text, and menus, headers, footers,
 sidebars, notices, adverts, forms, reader comments, scripts and styles aren't.
 All text outside the declared main text makes up the page's token stream.
 
-The streams of a host are concatenated and their suffixes sorted, here by Spark:
-only the first RUN tokens of a suffix matter, as neighbours in the array that
-share so many are a long repeated substring, so suffixes are brought together by
-a hash of those tokens, counted before the shuffle, and a large host is spread
-over all tasks. What stands on MIN_PAGES pages of a host is boilerplate.
+No suffix array is built: only the first RUN tokens of a suffix matter, as
+neighbours in the array that share so many are a long repeated substring, so
+suffixes are brought together by a hash of those tokens, counted before the
+shuffle, and a large host is spread over all tasks. What stands on MIN_PAGES
+pages of a host is boilerplate; rows of equal content count as one page.
 
-Pages that declare no main text are cut by that: covered tokens go, unique runs
+Pages that declare no main text are cut by that: covered tokens go, all others
 stay. Declared main text is never cut, as an article that two pages share is no
 boilerplate: repetition can't tell those apart, and on a host of one page
 nothing repeats.
+
+A container that encloses the main text is no chrome, whatever its class: a main
+element that would be lost is read again with what encloses it spared, and so is
+a page of which chrome would leave nothing.
 """
 
 from __future__ import annotations
@@ -33,8 +37,6 @@ from colloquy.llm.common import arrow_rows, stash, table
 
 RUN = 8
 MIN_PAGES = 3
-#: A block of which more is covered goes as a whole.
-COVERED = 0.6
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,6 +56,10 @@ search searchbox widget widgets skip copyright disclaimer complementary contenti
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: A class such as has-comments or with-sidebar tells what else the page has.
+_STATE = re.compile(r"(?:has|have|with|without|no|is|show|hide)[-_]", re.I)
+#: Chrome by the tag that no page is wrapped in.
+BARS = frozenset("aside button dialog footer head header menu nav select datalist".split())
 MAIN, OPEN, OUT = 2, 1, 0
 
 
@@ -61,13 +67,18 @@ def attributes(text: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTRIBUTE.findall(text)} if text.strip("/ \t\r\n") else {}
 
 
-def is_chrome(tag: str, a: dict[str, str]) -> bool:
+def is_hidden(tag: str, a: dict[str, str]) -> bool:
+    return tag not in ("html", "body", "main") and ("hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""))
+
+
+def is_chrome(tag: str, a: dict[str, str], whole: bool = False) -> bool:
+    """By its names; whole: a name counts only if it is a hint as it stands."""
     if tag in ("html", "body", "main"):
         return False
-    if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""):
+    if is_hidden(tag, a):
         return True
-    names = f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}"
-    return any(w.lower() in HINTS for w in _NAMES.findall(names))
+    names = [n for n in f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".split() if not _STATE.match(n)]
+    return any(w.lower() in HINTS for n in names for w in ([n] if whole else _NAMES.findall(n)))
 
 
 def is_main(tag: str, a: dict[str, str]) -> bool:
@@ -76,21 +87,52 @@ def is_main(tag: str, a: dict[str, str]) -> bool:
 
 def blocks(source: str) -> list[tuple[int, str]]:
     """(zone, text) of every block with text, in page order; white space is one space, ends are trimmed."""
+    spared: frozenset[int] = frozenset()
+    while True:
+        out, mains, wraps = _read(source, spared)
+        lost = [m for m in mains if m[2] and m[1] and (m[0] or all(z != MAIN for z, _ in out))]
+        if lost:
+            more = frozenset(max(lost, key=lambda m: m[:2])[3])
+        elif wraps and all(z == OUT for z, _ in out):
+            more = frozenset([max(wraps, key=lambda n: wraps[n])])
+        else:
+            return out
+        if more <= spared:
+            return out
+        spared |= more
+
+
+def _read(source: str, spared: frozenset[int]) -> tuple[list[tuple[int, str]], list[list], dict[int, int]]:
+    """One reading, in which the elements with a number in ``spared`` aren't chrome.
+
+    Blocks, [is a main element, characters, is out, numbers of it and what
+    encloses it] of each outermost declared main text, and the characters in
+    each container that chrome begins with and that may wrap a page.
+    """
     out: list[tuple[int, str]] = []
+    mains: list[list] = []
+    wraps: dict[int, int] = {}
     parts: list[str] = []
     # tag, zone; a header inside main text counts as out, but for its headings
     stack: list[tuple[str, int]] = [("", OPEN)]
-    at = 0
+    # for each element of the stack: its number, its place in mains or -1, the number of its wrap or -1
+    marks: list[tuple[int, int, int]] = [(-1, -1, -1)]
+    at = number = 0
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
         if text:
             out.append((stack[-1][1], text))
+            _, main, wrap = marks[-1]
+            if main >= 0:
+                mains[main][1] += len(text)
+            if wrap >= 0:
+                wraps[wrap] = wraps.get(wrap, 0) + len(text)
         parts.clear()
 
     def close(to: int) -> None:
         flush()
-        del stack[to:]
+        del stack[to:], marks[to:]
 
     while True:
         m = _TAG.search(source, at)
@@ -110,7 +152,7 @@ def blocks(source: str) -> list[tuple[int, str]]:
                     if tag in BLOCKS or any(t in BLOCKS or z != stack[i - 1][1] for t, z in stack[i:]):
                         close(i)
                     else:
-                        del stack[i:]
+                        del stack[i:], marks[i:]
                     break
                 if stack[i][0] in SCOPES and tag not in SCOPES:
                     break
@@ -142,16 +184,27 @@ def blocks(source: str) -> list[tuple[int, str]]:
         headed = tag in ("h1", "h2", "h3") and zone == OUT and len(stack) > 1 and stack[-1][0] == "header" and any(z == MAIN for _, z in stack)
         if headed:
             zone = MAIN
-        elif zone != OUT:
-            if tag in CHROME or is_chrome(tag, a):
+        _, inside, wrap = marks[-1]
+        declared = is_main(tag, a) and tag not in CHROME
+        if not headed and zone != OUT:
+            hidden = is_hidden(tag, a)
+            # of an outermost main text only a whole name such as comment counts
+            if hidden or number not in spared and (tag in CHROME or is_chrome(tag, a, declared and zone == OPEN)):
                 zone = OUT
+                if inside < 0 and not hidden and tag not in BARS:
+                    wrap = number
             elif is_main(tag, a):
                 zone = MAIN
         if zone != stack[-1][1] and tag not in BLOCKS:
             flush()
+        if inside < 0 and declared and not is_chrome(tag, a, True):
+            inside = len(mains)
+            mains.append([tag == "main" or a.get("role") == "main", 0, zone == OUT, [number, *(n for n, _, _ in marks[1:])]])
         stack.append((tag, zone))
+        marks.append((number, inside, wrap))
+        number += 1
     flush()
-    return out
+    return out, mains, wraps
 
 
 def runs(tokens: list[str]) -> list[bytes]:
@@ -161,20 +214,21 @@ def runs(tokens: list[str]) -> list[bytes]:
     return ["\x00".join(tokens[i : i + RUN]).encode() for i in range(len(tokens) - RUN + 1)]
 
 
-PARSED = "page_id {id}, url string, host string, text string, open array<string>, suffixes array<long>"
+PARSED = "page_id {id}, url string, host string, content long, text string, open array<string>, suffixes array<long>"
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """text: the declared main text, or null where none is; open: the blocks to choose from then; suffixes: hashes of the stream's."""
+    """content: a hash of all blocks; text: the declared main text, or null where none is; open: the blocks to choose from then; suffixes: hashes of the stream's."""
     arrow_rows(pages.sparkSession, 500)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, opens, suffixes, hosts = [], [], [], []
+            texts, opens, suffixes, hosts, contents = [], [], [], [], []
             urls = batch.column("url").to_pylist()
             for url, source in zip(urls, batch.column("html").to_pylist(), strict=True):
                 found = blocks(source or "")
+                contents.append(xxhash.xxh3_64_intdigest("\x00".join(t for _, t in found).encode("utf-8", "surrogatepass")))
                 main = [t for z, t in found if z == MAIN]
                 texts.append("\n\n".join(main) if main or not found else None)
                 opens.append([] if main else [t for z, t in found if z == OPEN])
@@ -183,8 +237,8 @@ def parse(pages: DataFrame) -> DataFrame:
                 rest = (url or "").partition("://")[2]
                 hosts.append(re.match(r"[^/?#]*", rest)[0].lower())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(hosts), pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string())), pa.array(suffixes, pa.list_(pa.int64()))],
-                ["page_id", "url", "host", "text", "open", "suffixes"],
+                [batch.column("page_id"), batch.column("url"), pa.array(hosts), pa.array(np.array(contents, np.uint64).view(np.int64)), pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string())), pa.array(suffixes, pa.list_(pa.int64()))],
+                ["page_id", "url", "host", "content", "text", "open", "suffixes"],
             )
 
     return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, PARSED.format(id=kind))
@@ -205,8 +259,7 @@ def cut(rows: DataFrame) -> DataFrame:
                     for i, r in enumerate(runs(tokens)):
                         if np.uint64(xxhash.xxh3_64_intdigest(r)).astype(np.int64) in repeated:
                             covered[i : i + RUN] = [True] * len(covered[i : i + RUN])
-                    if sum(covered) <= COVERED * len(tokens):
-                        kept.append(" ".join(t for t, c in zip(tokens, covered, strict=True) if not c))
+                    kept.append(" ".join(t for t, c in zip(tokens, covered, strict=True) if not c))
                 texts.append("\n\n".join(k for k in kept if k))
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "cut"])
 
@@ -217,12 +270,16 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """One row per row of pages (page_id, url, html): page_id, url, text, n_chars.
 
     Null and empty html give an empty text. Pages without a host (null url, no
-    ://) count as pages of one empty host. Rows that repeat a page_id are pages
-    of their own. Malformed markup is read as far as it goes: a tag without its
+    ://) share none, so nothing of theirs is repeated. Rows that repeat a page_id
+    are pages of their own; rows of a host with equal content are one page to the
+    counts. Malformed markup is read as far as it goes: a tag without its
     end lasts to the end of what encloses it.
     """
     parsed = stash(parse(pages).withColumn("row", F.monotonically_increasing_id()))
-    repeated = parsed.select("host", F.explode("suffixes").alias("suffix")).groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages).select("host", "suffix")
+    hosted = parsed.filter("host <> ''")
+    # one row of each content: equal ones gather before the shuffle, and the row numbers are dealt evenly
+    pages_ = hosted.groupBy("host", "content").agg(F.min("row").alias("row")).select("row")
+    repeated = hosted.select("row", "host", "suffixes").join(pages_.hint("merge"), "row", "left_semi").select("host", F.explode("suffixes").alias("suffix")).groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages).select("host", "suffix")
     undeclared = parsed.filter("text IS NULL")
     hits = undeclared.select("row", "host", F.explode("suffixes").alias("suffix")).join(repeated.hint("merge"), ["host", "suffix"])
     # bounded by the page's own suffixes

@@ -42,6 +42,29 @@ def test_repeated_runs_go_where_nothing_is_declared(spark):
     assert out[9][0] == bar and out[12][0] == bar and out[10] == ("", 0) and out[11] == ("", 0)
 
 
+def test_copies_of_a_page_are_no_boilerplate(spark):
+    text = "An article of more than eight words that three rows hold as one page"
+    bar = "Subscribe to our letter and never miss a story again"
+    rows = [(i, f"http://a.example/{i}", f"<p>{text}</p>") for i in range(3)] + [(i, u, f"<p>{bar}</p><p>{i}</p>") for i, u in ((3, None), (4, "x"), (5, "y"))]
+    rows += [(i, "http://b.example/", f"<div>{bar} number{i}</div>") for i in (6, 7, 8)]
+    out = {r.page_id: r.text for r in X.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [out[i] for i in range(3)] == [text] * 3
+    assert [out[i] for i in (3, 4, 5)] == [f"{bar}\n\n{i}" for i in (3, 4, 5)]
+    assert [out[i] for i in (6, 7, 8)] == ["number6", "number7", "number8"]
+
+
+def test_what_encloses_the_main_text_is_no_chrome():
+    assert main("<article class='post has-comments'><p>a</p><div class=comments>b</div></article>") == ["a"]
+    assert main("<article class='post comment-open'><p>a</p></article>") == ["a"]
+    assert main("<div class='sidebar-layout'><div class=sidebar>s</div><article>a</article></div>") == ["a"]
+    assert main("<form id=f><nav>n</nav><main><p>a</p></main></form><article>teaser</article>") == ["a", "teaser"]
+    assert main("<article>a</article><section class=comments><article>longer than the text</article></section>") == ["a"]
+    assert main("<div hidden><article>a</article></div>") == []
+    assert [t for z, t in X.blocks("<div class='with-sidebar'><p>a</p><div class=sidebar>s</div></div>") if z == X.OPEN] == ["a"]
+    assert [t for z, t in X.blocks("<form><nav>n</nav><div class='sidebar-page'><p>a</p></div></form><footer>f</footer>") if z == X.OPEN] == ["a"]
+    assert [t for z, t in X.blocks("<nav>n</nav><footer>f</footer>") if z != X.OUT] == []
+
+
 def test_query_is_brute_force(spark):
     rows = spark.read.parquet(f"{SF}/pages.parquet").collect()
     out = {r.page_id: r for r in X.op1_html_extract(spark, SF).collect()}
