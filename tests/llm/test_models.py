@@ -26,6 +26,19 @@ def test_families(spark, model):
     assert got == cases
 
 
+def test_notices_that_no_frame_holds(spark, model):
+    cases = {
+        "Licensed under the GPLv3": "gpl", "Licensed under LGPLv2.1 or later": "gpl", "GPLv2+": "gpl", "GPLv3": "gpl", "AGPL-3.0": "gpl", "This library is free software under the terms of the LGPL.": "gpl", "Code is covered by the GNU GPL v2.": "gpl",
+        "Use of this source code is governed by the GNU Affero General Public License.": "gpl", "This module is available under the ISC license": "isc", "License: ISC": "isc", "This program and the accompanying materials are made available under the Eclipse Public License v2.0": "epl", "EPL-2.0": "epl",
+        "Unlicense": "unlicense", "This is free and unencumbered software released into the public domain.": "unlicense", "Distributed under the Boost Software License, Version 1.0. (See accompanying file)": "boost", "// SPDX-License-Identifier: Zlib": "zlib", "See the zlib license for details": "zlib",
+        "This header is in the public domain.": "public_domain", "Written by A. Author and placed in the public domain.": "public_domain", "apache2": "apache", "Mozilla Public License Version 2.0": "mpl", "The code is offered under CC-BY-SA-4.0": "cc",
+        "The domain was sold at a public auction.": "unknown", "A solar eclipse got a boost from public interest, all rights and duties aside.": "unknown",
+    }
+    got = {r.paragraph: (r.lic_family, r.gated) for r in model.classify(spark.createDataFrame([(t,) for t in cases], "paragraph string").withColumn("gated", F.col("paragraph").rlike(L.GATE))).collect()}
+    assert {t: f for t, (f, _) in got.items()} == cases
+    assert all(gated for f, gated in got.values() if f != "unknown")
+
+
 def test_scan_rows(spark, model):
     text = "First line.\n\nReleased under the MIT License.\n \nAll rights reserved."
     rows = [(1, text, "a"), (1, text, "a"), (2, None, None), (3, "", None), (None, "x\ny", None), (4, "word " * 50_000 + "\nAll rights reserved.", None)]
