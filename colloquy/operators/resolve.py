@@ -45,19 +45,54 @@ def sorted_tokens(name: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(folded(name), " "), lambda w: w != "")), " ")
 
 
-def fuzzy_matches(left: DataFrame, right: DataFrame, least: float = 0.84, shared: float = 0.78) -> DataFrame:
-    """(id, key) on both sides; pairs that share a token or the first three letters of one, by similarity of sorted tokens.
+def _grams(name: Column) -> Column:
+    """The pairs of letters of a name, each with the number of its occurrence."""
+    all_ = F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(name, i, 2))
+    of = lambda g: F.transform(F.sequence(F.lit(1), F.size(F.filter(all_, lambda x: x == g))), lambda k: F.concat(g, k.cast("string")))
+    return F.when(F.length(name) > 1, F.flatten(F.transform(F.array_distinct(all_), of))).otherwise(F.array().cast("array<string>"))
 
-    Blocking by token keeps the similarity, which needs Python, to few pairs;
-    equal names are grouped first, so a hot name is one row.
-    """
-    def keyed(df: DataFrame, side: str) -> DataFrame:
-        names = df.select(sorted_tokens(F.col("name")).alias(side)).distinct().filter(F.col(side) != "")
-        words = F.split(F.col(side), " ")
-        return names.select(side, F.explode(F.array_distinct(F.concat(words, F.transform(words, lambda w: F.concat(F.lit("^"), F.substring(w, 1, 3)))))).alias("block"))
 
-    pairs = keyed(left, "a").join(keyed(right, "b"), "block").groupBy("a", "b").agg(F.max((F.substring("block", 1, 1) != "^").cast("int")).alias("common")).withColumn("ratio", F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(ratio("a", "b")))
-    tier = F.when(F.col("a") == F.col("b"), "same_name").when(F.col("ratio") >= least, "same_entity").when((F.col("ratio") >= shared) & (F.col("common") == 1), "related")
+def fuzzy_matches(left: DataFrame, right: DataFrame, least: float = 0.84, shared: float = 0.78) -> DataFrame:
+    """(a, b, ratio, tier) of near names: every pair of which the ratio of sorted tokens is at least ``least``, and of
+    those that share a token the ones at ``shared``, or at any ratio if one name has all tokens of the other.
+
+    Equal names are grouped first, so a hot name is one row. Candidates lose
+    nothing: with M letters matched of L in both names there are at most L - 2M + 1
+    matched blocks, so at least 3M - L - 1 shared pairs of letters, and for a ratio
+    of 0.84 that is one or more. A name is found by so many of its rarest pairs that
+    one of them must be shared; the rest are counted before Python sees a pair.
+    """
+    if least < 0.84:
+        raise ValueError("below 0.84 two short names may share no pair of letters")
+    steep = 1.5 * least - 1
+
+    def named(df: DataFrame, side: str) -> DataFrame:
+        return df.select(sorted_tokens(F.col("name")).alias(side)).distinct().filter(F.col(side) != "").withColumn(f"g_{side}", _grams(F.col(side)))
+
+    names = {"a": named(left, "a"), "b": named(right, "b")}
+    counts = names["a"].select(F.explode("g_a").alias("gram")).unionByName(names["b"].select(F.explode("g_b").alias("gram"))).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+
+    def by_grams(side: str) -> DataFrame:
+        ranked = names[side].select(side, F.explode(f"g_{side}").alias("gram")).join(counts, "gram").groupBy(side).agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("by"))
+        # of the shortest partner that can reach the ratio
+        need = F.greatest(F.lit(1), F.ceil(steep * F.length(side) * (1 + least / (2 - least)) - 1 - 1e-9)).cast("int")
+        return ranked.select(side, F.explode(F.slice("by", F.lit(1), F.greatest(F.lit(0), F.size("by") - need + 1))).alias("x")).select(side, F.col("x.gram").alias("gram"))
+
+    def by_tokens(side: str) -> DataFrame:
+        return names[side].select(side, F.explode(F.array_distinct(F.split(side, " "))).alias("token"))
+
+    n = F.length("a") + F.length("b")
+    near = lambda r: 2 * F.least(F.length("a"), F.length("b")) >= r * n - 1e-9
+    spelt = by_grams("a").join(by_grams("b"), "gram").filter(near(least)).select("a", "b").distinct()
+    spelt = spelt.join(names["a"], "a").join(names["b"], "b").filter(F.size(F.array_intersect("g_a", "g_b")) >= 3 * F.ceil(least * n / 2 - 1e-9) - n - 1).select("a", "b", F.lit(0).alias("common"), F.lit(False).alias("within"))
+    tokens = lambda c: F.array_distinct(F.split(c, " "))
+    within = F.col("common") == F.least(F.size(tokens("a")), F.size(tokens("b")))
+    told = by_tokens("a").join(by_tokens("b"), "token").groupBy("a", "b").agg(F.count(F.lit(1)).cast("int").alias("common")).withColumn("within", within).filter(F.col("within") | near(shared))
+    same = names["a"].join(names["b"], F.col("a") == F.col("b")).select("a", "b", F.lit(1).alias("common"), F.lit(True).alias("within"))
+    pairs = spelt.unionByName(told).unionByName(same).groupBy("a", "b").agg(F.max("common").alias("common"), F.max("within").alias("within"))
+    pairs = pairs.withColumn("ratio", F.when(F.col("a") == F.col("b"), F.lit(1.0)).otherwise(ratio("a", "b")))
+    related = F.col("within") | ((F.col("ratio") >= shared) & (F.col("common") > 0))
+    tier = F.when(F.col("a") == F.col("b"), "same_name").when(F.col("ratio") >= least, "same_entity").when(related, "related")
     return pairs.withColumn("tier", tier).filter("tier IS NOT NULL").select("a", "b", "ratio", "tier")
 
 

@@ -1,9 +1,12 @@
 """Channels, scenes, patches and names on small inputs."""
 
 import math
+import random
+from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+from colloquy.operators import resolve
 from colloquy.operators import review as R
 
 
@@ -69,3 +72,24 @@ def test_rewriting_by_times(spark):
     t = spark.createDataFrame([("s", 0, 0.0, 1.0, "A", "a"), ("s", 1, 1.0, 2.0, "B", "b")], "session_id string, seg_idx int, start double, end double, speaker string, text string")
     r = spark.createDataFrame([("s", 0, 0.0, 1.0, "X", "x"), ("s", 1, 0.0, 1.0, None, "y")], "session_id string, pos int, start double, end double, speaker string, text string")
     assert [(x.speaker, x.text) for x in R.rewrite_segments(t, r).orderBy("seg_idx").collect()] == [(None, "y"), ("B", "b")]
+
+
+def test_near_names_are_brute_force(spark):
+    dice = random.Random(5)
+    names = ["alexander", "miles", "vice sceriffo miles falco", "abc", "a", "ab ab ab", "mara", "bree of the hill", "hill bree"] + ["".join(dice.choice("abn e") for _ in range(dice.randint(2, 14))) for _ in range(60)]
+    names = sorted({" ".join(sorted(n.split())) for n in names} - {""})
+    typed = {"elexander", "miles", "lmies", "xara"}
+    for n in names:
+        i = dice.randrange(len(n))
+        typed |= {n[:i] + dice.choice("abz") + n[i + 1 :], n[:i] + n[i + 1 :], "q" + n, n + "s"}
+    typed = sorted({" ".join(sorted(n.split())) for n in typed} - {""})
+    want = {}
+    for a in names:
+        for b in typed:
+            r, x, y = SequenceMatcher(None, a, b).ratio(), set(a.split()), set(b.split())
+            if a == b or r >= 0.84 or x <= y or y <= x or (r >= 0.78 and x & y):
+                want[a, b] = "same_name" if a == b else "same_entity" if r >= 0.84 else "related"
+    side = lambda rows: spark.createDataFrame([(n,) for n in rows], "name string")
+    got = {(r.a, r.b): r.tier for r in resolve.fuzzy_matches(side(names), side(typed)).collect()}
+    assert want["alexander", "elexander"] == "same_entity" and want["falco miles sceriffo vice", "miles"] == "related"
+    assert got == want
