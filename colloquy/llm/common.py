@@ -30,10 +30,13 @@ def let(value, body):
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which driver and executors share.
 
-    Where that is unset (tests on one machine) a temporary folder takes its place.
+    Where that is unset, a session on one machine gets a temporary folder; on a
+    cluster there is no folder to fall back on.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="colloquy-")
         atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
@@ -53,6 +56,8 @@ def stash(df: DataFrame) -> DataFrame:
     try:
         df.write.parquet(path)
     finally:
+        if _arrow_before:
+            spark.conf.set(ARROW_ROWS, _arrow_before.pop("rows"))
         if before is None:
             spark.conf.unset(CLEANUP)
         else:
@@ -68,9 +73,14 @@ def unstash(*frames: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_arrow_before: dict[str, str] = {}
+
+
 def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Rows of an Arrow batch sent to Python, so that a batch of long texts stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Rows of an Arrow batch sent to Python, so that a batch of long texts stays small. The next stash puts the session's own value back."""
+    _arrow_before.setdefault("rows", spark.conf.get(ARROW_ROWS))
+    spark.conf.set(ARROW_ROWS, str(rows))
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, most: int = 1000) -> DataFrame:

@@ -1,24 +1,24 @@
-"""HTML extraction with counted suffixes per host.
-
-A page is read into blocks. What the markup declares decides first: text inside
-an article or main element is the main text, and menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments, scripts and styles aren't.
-All text outside the declared main text makes up the page's token stream.
-
-No suffix array is built: only the first RUN tokens of a suffix matter, as
-neighbours in the array that share so many are a long repeated substring, so
-suffixes are brought together by a hash of those tokens, counted before the
-shuffle, and a large host is spread over all tasks. What stands on MIN_PAGES
-pages of a host is boilerplate; rows of equal content count as one page.
-
-Pages that declare no main text are cut by that: covered tokens go, all others
-stay. Declared main text is never cut, as an article that two pages share is no
-boilerplate: repetition can't tell those apart, and on a host of one page
-nothing repeats.
-
-A container that encloses the main text is no chrome, whatever its class: a main
-element that would be lost is read again with what encloses it spared, and so is
-a page of which chrome would leave nothing.
+"""HTML extraction with a suffix array per host.
+
+A page is read into blocks, each in one of three zones. MAIN is what the markup
+declares as main text (article, main): such spans are protected, as an article
+that several pages hold is no boilerplate and repetition can't tell those apart.
+OUT is what the markup declares as something else: menus, headers, footers,
+sidebars, notices, adverts, forms, reader comments, scripts and styles. OPEN is
+the rest, on which the markup says nothing and the method decides.
+
+The unprotected blocks of a page, OPEN and OUT in page order, make its token
+stream. Spark sorts the streams by host and content hash; a task concatenates
+those of one host, up to SHARD_BYTES of them, and builds a suffix array over the
+tokens. The array is sorted by the first RUN tokens, as no later one decides
+anything: neighbours that share so many are an interval, and an interval with
+suffixes of two distinct pages is a repeated substring of at least RUN tokens.
+Hosts of more than one shard also give a row per interval and shard; the rows
+that stand for two distinct pages together name what repeats across shards.
+
+On every page the repeats are cut from the OPEN blocks and the unique runs stay.
+What stands outside the declared main text of a page that has one counts only
+from RUN unique tokens in a block on, as less is a label.
 """
 
 from __future__ import annotations
@@ -34,13 +34,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import arrow_rows, stash, table
+from colloquy.llm.kernels import NOT_SPACE, U64, Words, mixed
 
 RUN = 8
-MIN_PAGES = 3
+SHARD_BYTES = 4 << 20
 
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title iframe noscript noembed noframes template xmp svg math object audio video canvas".split())
+#: Elements of raw text: they last to their end tag, or to the end of the page.
+RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
+#: Elements without text of the article; without an end tag they are ignored.
+SKIPPED = frozenset("svg canvas audio video noscript template".split())
 CHROME = frozenset("aside button dialog footer form head header menu nav select datalist".split())
 #: Elements that end an open one of the same kind.
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -53,11 +57,18 @@ cookie cookies consent gdpr notice notification notifications alert popup modal
 share sharing social related recommended comment comments commentlist respond disqus reply replies
 search searchbox widget widgets skip copyright disclaimer complementary contentinfo dialog
 """.split())
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+#: Words that may stand beside a hint in one name: ad-slot is a hint, related-work isn't.
+CARRIERS = frozenset("""
+a the my js site page global main primary secondary top bottom left right center inner outer upper lower fixed sticky mobile desktop mini
+slot box wrap wrapper container holder list area block section region bar unit panel pane group row col column strip rail zone frame card tile tray stack module component
+post posts article articles story stories item items entry link links button buttons icon icons text label form forms field input thread reader readers user users visitor facebook twitter
+""".split())
+#: Hints of reader comments, which may well be longer than the article.
+TALK = frozenset("comment comments commentlist respond disqus reply replies".split())
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_EDGE = re.compile(r">|=\s*([\"'])")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NAMES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-#: A class such as has-comments or with-sidebar tells what else the page has.
-_STATE = re.compile(r"(?:has|have|with|without|no|is|show|hide)[-_]", re.I)
 #: Chrome by the tag that no page is wrapped in.
 BARS = frozenset("aside button dialog footer head header menu nav select datalist".split())
 MAIN, OPEN, OUT = 2, 1, 0
@@ -71,14 +82,16 @@ def is_hidden(tag: str, a: dict[str, str]) -> bool:
     return tag not in ("html", "body", "main") and ("hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", ""))
 
 
-def is_chrome(tag: str, a: dict[str, str], whole: bool = False) -> bool:
-    """By its names; whole: a name counts only if it is a hint as it stands."""
-    if tag in ("html", "body", "main"):
-        return False
-    if is_hidden(tag, a):
-        return True
-    names = [n for n in f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".split() if not _STATE.match(n)]
-    return any(w.lower() in HINTS for n in names for w in ([n] if whole else _NAMES.findall(n)))
+def hints_of(tag: str, a: dict[str, str], whole: bool = False) -> set[str]:
+    """The hints among the names of an element. A name of several words is one if all of them are hints or carriers; whole: if it is a hint as it stands."""
+    if tag in ("html", "body", "main") or not a:
+        return set()
+    found: set[str] = set()
+    for name in f"{a.get('class', '')} {a.get('id', '')} {a.get('role', '')}".split():
+        words = {name} if whole else {w.lower() for w in _NAMES.findall(name)}
+        if words <= HINTS | CARRIERS:
+            found |= words & HINTS
+    return found
 
 
 def is_main(tag: str, a: dict[str, str]) -> bool:
@@ -86,208 +99,407 @@ def is_main(tag: str, a: dict[str, str]) -> bool:
 
 
 def blocks(source: str) -> list[tuple[int, str]]:
-    """(zone, text) of every block with text, in page order; white space is one space, ends are trimmed."""
-    spared: frozenset[int] = frozenset()
-    while True:
-        out, mains, wraps = _read(source, spared)
-        lost = [m for m in mains if m[2] and m[1] and (m[0] or all(z != MAIN for z, _ in out))]
-        if lost:
-            more = frozenset(max(lost, key=lambda m: m[:2])[3])
-        elif wraps and all(z == OUT for z, _ in out):
-            more = frozenset([max(wraps, key=lambda n: wraps[n])])
-        else:
-            return out
-        if more <= spared:
-            return out
-        spared |= more
+    """(zone, text) of every block with text, in page order; white space is one space, ends are trimmed.
 
-
-def _read(source: str, spared: frozenset[int]) -> tuple[list[tuple[int, str]], list[list], dict[int, int]]:
+    A container that holds more than half of the text of the page is no chrome
+    by its name, unless it holds comments, and what encloses a main element
+    isn't chrome: then the page is read again with that spared.
+    """
+    out, mains, wraps = _read(source, frozenset())
+    spared: set[int] = set()
+    lost = [m for m in mains if m[2] and m[1] and (m[0] or all(z != MAIN for z, _ in out))]
+    if lost:
+        spared |= max(lost, key=lambda m: m[:2])[3]()
+    elif wraps:
+        least = sum(len(t) for _, t in out) / 2 if any(z != OUT for z, _ in out) else max(wraps.values()) - 1
+        spared |= {n for n, chars in wraps.items() if chars > least}
+    return _read(source, frozenset(spared))[0] if spared else out
+
+
+class _Scanner:
+    """Finds the ends of tags and of elements, going forward only: what isn't found once isn't looked for again."""
+
+    def __init__(self, source: str):
+        self.source, self.last, self.quotes, self.endless = source, source.rfind(">"), True, set()
+
+    def tag_end(self, at: int) -> int:
+        """Behind the > of the tag that begins at ``at``, -1 without one. Quoted values may hold >."""
+        if at > self.last:
+            return -1
+        i = at
+        while self.quotes:
+            m = _EDGE.search(self.source, i)
+            if m and m[0] == ">":
+                return m.end()
+            close = self.source.find(m[1], m.end()) if m else -1
+            if close < 0:
+                self.quotes = False  # a quote that never ends: from here on the next > ends a tag
+            i = close + 1
+        return self.source.find(">", at) + 1
+
+    def element_end(self, tag: str, at: int) -> int:
+        """Behind the end tag of an element that can't hold its like, -1 without one."""
+        if tag in self.endless:
+            return -1
+        m = re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A).search(self.source, at)
+        end = self.source.find(">", m.end()) if m else -1
+        if end < 0:
+            self.endless.add(tag)
+        return end + 1 if end >= 0 else -1
+
+
+def _read(source: str, spared: frozenset[int]) -> tuple[list[tuple[int, str]], list[tuple], dict[int, int]]:
     """One reading, in which the elements with a number in ``spared`` aren't chrome.
 
-    Blocks, [is a main element, characters, is out, numbers of it and what
-    encloses it] of each outermost declared main text, and the characters in
-    each container that chrome begins with and that may wrap a page.
+    Blocks; (is a main element, characters, is out, numbers of it and what
+    encloses it) of each outermost declared main text; and the characters in each
+    container that is chrome by its name and may wrap a page.
     """
     out: list[tuple[int, str]] = []
     mains: list[list] = []
     wraps: dict[int, int] = {}
+    around: dict[int, int] = {}  # the wrap that a wrap is in, or -1
     parts: list[str] = []
-    # tag, zone; a header inside main text counts as out, but for its headings
-    stack: list[tuple[str, int]] = [("", OPEN)]
-    # for each element of the stack: its number, its place in mains or -1, the number of its wrap or -1
-    marks: list[tuple[int, int, int]] = [(-1, -1, -1)]
-    at = number = 0
+    # tag, zone, number, place in mains or -1, number of its wrap or -1; a header inside main text is out, but for its headings
+    stack: list[tuple[str, int, int, int, int]] = [("", OPEN, -1, -1, -1)]
+    parent: list[int] = []
+    scopes: dict[str, int] = {}  # open elements of SCOPES
+    inner: list[dict[str, int]] = [{}]  # open elements within each open scope
+    in_main = at = 0
+    scan = _Scanner(source)
 
     def flush() -> None:
         text = " ".join("".join(parts).split())
         if text:
-            out.append((stack[-1][1], text))
-            _, main, wrap = marks[-1]
+            _, zone, _, main, wrap = stack[-1]
+            out.append((zone, text))
             if main >= 0:
                 mains[main][1] += len(text)
             if wrap >= 0:
-                wraps[wrap] = wraps.get(wrap, 0) + len(text)
+                wraps[wrap] += len(text)
         parts.clear()
 
-    def close(to: int) -> None:
-        flush()
-        del stack[to:], marks[to:]
+    def close(ends: tuple[str, ...]) -> None:
+        """Ends the last open element with one of these tags, and what it holds."""
+        nonlocal in_main
+        i = len(stack) - 1
+        while stack[i][0] not in ends:
+            i -= 1
+        if any(t in BLOCKS or z != stack[j - 1][1] for j, (t, z, *_) in enumerate(stack[i:], i)):
+            flush()
+        for t, z, *_ in stack[i:]:
+            in_main -= z == MAIN
+            if t in SCOPES:
+                scopes[t] -= 1
+        for t, *_ in reversed(stack[i:]):
+            if t in SCOPES:
+                inner.pop()
+            else:
+                inner[-1][t] -= 1
+        del stack[i:]
 
     while True:
-        m = _TAG.search(source, at)
-        text = source[at : m.start() if m else len(source)]
+        to = source.find("<", at)
+        m = _NAME.match(source, to + 1) if to >= 0 else None
+        end = -1
+        if m:
+            end = scan.tag_end(m.end())
+        elif source.startswith("<!--", to):
+            end = source.find("-->", to + 4) + 3
+            end = end if end > 2 else len(source)
+        elif to >= 0 and source[to + 1 : to + 2] in ("!", "?"):
+            end = source.find(">", to) + 1 if to < scan.last else -1
+        if to >= 0 and end < 0:
+            to, m = to + 1, None  # no tag: the < is text
+        text = source[at : to if to >= 0 else len(source)]
         if text:
             parts.append(html.unescape(text) if "&" in text else text)
-        if not m:
+        if to < 0:
             break
-        at = m.end()
-        end, tag, rest = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not tag:
+        at = end if end >= 0 else to
+        if not m:
             continue
-        tag = tag.lower()
-        if end:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if tag in BLOCKS or any(t in BLOCKS or z != stack[i - 1][1] for t, z in stack[i:]):
-                        close(i)
-                    else:
-                        del stack[i:], marks[i:]
-                    break
-                if stack[i][0] in SCOPES and tag not in SCOPES:
-                    break
-            else:
-                if tag in BLOCKS:
-                    flush()
+        tag, rest = m[0].lower(), source[m.end() : end - 1]
+        if tag[0] == "/":
+            tag = tag[1:]
+            if (scopes if tag in SCOPES else inner[-1]).get(tag):
+                close((tag,))
+            elif tag in BLOCKS:
+                flush()
             continue
         if tag in ("br", "td", "th"):
             parts.append(" ")
-        if tag in RAW:
-            if not rest.rstrip().endswith("/") or tag not in ("svg", "math"):
-                stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(source, at)
-                at = stop.end() if stop else len(source)
+        if tag in RAW or tag in SKIPPED:
+            stop = -1 if tag in SKIPPED and rest.rstrip().endswith("/") else scan.element_end(tag, at)
+            at = stop if stop >= 0 else len(source) if tag in RAW else at
             continue
         if tag in BLOCKS:
             # a block ends an open paragraph, and some elements end their like
             ends = ("p", *SIBLINGS.get(tag, ()))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in ends:
-                    close(i)
-                    break
-                if stack[i][0] in SCOPES:
-                    break
+            if any(inner[-1].get(t) for t in ends):
+                close(ends)
             flush()
         if tag in VOID:
             continue
         a = attributes(rest)
-        zone = stack[-1][1]
-        headed = tag in ("h1", "h2", "h3") and zone == OUT and len(stack) > 1 and stack[-1][0] == "header" and any(z == MAIN for _, z in stack)
+        _, above, over, inside, wrap = stack[-1]
+        zone, number = above, len(parent)
+        headed = tag in ("h1", "h2", "h3") and zone == OUT and stack[-1][0] == "header" and in_main > 0
         if headed:
             zone = MAIN
-        _, inside, wrap = marks[-1]
         declared = is_main(tag, a) and tag not in CHROME
         if not headed and zone != OUT:
-            hidden = is_hidden(tag, a)
             # of an outermost main text only a whole name such as comment counts
-            if hidden or number not in spared and (tag in CHROME or is_chrome(tag, a, declared and zone == OPEN)):
+            hints = hints_of(tag, a, declared and zone == OPEN)
+            hidden = is_hidden(tag, a)
+            if hidden or number not in spared and (tag in CHROME or hints):
                 zone = OUT
-                if inside < 0 and not hidden and tag not in BARS:
-                    wrap = number
+                if not hidden and tag not in BARS and not hints & TALK:
+                    wraps[number], around[number], wrap = 0, -1, number
             elif is_main(tag, a):
                 zone = MAIN
-        if zone != stack[-1][1] and tag not in BLOCKS:
+        elif not headed and wrap >= 0:
+            hints = hints_of(tag, a)
+            if is_hidden(tag, a) or tag in BARS or hints & TALK:
+                wrap = -1
+            elif hints or tag == "form":
+                wraps[number], around[number], wrap = 0, wrap, number
+        if zone != above and tag not in BLOCKS:
             flush()
-        if inside < 0 and declared and not is_chrome(tag, a, True):
+        if inside < 0 and declared and not hints_of(tag, a, True):
             inside = len(mains)
-            mains.append([tag == "main" or a.get("role") == "main", 0, zone == OUT, [number, *(n for n, _, _ in marks[1:])]])
-        stack.append((tag, zone))
-        marks.append((number, inside, wrap))
-        number += 1
+            mains.append([tag == "main" or a.get("role") == "main", 0, zone == OUT, number])
+        parent.append(over)
+        stack.append((tag, zone, number, inside, wrap))
+        in_main += zone == MAIN
+        if tag in SCOPES:
+            scopes[tag] = scopes.get(tag, 0) + 1
+            inner.append({})
+        else:
+            inner[-1][tag] = inner[-1].get(tag, 0) + 1
     flush()
-    return out, mains, wraps
+    for n in sorted(wraps, reverse=True):
+        if around[n] >= 0:
+            wraps[around[n]] += wraps[n]
 
+    def chain(n: int) -> set[int]:
+        numbers = set()
+        while n >= 0:
+            numbers.add(n)
+            n = parent[n]
+        return numbers
 
-def runs(tokens: list[str]) -> list[bytes]:
-    """The first RUN tokens of each suffix of a block, or all of a shorter block."""
-    if len(tokens) <= RUN:
-        return ["\x00".join(tokens).encode()] if tokens else []
-    return ["\x00".join(tokens[i : i + RUN]).encode() for i in range(len(tokens) - RUN + 1)]
+    return out, [(m, n, o, lambda number=number: chain(number)) for m, n, o, number in mains], wraps
 
 
-PARSED = "page_id {id}, url string, host string, content long, text string, open array<string>, suffixes array<long>"
+PARSED = "page_id {id}, url string, host string, content long, text string, zones binary, parts array<string>"
 
 
 def parse(pages: DataFrame) -> DataFrame:
-    """content: a hash of all blocks; text: the declared main text, or null where none is; open: the blocks to choose from then; suffixes: hashes of the stream's."""
+    """content: a hash of all blocks. A page without OPEN blocks has its text already; its parts are those of its stream, and an empty one where main text stood. Other pages have no text and all their blocks as parts, with their zones."""
     arrow_rows(pages.sparkSession, 500)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, opens, suffixes, hosts, contents = [], [], [], [], []
-            urls = batch.column("url").to_pylist()
-            for url, source in zip(urls, batch.column("html").to_pylist(), strict=True):
+            texts, zones, parts, hosts, contents = [], [], [], [], []
+            for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 found = blocks(source or "")
-                contents.append(xxhash.xxh3_64_intdigest("\x00".join(t for _, t in found).encode("utf-8", "surrogatepass")))
-                main = [t for z, t in found if z == MAIN]
-                texts.append("\n\n".join(main) if main or not found else None)
-                opens.append([] if main else [t for z, t in found if z == OPEN])
-                stream = {xxhash.xxh3_64_intdigest(r) for z, t in found if z != MAIN for r in runs(t.split())}
-                suffixes.append(np.fromiter(stream, np.uint64, len(stream)).view(np.int64))
+                contents.append(xxhash.xxh3_64_intdigest("\x00".join(f"{z}{t}" for z, t in found).encode("utf-8", "surrogatepass")))
+                decided = all(z != OPEN for z, _ in found)
+                texts.append("\n\n".join(t for z, t in found if z == MAIN) if decided else None)
+                zones.append(bytes(z for z, _ in found))
+                parts.append(["" if decided and z == MAIN else t for z, t in found])
                 rest = (url or "").partition("://")[2]
                 hosts.append(re.match(r"[^/?#]*", rest)[0].lower())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("page_id"), batch.column("url"), pa.array(hosts), pa.array(np.array(contents, np.uint64).view(np.int64)), pa.array(texts, pa.string()), pa.array(opens, pa.list_(pa.string())), pa.array(suffixes, pa.list_(pa.int64()))],
-                ["page_id", "url", "host", "content", "text", "open", "suffixes"],
+                [batch.column("page_id"), batch.column("url"), pa.array(hosts), pa.array(np.array(contents, np.uint64).view(np.int64)), pa.array(texts, pa.string()), pa.array(zones, pa.binary()), pa.array(parts, pa.list_(pa.string()))],
+                ["page_id", "url", "host", "content", "text", "zones", "parts"],
             )
 
     return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(run, PARSED.format(id=kind))
 
 
+class Stream:
+    """The tokens of some pages' unprotected blocks, one page after the other: hash, page, and segment, which main text and page ends part."""
+
+    def __init__(self, pages: list[tuple[bytes, list[str]]]):
+        zones = np.frombuffer(b"".join(z for z, _ in pages), np.uint8)
+        of_page = np.repeat(np.arange(len(pages)), [len(z) for z, _ in pages])
+        free = zones != MAIN
+        words = Words(pa.array([t for _, parts in pages for t in parts], pa.large_string()), NOT_SPACE)
+        new = np.ones(len(zones), bool)
+        new[1:] = (of_page[1:] != of_page[:-1]) | ~free[:-1]
+        held = free[words.row]
+        self.hash, self.page, self.segment = words.hash[held], of_page[words.row[held]], np.cumsum(new)[words.row[held]]
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places where a suffix has RUN tokens, and a hash of these."""
+        n = max(0, len(self.hash) - RUN + 1)
+        key = np.zeros(n, U64)
+        for j in range(RUN):
+            key = mixed(key ^ self.hash[j : j + n])
+        at = np.flatnonzero(self.segment[:n] == self.segment[RUN - 1 :]) if n else np.zeros(0, np.int64)
+        return at, key[at]
+
+
+def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes sorted by their first ``depth`` tokens, and for each place in that order its interval: suffixes that share so many. By prefix doubling."""
+    rank, n, k = np.unique(tokens, return_inverse=True)[1].astype(np.int64), len(tokens), 1
+    while k < depth:
+        step = min(k, depth - k)
+        key = (rank + 1) * (int(rank.max(initial=0)) + 2)
+        key[: n - step] += rank[step:] + 1
+        rank, k = np.unique(key, return_inverse=True)[1], k + step
+    order = np.argsort(rank, kind="stable")
+    return order, rank[order]
+
+
+def repeats(stream: Stream, at: np.ndarray, contents: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each of the suffixes ``at``: is it repeated on two distinct pages. And for each interval of them: a place of it in ``at``, least and greatest content of its pages."""
+    order, interval = suffix_array(stream.hash, RUN)
+    whole = np.zeros(len(stream.hash), bool)
+    whole[at] = True
+    keep = whole[order]
+    order, interval = order[keep], interval[keep]
+    begins = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]])) if len(order) else np.zeros(0, np.int64)
+    own = contents[stream.page[order]]
+    low, high = (np.minimum.reduceat(own, begins), np.maximum.reduceat(own, begins)) if len(order) else (own, own)
+    sizes = np.diff(np.append(begins, len(order)))
+    twice = np.zeros(len(stream.hash), bool)
+    twice[order] = np.repeat(low != high, sizes)
+    place = np.zeros(len(stream.hash), np.int64)
+    place[at] = np.arange(len(at))
+    return twice[at], place[order[begins]], low, high
+
+
+FOUND = "host string, content long, key long, low long, high long, starts array<int>"
+
+
+def shards(parsed: DataFrame, shard_bytes: int) -> DataFrame:
+    """What the suffix arrays find, in rows of three kinds.
+
+    (host, content, starts): the tokens of an undecided page at which a repeat
+    within a shard begins. (host, key, low, high): an interval of a shard whose
+    host has others, with the contents of its pages. (host, content, key): a suffix
+    of an undecided page of such a host that doesn't repeat within the shard.
+    """
+    spark = parsed.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    key = ["host", "content", "row"]  # the row deals out many pages of one content
+    rows = parsed.filter("host <> ''").select("host", "content", "row", F.col("text").isNull().alias("undecided"), "zones", "parts")
+    arrow_rows(spark, 500)
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        shard, size, host, opened = [], 0, None, False
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("host", "content", "undecided", "zones", "parts")), strict=True):
+                changed = row[0] != host
+                if shard and (changed or size >= shard_bytes):
+                    yield from _search(host, shard, opened and changed)
+                    shard, size, opened = [], 0, changed
+                elif changed:
+                    opened = host is not None
+                host = row[0]
+                if not shard or shard[-1][0] != row[1]:
+                    shard.append(row[1:])
+                    size += sum(map(len, row[4]))
+        if shard:
+            yield from _search(host, shard, False)
+
+    return rows.repartitionByRange(parts, *key).sortWithinPartitions(*key).mapInArrow(run, FOUND)
+
+
+def _search(host: str, pages: list[tuple[int, bool, bytes, list[str]]], alone: bool) -> Iterator[pa.RecordBatch]:
+    """The rows of one shard; alone: its host has no other."""
+    if alone and (len(pages) < 2 or not any(p[1] for p in pages)):
+        return
+    contents, undecided = np.array([p[0] for p in pages]), np.array([p[1] for p in pages])
+    stream = Stream([p[2:] for p in pages])
+    at, key = stream.keys()
+    twice, first, low, high = repeats(stream, at, contents)
+    page = stream.page[at]
+    base = np.searchsorted(stream.page, np.arange(len(pages)))
+    names = ["host", "content", "key", "low", "high", "starts"]
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        none = {"host": pa.array([host] * n, pa.string()), "starts": pa.nulls(n, pa.list_(pa.int32()))}
+        return pa.RecordBatch.from_arrays([columns[c] if c in columns else none.get(c, pa.nulls(n, pa.int64())) for c in names], names)
+
+    hit = twice & undecided[page]
+    touched = np.unique(page[hit])
+    if len(touched):
+        starts = [(at[hit & (page == p)] - base[p]).astype(np.int32) for p in touched]
+        yield rows(len(touched), content=pa.array(contents[touched]), starts=pa.array(starts, pa.list_(pa.int32())))
+    if not alone:
+        for a in range(0, len(first), 100_000):
+            f = first[a : a + 100_000]
+            yield rows(len(f), key=pa.array(key[f].view(np.int64)), low=pa.array(low[a : a + 100_000]), high=pa.array(high[a : a + 100_000]))
+        single = np.flatnonzero(~twice & undecided[page])
+        for a in range(0, len(single), 100_000):
+            s = single[a : a + 100_000]
+            yield rows(len(s), content=pa.array(contents[page[s]]), key=pa.array(key[s].view(np.int64)))
+
+
+def unique_text(zones: bytes, parts: list[str], starts: list[int], known: set[int]) -> str:
+    """The main text and the unique runs of the open blocks. Repeats begin at ``starts`` and where a suffix's key is ``known``."""
+    stream = Stream([(zones, parts)])
+    covered = np.zeros(len(stream.hash) + 1, np.int64)
+    at, key = stream.keys()
+    begins = np.concatenate([np.array(starts, np.int64), at[np.isin(key.view(np.int64), np.fromiter(known, np.int64, len(known)))]])
+    begins = np.unique(begins)
+    np.add.at(covered, begins, 1)
+    np.add.at(covered, begins + RUN, -1)
+    hidden = np.cumsum(covered[:-1]) > 0
+    least = RUN if any(z == MAIN for z in zones) else 1
+    out, n = [], 0
+    for z, text in zip(zones, parts, strict=True):
+        if z == MAIN:
+            out.append(text)
+            continue
+        tokens = text.split(" ")
+        if z == OPEN:
+            rest = [t for t, h in zip(tokens, hidden[n : n + len(tokens)], strict=True) if not h]
+            if len(rest) >= least:
+                out.append(" ".join(rest))
+        n += len(tokens)
+    return "\n\n".join(out)
+
+
 def cut(rows: DataFrame) -> DataFrame:
-    """(row, text): the open blocks without what is covered by ``known``, the hashes of repeated runs."""
+    """(page_id, url, text) of undecided pages with the starts and keys of what repeats on them."""
     arrow_rows(rows.sparkSession, 500)
+    kind = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for open_, known in zip(batch.column("open").to_pylist(), batch.column("known").to_pylist(), strict=True):
-                repeated, kept = set(known or ()), []
-                for text in open_:
-                    tokens = text.split(" ")
-                    covered = [False] * len(tokens)
-                    for i, r in enumerate(runs(tokens)):
-                        if np.uint64(xxhash.xxh3_64_intdigest(r)).astype(np.int64) in repeated:
-                            covered[i : i + RUN] = [True] * len(covered[i : i + RUN])
-                    kept.append(" ".join(t for t, c in zip(tokens, covered, strict=True) if not c))
-                texts.append("\n\n".join(k for k in kept if k))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], ["row", "cut"])
-
-    return rows.select("row", "open", "known").mapInArrow(run, "row long, cut string")
-
-
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """One row per row of pages (page_id, url, html): page_id, url, text, n_chars.
-
-    Null and empty html give an empty text. Pages without a host (null url, no
-    ://) share none, so nothing of theirs is repeated. Rows that repeat a page_id
-    are pages of their own; rows of a host with equal content are one page to the
-    counts. Malformed markup is read as far as it goes: a tag without its
-    end lasts to the end of what encloses it.
+            columns = (batch.column(c).to_pylist() for c in ("zones", "parts", "starts", "known"))
+            texts = [unique_text(z, p, s or [], set(k or ())) for z, p, s, k in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+
+    return rows.select("page_id", "url", "zones", "parts", "starts", "known").mapInArrow(run, f"page_id {kind}, url string, text string")
+
+
+def extract(pages: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """One row per row of pages (page_id, url, html; other columns are ignored): page_id, url, text, n_chars.
+
+    Null and empty html give an empty text, an empty table no rows. Pages without
+    a host (null url, no ://) share none, so nothing of theirs is repeated. Rows
+    that repeat a page_id are pages of their own; rows of a host with equal
+    content are one page. A long page is never split: it is a shard of its own.
+    Malformed markup is read as far as it goes: a tag without its end lasts to
+    the end of what encloses it. Words are compared with A-Z lower-cased.
     """
     parsed = stash(parse(pages).withColumn("row", F.monotonically_increasing_id()))
-    hosted = parsed.filter("host <> ''")
-    # one row of each content: equal ones gather before the shuffle, and the row numbers are dealt evenly
-    pages_ = hosted.groupBy("host", "content").agg(F.min("row").alias("row")).select("row")
-    repeated = hosted.select("row", "host", "suffixes").join(pages_.hint("merge"), "row", "left_semi").select("host", F.explode("suffixes").alias("suffix")).groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages).select("host", "suffix")
-    undeclared = parsed.filter("text IS NULL")
-    hits = undeclared.select("row", "host", F.explode("suffixes").alias("suffix")).join(repeated.hint("merge"), ["host", "suffix"])
-    # bounded by the page's own suffixes
-    known = hits.groupBy("row").agg(F.collect_list("suffix").alias("known"))
-    cuts = cut(undeclared.select("row", "open").join(known, "row", "left"))
-    done = parsed.filter("text IS NOT NULL").select("page_id", "url", "text")
-    rest = undeclared.select("row", "page_id", "url").join(cuts, "row", "left").select("page_id", "url", F.coalesce("cut", F.lit("")).alias("text"))
-    return done.unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
+    found = stash(shards(parsed, shard_bytes))
+    both = found.filter("low IS NOT NULL").groupBy("host", "key").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low <> high").select("host", "key")
+    # written first, so that the join has a plain shuffle on either side and Spark can split it
+    across = found.filter("starts IS NULL AND low IS NULL").select("host", "content", "key").join(stash(both).hint("merge"), ["host", "key"]).groupBy("host", "content").agg(F.collect_set("key").alias("known"))
+    within = found.filter("starts IS NOT NULL").groupBy("host", "content").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    repeated = stash(within.join(across.hint("merge"), ["host", "content"], "full"))  # bounded by a page's own tokens
+    undecided = parsed.filter("text IS NULL").select("page_id", "url", "host", "content", "zones", "parts")
+    rest = cut(undecided.join(repeated.hint("merge"), ["host", "content"], "left"))
+    return parsed.filter("text IS NOT NULL").select("page_id", "url", "text").unionByName(rest).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,11 @@
 """HTML extraction and URL rules."""
 
 import html as H
+import random
 import re
+import time
+
+import pytest
 
 from colloquy.llm import html_extract as X
 from colloquy.llm import url_filter as U
@@ -32,25 +36,99 @@ def test_broken_markup():
     assert main("<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>") == ["deep"]
 
 
-def test_repeated_runs_go_where_nothing_is_declared(spark):
+def brute(rows):
+    """Texts by page_id: windows of RUN tokens that stand on two distinct pages of a host go from the open blocks."""
+    found = {i: (re.match(r"[^/?#]*", (u or "").partition("://")[2])[0].lower(), X.blocks(s or "")) for i, u, s in rows}
+    pages = {}
+    for i, (host, blocks) in found.items():
+        stream, segment, places = [], 0, []
+        for b, (z, t) in enumerate(blocks):
+            if z == X.MAIN:
+                segment += 1
+            else:
+                for k, w in enumerate(t.split(" ")):
+                    places.append((b, k))
+                    stream.append((segment, re.sub("[A-Z]", lambda m: m[0].lower(), w)))
+        windows = [tuple(w for _, w in stream[k : k + X.RUN]) if k + X.RUN <= len(stream) and stream[k][0] == stream[k + X.RUN - 1][0] else None for k in range(len(stream))]
+        pages[i] = host, blocks, places, windows
+    holders = {}
+    for host, blocks, _, windows in pages.values():
+        for w in windows:
+            if w and host:
+                holders.setdefault((host, w), set()).add(tuple(blocks))
+    out = {}
+    for i, (host, blocks, places, windows) in pages.items():
+        gone = {places[k + j] for k, w in enumerate(windows) if w and len(holders.get((host, w), ())) > 1 for j in range(X.RUN)}
+        least = X.RUN if any(z == X.MAIN for z, _ in blocks) else 1
+        kept = []
+        for b, (z, t) in enumerate(blocks):
+            rest = [w for k, w in enumerate(t.split(" ")) if z == X.MAIN or (b, k) not in gone]
+            if z == X.MAIN or (z == X.OPEN and len(rest) >= least):
+                kept.append(" ".join(rest))
+        out[i] = "\n\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 1500])
+def test_suffix_arrays_are_brute_force(spark, shard_bytes):
+    """Bars, copies and near copies, with and without a declared article, on hosts of one and of many shards."""
+    draw = random.Random(4)
+    words = [f"w{i}" for i in range(400)]
+    bars = [" ".join(draw.choices(words, k=draw.randint(5, 14))) for _ in range(6)]
+    rows = []
+    for i in range(150):
+        host = draw.choice(["hot.example", "hot.example", "hot.example", "HOT.example", "b.example", f"h{i}.example", ""])
+        text = " ".join(draw.choices(words, k=draw.randint(0, 40)))
+        twin = f"<p>{draw.choice(rows)[2]}</p>" if rows and i % 9 == 0 else ""
+        main = f"<article><h1>{draw.choice(bars)}</h1><p>{text}</p></article>" if i % 3 == 0 else f"<div>{text}</div>"
+        side = draw.choice([f"<div>{draw.choice(bars).upper()}</div>", f"<nav>{draw.choice(bars)}</nav>", f"<p>{draw.choice(bars)} {draw.choice(bars)} own{i}</p>", "<p>" + " ".join(draw.choices(words, k=12)) + "</p>"])
+        rows.append((i, f"http://{host}/{i}" if host else draw.choice([None, "", "x"]), f"<body>{side}{main}{twin}<footer>{draw.choice(bars)}</footer></body>"))
+    rows += [(1000 + i, u, s) for i, u, s in draw.sample(rows, 30)] + [(5000, "http://hot.example/", None), (5001, "http://hot.example/", "")]
+    got = {r.page_id: (r.text, r.n_chars) for r in X.extract(spark.createDataFrame(rows, PAGES).repartition(3), shard_bytes).collect()}
+    want = brute(rows)
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+    assert sum(t != "\n\n".join(b for z, b in X.blocks(s or "") if z != X.OUT) for (i, u, s), t in zip(rows, want.values(), strict=True)) > 50
+
+
+def test_unique_runs_of_covered_blocks_stay(spark):
     bar = "Subscribe to our letter and never miss a story again"
-    rows = [(i, "http://h.example/x", f"<body><div>{bar}</div><div>Unique text of page {i} with some words of its own number {i}</div><div>Share</div></body>") for i in range(4)]
-    rows += [(9, "http://other.example/", f"<body><p>{bar}</p></body>"), (10, None, None), (11, "u", ""), (12, "http://h.example/", f"<article><p>{bar}</p></article>")]
-    out = {r.page_id: (r.text, r.n_chars) for r in X.extract(spark.createDataFrame(rows, PAGES)).collect()}
-    for i in range(4):
-        assert out[i][0] == f"Unique text of page {i} with some words of its own number {i}"
-    assert out[9][0] == bar and out[12][0] == bar and out[10] == ("", 0) and out[11] == ("", 0)
+    rows = [(i, "http://h.example/x", f"<body><div>{bar} plus UNIQUE{i} tail{i}</div></body>") for i in range(4)]
+    rows += [(9, "http://other.example/", f"<body><p>{bar}</p></body>"), (12, "http://h.example/", f"<article><p>{bar}</p></article>")]
+    rows += [(i, "http://two.example/", f"<p>{bar}</p><p>{i}</p>") for i in (20, 21)] + [(i, "http://same.example/", f"<p>{bar}</p>") for i in (30, 31, 32)]
+    out = {r.page_id: r.text for r in X.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [out[i] for i in range(4)] == [f"UNIQUE{i} tail{i}" if i else "UNIQUE0 tail0" for i in range(4)] or [out[i] for i in range(4)] == [f"plus UNIQUE{i} tail{i}" for i in range(4)]
+    assert out[9] == bar and out[12] == bar and (out[20], out[21]) == ("20", "21")
+    assert [out[i] for i in (30, 31, 32)] == [bar] * 3  # copies of one page aren't distinct pages
 
 
-def test_copies_of_a_page_are_no_boilerplate(spark):
-    text = "An article of more than eight words that three rows hold as one page"
-    bar = "Subscribe to our letter and never miss a story again"
-    rows = [(i, f"http://a.example/{i}", f"<p>{text}</p>") for i in range(3)] + [(i, u, f"<p>{bar}</p><p>{i}</p>") for i, u in ((3, None), (4, "x"), (5, "y"))]
-    rows += [(i, "http://b.example/", f"<div>{bar} number{i}</div>") for i in (6, 7, 8)]
-    out = {r.page_id: r.text for r in X.extract(spark.createDataFrame(rows, PAGES)).collect()}
-    assert [out[i] for i in range(3)] == [text] * 3
-    assert [out[i] for i in (3, 4, 5)] == [f"{bar}\n\n{i}" for i in (3, 4, 5)]
-    assert [out[i] for i in (6, 7, 8)] == ["number6", "number7", "number8"]
+def test_awkward_pages(spark):
+    assert X.extract(spark.createDataFrame([], PAGES)).count() == 0
+    long = "<p>" + "word " * 300_000 + "end</p>"
+    rows = [(1, "http://a/", "<p>x</p>", "t", 3), (1, "http://a/", "<p>x</p>", "t", 3), (1, "http://a/", "<p>y</p>", None, None), (None, None, None, None, None), (2, "http://a/", long, "", 0)]
+    out = X.extract(spark.createDataFrame(rows, PAGES + ", text string, n_chars int"))
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    assert sorted((str(r.page_id), len(r.text), r.n_chars) for r in out.collect()) == [("1", 1, 1), ("1", 1, 1), ("1", 1, 1), ("2", 1_500_003, 1_500_003), ("None", 0, 0)]
+
+
+def test_hostile_markup_is_read_in_one_pass():
+    made = ["<a " * 330_000, '<a x="' * 160_000, "<b>" * 120_000 + "</i>" * 120_000, "<i><div>" + "<b>" * 120_000 + "</i>" * 120_000, "<svg>" * 200_000, "<" * 1_000_000, "<div>" * 60_000 + "<article></article>" * 30_000, "<p title=" + "' " * 300_000, "<div class=nav><main>a" * 20_000]
+    for source in made:
+        began = time.process_time()
+        X.blocks(source)
+        assert time.process_time() - began < 6, source[:20]  # a quadratic reader takes hours
+
+
+def test_only_raw_text_lasts_to_the_end():
+    for tag in ("svg", "math", "noscript", "object", "canvas", "template"):
+        assert X.blocks(f"<{tag}><p>a</p>") == [(X.OPEN, "a")]
+    assert main("<article>a <math><mi>x</mi></math> <object>b</object> <svg><text>c</text></svg></article>") == ["a x b"]
+
+
+def test_names_count_as_a_whole():
+    assert main("<article><section class='related-work'>a</section><div class='related-posts'>b</div></article>") == ["a"]
+    assert [t for z, t in X.blocks("<div class='content has-sidebar'><p>a</p></div>") if z == X.OPEN] == ["a"]
+    assert [t for z, t in X.blocks("<div class='widget'><p>a long text that is the bulk of this page</p></div><p>b</p>") if z == X.OPEN] == ["a long text that is the bulk of this page", "b"]
+    assert main("<article><p>a</p><div class='reader-comments'>a long talk that is the bulk of this page</div></article>") == ["a"]
 
 
 def test_what_encloses_the_main_text_is_no_chrome():
