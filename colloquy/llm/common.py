@@ -69,8 +69,13 @@ def unstash(*frames: DataFrame) -> None:
     """Deletes what stash wrote; nothing that is still to be computed may read it."""
     for df in frames:
         for file in df.inputFiles()[:1]:
-            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            remove(df.sparkSession, file.rpartition("/")[0])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
