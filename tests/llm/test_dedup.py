@@ -45,6 +45,42 @@ def test_the_index_remembers_earlier_batches(spark):
     assert {r.doc_id: r.kept for r in index.take(docs(spark, [(11, "C")])).collect()} == {11: False}
 
 
+def test_a_batch_that_is_taken_again_gets_the_same_answer(spark):
+    index = exact_dedup.new_index(spark)
+    first, second = docs(spark, [(1, "a"), (2, "b")]), docs(spark, [(3, "a"), (4, "c")])
+    for _ in range(2):
+        assert {r.doc_id: r.kept for r in index.take(first, "one").collect()} == {1: True, 2: True}
+        assert {r.doc_id: r.kept for r in index.take(second, "two").collect()} == {3: False, 4: True}
+    assert index.rows().count() == 3
+    index.drop()
+    assert not index.exists()
+
+
+def test_the_index_side_of_the_anti_join_is_not_shuffled(spark):
+    index = exact_dedup.new_index(spark)
+    index.take(docs(spark, [(i, f"t{i}") for i in range(100)]))
+    found = index.unseen(exact_dedup.digests(docs(spark, [(i, f"t{i}") for i in range(50, 150)])))
+    assert found.count() == 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_two_batches_are_one(spark):
+    rows = [*AWKWARD, *[(i, f"t{i % 37}") for i in range(10, 200)], (None, "no id"), (None, "no id")]
+    one = exact_dedup.new_index(spark).take(docs(spark, rows)).collect()
+    two = exact_dedup.largest_stay(docs(spark, rows)).collect()
+    assert sorted(map(str, one)) == sorted(map(str, two)) and len(two) == len(rows)
+    assert exact_dedup.largest_stay(docs(spark, [(None, "a"), (None, "A")])).filter("kept").count() == 2
+    assert exact_dedup.largest_stay(docs(spark, []).limit(0)).count() == 0
+
+
+def test_rows_that_stay(spark):
+    rows = [(5, "a"), (9, "A"), (5, "b"), (5, "b"), (None, "c"), (None, "c"), (None, "d"), (1, "D"), (2, None), (3, "")]
+    out = exact_dedup.keep_rows(docs(spark, rows).withColumnRenamed("source", "key").withColumnRenamed("lang", "row"))
+    assert out.columns == ["doc_id", "text", "row", "key", "n_chars"]
+    assert sorted((str(r.doc_id), r.text) for r in out.collect()) == [("1", "D"), ("3", ""), ("5", "b"), ("9", "A"), ("None", "c")]
+
+
 def test_a_hot_text_and_many_cold_ones(spark):
     out = exact_dedup.new_index(spark).take(docs(spark, [(i, "hot" if i % 3 == 0 else f"t{i}") for i in range(3000)]))
     assert {(r.keep_id, r.group_size) for r in out.filter("doc_id % 3 = 0").collect()} == {(2997, 1000)}
@@ -102,8 +138,41 @@ def test_chains_inside_a_dense_group_are_linked(spark):
         twin = list(copy)
         twin[source.randrange(200)] = "z"
         rows += [(i, " ".join(copy)), (i + 1, " ".join(twin))]
+    want = brute(rows)
+    for split in (near_dedup.SPLIT, 3):  # by half keys, and by tables
+        out = near_dedup.near_duplicates(docs(spark, rows), split)
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()} == want
+
+
+def test_recall_near_the_threshold(spark):
+    """3,000 pairs, each with a similarity from 0.75 to 0.80: all of them, but for 4 in 100,000."""
+    draw = random.Random(5)
+    rows = []
+    for i in range(3000):
+        base = [f"p{i}w{k}" for k in range(104)]  # 100 shingles; words at the end that differ take a shingle each
+        n = draw.randint(12, 14)
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(base[:-n] + [f"q{i}w{k}" for k in range(n)]))]
+    sets = [(100 - n) / (100 + n) for n in (12, 14)]
+    assert 0.75 <= min(sets) and max(sets) <= 0.80
     out = near_dedup.near_duplicates(docs(spark, rows))
-    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()} == brute(rows)
+    assert out.filter("kept").count() <= 3000 + 1
+
+
+def test_a_hot_half_key_is_split(spark):
+    hot = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    old = {k: spark.conf.get(k) for k in hot}
+    known = spark.createDataFrame([(7 if i % 2 else i, i, i % 5) for i in range(20000)], "half long, node long, component long").repartition(4)
+    try:
+        for k, v in hot.items():
+            spark.conf.set(k, v)
+        found = near_dedup._mixed(known, ["half"])
+        assert len(found.filter("out").collect()) == 8000
+        plan = found.filter("n_out > 0")
+        plan.collect()
+        assert "skew=true" in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_repeated_rows_and_missing_ids(spark):
