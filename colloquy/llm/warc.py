@@ -76,12 +76,14 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 def decide(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, html, first_id: of pages with equal payloads of at least ``least`` bytes the smallest page_id.
 
-    Only digests that occur more than once are joined; Spark deals a hot digest
-    to several tasks, as both sides are shuffled for this join.
+    Only digests that occur more than once are joined. They are written first, so
+    that the join has a plain shuffle on either side: Spark then splits a hot digest,
+    with the html of all its copies, over several tasks.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     keyed = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("html"), F.when(F.octet_length(html) >= least, F.sha1(html)).alias("_sha"))
     firsts = keyed.groupBy("_sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("_n")).filter("_n > 1 AND _sha IS NOT NULL").select("_sha", "first_id")
+    firsts = stash(firsts)
     return keyed.join(firsts.hint("merge"), "_sha", "left").select("page_id", "url", "html", F.coalesce("first_id", "page_id").alias("first_id"))
 
 
@@ -130,32 +132,37 @@ def write(pages: DataFrame, uri: str, least: int = 0, archive_bytes: int = ARCHI
 def read(index: DataFrame, uri: str, *, payloads: bool = True) -> DataFrame:
     """The records that the rows of index name, with their payloads (null for revisits, or if not asked for).
 
-    The rows of one stretch of a file go together; a stretch is of fixed size,
-    so a group is bounded whatever the selection. Checks every response against
-    its digest.
+    The rows of one stretch of a file go to one task, sorted by offset; a stretch
+    is of fixed size, so what goes together is bounded whatever the selection.
+    Neighbours are fetched with one range read of about a stretch at most. Checks
+    every response against its digest.
     """
     spark = index.sparkSession
     kind = index.schema["page_id"].dataType.simpleString()
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    plan = (
-        index.withColumn("stretch", F.floor(F.col("offset") / STRETCH_BYTES))
-        .repartition(parts, "file", "stretch")  # by number, as few rows stand for much reading
-        .groupBy("file", "stretch")
-        .agg(F.array_sort(F.collect_list(F.struct("offset", "length", "page_id", "url"))).alias("records"))
-    )
-    arrow_rows(spark, 8)
+    stretch = F.floor(F.col("offset") / STRETCH_BYTES)
+    # by number, as few rows stand for much reading
+    plan = index.select("file", stretch.alias("stretch"), "offset", "length", "page_id", "url").repartition(parts, "file", "stretch").sortWithinPartitions("file", "offset")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         fs, base = open_dir(uri)
-        for batch in batches:
-            id_type = batch.schema.field("records").type.value_type.field("page_id").type
-            names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
-            types = [id_type, pa.string(), pa.string(), id_type, pa.int64(), pa.string(), pa.binary()]
-            for file, records in zip(batch.column("file").to_pylist(), batch.column("records").to_pylist(), strict=True):
-                with fs.open_input_file(f"{base}/{file}") as source:
-                    rows = []
-                    for begin, data, members in ranges(source, records):
-                        for m in members:
+        names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload"]
+        file, source = None, None
+        try:
+            for batch in batches:
+                id_type = batch.schema.field("page_id").type
+                types = [id_type, pa.string(), pa.string(), id_type, pa.int64(), pa.string(), pa.binary()]
+                for group in ranges(batch.to_pylist()):
+                    if group[0]["file"] != file:
+                        if source is not None:
+                            source.close()
+                        file = group[0]["file"]
+                        source = fs.open_input_file(f"{base}/{file}")
+                    begin = group[0]["offset"]
+                    data = source.read_at(group[-1]["offset"] + group[-1]["length"] - begin, begin)
+                    for a in range(0, len(group), 500):
+                        rows = []
+                        for m in group[a : a + 500]:
                             fields, http, payload = parse(data[m["offset"] - begin : m["offset"] - begin + m["length"]])
                             response = fields["WARC-Type"] == "response"
                             digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
@@ -163,25 +170,25 @@ def read(index: DataFrame, uri: str, *, payloads: bool = True) -> DataFrame:
                                 raise ValueError(f"{file} at {m['offset']}: the payload isn't what its digest says")
                             refers = None if response else ident(fields["WARC-Refers-To"], id_type)
                             rows.append((ident(fields["WARC-Record-ID"], id_type), m["url"], fields["WARC-Type"], refers, int(http["Content-Length"]), digest, payload if response and payloads else None))
-                            if len(rows) >= 500:
-                                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-                                rows = []
-                    if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        finally:
+            if source is not None:
+                source.close()
 
     return plan.mapInArrow(run, RECORD.format(id=kind))
 
 
-def ranges(source, records: list[dict]) -> Iterator[tuple[int, bytes, list[dict]]]:
-    """Sorted records with gaps of at most GAP_BYTES between them are read at once: (begin, bytes, records)."""
+def ranges(records: list[dict]) -> Iterator[list[dict]]:
+    """Groups of sorted records of one file that are read at once: gaps of at most GAP_BYTES, about STRETCH_BYTES in all."""
     group: list[dict] = []
-    for r in [*records, None]:
-        if group and (r is None or r["offset"] > group[-1]["offset"] + group[-1]["length"] + GAP_BYTES):
-            begin = group[0]["offset"]
-            yield begin, source.read_at(group[-1]["offset"] + group[-1]["length"] - begin, begin), group
+    for r in records:
+        last = group[-1] if group else r
+        if group and (r["file"] != last["file"] or r["offset"] > last["offset"] + last["length"] + GAP_BYTES or r["offset"] - group[0]["offset"] >= STRETCH_BYTES):
+            yield group
             group = []
-        if r is not None:
-            group.append(r)
+        group.append(r)
+    if group:
+        yield group
 
 
 def ident(text: str, kind: pa.DataType):

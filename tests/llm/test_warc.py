@@ -44,16 +44,28 @@ def test_a_selection_is_read_alone(spark):
 
 
 def test_ranges_join_neighbours():
-    class Source:
-        reads = []
-
-        def read_at(self, n, at):
-            self.reads.append((at, n))
-            return b"x" * n
-
-    far = 10 * warc.GAP_BYTES
-    found = list(warc.ranges(Source(), [{"offset": 0, "length": 10}, {"offset": 10, "length": 5}, {"offset": far, "length": 7}]))
-    assert Source.reads == [(0, 15), (far, 7)] and [len(f[2]) for f in found] == [2, 1]
+    far, row = 10 * warc.GAP_BYTES, lambda offset, length, file="a": {"file": file, "offset": offset, "length": length}
+    groups = list(warc.ranges([row(0, 10), row(10, 5), row(far, 7), row(0, 1, "b"), row(1, warc.STRETCH_BYTES, "b"), row(warc.STRETCH_BYTES + 1, 3, "b")]))
+    assert [[r["offset"] for r in g] for g in groups] == [[0, 10], [far], [0, 1], [warc.STRETCH_BYTES + 1]]
+    assert list(warc.ranges([])) == []
+
+
+def test_a_hot_payload_is_split(spark):
+    """Lowered thresholds: the copies of one payload come to several tasks."""
+    rows = [(i, "u", "z" * 2000 if i % 3 else f"p{i}" * 400) for i in range(3000)]
+    pages = spark.createDataFrame(rows, PAGES).repartition(4)
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.skewJoin.skewedPartitionFactor")}
+    try:
+        for k, v in zip(old, ("8k", "8k", "1.5"), strict=True):
+            spark.conf.set(k, v)
+        decided = warc.decide(pages)
+        assert decided.agg({"first_id": "sum"}).first()[0] == sum(1 if i % 3 else i for i in range(3000))
+        plan = decided.filter("first_id >= 0")
+        plan.collect()
+        assert "skew=true" in plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 def test_repeated_rows_are_all_responses(spark):
