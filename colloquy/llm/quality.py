@@ -202,9 +202,11 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Discriminant, DataFrame]:
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least threshold, with the columns of docs."""
-    model, _ = train(docs, labels)
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))  # whatever the columns' names
-    return with_score(rows, model).filter(F.col("qda_score") >= threshold).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("text").cast("string").alias("text"))  # whatever the columns' names
+    # the rows go with their statistics, so that no text is read twice
+    stats = stash(with_statistics(rows).select("row", "doc_id", "qda_x"))
+    model = fit(training_rows(stats, labels))
+    return with_score(stats.select("row", "qda_x"), model, "qda_x").filter(F.col("qda_score") >= threshold).select("row.*")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
