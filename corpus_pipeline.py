@@ -20,9 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays. Rows without doc_id stay if their text is nowhere else."""
-    found = stash(exact_dedup.new_index(spark).take(docs))
-    return _without(docs, found.filter("NOT kept"))
+    """Of equal texts the row with the largest doc_id stays, of rows that repeat text and doc_id one. A row without doc_id counts as less than any."""
+    return exact_dedup.keep_rows(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
