@@ -42,10 +42,14 @@ segments AS (
 )"""
 
 
+#: Observations of a session: sessions grow in number with the table, not in size.
+SESSION = 250
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session_id, ref, vector, label, duration from embeddings."""
     return table(spark, sf_dir, "embeddings").select(
-        (F.col("vec_id") % 8).alias("session_id"),
+        F.expr(f"vec_id DIV {SESSION}").alias("session_id"),
         F.col("vec_id").alias("ref"),
         F.col("embedding").cast("array<double>").alias("vector"),
         "label",
@@ -53,17 +57,17 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-OBSERVATIONS_SQL = """
-observations AS (SELECT vec_id % 8 AS session_id, vec_id AS ref, embedding::DOUBLE[] AS vector, label, (1 + vec_id % 9)::DOUBLE AS duration FROM embeddings)"""
+OBSERVATIONS_SQL = f"""
+observations AS (SELECT vec_id // {SESSION} AS session_id, vec_id AS ref, embedding::DOUBLE[] AS vector, label, (1 + vec_id % 9)::DOUBLE AS duration FROM embeddings)"""
 
 
 def prints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Enrolled voices: id, candidate, vector."""
-    return table(spark, sf_dir, "embeddings").filter("vec_id < 50").select(F.col("vec_id").alias("id"), F.concat(F.lit("member:"), F.col("label").cast("string")).alias("candidate"), F.col("embedding").cast("array<double>").alias("vector"))
+    """Enrolled voices: session_id, id, candidate, vector. Sessions go in twos: what one recorded is enrolled for the other."""
+    return table(spark, sf_dir, "embeddings").select(F.expr(f"vec_id DIV {SESSION} ^ 1").alias("session_id"), F.col("vec_id").alias("id"), F.concat(F.lit("member:"), F.col("label").cast("string")).alias("candidate"), F.col("embedding").cast("array<double>").alias("vector"))
 
 
-PRINTS_SQL = """
-prints AS (SELECT vec_id AS id, 'member:' || label AS candidate, embedding::DOUBLE[] AS vector FROM embeddings WHERE vec_id < 50)"""
+PRINTS_SQL = f"""
+prints AS (SELECT xor(vec_id // {SESSION}, 1) AS session_id, vec_id AS id, 'member:' || label AS candidate, embedding::DOUBLE[] AS vector FROM embeddings)"""
 
 
 def utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +85,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("id"),
         F.col("source").alias("campaign"),
         F.col("lang").alias("kind"),
-        F.substring(F.regexp_replace("text", r"\n[\s\S]*", ""), 1, 60).alias("title"),
+        F.regexp_replace("text", r"\n[\s\S]*", "").alias("title"),
         F.when(F.col("quality") == 1, "published").otherwise("draft").alias("status"),
         F.when(F.col("toxic") == 1, "dm_only").otherwise("public").alias("visibility"),
         (F.col("doc_id") * 7919 % 1000).alias("updated"),
@@ -91,7 +95,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PAGES_SQL = r"""
 wiki AS (
-  SELECT d.doc_id AS id, source AS campaign, lang AS kind, substring(regexp_replace(text, '\n[\s\S]*', ''), 1, 60) AS title,
+  SELECT d.doc_id AS id, source AS campaign, lang AS kind, regexp_replace(text, '\n[\s\S]*', '') AS title,
     CASE WHEN quality = 1 THEN 'published' ELSE 'draft' END AS status, CASE WHEN toxic = 1 THEN 'dm_only' ELSE 'public' END AS visibility,
     d.doc_id * 7919 % 1000 AS updated, n_chars AS size
   FROM documents d LEFT JOIN labels l USING (doc_id)

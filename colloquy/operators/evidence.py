@@ -40,10 +40,9 @@ def bandwidth(samples: DataFrame, keys: list[str], x: str) -> DataFrame:
 def kde_log_density(points: DataFrame, samples: DataFrame, h: float) -> DataFrame:
     """Per point (key, x) the log density of a Gaussian kernel estimate over samples (s) of the same key.
 
-    Samples are rounded to a thousandth and counted first, so a point meets at
-    most some thousand of them however many there are.
+    Equal samples are counted first.
     """
-    counted = samples.groupBy("key", F.round("s", 3).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    counted = samples.groupBy("key", "s").agg(F.count(F.lit(1)).alias("n"))
     z = (F.col("x") - F.col("s")) / h
     terms = points.join(counted, "key").groupBy("key", "x").agg(F.sum(F.col("n") * F.exp(-0.5 * z * z)).alias("t"), F.sum("n").alias("n"))
     return terms.select("key", "x", (F.log("t") - F.log("n") - math.log(h) - 0.5 * math.log(2 * math.pi)).alias("log_density"))

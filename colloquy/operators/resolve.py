@@ -99,17 +99,26 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, least: float = 0.84, shared
 def similar_beats(beats: DataFrame, threshold: float = 0.35) -> DataFrame:
     """Pairs i < j of one session's beats (session_id, i, span, text) with different spans and Jaccard similarity of at least threshold.
 
-    Shared words are counted by an equality join on words; only words that two
-    beats share make rows.
+    Beats meet by their rarest words only: a pair that reaches the threshold shares
+    one of the rarest n - ceil(threshold * n) + 1 words of either, so a word that
+    most beats of a session hold makes no rows unless nothing rarer is left.
     """
-    words = beats.withColumn("words", content_words(F.col("text"))).withColumn("n", F.size("words")).filter("n > 0")
-    flat = words.select("session_id", "i", "span", "n", F.explode("words").alias("word"))
-    left, right = flat, flat.select("session_id", "word", F.col("i").alias("j"), F.col("span").alias("span_j"), F.col("n").alias("n_j"))
+    words = beats.withColumn("words", content_words(F.col("text"))).withColumn("n", F.size("words")).filter("n > 0").select("session_id", "i", "span", "n", "words")
+    flat = words.select("session_id", "i", F.explode("words").alias("word"))
+    counts = flat.groupBy("session_id", "word").agg(F.count(F.lit(1)).alias("times"))
+    order = F.row_number().over(Window.partitionBy("session_id", "i").orderBy("times", "word"))
+    rare = flat.join(counts, ["session_id", "word"]).withColumn("place", order)
+    rare = rare.join(words.select("session_id", "i", "span", "n"), ["session_id", "i"]).filter(F.col("place") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
+    left = rare.filter("times > 1").select("session_id", "i", "span", "n", "word")
+    right = left.select("session_id", "word", F.col("i").alias("j"), F.col("span").alias("span_j"), F.col("n").alias("n_j"))
     # a pair can only reach the threshold if the smaller set is that share of the larger
     size = F.least("n", "n_j") >= threshold * F.greatest("n", "n_j")
-    pairs = left.join(right, ["session_id", "word"]).filter((F.col("i") < F.col("j")) & ~F.col("span").eqNullSafe(F.col("span_j")) & size)
-    score = F.col("c") / (F.col("n") + F.col("n_j") - F.col("c"))
-    return pairs.groupBy("session_id", "i", "j", "n", "n_j").agg(F.count(F.lit(1)).alias("c")).withColumn("score", score).filter(F.col("score") >= threshold).select("session_id", "i", "j", "score")
+    found = left.join(right, ["session_id", "word"]).filter((F.col("i") < F.col("j")) & ~F.col("span").eqNullSafe(F.col("span_j")) & size).select("session_id", "i", "j").distinct()
+    own = words.select("session_id", "i", F.col("words").alias("a"))
+    both = found.join(own, ["session_id", "i"]).join(own.select("session_id", F.col("i").alias("j"), F.col("a").alias("b")), ["session_id", "j"])
+    common = F.size(F.array_intersect("a", "b"))
+    score = common / (F.size("a") + F.size("b") - common)
+    return both.select("session_id", "i", "j", score.alias("score")).filter(F.col("score") >= threshold)
 
 
 def conflict_matching(pairs: DataFrame, most: int = 10) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from colloquy.shared import stash, unstash
+
 
 def visible(role: str) -> Column:
     """A dm sees all; a player what is published and public."""
@@ -93,19 +95,30 @@ def invite_outcome(expired: Column, used: Column, email: Column, own: Column) ->
     return F.when(own.isNull(), "unknown").when(used, "used").when(expired, "expired").when(email.isNotNull() & (F.lower(email) != F.lower(own)), "email_mismatch").otherwise("accepted")
 
 
-def containment(places: DataFrame, most: int = 32) -> DataFrame:
-    """(place, parent) to place, root, depth, path. Parents that don't exist are roots' parents; a place on a cycle is cut loose.
+def containment(places: DataFrame) -> DataFrame:
+    """(place, parent) to place, root, depth, path. Parents that don't exist are roots' parents; a place on a cycle, or under one, is cut loose.
 
-    A hop per level, by an equality join; the number of hops is the tree's depth,
-    or ``most``, beyond which only cycles are left.
+    Every round doubles how far up a place looks, by one equality join whose result
+    is written out: a tree of depth d takes log2(d) rounds. A round that brings no
+    place to its root leaves cycles only.
     """
-    own = places.join(places.select(F.col("place").alias("_p")), F.col("parent") == F.col("_p"), "left").select("place", F.when(F.col("_p") != F.col("place"), F.col("_p")).alias("parent"))
-    done = own.filter("parent IS NULL").select("place", F.col("place").alias("root"), F.lit(0).alias("depth"), F.col("place").cast("string").alias("path"))
-    out, edge = done, done
-    for _ in range(most):
-        edge = own.join(edge.select(F.col("place").alias("parent"), "root", "depth", "path"), "parent").select("place", "root", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", F.col("place").cast("string")).alias("path"))
-        if edge.isEmpty():
+    name = F.col("place").cast("string")
+    own = places.join(places.select(F.col("place").alias("_p")).distinct(), F.col("parent") == F.col("_p"), "left").select("place", F.when(F.col("_p") != F.col("place"), F.col("_p")).alias("parent"))
+    # up is the farthest known ancestor, below the path from its child down; top says that it is a root
+    tops = own.filter("parent IS NULL").select(F.col("place").alias("up"), F.lit(True).alias("_top"))
+    rows = own.filter("parent IS NOT NULL").select("place", F.col("parent").alias("up"), F.lit(1).alias("depth"), name.alias("below"))
+    rows = stash(rows.join(tops, "up", "left").select("place", "up", "depth", "below", F.coalesce("_top", F.lit(False)).alias("top")))
+    left = rows.filter("NOT top").count()
+    while left:
+        higher = rows.select(F.col("place").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("below").alias("below2"), F.col("top").alias("top2"))
+        open_ = rows.filter("NOT top").join(higher, "up").select("place", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), F.concat_ws("/", "below2", "below").alias("below"), F.col("top2").alias("top"))
+        # looking once around a cycle is enough: from there on only what is no cycle counts
+        now = stash(rows.filter("top").unionByName(open_.filter("top OR place <> up")))
+        still = now.filter("NOT top").count()
+        unstash(rows)
+        rows, before, left = now, left, still
+        if still == before:
             break
-        out = out.union(edge)
-    loose = own.join(out.select("place"), "place", "left_anti").select("place", F.col("place").alias("root"), F.lit(0).alias("depth"), F.col("place").cast("string").alias("path"))
-    return out.union(loose)
+    under = rows.filter("top").select("place", F.col("up").alias("root"), "depth", F.concat_ws("/", F.col("up").cast("string"), "below").alias("path"))
+    alone = own.select("place").distinct().join(under.select("place"), "place", "left_anti").select("place", F.col("place").alias("root"), F.lit(0).alias("depth"), name.alias("path"))
+    return under.unionByName(alone)

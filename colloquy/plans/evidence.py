@@ -16,7 +16,7 @@ def _scores(spark, sf_dir):
 
 
 def _obs(spark, sf_dir):
-    return A.observations(spark, sf_dir).filter("ref >= 50")
+    return A.observations(spark, sf_dir)
 
 
 def _evidence(spark, sf_dir):
@@ -25,7 +25,7 @@ def _evidence(spark, sf_dir):
 
 
 def _prior(spark, sf_dir):
-    c = A.prints(spark, sf_dir).select((F.col("id") % 8).alias("session_id"), "candidate").distinct()
+    c = A.prints(spark, sf_dir).select("session_id", "candidate").distinct()
     unknown = c.select("session_id").distinct().withColumn("candidate", F.lit("unknown"))
     return c.union(unknown).withColumn("p", F.when(F.col("candidate") == "unknown", 0.1).otherwise(0.2))
 
@@ -38,8 +38,8 @@ def _posterior(spark, sf_dir):
 POSTERIOR_SQL = HITS_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY session_id, ref, candidate ORDER BY round(cosine, 9) DESC, id) AS r FROM hits
 ), scores AS (SELECT session_id, ref, candidate, (1 + avg(cosine)) / 2 AS score FROM r WHERE r <= 2 GROUP BY 1, 2, 3
 ), evidence AS (SELECT s.session_id, s.ref, candidate, least(6, greatest(-6, 12 * (score - 0.55))) * (duration / 9) AS log_lr FROM scores s JOIN observations o USING (session_id, ref)
-), prior AS (SELECT DISTINCT id % 8 AS session_id, candidate, 0.2 AS p FROM prints UNION ALL SELECT DISTINCT id % 8, 'unknown', 0.1 FROM prints
-), phi AS (SELECT o.session_id, o.ref, p.candidate, ln(p.p) + coalesce(log_lr, 0) AS log_phi FROM observations o JOIN prior p USING (session_id) LEFT JOIN evidence e ON e.session_id = o.session_id AND e.ref = o.ref AND e.candidate = p.candidate WHERE o.ref >= 50
+), prior AS (SELECT DISTINCT session_id, candidate, 0.2 AS p FROM prints UNION ALL SELECT DISTINCT session_id, 'unknown', 0.1 FROM prints
+), phi AS (SELECT o.session_id, o.ref, p.candidate, ln(p.p) + coalesce(log_lr, 0) AS log_phi FROM observations o JOIN prior p USING (session_id) LEFT JOIN evidence e ON e.session_id = o.session_id AND e.ref = o.ref AND e.candidate = p.candidate
 ), ex AS (SELECT *, exp(log_phi - max(log_phi) OVER (PARTITION BY session_id, ref)) AS e FROM phi
 ), post AS (SELECT session_id, ref, candidate, e / sum(e) OVER (PARTITION BY session_id, ref) AS p FROM ex
 ), rk AS (SELECT *, row_number() OVER (PARTITION BY session_id, ref ORDER BY p DESC, candidate) AS k FROM post
@@ -155,9 +155,11 @@ def capability_store(spark, sf_dir):
 
 
 def capability_channel(spark, sf_dir):
-    members = E.best_capabilities(_capabilities(spark, sf_dir)).filter("member < 6").select(F.concat(F.lit("member:"), F.col("member").cast("string")).alias("candidate"), "capability", "polarity")
-    needs = A.segments(spark, sf_dir).filter("seg_idx < 3").select("session_id", F.col("seg_idx").alias("ref"), F.explode(F.array(*[F.concat(F.lit("skill:"), ((F.col("session_id") + F.lit(k) * F.col("seg_idx")) % 20).cast("string")) for k in (1, 3)])).alias("capability"))
-    return E.capability(needs, members, needs.select("session_id").distinct().crossJoin(F.broadcast(members.select("candidate").distinct())))
+    """A session's roster are the members whose number has its remainder by 25."""
+    members = E.best_capabilities(_capabilities(spark, sf_dir)).withColumn("candidate", F.concat(F.lit("member:"), F.col("member").cast("string")))
+    needs = A.segments(spark, sf_dir).select("session_id", F.col("seg_idx").alias("ref"), F.explode(F.array(*[F.concat(F.lit("skill:"), ((F.col("session_id") + F.lit(k) * F.col("seg_idx")) % 20).cast("string")) for k in (1, 3)])).alias("capability"))
+    roster = needs.select("session_id", (F.col("session_id") % 25).alias("table")).distinct().join(members.select("candidate", (F.col("member") % 25).alias("table")).distinct(), "table").select("session_id", "candidate")
+    return E.capability(needs, members.select("candidate", "capability", "polarity"), roster)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -185,7 +187,7 @@ ORACLES = {
       SELECT session_id, label, candidate, round(e / sum(e) OVER (PARTITION BY session_id, label), 5) AS p FROM x""",
     "pooled_posterior": POSTERIOR_SQL + "SELECT post.session_id, label, candidate, round(avg(p), 5) AS p FROM post JOIN observations USING (session_id, ref) GROUP BY 1, 2, 3",
     "answer_probabilities": POSTERIOR_SQL + """, k AS (SELECT * FROM post WHERE candidate <> 'unknown') SELECT session_id, ref, candidate AS option, round(0.85 * p / sum(p) OVER (PARTITION BY session_id, ref), 5) AS chance FROM k UNION ALL SELECT DISTINCT session_id, ref, 'idk', 0.15 FROM k""",
-    "shortlist": f"""WITH {A.OBSERVATIONS_SQL} SELECT session_id, 'q' || ref AS prompt, ref % 9 = 0 AS blocking, row_number() OVER (PARTITION BY session_id ORDER BY ref % 9 = 0 DESC, round(duration / (1 + ref % 3), 9) DESC, 'q' || ref) AS position FROM observations WHERE ref >= 50 QUALIFY position <= 24""",
+    "shortlist": f"""WITH {A.OBSERVATIONS_SQL} SELECT session_id, 'q' || ref AS prompt, ref % 9 = 0 AS blocking, row_number() OVER (PARTITION BY session_id ORDER BY ref % 9 = 0 DESC, round(duration / (1 + ref % 3), 9) DESC, 'q' || ref) AS position FROM observations QUALIFY position <= 24""",
     "global_entropy": POSTERIOR_SQL + "SELECT session_id, round(sum(entropy * (1 + ref % 3)), 3) AS entropy FROM summary GROUP BY 1",
     "silverman": f"""WITH {A.SEGMENTS_SQL}, s AS (SELECT session_id, speaker, count(*) AS n, stddev_samp(speaker_confidence) AS sd FROM segments WHERE speaker IS NOT NULL GROUP BY 1, 2)
       SELECT session_id, speaker, n, round(CASE WHEN n < 2 THEN 0.02 ELSE greatest(0.02, 1.06 * sd * pow(n, -0.2)) END, 5) AS bandwidth FROM s""",
@@ -193,6 +195,6 @@ ORACLES = {
     "address_channel": f"""WITH {A.UTTERANCES_SQL}, u AS (SELECT *, CASE WHEN ordinal % 3 = 1 THEN 'assistant' END AS addressed, CASE WHEN ordinal > 1 THEN length(text) % 20 END AS gap FROM utterances), l AS (SELECT *, lag(addressed) OVER w AS t, lag(speaker) OVER w AS f FROM u WINDOW w AS (PARTITION BY session_id ORDER BY ordinal)),
       g AS (SELECT * FROM l WHERE t IS NOT NULL AND (gap IS NULL OR gap <= 12)) SELECT session_id, ordinal, candidate, round(sum(v), 4) AS log_lr FROM (SELECT session_id, ordinal, t AS candidate, 2.5 AS v FROM g UNION ALL SELECT session_id, ordinal, f, -0.4 FROM g) GROUP BY 1, 2, 3""",
     "capability_store": _CAPS + "SELECT * FROM store",
-    "capability_channel": _CAPS + f""", {A.SEGMENTS_SQL}, m AS (SELECT 'member:' || member AS candidate, capability, polarity FROM store WHERE member < 6), needs AS (SELECT session_id, seg_idx AS ref, 'skill:' || ((session_id + unnest([1, 3]) * seg_idx) % 20) AS capability FROM segments WHERE seg_idx < 3)
-      SELECT n.session_id, n.ref, c.candidate, round(least(3, greatest(-3, sum(1.2 * coalesce(polarity, 0)))), 6) AS log_lr FROM needs n, (SELECT DISTINCT candidate FROM m) c LEFT JOIN m ON m.candidate = c.candidate AND m.capability = n.capability GROUP BY 1, 2, 3""",
+    "capability_channel": _CAPS + f""", {A.SEGMENTS_SQL}, m AS (SELECT 'member:' || member AS candidate, member % 25 AS t, capability, polarity FROM store), needs AS (SELECT session_id, seg_idx AS ref, 'skill:' || ((session_id + unnest([1, 3]) * seg_idx) % 20) AS capability FROM segments)
+      SELECT n.session_id, n.ref, c.candidate, round(least(3, greatest(-3, sum(1.2 * coalesce(polarity, 0)))), 6) AS log_lr FROM needs n JOIN (SELECT DISTINCT candidate, t FROM m) c ON c.t = n.session_id % 25 LEFT JOIN m ON m.candidate = c.candidate AND m.capability = n.capability GROUP BY 1, 2, 3""",
 }

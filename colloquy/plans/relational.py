@@ -85,7 +85,7 @@ def change_counters(spark, sf_dir):
 
 def change_apply(spark, sf_dir):
     pages = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page"), F.col("c_name").alias("title"), F.lit(1).alias("version"))
-    o = A.table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0")
+    o = A.table(spark, sf_dir, "orders")
     changes = o.select(F.col("o_orderkey").alias("change"), F.when(F.col("o_orderkey") % 2 == 0, "update").otherwise("create").alias("action"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).otherwise(F.col("o_custkey") * 2).alias("page"), F.col("o_orderpriority").alias("title"))
     return W.apply_changes(pages, changes)
 
@@ -98,8 +98,9 @@ def gate(spark, sf_dir):
 
 
 def field_diff(spark, sf_dir):
+    """Before: what the small events say; after: what all say."""
     e = A.table(spark, sf_dir, "events")
-    path = lambda k: e.filter(F.col("event_id") % 4 != k).select(F.col("user_id").alias("id"), F.concat(F.lit("$."), F.col("event_type")).alias("path"), (F.get_json_object("props", "$.k").cast("int") % (3 + k)).alias("v"))
+    path = lambda k: e.filter(F.lit(True) if k else F.col("value") <= 50).select(F.col("user_id").alias("id"), F.concat(F.lit("$."), F.col("event_type")).alias("path"), (F.get_json_object("props", "$.k").cast("int") % (3 + k)).alias("v"))
     side = lambda k: path(k).groupBy("id", "path").agg(F.max("v").cast("string").alias("value"))
     return W.field_diff(side(0), side(1))
 
@@ -111,7 +112,7 @@ def json_fields(spark, sf_dir):
 
 def html_title_slug(spark, sf_dir):
     title = F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)
-    return A.table(spark, sf_dir, "pages").select("page_id", F.length(title).cast("long").alias("title_chars"), X.slug(F.substring(title, 1, 60)).alias("slug"))
+    return A.table(spark, sf_dir, "pages").select("page_id", F.length(title).cast("long").alias("title_chars"), X.slug(title).alias("slug"))
 
 
 def cube_rollup(spark, sf_dir):
@@ -152,8 +153,9 @@ def jaccard_conflicts(spark, sf_dir):
 
 
 def _beats(spark, sf_dir):
-    """The first 240 characters of a document are a beat of its source; its language the span."""
-    return A.table(spark, sf_dir, "documents").select(F.col("source").alias("session_id"), F.col("doc_id").alias("i"), (F.col("doc_id") % 7).alias("span"), F.substring("text", 1, 240).alias("text"))
+    """A document is a session, its lines are the beats, each a span of its own."""
+    lines = A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    return lines.withColumn("span", F.col("i"))
 
 
 def conflict_matching(spark, sf_dir):
@@ -210,7 +212,7 @@ QUERIES = {f.__name__: f for f in (
 
 _SLUG = "CASE WHEN trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-') = '' THEN 'page' ELSE trim(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '-') END"
 _STOP = ", ".join(f"'{w}'" for w in sorted(set(X.STOP_WORDS)))
-_BEATS = rf"""WITH b AS (SELECT source AS session_id, doc_id AS i, doc_id % 7 AS span, lower(substring(text, 1, 240)) AS text FROM documents),
+_BEATS = rf"""WITH l AS (SELECT doc_id AS session_id, string_split(text, chr(10)) AS lines FROM documents), b AS (SELECT session_id, unnest(range(len(lines))) AS i, i AS span, lower(unnest(lines)) AS text FROM l),
 w AS (SELECT session_id, i, span, list_filter(list_distinct(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+')), lambda x: length(x) > 3 AND x NOT IN ({_STOP})) AS words FROM b),
 pairs AS (SELECT a.session_id, a.i, c.i AS j, len(list_intersect(a.words, c.words)) AS c, len(a.words) AS n, len(c.words) AS m FROM w a JOIN w c ON a.session_id = c.session_id AND a.i < c.i AND a.span <> c.span WHERE len(a.words) > 0 AND len(c.words) > 0)"""
 _ITEMS = "WITH items AS (SELECT p_size % 10 AS session_id, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INT) AS chunk, p_partkey AS pos, CASE WHEN p_partkey % 3 = 0 THEN array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') ELSE p_name END AS name, p_type AS kind, p_name || ' ' || p_type || ' ' || p_brand AS text, lower(p_name) AS key FROM part)"
@@ -234,16 +236,16 @@ ORACLES = {
       two AS (SELECT DISTINCT scope, base FROM b WHERE ends_with(base, '-2'))
       SELECT n.scope, id, CASE WHEN n = 1 THEN n.base ELSE n.base || '-' || (n + CASE WHEN two.base IS NULL THEN 0 ELSE 1 END) END AS slug FROM n LEFT JOIN two ON two.scope = n.scope AND two.base = n.base || '-2'""",
     "change_counters": "SELECT user_id, count(*) FILTER (event_type = 'view') AS views, count(*) FILTER (event_type = 'purchase') AS purchases, count(*) FILTER (value > 50) AS large, count(*) AS \"all\" FROM events GROUP BY 1",
-    "change_apply": """WITH p AS (SELECT c_custkey AS page, c_name AS title, 1 AS version FROM customer), c AS (SELECT o_orderkey AS change, CASE WHEN o_orderkey % 2 = 0 THEN 'update' ELSE 'create' END AS action, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey * 2 END AS page, o_orderpriority AS title FROM orders WHERE o_orderkey % 5 = 0),
+    "change_apply": """WITH p AS (SELECT c_custkey AS page, c_name AS title, 1 AS version FROM customer), c AS (SELECT o_orderkey AS change, CASE WHEN o_orderkey % 2 = 0 THEN 'update' ELSE 'create' END AS action, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE o_custkey * 2 END AS page, o_orderpriority AS title FROM orders),
       u AS (SELECT page, arg_max(title, change) AS new FROM c WHERE action = 'update' GROUP BY 1), n AS (SELECT page, arg_min(title, change) AS title FROM c WHERE action = 'create' GROUP BY 1)
       SELECT p.page, coalesce(new, title) AS title, version + CASE WHEN new IS NULL THEN 0 ELSE 1 END AS version, CASE WHEN new IS NULL THEN 'kept' ELSE 'updated' END AS outcome FROM p LEFT JOIN u USING (page)
       UNION ALL SELECT page, title, 1, 'created' FROM n WHERE page NOT IN (SELECT page FROM p)""",
     "gate": """WITH s AS (SELECT doc_id AS ref, quality = 1 AS sure FROM labels) SELECT d.doc_id AS fact, CASE WHEN d.doc_id % 3 = 0 THEN 'no_refs' WHEN coalesce(a.sure, false) AND (d.doc_id % 3 = 1 OR coalesce(b.sure, false)) THEN 'kept' ELSE 'unresolved' END AS verdict
       FROM documents d LEFT JOIN s a ON a.ref = d.doc_id LEFT JOIN s b ON b.ref = d.doc_id + 1""",
-    "field_diff": """WITH a AS (SELECT user_id AS id, '$.' || event_type AS path, max(json_extract_string(props, '$.k')::INT % 3)::VARCHAR AS v FROM events WHERE event_id % 4 <> 0 GROUP BY 1, 2), b AS (SELECT user_id AS id, '$.' || event_type AS path, max(json_extract_string(props, '$.k')::INT % 4)::VARCHAR AS v FROM events WHERE event_id % 4 <> 1 GROUP BY 1, 2)
+    "field_diff": """WITH a AS (SELECT user_id AS id, '$.' || event_type AS path, max(json_extract_string(props, '$.k')::INT % 3)::VARCHAR AS v FROM events WHERE value <= 50 GROUP BY 1, 2), b AS (SELECT user_id AS id, '$.' || event_type AS path, max(json_extract_string(props, '$.k')::INT % 4)::VARCHAR AS v FROM events GROUP BY 1, 2)
       SELECT id, path, a.v AS before, b.v AS after, CASE WHEN a.v IS NULL THEN 'added' WHEN b.v IS NULL THEN 'removed' ELSE 'changed' END AS kind FROM a FULL JOIN b USING (id, path) WHERE a.v IS DISTINCT FROM b.v""",
     "json_fields": "SELECT event_type, count(k) AS n, sum(k) AS sum_k, max(k) AS max_k FROM (SELECT event_type, json_extract_string(props, '$.k')::INT AS k FROM events) GROUP BY 1",
-    "html_title_slug": f"WITH t AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages), s AS (SELECT *, substring(t, 1, 60) AS s FROM t) SELECT page_id, length(t) AS title_chars, {_SLUG.format('s')} AS slug FROM s",
+    "html_title_slug": f"WITH t AS (SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS t FROM pages), s AS (SELECT *, t AS s FROM t) SELECT page_id, length(t) AS title_chars, {_SLUG.format('s')} AS slug FROM s",
     "cube_rollup": "SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus) AS level, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
     "rollup_orders": "SELECT y, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 1) AS total FROM (SELECT *, year(o_orderdate) AS y FROM orders) GROUP BY ROLLUP (y, o_orderstatus)",
     "set_ops": """SELECT 'intersect' AS op, count(*) AS n, coalesce(sum(k), 0)::BIGINT AS keys FROM (SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders) UNION ALL SELECT 'except', count(*), coalesce(sum(k), 0)::BIGINT FROM (SELECT c_custkey AS k FROM customer EXCEPT ALL SELECT o_custkey FROM orders)

@@ -44,11 +44,13 @@ def question_options(spark, sf_dir):
 
 
 def _answers(spark, sf_dir):
-    return P._obs(spark, sf_dir).filter("ref % 9 = 0").select("session_id", "ref", F.concat(F.lit("member:"), F.col("label").cast("string")).alias("candidate"))
+    """A question per voice: on its longest line, of equals the first."""
+    longest = F.min_by("ref", F.struct((-F.col("duration")).alias("d"), "ref")).alias("ref")
+    return P._obs(spark, sf_dir).groupBy("session_id", "label").agg(longest).select("session_id", "ref", F.concat(F.lit("member:"), F.col("label").cast("string")).alias("candidate"))
 
 
 def answer_spread(spark, sf_dir):
-    alike = V.pairs(P._obs(spark, sf_dir)).select("session_id", "i", "j", ((1 + F.col("cosine")) / 2).alias("likeness"))
+    alike = V.pairs(P._obs(spark, sf_dir), 0.23).select("session_id", "i", "j", ((1 + F.col("cosine")) / 2).alias("likeness"))
     return R.spread_answers(_answers(spark, sf_dir), alike, 0.62).select("session_id", "ref", "candidate", F.round("log_lr", 4).alias("log_lr"))
 
 
@@ -233,12 +235,13 @@ ORACLES = {
     ), n AS (SELECT session_id, ref, count(*) FILTER (offered) AS n FROM k GROUP BY 1, 2)
     SELECT session_id, ref, row_number() OVER (PARTITION BY session_id, ref ORDER BY round(p, 9) DESC, candidate) AS position, candidate AS option FROM k WHERE offered
     UNION ALL SELECT session_id, ref, n + 1, 'stranger' FROM n UNION ALL SELECT session_id, ref, n + 2, 'idk' FROM n""",
-    "answer_spread": _PAIRS + """, a AS (SELECT session_id, ref, 'member:' || label AS candidate FROM observations WHERE ref >= 50 AND ref % 9 = 0
-    ), s AS (SELECT session_id, i, j, (1 + cosine) / 2 AS likeness FROM pairs WHERE i >= 50 AND j >= 50 AND round((1 + cosine) / 2, 6) >= 0.62
+    "answer_spread": _PAIRS + """, a AS (SELECT session_id, ref, 'member:' || label AS candidate FROM observations QUALIFY row_number() OVER (PARTITION BY session_id, label ORDER BY duration DESC, ref) = 1
+    ), s AS (SELECT session_id, i, j, (1 + cosine) / 2 AS likeness FROM pairs WHERE round((1 + cosine) / 2, 6) >= 0.62
     ), b AS (SELECT session_id, i AS ref, j AS other, likeness FROM s UNION ALL SELECT session_id, j, i, likeness FROM s
     ), x AS (SELECT session_id, ref, candidate, 8.0::DOUBLE AS lr FROM a UNION ALL SELECT session_id, other, candidate, 2.5 * likeness FROM a JOIN b USING (session_id, ref))
     SELECT session_id, ref, candidate, round(sum(lr), 4) AS log_lr FROM x GROUP BY 1, 2, 3""",
-    "posterior_moved": _POST + """, q AS (SELECT f.*, log_phi + CASE WHEN o.ref % 9 = 0 AND candidate = 'member:' || o.label THEN 8 ELSE 0 END AS phi2 FROM phi f JOIN observations o USING (session_id, ref)
+    "posterior_moved": _POST + """, a AS (SELECT session_id, ref, 'member:' || label AS candidate FROM observations QUALIFY row_number() OVER (PARTITION BY session_id, label ORDER BY duration DESC, ref) = 1
+    ), q AS (SELECT f.*, log_phi + CASE WHEN a.ref IS NOT NULL THEN 8 ELSE 0 END AS phi2 FROM phi f LEFT JOIN a ON a.session_id = f.session_id AND a.ref = f.ref AND a.candidate = f.candidate
     ), e2 AS (SELECT *, exp(phi2 - max(phi2) OVER (PARTITION BY session_id, ref)) AS e2 FROM q), p2 AS (SELECT session_id, ref, candidate, e2 / sum(e2) OVER (PARTITION BY session_id, ref) AS p2 FROM e2
     ), m AS (SELECT session_id, ref, max(abs(p2 - p)) AS most FROM post JOIN p2 USING (session_id, ref, candidate) GROUP BY 1, 2) SELECT session_id, ref, round(most, 4) AS most FROM m WHERE round(most, 9) >= 0.001""",
     "voice_guesses": P._STATUS.rstrip() + """, v AS (SELECT session_id, label, best, sum(duration) AS s, sum(CASE WHEN status IN ('auto_high', 'propagated', 'user_confirmed') THEN duration ELSE 0 END) AS sure FROM st JOIN observations USING (session_id, ref) GROUP BY 1, 2, 3)

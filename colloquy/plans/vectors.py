@@ -10,19 +10,14 @@ from colloquy.operators import vectors as V
 _COS = "list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})))"
 
 
-def _prints(spark, sf_dir):
-    return A.prints(spark, sf_dir).withColumn("session_id", F.col("id") % 8)
-
-
 def _hits(spark, sf_dir, k=10):
-    obs = A.observations(spark, sf_dir).filter("ref >= 50")
-    return V.top_prints(obs.select("session_id", "ref", "vector", "label"), _prints(spark, sf_dir), k)
+    return V.top_prints(A.observations(spark, sf_dir), A.prints(spark, sf_dir), k)
 
 
 HITS_SQL = f"""
 WITH {A.OBSERVATIONS_SQL}, {A.PRINTS_SQL}, pairs AS (
   SELECT o.session_id, o.ref, p.id, p.candidate, o.label, {_COS.format('o.vector', 'p.vector')} AS cosine
-  FROM observations o JOIN prints p ON p.id % 8 = o.session_id WHERE o.ref >= 50
+  FROM observations o JOIN prints p ON p.session_id = o.session_id
 ), hits AS (SELECT *, row_number() OVER (PARTITION BY session_id, ref ORDER BY round(cosine, 9) DESC, id) AS rank FROM pairs QUALIFY rank <= 10)
 """
 
@@ -57,7 +52,7 @@ def knn_edges(spark, sf_dir):
 
 def similar_pairs(spark, sf_dir):
     """Pairs of different labels that are more alike than a threshold."""
-    return V.pairs(A.observations(spark, sf_dir)).filter((F.col("label_i") != F.col("label_j")) & (F.round("cosine", 6) >= 0.25)).select("session_id", "i", "j", F.round("cosine", 5).alias("cosine"))
+    return V.pairs(A.observations(spark, sf_dir), 0.25).filter(F.col("label_i") != F.col("label_j")).select("session_id", "i", "j", F.round("cosine", 5).alias("cosine"))
 
 
 def centroids(spark, sf_dir):

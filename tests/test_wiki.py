@@ -13,6 +13,15 @@ def test_cycles_are_cut_and_depth_is_any(spark):
     assert found == {"a": ("a", 0), "b": ("a", 1), "c": ("a", 2), "x": ("x", 0), "y": ("y", 0), "z": ("z", 0), "s": ("s", 0)}
 
 
+def test_deep_chains_have_one_root_and_cycles_of_any_length_are_cut(spark):
+    chain = [(f"p{i}", f"p{i - 1}" if i else None) for i in range(41)]
+    ring = [(f"r{i}", f"r{(i + 1) % 3}") for i in range(3)] + [("under", "r0"), ("lower", "under")]
+    found = {r.place: (r.root, r.depth, r.path) for r in W.containment(spark.createDataFrame(chain + ring, "place string, parent string")).collect()}
+    assert all(found[f"p{i}"] == ("p0", i, "/".join(f"p{k}" for k in range(i + 1))) for i in range(41))
+    assert all(found[p] == (p, 0, p) for p, _ in ring) and len(found) == 46
+    assert W.containment(spark.createDataFrame([], "place string, parent string")).count() == 0
+
+
 def test_one_unresolved_reference_drops_a_fact(spark):
     facts = spark.createDataFrame([(1, ["a"]), (2, ["a", "b"]), (3, []), (4, ["none"])], "fact int, refs array<string>")
     statuses = spark.createDataFrame([("a", "auto_high"), ("b", "auto_low")], "ref string, status string")
