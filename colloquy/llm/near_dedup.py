@@ -36,8 +36,6 @@ SKETCH = 4096
 #: Bits that must agree for a full comparison: those of a similarity of 0.705. 0.75 lies over four deviations higher.
 AGREE = int((1 + 0.705) / 2 * SKETCH)
 BLOCK = 400
-#: Nodes of a half key from which on its tables are compared one by one.
-SPLIT = 2 * BLOCK
 BATCH_BYTES = 2 << 20
 
 _random = np.random.default_rng(20)
@@ -140,40 +138,34 @@ def first_pairs(shared: DataFrame, nodes: DataFrame) -> DataFrame:
     return keyed.join(heads.hint("merge"), "key").filter(F.col("node") != F.col("v")).filter(fits(F.col("n_shingles"), F.col("n_v"))).select(F.col("node").alias("u"), "v").distinct()
 
 
-def _mixed(known: DataFrame, keys: list[str]) -> DataFrame:
-    """known (half, node, component, ...) in buckets of more than one component: with n, the bucket's rows, n_out, those outside its largest component, and out, is it one of these.
+def _mixed(known: DataFrame) -> DataFrame:
+    """known (half, node, component) where a half key has more than one component: with n, its rows, n_out, those outside its largest component, and out, is it one of these.
 
-    The buckets are written first, so that the join has a plain shuffle on either side and Spark splits a hot one.
+    The half keys are written first, so that the join has a plain shuffle on either side and Spark splits a hot one.
     """
-    counts = known.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("n"))
-    some = counts.groupBy(*keys).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "component")).alias("most")).filter("k > 1")
-    some = stash(some.select(*keys, "n", (F.col("n") - F.col("most.n")).alias("n_out"), F.col("most.component").alias("home")))
-    return known.join(some.hint("merge"), keys).withColumn("out", F.col("component") != F.col("home"))
+    counts = known.groupBy("half", "component").agg(F.count(F.lit(1)).alias("n"))
+    some = counts.groupBy("half").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.max(F.struct("n", "component")).alias("most")).filter("k > 1")
+    some = stash(some.select("half", "n", (F.col("n") - F.col("most.n")).alias("n_out"), F.col("most.component").alias("home")))
+    return known.join(some.hint("merge"), "half").withColumn("out", F.col("component") != F.col("home"))
 
 
-def rest_pairs(shared: DataFrame, nodes: DataFrame, sets: DataFrame, comps: DataFrame, split: int = SPLIT) -> DataFrame:
+def rest_pairs(shared: DataFrame, nodes: DataFrame, sets: DataFrame, comps: DataFrame) -> DataFrame:
     """(u, v): nodes of different components that share a table and whose sketches agree.
 
-    A bucket is all nodes of a half key of the first collection; where these are
-    more than ``split``, it is those of one of their tables, so that nodes that share
-    a common half key only aren't held against each other.
+    They meet by a half key of the first collection, in blocks. Buckets of whole
+    tables would hold fewer nodes each, but a node that shares one half key with a
+    group of near copies shares many of its tables, and would be dealt to each.
     """
     spark = shared.sparkSession
     known = stash(shared.join(comps, "node", "left").select("half", "node", F.coalesce("component", "node").alias("component")))
-    halves = _mixed(known, ["half"])
-    rows = halves.filter(F.col("n") <= split).withColumn("other", F.lit(None).cast("long"))
-    large = stash(halves.filter(F.col("n") > split).select("half", "node", "component"))
-    tables = large.join(nodes.select("node", "half_b"), "node").select("half", "node", "component", F.explode("half_b").alias("other"))
-    if not large.isEmpty():
-        rows = rows.unionByName(_mixed(stash(tables), ["half", "other"]).select(*rows.columns))
+    rows = _mixed(known)
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     block = lambda n: F.pmod(F.xxhash64("node"), blocks(n)).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
-    own = ["half", F.coalesce("other", F.lit(0)).alias("other"), F.col("other").isNotNull().alias("table"), "node", "component", "out"]
-    members = rows.select(*own, F.lit(False).alias("asks"), block("n").alias("m"), all_of("n_out").alias("o"))
-    askers = rows.filter("out").select(*own, F.lit(True).alias("asks"), all_of("n").alias("m"), block("n_out").alias("o"))
+    members = rows.select("half", "node", "component", "out", F.lit(False).alias("asks"), block("n").alias("m"), all_of("n_out").alias("o"))
+    askers = rows.filter("out").select("half", "node", "component", "out", F.lit(True).alias("asks"), all_of("n").alias("m"), block("n_out").alias("o"))
     arrow_rows(spark, 2000)
-    group = ["half", "other", "m", "o"]
+    group = ["half", "m", "o"]
     dealt = (
         members.union(askers)
         .join(nodes.select("node", "n_shingles", "half_a", "half_b"), "node")
@@ -199,7 +191,7 @@ def rest_pairs(shared: DataFrame, nodes: DataFrame, sets: DataFrame, comps: Data
 
 
 def _compare(group: pa.RecordBatch):
-    """Pairs of an asker and a member whose first common half key, or table, is this group's."""
+    """Pairs of an asker and a member whose first common half key is this group's."""
     column = lambda c: group.column(c).to_numpy(zero_copy_only=False)
     asks, out, node, comp, size = column("asks"), column("out"), column("node"), column("component"), column("n_shingles")
     sketch = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint64).reshape(-1, SKETCH // 64)
@@ -208,7 +200,7 @@ def _compare(group: pa.RecordBatch):
     askers, members = np.flatnonzero(asks), np.flatnonzero(~asks)
     if not len(askers) or not len(members):
         return
-    half, other, table_ = (group.column(c)[0].as_py() for c in ("half", "other", "table"))
+    half = group.column("half")[0].as_py()
     us, vs = [], []
     for i in askers:
         m = members[(comp[members] != comp[i]) & (np.minimum(size[members], size[i]) * 100 >= np.maximum(size[members], size[i]) * PERCENT)]
@@ -216,8 +208,6 @@ def _compare(group: pa.RecordBatch):
         m = m[(b[m] == b[i]).any(1)]
         if len(m):
             m = m[a[i][(a[m] == a[i]).argmax(1)] == half]
-            if table_:
-                m = m[b[i][(b[m] == b[i]).argmax(1)] == other]
             m = m[SKETCH - np.bitwise_count(sketch[m] ^ sketch[i]).sum(1, dtype=np.int64) >= AGREE]
             us.append(np.full(len(m), node[i]))
             vs.append(node[m])
@@ -225,7 +215,7 @@ def _compare(group: pa.RecordBatch):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, split: int = SPLIT) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a set has the
@@ -248,7 +238,7 @@ def near_duplicates(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     pairs = stash(first_pairs(shared, nodes))
     links = stash(confirm(pairs, sets))
     comps = stash(components(links))
-    more = stash(rest_pairs(shared, nodes, sets, comps, split))
+    more = stash(rest_pairs(shared, nodes, sets, comps))
     links2 = stash(confirm(more, sets))
     # a component stands for its links
     final = comps if links2.isEmpty() else stash(components(comps.select(F.col("node").alias("u"), F.col("component").alias("v")).union(links2)))

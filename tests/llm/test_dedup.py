@@ -138,10 +138,8 @@ def test_chains_inside_a_dense_group_are_linked(spark):
         twin = list(copy)
         twin[source.randrange(200)] = "z"
         rows += [(i, " ".join(copy)), (i + 1, " ".join(twin))]
-    want = brute(rows)
-    for split in (near_dedup.SPLIT, 3):  # by half keys, and by tables
-        out = near_dedup.near_duplicates(docs(spark, rows), split)
-        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()} == want
+    out = near_dedup.near_duplicates(docs(spark, rows))
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in out.collect()} == brute(rows)
 
 
 def test_recall_near_the_threshold(spark):
@@ -165,7 +163,7 @@ def test_a_hot_half_key_is_split(spark):
     try:
         for k, v in hot.items():
             spark.conf.set(k, v)
-        found = near_dedup._mixed(known, ["half"])
+        found = near_dedup._mixed(known)
         assert len(found.filter("out").collect()) == 8000
         plan = found.filter("n_out > 0")
         plan.collect()
