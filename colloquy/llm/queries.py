@@ -11,7 +11,7 @@ from colloquy.llm.near_dedup import OP2_SQL, op2_near_dedup
 from colloquy.llm.packing import op9_packing
 from colloquy.llm.quality import op8_quality
 from colloquy.llm.url_filter import op6_url_filter
-from colloquy.llm.warc import op5_warc
+from colloquy.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_html_extract": op1_html_extract,
@@ -28,6 +28,7 @@ QUERIES = {
 ORACLES = {
     "op2_near_dedup": OP2_SQL,
     "op4_chat_format": OP4_SQL,
+    "op5_warc": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op10_decontaminate": OP10_SQL,
 }

@@ -3,6 +3,7 @@ import hashlib
 
 from colloquy.llm import warc
 from colloquy.llm.common import shared_dir
+from tests.helpers import connection, same
 
 PAGES = "page_id long, url string, html string"
 
@@ -84,3 +85,7 @@ def test_query_is_brute_force(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html").collect()]
     got = [(str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.op5_warc(spark, sf).collect()]
     assert sorted(got, key=str) == expected(rows)
+
+
+def test_sql(spark):
+    same(warc.op5_warc(spark, "/root/testdata/sf0.001"), connection("/root/testdata/sf0.001"), warc.OP5_SQL)
