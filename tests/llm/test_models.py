@@ -1,5 +1,7 @@
 """Licence scan and quality classifier: held-out accuracy and awkward rows."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -39,12 +41,66 @@ def test_notices_that_no_frame_holds(spark, model):
     assert all(gated for f, gated in got.values() if f != "unknown")
 
 
+def test_what_is_denied_or_mentioned_is_unknown_and_licence_texts_are_known(spark, model):
+    cases = {
+        "This file is not licensed under the MIT License.": "unknown", "The Apache License, Version 2.0 was compared with others in this article.": "unknown", "He wrote a book about the GNU General Public License.": "unknown",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.': "mit",
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+        "Sous licence MIT.": "mit", "Lizenziert unter der Apache-2.0-Lizenz.": "apache", "Publicado bajo la licencia GPLv3.": "gpl",
+        "used to endorse or promote products derived from this software without specific prior written permission.": "bsd",
+        "* Redistributions in binary form must reproduce the above copyright notice,": "bsd", "this list of conditions and the following disclaimer in the documentation": "unknown",  # no licence word in it
+        "The Mozilla Public License is long.": "unknown", "This was formerly released under the GPL.": "unknown", "": "unknown",
+    }
+    got = {r.paragraph: r.lic_family for r in model.classify(spark.createDataFrame([(t,) for t in cases], "paragraph string")).collect()}
+    assert got == cases
+    assert model.classify(spark.createDataFrame([(None,)], "paragraph string")).first().lic_family == "unknown"
+
+
+def test_probabilities_are_calibrated(model):
+    """The temperature lies inside its range, and of every group of held-out examples about as many are right as was said."""
+    assert 0.02 < model.temperature < 50
+    for said, right, n in model.reliability():
+        assert n < 15 or abs(said - right) < 0.15, (said, right, n)
+
+
+def test_order_decides(spark, model):
+    words = "conditions following the that provided permitted are modification without or with forms binary and source in use and Redistribution"
+    assert model.classify(spark.createDataFrame([(words,)], "paragraph string")).first().lic_family == "unknown"
+
+
+def plain(model, docs):
+    """A second way to the result: paragraphs one by one, with the same model."""
+    out = {}
+    for i, text in docs:
+        parts = [p for p in re.split(r"\n+", text or "") if p.strip(" ")]
+        out[i] = len(parts), [p for p in parts if re.search(L.GATE.replace("(?i:", "(?i:").replace(r"\p{L}\p{N}_", r"\w"), p)]
+    return out
+
+
+def test_query_is_brute_force(spark, model):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = plain(model, docs)
+    flat = [(i, p) for i, (_, found) in want.items() for p in found]
+    family = {}
+    for r in model.classify(spark.createDataFrame(flat, "i long, paragraph string")).collect():
+        family.setdefault(r.i, []).append(r.lic_family)
+    got = {r.doc_id: r for r in L.op3_licence_scan(spark, sf).collect()}
+    assert len(got) == len(docs)
+    for i, (n, found) in want.items():
+        own = [f for f in family.get(i, []) if f != "unknown"]
+        assert (got[i].n_paragraphs, got[i].n_candidates, got[i].n_licences, got[i].families) == (n, len(found), len(own), ",".join(sorted(set(own))))
+
+
 def test_scan_rows(spark, model):
     text = "First line.\n\nReleased under the MIT License.\n \nAll rights reserved."
     rows = [(1, text, "a"), (1, text, "a"), (2, None, None), (3, "", None), (None, "x\ny", None), (4, "word " * 50_000 + "\nAll rights reserved.", None)]
     got = sorted((str(r.doc_id), r.n_paragraphs, r.n_licences, ",".join(r.families)) for r in L.scan(spark.createDataFrame(rows, DOCS), model).collect())
     assert got == [("1", 3, 2, "mit,reserved"), ("1", 3, 2, "mit,reserved"), ("2", 0, 0, ""), ("3", 0, 0, ""), ("4", 2, 1, "reserved"), ("None", 2, 0, "")]
     assert L.scan(spark.createDataFrame([], DOCS), model).count() == 0
+    long = "All rights reserved. " + "license word " * 30_000  # a long candidate, and names that clash
+    odd = spark.createDataFrame([(1, long, "x", "y", 3)], "doc_id long, text string, families string, paragraph string, n int")
+    assert L.scan(odd, model).select("n_paragraphs", "n_candidates").collect() == [(1, 1)]
 
 
 def test_statistics_are_plain_counts():
