@@ -1,8 +1,13 @@
 """URL filters: host and path rules first, gradient-boosted trees for all other URLs.
 
 The trees see lexical features only: lengths, depth, digit ratio, entropy,
-parameter counts and the share of bad URLs under the suffix. They are fitted on
-a bounded sample of labelled URLs.
+parameter counts and the share of bad pages on other hosts of the suffix. Labels
+come with the URLs, or from what the pages hold: a page whose visible text is
+strewn with symbols marks its URL as bad. No word of the URL labels anything.
+
+Suffix statistics count every labelled URL outside the held-out hosts, each host
+once; the trees are fitted on a bounded sample of these. A fifth of all hosts is
+held out, so that accuracy is told on hosts never seen.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import UPPER, LOWER, let, table
+from colloquy.llm.common import UPPER, LOWER, join_hot, let, stash, table
 
 #: (verdict, rule): a rule is a host suffix and a path prefix.
 RULES = [
@@ -23,9 +28,12 @@ RULES = [
     ("block", "example.net/de/8"),
     ("block", "org/es/"),
 ]
-#: Host words that label a URL as bad when no labelled URLs are given. No feature looks at words.
-SEED_TERMS = ["adult", "ads", "bet", "bets", "casino", "cheap", "pills", "spam", "xxx", "win"]
+#: Rows of the sample that the trees are fitted on, about; everything else covers all rows.
 TRAIN_ROWS = 20_000
+#: A page with a greater share of SYMBOLS in its visible text is bad.
+NOISE, SYMBOLS = 0.05, "#$%*+=@^_|~{}[]\\<>"
+#: Hosts that a suffix has besides its own, all of the average rate.
+PRIOR = 5.0
 FEATURES = ["f_url_len", "f_host_len", "f_path_len", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_hyphens", "f_longest_label", "f_suffix"]
 
 
@@ -62,9 +70,12 @@ def lexical(df: DataFrame, url_col: str = "url") -> DataFrame:
     host, path = F.col("url_host"), F.col("url_path")
 
     def spread(chars: Column) -> Column:
-        n = F.greatest(F.size(chars), F.lit(1))
-        shares = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda x: x == c)) / n)
-        return F.aggregate(shares, F.lit(0.0), lambda a, p: a - F.when(p > 0, p * F.log2(p)).otherwise(0.0))
+        """Entropy from the lengths of runs in the sorted characters: one pass."""
+        part = lambda n: F.when(n > 0, n * F.log2(n)).otherwise(0.0)
+        start = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("n"), F.lit(0.0).alias("s"))
+        step = lambda a, c: F.when(a["c"] == c, F.struct(a["c"].alias("c"), (a["n"] + 1).alias("n"), a["s"].alias("s"))).otherwise(F.struct(c.alias("c"), F.lit(1.0).alias("n"), (a["s"] + part(a["n"])).alias("s")))
+        n = F.greatest(F.size(chars), F.lit(1)).cast("double")
+        return F.log2(n) - F.aggregate(F.array_sort(chars), start, step, lambda a: a["s"] + part(a["n"])) / n
 
     entropy = let(F.split(host, ""), spread)
     labels = F.split(host, r"\.")
@@ -83,50 +94,83 @@ def lexical(df: DataFrame, url_col: str = "url") -> DataFrame:
     })
 
 
-def seed_labels(urls: DataFrame, terms: list[str] | None = None) -> DataFrame:
-    """(url_host, ..., label): 1 if a word of the host is a seed term."""
-    words = F.split(F.col("url_host"), r"[.\-]")
-    return urls.withColumn("label", F.arrays_overlap(words, F.array(*[F.lit(t) for t in terms or SEED_TERMS])).cast("int"))
+def page_labels(pages: DataFrame) -> DataFrame:
+    """(page_id, url, label) of pages (page_id, url, html): 1 if the visible text is strewn with symbols. Pages without text have a null label."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    bare = F.regexp_replace(html, r"(?is)<(script|style)[ >].*?</\1>|<[^>]*>|&[a-zA-Z#0-9]+;|\s+", "")
+    rest = F.length(F.translate("bare", SYMBOLS, ""))
+    label = F.when(F.length("bare") > 0, ((F.length("bare") - rest) > NOISE * F.length("bare")).cast("int"))
+    return pages.select("page_id", "url", bare.alias("bare")).select("page_id", "url", label.alias("label"))
+
+
+def held_out(host: Column) -> Column:
+    return F.pmod(F.crc32(host), F.lit(5)) == 0
 
 
 class UrlModel:
-    """Trees and suffix statistics. Without both labels in the sample it allows everything."""
+    """Trees and suffix statistics. Without both labels outside the held-out hosts it allows everything."""
 
     def __init__(self, labelled: DataFrame, url_col: str = "url", *, rows: int = TRAIN_ROWS, rounds: int = 10, depth: int = 4, seed: int = 7):
-        """labelled has url_col and label (0 good, 1 bad); about ``rows`` of them, chosen by hash, are used."""
-        n = labelled.count()
-        share = min(1.0, rows / max(1, n))
-        picked = F.pmod(F.xxhash64(*[F.col(c) for c in labelled.columns]), F.lit(1_000_000)) < int(share * 1_000_000)
-        sample = lexical(with_parts(labelled.filter(picked).filter("label IS NOT NULL"), url_col), url_col).cache()
-        classes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}  # at most two rows
-        bad, all_ = classes.get(1, 0), sum(classes.values())
-        self.rate = bad / all_ if all_ else 0.0
-        # a suffix needs 20 URLs to count by itself, so there are at most rows / 20 of them
-        self.suffixes = sample.groupBy(suffix(F.col("url_host")).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("bad")).filter("n >= 20").select("suffix", ((F.col("bad") + 10 * self.rate) / (F.col("n") + 10)).alias("f_suffix"))
-        self.suffixes = labelled.sparkSession.createDataFrame([tuple(r) for r in self.suffixes.collect()], "suffix string, f_suffix double")
+        """labelled has url_col and label (0 good, 1 bad; null doesn't count); about ``rows`` of them, chosen by hash, fit the trees."""
+        self.labelled = stash(with_parts(labelled.filter("label IN (0, 1)").select(F.col(url_col).alias("url"), F.col("label").cast("int").alias("label"))).withColumn("held", held_out(F.col("url_host"))))
+        known = self.labelled.filter("NOT held")
+        self.hosts = stash(known.groupBy("url_host").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("own")))
+        self.suffixes = stash(self.hosts.groupBy(suffix(F.col("url_host")).alias("suffix")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("double").alias("hosts"), F.sum("own").alias("bad")))
+        n, bad = known.agg(F.count(F.lit(1)), F.sum("label")).first()
+        self.rate = (bad or 0) / n if n else 0.0
         self.assembler = VectorAssembler(inputCols=FEATURES, outputCol="f_all", handleInvalid="keep")
         self.model = None
-        if 0 < bad < all_:
-            weight = F.when(F.col("label") == 1, F.lit(all_ / (2 * bad))).otherwise(F.lit(all_ / (2 * (all_ - bad))))
-            rows_ = self.assembler.transform(self._suffixed(sample)).select("f_all", F.col("label").cast("double").alias("label"), weight.alias("weight"))
-            gbt = GBTClassifier(featuresCol="f_all", labelCol="label", weightCol="weight", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed, checkpointInterval=-1)
-            self.model = gbt.fit(rows_)
-        sample.unpersist()
-
-    def _suffixed(self, df: DataFrame) -> DataFrame:
-        joined = df.withColumn("suffix", suffix(F.col("url_host"))).join(F.broadcast(self.suffixes), "suffix", "left").drop("suffix")
-        return joined.withColumn("f_suffix", F.coalesce("f_suffix", F.lit(self.rate)))
+        if 0 < (bad or 0) < n:
+            sample = self._featured(known.filter(chosen(F.xxhash64("url", "label", F.monotonically_increasing_id()), rows / n))).select(*FEATURES, "label")
+            sample = stash(self.assembler.transform(sample).select("f_all", F.col("label").cast("double").alias("label")))
+            if sample.isEmpty():
+                raise ValueError(f"none of {n} labelled URLs came into the sample")
+            if sample.select("label").distinct().count() == 2:
+                gbt = GBTClassifier(featuresCol="f_all", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=seed, checkpointInterval=-1)
+                self.model = gbt.fit(sample)
+
+    def _featured(self, df: DataFrame, url_col: str = "url") -> DataFrame:
+        """df with FEATURES; a host's own pages don't count for its suffix."""
+        keyed = df.withColumn("suffix", suffix(F.col("url_host")))
+        near = join_hot(keyed, self.suffixes.select("suffix", F.col("n").alias("s_n"), F.col("hosts").alias("s_hosts"), F.col("bad").alias("s_bad")), "suffix", "s_n")
+        own = join_hot(near, self.hosts.select("url_host", F.col("n").alias("h_n"), F.col("own").alias("h_own")), "url_host", "h_n")
+        others = F.coalesce("s_hosts", F.lit(0.0)) - F.when(F.col("h_own").isNotNull(), 1.0).otherwise(0.0)
+        share = (F.coalesce("s_bad", F.lit(0.0)) - F.coalesce("h_own", F.lit(0.0)) + PRIOR * self.rate) / (others + PRIOR)
+        return lexical(own.withColumn("f_suffix", share), url_col)
 
     def score(self, df: DataFrame, url_col: str = "url") -> DataFrame:
         """Adds url_bad, the probability of label 1; needs url_host and url_path."""
         if self.model is None:
             return df.withColumn("url_bad", F.lit(0.0))
-        found = self.model.transform(self.assembler.transform(self._suffixed(lexical(df, url_col))))
+        found = self.model.transform(self.assembler.transform(self._featured(df, url_col)))
         return found.select(*df.columns, vector_to_array("probability")[1].alias("url_bad"))
 
+    def on_unseen_hosts(self, threshold: float = 0.5, bins: int = 1000) -> dict[str, float | None]:
+        """Rows, bad ones, area under the curve, precision and recall over the labelled URLs of the held-out hosts."""
+        scored = self.score(self.labelled.filter("held")).select("label", F.least(F.floor(F.col("url_bad") * bins), F.lit(bins - 1)).alias("bin"))
+        counts = scored.groupBy("bin").agg(F.sum("label").alias("bad"), F.sum(1 - F.col("label")).alias("good")).collect()  # at most ``bins`` rows
+        bad, good = sum(r.bad for r in counts), sum(r.good for r in counts)
+        below = won = 0.0
+        for r in sorted(counts, key=lambda r: r.bin):
+            won += r.bad * (below + r.good / 2)
+            below += r.good
+        blocked = [r for r in counts if r.bin >= threshold * bins]
+        hit, all_ = sum(r.bad for r in blocked), sum(r.bad + r.good for r in blocked)
+        return {"rows": bad + good, "bad": bad, "auc": won / (bad * good) if bad and good else None, "precision": hit / all_ if all_ else None, "recall": hit / bad if bad else None}
+
+
+def chosen(hash_: Column, share: float) -> Column:
+    """A share of all rows, by a 64-bit hash; a share of 1 or more is all of them."""
+    return F.lit(True) if share >= 1 else hash_.cast("double") < F.lit(share * 2.0**64 - 2.0**63)
+
 
 def judge(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str]] | None = None, threshold: float = 0.5) -> DataFrame:
-    """(page_id, host, path, rule, verdict, score) of each row of pages (page_id, url). The rules go before the trees."""
+    """(page_id, host, path, rule, verdict, score) of each row of pages (page_id, url). The rules go before the trees.
+
+    A null URL and one without :// have empty hosts and paths and are judged by their
+    other features; a long URL is judged whole. Repeated rows each have their row;
+    other columns, whatever their names, are ignored; no rows in, no rows out.
+    """
     found = model.score(with_parts(pages.select("page_id", "url")))
     rule, verdict = rule_of(F.col("url_host"), F.col("url_path"), RULES if rules is None else rules)
     own = F.when(F.col("url_bad") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
@@ -134,6 +178,5 @@ def judge(pages: DataFrame, model: UrlModel, rules: list[tuple[str, str]] | None
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    labelled = seed_labels(with_parts(pages)).select("page_id", "url", "label")
-    return judge(pages, UrlModel(labelled)).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, sf_dir, "pages")
+    return judge(pages, UrlModel(page_labels(pages))).select("page_id", "host", "path", "rule", "verdict")

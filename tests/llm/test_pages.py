@@ -1,11 +1,13 @@
 """HTML extraction and URL rules."""
 
 import html as H
+import math
 import random
 import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from colloquy.llm import html_extract as X
 from colloquy.llm import url_filter as U
@@ -175,10 +177,62 @@ def test_the_longest_rule_wins(spark):
 
 def test_trees_learn_from_labelled_urls(spark):
     names = ["cheap-pills", "a-b", "best-of-all-prices", "win-it", "therand", "th", "longerwordsinahost", "onereed"]
-    rows = [(f"http://{names[i % 8]}{i % 7}.example.com/en/{i}", int(i % 8 < 4)) for i in range(400)] + [(None, None), ("x", 0)]
+    rows = [(f"http://{names[i % 8]}{i % 56}.example.com/en/{i}", int(i % 8 < 4)) for i in range(800)] + [(None, None), ("x", 0)]
     model = U.UrlModel(spark.createDataFrame(rows, "url string, label int"))
-    fresh = spark.createDataFrame([(1, "http://free-bets9.example.com/fr/1"), (2, "http://therand3.example.com/fr/1")], "page_id int, url string")
+    fresh = spark.createDataFrame([(1, "http://free-bets99.example.com/fr/1"), (2, "http://therand99.example.com/fr/1")], "page_id int, url string")
     assert {r.page_id: r.verdict for r in U.judge(fresh, model, rules=[]).collect()} == {1: "block", 2: "allow"}
+    told = model.on_unseen_hosts()
+    assert told["rows"] > 50 and told["auc"] > 0.95 and told["precision"] > 0.9
+
+
+def test_suffix_counts_hosts_once_and_never_its_own(spark):
+    rows = [("http://big.bad.org/" + str(i), 0) for i in range(500)] + [(f"http://h{i}.bad.org/", 1) for i in range(40)] + [(f"http://h{i}.good.org/", 0) for i in range(40)]
+    model = U.UrlModel(spark.createDataFrame(rows, "url string, label int"))
+    urls = spark.createDataFrame([("http://new.bad.org/",), ("http://new.good.org/",), ("http://new.other.org/",)], "url string")
+    got = {r.url_host: r.f_suffix for r in model._featured(U.with_parts(urls)).collect()}
+    assert got["new.bad.org"] > 0.7 and got["new.good.org"] < 0.1 and abs(got["new.other.org"] - model.rate) < 1e-9
+
+
+def test_a_tiny_share_still_chooses(spark):
+    df = spark.createDataFrame([(-(2**63),), (-(2**63) + 2**38,), (0,), (2**63 - 1,)], "h long")
+    assert [r.h for r in df.filter(U.chosen(F.col("h"), 1e-7)).collect()] == [-(2**63), -(2**63) + 2**38]
+    assert df.filter(U.chosen(F.col("h"), 1.0)).count() == 4 and df.filter(U.chosen(F.col("h"), 0.5)).count() == 2
+
+
+def test_labels_come_from_what_pages_hold(spark):
+    rows = [(1, "u", "<style>a{b}</style><p>plain words &amp; more</p>"), (2, "u", "<p>de%%% re### qu*** $$$</p>"), (3, "u", "<script>#####</script>"), (4, None, None)]
+    assert {r.page_id: r.label for r in U.page_labels(spark.createDataFrame(rows, PAGES)).collect()} == {1: 0, 2: 1, 3: None, 4: None}
+
+
+def test_entropy_of_hosts(spark):
+    hosts = ["", "a", "aab", "abcd" * 500, "www.example.com"]
+    df = U.lexical(U.with_parts(spark.createDataFrame([(f"h://{h}/",) for h in hosts], "url string")))
+    for r in df.collect():
+        n = [r.url_host.count(c) / len(r.url_host) for c in set(r.url_host)]
+        assert abs(r.f_entropy + sum(p * math.log2(p) for p in n)) < 1e-9
+
+
+def test_awkward_urls(spark):
+    rows = [(1, None, "a"), (1, None, "a"), (None, "http://example.com/en/", None), (2, "http://" + "x" * 200_000 + "/en/", ""), (3, "", "b")]
+    df = spark.createDataFrame(rows, "page_id int, url string, host string").withColumn("score", F.lit("s")).withColumn("label", F.lit("l"))
+    labelled = spark.createDataFrame([(f"http://a{i}-{i % 2}.com/", i % 2) for i in range(60)], "url string, label int")
+    out = U.judge(df, U.UrlModel(labelled))
+    assert out.columns == ["page_id", "host", "path", "rule", "verdict", "score"]
+    assert sorted((str(r.page_id), len(r.host), str(r.rule)) for r in out.collect()) == [("1", 0, "None"), ("1", 0, "None"), ("2", 200_000, "None"), ("3", 0, "None"), ("None", 11, "com/en/")]
+    assert U.judge(df.limit(0), U.UrlModel(labelled.limit(0))).count() == 0
+
+
+def test_url_query_is_brute_force_but_for_the_trees(spark):
+    got = {r.page_id: r for r in U.op6_url_filter(spark, SF).collect()}
+    for page_id, url in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url").collect():
+        rest = (url or "").partition("://")[2]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+        fits = [(len(r), v, r) for v, r in U.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith("/" + r.partition("/")[2])]
+        _, verdict, rule = max(fits) if fits else (0, None, None)
+        r = got[page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict == (verdict or r.verdict)
 
 
 def test_url_query_covers_every_page(spark):
