@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from colloquy.plans import directory, evidence, kernels, relational, review, transcript, vectors
+from colloquy.plans import attributes, directory, evidence, kernels, relational, review, transcript, vectors
 
-_PLANS = (transcript, vectors, evidence, relational, review, kernels, directory)
+_PLANS = (transcript, vectors, evidence, relational, review, kernels, directory, attributes)
 QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}

@@ -9,33 +9,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Every status and those that may follow it.
-TRANSITIONS = """
-uploaded: recorded failed
-recorded: transcribing failed
-transcribing: transcribed failed
-transcribed: refining identifying_speakers failed
-refining: refined failed
-refined: identifying_speakers failed
-identifying_speakers: speakers_identified speaker_pending failed
-speakers_identified: attributing summarizing speaker_pending failed
-speaker_pending: speakers_identified attributing failed
-attributing: attribution_ready attribution_review failed
-attribution_ready: attribution_review summarizing attributing failed
-attribution_review: attributing summarizing failed
-summarizing: summary_ready failed
-summary_ready: generating_wiki summarizing attributing failed
-generating_wiki: wiki_plan_ready failed
-wiki_plan_ready: applying_wiki attributing failed
-applying_wiki: content_ready failed
-content_ready: reviewed failed
-reviewed: published content_ready failed
-published: reviewed failed
-failed: attributing summarizing generating_wiki applying_wiki
-"""
+NEXT = {
+    "uploaded": ["recorded", "failed"],
+    "recorded": ["transcribing", "failed"],
+    "transcribing": ["transcribed", "failed"],
+    "transcribed": ["refining", "identifying_speakers", "failed"],
+    "refining": ["refined", "failed"],
+    "refined": ["identifying_speakers", "failed"],
+    "identifying_speakers": ["speakers_identified", "speaker_pending", "failed"],
+    "speakers_identified": ["attributing", "summarizing", "speaker_pending", "failed"],
+    "speaker_pending": ["speakers_identified", "attributing", "failed"],
+    "attributing": ["attribution_ready", "attribution_review", "failed"],
+    "attribution_ready": ["attribution_review", "summarizing", "attributing", "failed"],
+    "attribution_review": ["attributing", "summarizing", "failed"],
+    "summarizing": ["summary_ready", "failed"],
+    "summary_ready": ["generating_wiki", "summarizing", "attributing", "failed"],
+    "generating_wiki": ["wiki_plan_ready", "failed"],
+    "wiki_plan_ready": ["applying_wiki", "attributing", "failed"],
+    "applying_wiki": ["content_ready", "failed"],
+    "content_ready": ["reviewed", "failed"],
+    "reviewed": ["published", "content_ready", "failed"],
+    "published": ["reviewed", "failed"],
+    "failed": ["attributing", "summarizing", "generating_wiki", "applying_wiki"],
+}
 #: Statuses that may be entered again, by a job that is delivered twice.
 REPEATABLE = "transcribing refining identifying_speakers attributing summarizing generating_wiki applying_wiki".split()
 KEPT = "applying_wiki content_ready reviewed published".split()
-NEXT = {a: b.split() for a, b in (line.split(": ") for line in TRANSITIONS.strip().split("\n"))}
 STATUSES = list(NEXT)
 FIRST = "uploaded"
 EDGES = sorted({f"{a}>{b}" for a, follow in NEXT.items() for b in follow} | {f"{a}>{a}" for a in REPEATABLE})
