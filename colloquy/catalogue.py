@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from colloquy.plans import attributes, directory, drafts, evidence, kernels, relational, review, transcript, vectors, views
+from colloquy.plans import attributes, directory, drafts, evidence, kernels, planning, relational, review, transcript, vectors, views
 
-_PLANS = (transcript, vectors, evidence, relational, review, kernels, directory, attributes, views, drafts)
+_PLANS = (transcript, vectors, evidence, relational, review, kernels, directory, attributes, views, drafts, planning)
 QUERIES = {name: f for plan in _PLANS for name, f in plan.QUERIES.items()}
 ORACLES = {name: sql for plan in _PLANS for name, sql in plan.ORACLES.items()}
