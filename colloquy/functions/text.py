@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,10 +30,54 @@ def normal(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Every character whose compatibility decomposition is one ASCII letter or digit with marks, and that letter."""
+    made = [(chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)).lower()) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
+    one = [(c, p) for c, p in made if len(p) == 1 and p.isascii() and p.isalnum()]
+    return "".join(c for c, _ in one), "".join(p for _, p in one)
+
+
+_MARKED, _PLAIN = _plain_letters()
+
+
 def folded(text: Column) -> Column:
-    """Latin letters without their accents, lower-cased, the rest as single spaces."""
-    plain = F.translate(F.lower(text), "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
-    return F.trim(F.regexp_replace(plain, "[^0-9a-z]+", " "))
+    """Letters and digits without their marks, in lower case, all else as single spaces: also a letter that no decomposition makes plain, such as ł, and a sign made of several characters, such as ½."""
+    unmarked = F.regexp_replace(F.translate(text, _MARKED, _PLAIN), r"\p{M}+", "")
+    return F.trim(F.regexp_replace(F.lower(unmarked), "[^0-9a-z]+", " "))
+
+
+def occurrences(text: Column, name: Column) -> Column:
+    """Whole-word occurrences of a name, whatever its case; none of an empty one."""
+    quoted = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])"), F.regexp_replace(name, r"([^\p{L}\p{N}_ ])", r"\\$1"), F.lit(r"(?![\p{L}\p{N}_])"))
+    return F.when(F.coalesce(name, F.lit("")) == "", 0).otherwise(F.regexp_count(F.coalesce(text, F.lit("")), quoted))
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """The version 5 UUID of a name in a namespace (a UUID in text)."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    variant = F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("int").bitwiseAND(F.lit(3)).bitwiseOR(F.lit(8))))
+    return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3), F.lit("-"), variant, F.substring(h, 18, 3), F.lit("-"), F.substring(h, 21, 12))
+
+
+def is_subset(a: Column, b: Column) -> Column:
+    return F.size(F.array_except(a, b)) == 0
+
+
+def seconds_of_ms(ms: Column) -> Column:
+    """Milliseconds as seconds, to the thousandth."""
+    return F.round(ms / 1000, 3)
+
+
+def content_tokens(name: Column, fillers: list[str]) -> Column:
+    """The words of a name in lower case without those that say nothing."""
+    return F.filter(F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), 1), lambda w: ~w.isin(*fillers))
+
+
+def blocks_of(text: Column) -> Column:
+    """The paragraphs of a narrative: parted by blank lines, or by line ends if there are none; white space is one space, bullets go."""
+    t = F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n"))
+    parts = F.when(F.contains(t, F.lit("\n\n")), F.split(t, "\n\n")).otherwise(F.split(t, "\n"))
+    return F.filter(F.transform(parts, lambda p: F.regexp_replace(F.trim(F.regexp_replace(p, r"\s+", " ")), r"^[-*•]\s*", "")), lambda p: p != "")
 
 
 def slug(text: Column, default: str = "page") -> Column:

@@ -163,3 +163,36 @@ def unify_names(entities: DataFrame, least: float = 0.84) -> DataFrame:
 
     kind = entities.schema["session_id"].dataType.simpleString()
     return entities.select("session_id", "name", "mentions", "chunks").groupBy("session_id").applyInPandas(walk, f"session_id {kind}, name string, canonical string")
+
+
+#: Places from coarse to fine.
+TYPE_RANK = {"world": 0, "continent": 1, "region": 2, "city": 3, "town": 3, "village": 3, "wilderness": 4, "structure": 5, "building": 6, "dungeon": 6, "other": 7}
+#: How voices name themselves, and words that are no names.
+SELF_NAMING = [r"^\s*([A-ZÀ-Ý][\w'à-ÿ]{2,})\s*:", r"\b(?i:io sono|io mi chiamo|mi chiamo|il mio nome (?:e|è))\s+([A-ZÀ-Ý][\w'à-ÿ]{2,})", r"(?i)^\s*([A-ZÀ-Ý][\w'à-ÿ]{2,})\s*,\s*(?:piacere|cin|presente|salve)\b"]
+NO_VOICE = "domanda allora quindi perche perché ancora invece bene dai ok no si sì ma e il la un una pero però comunque aspetta senti guarda certo".split()
+
+
+def run_history(rows: DataFrame) -> DataFrame:
+    """(fixture, item, contradicted, runs, score) from runs' findings (fixture, run, item, score): in how many runs a statement is contradicted, of how many, and the mean of the runs' scores."""
+    runs = rows.groupBy("fixture").agg(F.countDistinct("run").alias("runs"))
+    score = rows.groupBy("fixture", "run").agg(F.max("score").alias("s")).groupBy("fixture").agg(F.round(F.avg("s"), 4).alias("score"))
+    return rows.groupBy("fixture", "item").agg(F.countDistinct("run").alias("contradicted")).join(runs, "fixture").join(score, "fixture")
+
+
+def self_identified(segments: DataFrame) -> DataFrame:
+    """(session_id, label, name, times, split): names that voices give themselves, by the first pattern that finds one; split: another label gives it too."""
+    name = F.lit(None).cast("string")
+    for pattern in reversed(SELF_NAMING):
+        found = F.regexp_extract("text", pattern, 1)
+        name = F.when((found != "") & ~F.lower(found).isin(*NO_VOICE), found).otherwise(name)
+    told = segments.withColumn("name", name).filter("name IS NOT NULL").groupBy("session_id", "label", "name").agg(F.count(F.lit(1)).alias("times"))
+    return told.withColumn("split", F.count(F.lit(1)).over(Window.partitionBy("session_id", "name")) > 1)
+
+
+def encode_belief(posteriors: DataFrame) -> DataFrame:
+    """(session_id, ref, belief): each moment's distribution as JSON, candidates in order."""
+    return posteriors.groupBy("session_id", "ref").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("candidate", "p"))))).alias("belief"))
+
+
+def decode_belief(stored: DataFrame, like: DataFrame) -> DataFrame:
+    return stored.select("session_id", "ref", F.explode(F.from_json("belief", "map<string,double>")).alias("candidate", "p")).select(*[F.col(c).cast(like.schema[c].dataType).alias(c) for c in ("session_id", "ref", "candidate", "p")])

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 ENVELOPE = "schema_version int, event_id string, occurred_at timestamp, type string, payload string"
 
@@ -53,6 +54,21 @@ def latest_per_page(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     return last.filter(shown), last.filter(~shown)
 
 
+def retries(deliveries: DataFrame, most: int) -> DataFrame:
+    """(event, tries, outcome, delay) of deliveries (event, at, ok): done by the first that went well, dead after ``most`` that didn't, else waiting, for twice as long after every try."""
+    n = F.row_number().over(Window.partitionBy("event").orderBy("at"))
+    tried = deliveries.withColumn("n", n).filter(F.col("n") <= most)
+    found = tried.groupBy("event").agg(F.min(F.when(F.col("ok"), F.col("n"))).alias("done"), F.max("n").alias("n"))
+    waits = F.col("done").isNull() & (F.col("n") < most)
+    outcome = F.when(F.col("done").isNotNull(), "done").when(F.col("n") >= most, "dead").otherwise("waiting")
+    return found.select("event", F.coalesce("done", "n").alias("tries"), outcome.alias("outcome"), F.when(waits, F.pow(F.lit(2), "n").cast("long")).alias("delay"))
+
+
+def progress(partial: DataFrame) -> DataFrame:
+    """The farthest partial result of a session (session_id, chunk, at, result), of one chunk the last: as a stream's state in update mode holds it."""
+    return partial.groupBy("session_id").agg(F.max("chunk").alias("chunk"), F.max_by("result", F.struct("chunk", "at")).alias("result"))
+
+
 def to_sink(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str):
     """Runs over what is there now and ends; write gets each micro-batch with its number, the same number again after a failure."""
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
