@@ -1,15 +1,13 @@
-"""What the operators of this package share: tables, the shared work folder, bounded broadcasts."""
+"""What the operators of this package share: tables, bounded broadcasts; the shared work folder is the engine's."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.shared import arrow_rows, remove, shared_dir, stash, unstash
+
+__all__ = ["LOWER", "UPPER", "arrow_rows", "join_hot", "let", "lower_ascii", "remove", "shared_dir", "stash", "table", "unstash"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -27,67 +25,6 @@ def let(value, body):
     return F.transform(F.array(value), body)[0]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name under spark.checkpoint.dir, which driver and executors share.
-
-    Where that is unset, a session on one machine gets a temporary folder; on a
-    cluster there is no folder to fall back on.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="colloquy-")
-        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/colloquy-{uuid.uuid4().hex}"
-
-
-#: Lets Spark delete the shuffle files of a query when it ends; what is stashed never needs them again.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if _arrow_before:
-            spark.conf.set(ARROW_ROWS, _arrow_before.pop("rows"))
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unstash(*frames: DataFrame) -> None:
-    """Deletes what stash wrote; nothing that is still to be computed may read it."""
-    for df in frames:
-        for file in df.inputFiles()[:1]:
-            remove(df.sparkSession, file.rpartition("/")[0])
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of the shared one."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_arrow_before: dict[str, str] = {}
-
-
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Rows of an Arrow batch sent to Python, so that a batch of long texts stays small. The next stash puts the session's own value back."""
-    _arrow_before.setdefault("rows", spark.conf.get(ARROW_ROWS))
-    spark.conf.set(ARROW_ROWS, str(rows))
-
-
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, most: int = 1000) -> DataFrame:
     """left joined (left outer) to right, which has one row per key and the key's number of rows in weight.
 
