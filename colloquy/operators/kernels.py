@@ -71,7 +71,11 @@ def posteriors(potentials: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _units(vectors: pd.Series) -> np.ndarray:
-    x = np.vstack(vectors.to_numpy()).astype(float)
+    return _units_of(vectors.to_numpy())
+
+
+def _units_of(vectors) -> np.ndarray:
+    x = np.vstack(vectors).astype(float)
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return x / np.where(n == 0, 1, n)
 
@@ -151,7 +155,10 @@ MARGIN, MIN_MEMBERS, MIN_SECONDS, MOST, RESAMPLES, SHARE, ALIKE, STABLE, SEED =
 
 
 def purity_of(x: np.ndarray, seconds: np.ndarray, p95: float) -> tuple[float, str, float, float]:
-    """(purity, reason, separation, worst distance within): gates from the cheapest on, resampling last."""
+    """(purity, reason, separation, worst distance within): gates from the cheapest on, resampling last.
+
+    Of more than MOST observations the longest ones are judged, as the fixed values say.
+    """
     if len(x) < 2 * MIN_MEMBERS:
         return 1.0, "too_few_observations", 0.0, 1.0
     if len(x) > MOST:
