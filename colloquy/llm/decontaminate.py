@@ -8,22 +8,25 @@ Burrows-Wheeler transform in a wavelet matrix, and every eighth suffix position.
 All windows are searched backward at once, occurrences are located by walking to
 the next sampled position, and the hits of a document are merged into spans.
 
-The benchmark is read in blocks of bounded size, each broadcast and held against
-all documents, so that no size of it is beyond the driver. Nothing is shuffled.
+The benchmark is dealt to blocks of bounded size in the shared folder. A task reads
+one block at a time and holds it against its shard, so that neither the driver nor
+a task ever has all of it. The documents are not shuffled.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import UPPER, LOWER, arrow_rows, table
+from colloquy.llm.common import UPPER, LOWER, arrow_rows, shared_dir, table
 from colloquy.llm.kernels import ALNUM, Words, slices
+from colloquy.llm.warc import open_dir
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -194,17 +197,25 @@ def merged(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     return out
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, str | None]]]:
-    """The items in blocks of about ``most`` bytes; at least one block, maybe empty."""
-    block, size, any_ = [], 0, False
-    for item, text in benchmark.select(F.col("item_id").cast("string"), F.col("text")).toLocalIterator():
-        block.append((item, text))
-        size += len(text or "") * 4 + 64
-        if size >= most:
-            yield block
-            block, size, any_ = [], 0, True
-    if block or not any_:
-        yield block
+def write_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> tuple[str, int]:
+    """A folder with the items in blocks of about ``most`` bytes, and how many blocks there are; an item lies in one."""
+    spark = benchmark.sparkSession
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 64)).first()[0] or 0
+    n = max(1, -(-size // most))
+    uri = shared_dir(spark)
+    rows.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)).cast("int")).repartition(n, "block").write.partitionBy("block").parquet(uri)
+    return uri, n
+
+
+def read_block(uri: str, block: int) -> list[tuple[str | None, str | None]]:
+    fs, base = open_dir(uri)
+    folder = f"{base}/block={block}"
+    if fs.get_file_info(folder).type == pyarrow.fs.FileType.NotFound:
+        return []
+    files = [f.path for f in fs.get_file_info(pyarrow.fs.FileSelector(folder)) if f.path.endswith(".parquet")]
+    tables = [pyarrow.parquet.read_table(f, filesystem=fs, columns=["item", "text"], partitioning=None) for f in sorted(files)]
+    return [row for t in tables for row in zip(t.column("item").to_pylist(), t.column("text").to_pylist(), strict=True)]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -222,32 +233,33 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_co
     spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("dec_words", "dec_hits", "dec_items")]
     out = docs.select(*own, F.lit(0).alias("dec_words"), F.array().cast(f"array<{HIT}>").alias("dec_hits"), F.array().cast("array<string>").alias("dec_items"))
+    uri, n = write_blocks(benchmark, block_bytes)
     arrow_rows(spark, 1000)
-    for block in blocks(benchmark, block_bytes):
-        sent = spark.sparkContext.broadcast(block)
-
-        def run(batches, sent=sent):
-            phrases = Phrases(sent.value, window)
-            for batch in batches:
-                for begin, end in slices(batch.column(text_col), SHARD_BYTES):
-                    part = batch.slice(begin, end - begin)
-                    counts, spans, items = search_shard(part.column(text_col), phrases)
-                    hits = part.column("dec_hits").to_pylist()
-                    names = part.column("dec_items").to_pylist()
-                    for r, s in spans.items():
-                        hits[r] = merged([tuple(x.values()) for x in hits[r]] + s)
-                    for r, s in items.items():
-                        names[r] = sorted({*names[r], *s})
-                    at = {n: i for i, n in enumerate(part.schema.names)}
-                    hit = [[dict(zip(("word_start", "word_end", "char_start", "char_end"), x, strict=True)) if isinstance(x, tuple) else x for x in h] for h in hits]
-                    columns = list(part.columns)
-                    columns[at["dec_words"]] = pa.array(counts, pa.int32())
-                    columns[at["dec_hits"]] = pa.array(hit, part.schema.field("dec_hits").type)
-                    columns[at["dec_items"]] = pa.array(names, part.schema.field("dec_items").type)
-                    yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
-
-        out = out.mapInArrow(run, out.schema)
-    return out
+
+    def run(batches):
+        held, phrases = -1, None  # a single block is read once a task
+        for batch in batches:
+            for begin, end in slices(batch.column(text_col), SHARD_BYTES):
+                part = batch.slice(begin, end - begin)
+                spans: dict[int, list] = defaultdict(list)
+                items: dict[int, set[str]] = defaultdict(set)
+                for block in range(n):
+                    if block != held:
+                        held, phrases = block, Phrases(read_block(uri, block), window)
+                    counts, found, named = search_shard(part.column(text_col), phrases)
+                    for r, s in found.items():
+                        spans[r] += s
+                    for r, s in named.items():
+                        items[r] |= s
+                hits = [[dict(zip(("word_start", "word_end", "char_start", "char_end"), x, strict=True)) for x in merged(spans[r])] if r in spans else [] for r in range(part.num_rows)]
+                names = [sorted(items[r]) if r in items else [] for r in range(part.num_rows)]
+                at = {c: i for i, c in enumerate(part.schema.names)}
+                columns = list(part.columns)
+                for c, values in (("dec_words", counts), ("dec_hits", hits), ("dec_items", names)):
+                    columns[at[c]] = pa.array(values, part.schema.field(c).type)
+                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+    return out.mapInArrow(run, out.schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
