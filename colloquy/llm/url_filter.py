@@ -2,8 +2,8 @@
 
 The trees see lexical features only: lengths, depth, digit ratio, entropy,
 parameter counts and the share of bad pages on other hosts of the suffix. Labels
-come with the URLs, or from what the pages hold: a page whose visible text is
-strewn with symbols marks its URL as bad. No word of the URL labels anything.
+come with the URLs, or from what the pages hold: a page that is strewn with
+symbols marks its URL as bad. No word of the URL labels anything.
 
 Suffix statistics count every labelled URL outside the held-out hosts, each host
 once; the trees are fitted on a bounded sample of these. A fifth of all hosts is
@@ -30,8 +30,8 @@ RULES = [
 ]
 #: Rows of the sample that the trees are fitted on, about; everything else covers all rows.
 TRAIN_ROWS = 20_000
-#: A page with a greater share of SYMBOLS in its visible text is bad.
-NOISE, SYMBOLS = 0.05, "#$%*+=@^_|~{}[]\\<>"
+#: A page that, scripts and styles aside, has a greater share of SYMBOLS is bad. None of them belongs to markup.
+NOISE, SYMBOLS = 0.03, "$%*+@^|~"
 #: Hosts that a suffix has besides its own, all of the average rate.
 PRIOR = 5.0
 FEATURES = ["f_url_len", "f_host_len", "f_path_len", "f_depth", "f_digits", "f_entropy", "f_params", "f_labels", "f_hyphens", "f_longest_label", "f_suffix"]
@@ -95,12 +95,11 @@ def lexical(df: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 def page_labels(pages: DataFrame) -> DataFrame:
-    """(page_id, url, label) of pages (page_id, url, html): 1 if the visible text is strewn with symbols. Pages without text have a null label."""
-    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    bare = F.regexp_replace(html, r"(?is)<(script|style)[ >].*?</\1>|<[^>]*>|&[a-zA-Z#0-9]+;|\s+", "")
-    rest = F.length(F.translate("bare", SYMBOLS, ""))
-    label = F.when(F.length("bare") > 0, ((F.length("bare") - rest) > NOISE * F.length("bare")).cast("int"))
-    return pages.select("page_id", "url", bare.alias("bare")).select("page_id", "url", label.alias("label"))
+    """(page_id, url, label) of pages (page_id, url, html): 1 if the page is strewn with symbols. Pages with nothing but scripts have a null label."""
+    rest = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"(?is)<(script|style)[ >].*?</\1>", "")
+    plain = F.length(F.translate("rest", SYMBOLS, ""))
+    label = F.when(F.length("rest") > 0, ((F.length("rest") - plain) > NOISE * F.length("rest")).cast("int"))
+    return pages.select("page_id", "url", rest.alias("rest")).select("page_id", "url", label.alias("label"))
 
 
 def held_out(host: Column) -> Column:
