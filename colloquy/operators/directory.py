@@ -210,3 +210,27 @@ def replace_projection(stored: DataFrame, incoming: DataFrame, scope: str, key:
     both = stored.select(scope, key, F.col(value).alias("old"), F.lit(True).alias("was")).join(incoming.select(scope, key, F.col(value).alias("new"), F.lit(True).alias("now")), [scope, key], "full").join(touched, scope, "left")
     outcome = F.when(F.col("touched").isNull(), "kept").when(F.col("now").isNull(), "deleted").when(F.col("was").isNull(), "inserted").when(F.col("old").eqNullSafe(F.col("new")), "unchanged").otherwise("updated")
     return both.select(scope, key, F.when(F.col("now").isNotNull(), F.col("new")).otherwise(F.col("old")).alias(value), outcome.alias("outcome"))
+
+
+def reset_campaigns(pages: DataFrame, timeline: DataFrame, campaigns: DataFrame) -> DataFrame:
+    """(table, id, campaign) of the pages (id, campaign) and timeline entries of campaigns that are reset: what is deleted, and for pages taken out of the index."""
+    gone = campaigns.select("campaign").distinct()
+    of = lambda df, name: df.join(gone, "campaign", "left_semi").select(F.lit(name).alias("table"), "id", "campaign")
+    return of(pages, "pages").union(of(timeline, "timeline"))
+
+
+def reload_questions(stored: DataFrame, moments: DataFrame, kinds: list[str]) -> DataFrame:
+    """(session_id, question, kind, refs): stored questions (session_id, question, kind, utterances) of kinds still asked, with the references of their utterances (session_id, utterance, ref) in order; those of which none is left go."""
+    targets = stored.filter(F.col("kind").isin(*kinds)).select("session_id", "question", "kind", F.posexplode("utterances").alias("pos", "utterance"))
+    rows = targets.join(moments, ["session_id", "utterance"])
+    return rows.groupBy("session_id", "question", "kind").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ref"))), lambda x: x["ref"]).alias("refs"))
+
+
+def gated_participants(events: DataFrame, statuses: DataFrame, confident: list[str]) -> DataFrame:
+    """events (event, participants, refs) whose participants stay only if all references are confident; raw labels never do."""
+    from colloquy.functions.text import is_raw_label
+    from colloquy.operators.wiki import gate
+
+    verdicts = gate(events.select(F.col("event").alias("fact"), "refs"), statuses, confident).select(F.col("fact").alias("event"), "verdict")
+    named = F.filter("participants", lambda p: ~is_raw_label(p))
+    return events.join(verdicts, "event").select("event", F.when(F.col("verdict") == "kept", named).otherwise(F.array().cast("array<string>")).alias("participants"))

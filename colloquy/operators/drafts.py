@@ -210,3 +210,69 @@ def apply_set(pages: DataFrame, changes: DataFrame, relations: DataFrame, existi
     report = report.union(row(judged, "change", "change", F.when(F.col("ok"), F.concat(F.lit("new:"), F.col("change").cast("string"))), F.when(F.col("ok"), "created").otherwise("clash")))
     report = report.union(row(placed, "timeline", "change", F.col("page"), F.when(F.col("page").isNull(), "no_page").otherwise("written")))
     return after, report.union(row(ends, "relation", "relation", F.col("to"), verdict))
+
+
+#: How a name may match a page, best first, and relations that outlast a session.
+TIERS = ["same_name", "same_entity", "related"]
+DURABLE = ["member_of", "allied_with", "led_by", "owner"]
+
+
+def matches(entities: DataFrame, pages: DataFrame, least: float = 0.84) -> DataFrame:
+    """(entity, page, tier, same_kind) of entities (entity, kind, name) and pages (page, kind, title, status) that aren't archived, by their names."""
+    from colloquy.operators.resolve import fuzzy_matches, sorted_tokens
+
+    live = pages.filter("status <> 'archived'")
+    tiers = fuzzy_matches(entities.select("name"), live.select(F.col("title").alias("name")), least)
+    own = entities.select("entity", F.col("kind").alias("_kind"), sorted_tokens(F.col("name")).alias("a"))
+    theirs = live.select("page", "kind", sorted_tokens(F.col("title")).alias("b"))
+    return tiers.join(own, "a").join(theirs, "b").select("entity", "page", "tier", (F.col("_kind") == F.col("kind")).alias("same_kind"))
+
+
+def route(entities: DataFrame, found: DataFrame) -> DataFrame:
+    """entities with route and page: update the page that documents them, skip where a page of another kind has the very name, else draft a page, linked (page) to one whose name it echoes.
+
+    The best tier decides, of pages of the own kind first, then the smaller page.
+    """
+    tier = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.col("tier"))
+    best = found.groupBy("entity").agg(F.min(F.struct((~F.col("same_kind")).alias("other"), tier.alias("t"), "page")).alias("m"))
+    m = F.col("m")
+    way = F.when(m.isNotNull() & ~m["other"] & (m["t"] < 3), "update").when(m.isNotNull() & m["other"] & (m["t"] == 1), "skip").otherwise("draft")
+    return entities.join(best, "entity", "left").select(*entities.columns, way.alias("route"), F.col("m.page").alias("page"))
+
+
+def draft_links(routed: DataFrame, relations: DataFrame) -> DataFrame:
+    """(entity, page, type): the links of a session's drafts: possible_duplicate to what a drafted name echoes, and those of relations (entity, page, type) that last."""
+    echo = routed.filter("route = 'draft' AND page IS NOT NULL").select("entity", "page", F.lit("possible_duplicate").alias("type"))
+    kept = relations.filter(F.col("type").isin(*DURABLE)).join(routed.filter("route <> 'skip'").select("entity"), "entity", "left_semi").select("entity", "page", "type")
+    return echo.unionByName(kept).distinct()
+
+
+def event_entries(routed: DataFrame) -> DataFrame:
+    """(page, title, summary, date, create): the timeline entry of every event (entity, name, description, date) that is drafted or updates a page; without a description the name tells it."""
+    told = F.trim(F.coalesce("description", F.lit("")))
+    return routed.filter("route <> 'skip'").select(F.when(F.col("route") == "update", F.col("page")).alias("page"), F.col("name").alias("title"), F.when(told != "", told).otherwise(F.col("name")).alias("summary"), "date", (F.col("route") == "draft").alias("create"))
+
+
+def carried_places(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(session_id, i, place): the places of a rewritten narrative's blocks (session_id, i, text), from the blocks before (session_id, i, text, place).
+
+    Blocks are aligned by their text, whatever its case and space: equal ones keep
+    their place, of reworded stretches the first ones do, inserted ones have none. A
+    narrative is one task; only its blocks' texts are compared.
+    """
+    from difflib import SequenceMatcher
+
+    import pandas as pd
+
+    kind = fresh.schema["session_id"].dataType.simpleString()
+    key = lambda t: " ".join(str(t or "").split()).casefold()
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        a, b = a.sort_values("i"), b.sort_values("i")
+        places = [""] * len(b)
+        for tag, a1, a2, b1, b2 in SequenceMatcher(None, [key(t) for t in a["text"]], [key(t) for t in b["text"]], autojunk=False).get_opcodes():
+            for k in range(min(a2 - a1, b2 - b1) if tag in ("equal", "replace") else 0):
+                places[b1 + k] = a["place"].iloc[a1 + k] or ""
+        return pd.DataFrame({"session_id": b["session_id"], "i": b["i"].astype("int32"), "place": places})
+
+    return stored.groupBy("session_id").cogroup(fresh.groupBy("session_id")).applyInPandas(run, f"session_id {kind}, i int, place string")

@@ -348,3 +348,42 @@ def review_plan(potentials: DataFrame, graph: DataFrame, asked: DataFrame, stake
         return pd.DataFrame(out or [(pdf["session_id"].iloc[0], 0, None, None, 0.0, float((weight * _entropy(belief.p)).sum()), ended)], columns=columns)
 
     return nodes.unionByName(ties).unionByName(qs).groupBy("session_id").applyInPandas(run, f"session_id {kind}, step int, prompt string, answer string, gain double, entropy double, ended string")
+
+
+def calibrated(points: DataFrame, samples: DataFrame, least: int = 30, tighten: float = 1.0) -> DataFrame:
+    """(campaign, x, log_lr, fitted) of similarities x: the log ratio of two kernel densities, of pairs of one voice and of two (campaign, same, s), with the mean of Silverman's bandwidths.
+
+    A campaign with fewer than ``least`` samples of either has the ramp instead.
+    tighten under 1 makes everything count less: clips, and the ramp's slope.
+    """
+    h = E.bandwidth(samples, ["campaign", "same"], "s").groupBy("campaign").agg(F.greatest(F.lit(E.MIN_BANDWIDTH), F.avg("bandwidth")).alias("h"), F.min("n").alias("n"), F.count(F.lit(1)).alias("sides"))
+    fitted = h.filter((F.col("sides") == 2) & (F.col("n") >= least)).select("campaign", "h")
+    counted = samples.groupBy("campaign", "same", "s").agg(F.count(F.lit(1)).alias("n"))
+    z = (F.col("x") - F.col("s")) / F.col("h")
+    dense = points.join(fitted, "campaign").join(counted, "campaign").groupBy("campaign", "x", "same").agg((F.sum(F.col("n") * F.exp(-0.5 * z * z)) / F.sum("n")).alias("d"))
+    log = lambda same: F.log(F.greatest(F.max(F.when(F.col("same") == same, F.col("d"))), F.lit(1e-12)))
+    ratio = dense.groupBy("campaign", "x").agg((log(True) - log(False)).alias("r"))
+    clip = E.CLIP * tighten
+    value = F.coalesce("r", E.SLOPE * tighten * (F.col("x") - E.MIDPOINT))
+    return points.join(ratio, ["campaign", "x"], "left").select("campaign", "x", clamp(value, -clip, clip).alias("log_lr"), F.col("r").isNotNull().alias("fitted"))
+
+
+def split_labels(obs: DataFrame, least: int = 6, side: int = 3, seed: int = 20240914) -> DataFrame:
+    """(session_id, label, ref, side): a label's observations as two voices (0, 1), or all of them as 0 if there are fewer than six or a side has fewer than three."""
+    from colloquy.operators.kernels import _units, kmeans
+
+    session, label, ref = (obs.schema[c].dataType.simpleString() for c in ("session_id", "label", "ref"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ref")
+        sides = np.array(kmeans(_units(pdf["vector"]), 2, restarts=25, seed=seed)) if len(pdf) >= least else np.zeros(len(pdf), int)
+        if min((sides == 0).sum(), (sides == 1).sum()) < side:
+            sides = np.zeros(len(pdf), int)
+        return pd.DataFrame({"session_id": pdf["session_id"], "label": pdf["label"], "ref": pdf["ref"], "side": sides})
+
+    return obs.select("session_id", "label", "ref", "vector").groupBy("session_id", "label").applyInPandas(run, f"session_id {session}, label {label}, ref {ref}, side int")
+
+
+def own_cosine(hits: DataFrame, speakers: DataFrame) -> DataFrame:
+    """(session_id, ref, cosine): how alike an observation is to the best print of whom it is given to (session_id, ref, candidate)."""
+    return hits.join(speakers, ["session_id", "ref", "candidate"]).groupBy("session_id", "ref").agg(F.max("cosine").alias("cosine"))

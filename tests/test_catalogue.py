@@ -122,6 +122,53 @@ def purity(spark, rows):
     assert {(r.session_id, r.label): (r.purity, r.reason) for r in rows} == {k: (round(p, 3), why) for k, (p, why) in want.items()}
 
 
+def label_splits(spark, rows):
+    want = {}
+    for s, (own, x) in by_session(spark).items():
+        for label in {r.label for r in own}:
+            at = [i for i, r in enumerate(own) if r.label == label]
+            sides = K.kmeans(x[at], 2, restarts=25, seed=20240914) if len(at) >= 6 else [0] * len(at)
+            if min(sides.count(0), sides.count(1)) < 3:
+                sides = [0] * len(at)
+            want |= {(s, own[i].ref): side for i, side in zip(at, sides, strict=True)}
+    assert {(r.session_id, r.ref): r.side for r in rows} == want
+
+
+def page_matches(spark, rows):
+    parts = spark.read.parquet(f"{SF}/part.parquet").collect()
+    key = lambda n: " ".join(sorted(n.split()))
+    tiers, want = {}, defaultdict(lambda: [0, 0])
+
+    def tier(a, b):
+        ratio, x, y = SequenceMatcher(None, a, b).ratio(), set(a.split()), set(b.split())
+        return "same_name" if a == b else "same_entity" if ratio >= 0.84 else "related" if x <= y or y <= x or (ratio >= 0.78 and x & y) else None
+
+    for e, p in itertools.product(parts, parts):
+        if not 5 < p.p_size <= 45:
+            continue
+        pair = key(e.p_name + "s" if e.p_partkey % 2 == 0 else e.p_name), key(p.p_name)
+        if pair not in tiers:
+            tiers[pair] = tier(*pair)
+        if tiers[pair]:
+            cell = want[tiers[pair], e.p_type == p.p_type]
+            cell[0] += 1
+            cell[1] += e.p_partkey * 31 + p.p_partkey
+    assert {(r.tier, r.same_kind): [r.n, r["pairs"]] for r in rows} == dict(want)
+
+
+def carried_places(spark, rows):
+    got = {(r.session_id, r.i): r.place for r in rows}
+    for d in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        lines = d.text.split("\n")
+        fresh = [(i, t + " again" if i % 4 == 3 else t) for i, t in enumerate(lines) if i % 7 != 6]
+        keys = [" ".join(t.split()).casefold() for _, t in fresh]
+        whole_ = [" ".join(t.split()).casefold() for t in lines]
+        for k, (i, _) in enumerate(fresh):
+            if whole_.count(keys[k]) == 1 and keys.count(keys[k]) == 1 and i % 4 != 3:
+                assert got[d.doc_id, i] == f"p{i}"  # an untouched line that is told once keeps its place
+        assert {i for s, i in got if s == d.doc_id} == {i for i, _ in fresh}
+
+
 def whole(*columns, least=1):
     """Rows are told apart by these columns, and there are some; what the operator does is tested elsewhere."""
 
@@ -133,7 +180,7 @@ def whole(*columns, least=1):
 
 
 PLAIN = {
-    "approx_distinct": approx_distinct, "conflict_matching": conflict_matching, "unify_names": unify_names, "fuzzy_match": fuzzy_match, "bp_posteriors": bp_posteriors, "upgma": upgma, "kmeans": kmeans, "purity": purity,
+    "approx_distinct": approx_distinct, "conflict_matching": conflict_matching, "unify_names": unify_names, "fuzzy_match": fuzzy_match, "bp_posteriors": bp_posteriors, "upgma": upgma, "kmeans": kmeans, "purity": purity, "label_splits": label_splits, "page_matches": page_matches, "carried_places": carried_places,
     # against plain versions in test_views, test_planning and test_functions
     "sampled_lines": whole("session_id", "i", least=500), "linked_mentions": whole("text", least=50), "capability_contradiction": whole("session_id", "label", least=10), "channel_weights": whole("campaign", "channel", least=30),
     "review_plans": whole("session_id", "step", least=20), "text_keys": whole("p_partkey", least=150), "name_counts": whole("doc_id", least=200), "renamed_beats": whole("p_name", least=50), "audio_measures": whole("vec_id", least=500),
