@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -140,7 +141,10 @@ def upsert_assignments(stored: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def patch_items(current: DataFrame, patch: DataFrame) -> DataFrame:
-    """Items (id, text) after a patch (op, id, text): updates and removals by id, additions at the end; unknown ids do nothing."""
+    """Items (id, text) after a patch (op, id, text): updates and removals by id, additions at the end; unknown ids do nothing (``drafts.resolve_patch`` names them).
+
+    A patch has no order: of two updates of one id the greater text counts, and a removal before both.
+    """
     ops = patch.filter("op IN ('update', 'remove')").groupBy("id").agg(F.max(F.col("op") == "remove").alias("gone"), F.max(F.when(F.col("op") == "update", F.col("text"))).alias("new"))
     kept = current.join(ops, "id", "left").filter(~F.coalesce("gone", F.lit(False))).select("id", F.coalesce("new", "text").alias("text"))
     return kept.union(patch.filter("op = 'add'").select("id", "text"))
@@ -242,19 +246,23 @@ def corroboration(evidence: DataFrame, best: DataFrame) -> DataFrame:
 def greedy_groups(lines: DataFrame, max_tokens: int, max_items: int | None = None) -> DataFrame:
     """Lines (session_id, idx, tokens) in order into groups within both bounds; a line over the bound is a group by itself.
 
-    Where a group ends decides where the next begins, so a session's token counts are folded in order.
+    Where a group ends decides where the next begins, so a session is walked in one
+    task; only its token counts go there.
     """
     most = max_items or (1 << 30)
-    start = F.struct(F.lit(0).alias("group"), F.lit(0).cast("long").alias("used"), F.lit(0).alias("n"), F.array().cast("array<struct<idx:bigint,group:int>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        full = (a["n"] > 0) & ((a["used"] + x["tokens"] > max_tokens) | (a["n"] >= most))
-        group = F.when(full, a["group"] + 1).otherwise(a["group"])
-        placed = F.array(F.struct(x["idx"].cast("long").alias("idx"), group.alias("group")))
-        return F.struct(group.alias("group"), (F.when(full, F.lit(0)).otherwise(a["used"]) + x["tokens"]).cast("long").alias("used"), (F.when(full, 0).otherwise(a["n"]) + 1).alias("n"), F.concat(a["out"], placed).alias("out"))
 
-    ordered = lines.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("idx", "tokens"))).alias("lines"))
-    return ordered.select("session_id", F.explode(F.aggregate("lines", start, step, lambda a: a["out"])).alias("r")).select("session_id", "r.idx", "r.group")
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["idx", "tokens"])
+        group, used, n, groups = 0, 0, 0, []
+        for tokens in pdf["tokens"]:
+            if n and (used + tokens > max_tokens or n >= most):
+                group, used, n = group + 1, 0, 0
+            used, n = used + tokens, n + 1
+            groups.append(group)
+        return pd.DataFrame({"session_id": pdf["session_id"], "idx": pdf["idx"], "group": groups})
+
+    kind = lines.schema["session_id"].dataType.simpleString()
+    return lines.select("session_id", F.col("idx").cast("long").alias("idx"), "tokens").groupBy("session_id").applyInPandas(walk, f"session_id {kind}, idx long, group int")
 
 
 def rewrite_segments(transcript: DataFrame, refined: DataFrame) -> DataFrame:

@@ -209,15 +209,20 @@ def scene_of(moments: DataFrame, scenes: DataFrame, width: int = 64) -> DataFram
     """Per moment (session_id, ordinal) the first scene (idx, first, last; both ends count) that covers it, else that with the nearest end.
 
     Scenes are dealt to bins of ``width`` ordinals, so covering is an equality
-    join with a small rest; only moments without cover look at all scenes of
-    their session.
+    join with a small rest. A moment without cover lies between scenes: of the ends
+    before it and the beginnings after it, windows find the nearest.
     """
     binned = scenes.withColumn("_bin", F.explode(F.sequence((F.col("first") / width).cast("int"), (F.col("last") / width).cast("int"))))
     m = moments.select("session_id", "ordinal").distinct().withColumn("_bin", (F.col("ordinal") / width).cast("int"))
     covered = m.join(binned, ["session_id", "_bin"]).filter("ordinal BETWEEN first AND last").groupBy("session_id", "ordinal").agg(F.min("idx").alias("scene"))
     bare = m.select("session_id", "ordinal").join(covered, ["session_id", "ordinal"], "left_anti")
-    away = F.least(F.abs(F.col("ordinal") - F.col("first")), F.abs(F.col("ordinal") - F.col("last")))
-    near = bare.join(scenes, "session_id").groupBy("session_id", "ordinal").agg(F.min_by("idx", F.struct(away.alias("a"), "idx")).alias("scene"))
+    edge = lambda c, before: scenes.groupBy("session_id", F.col(c).alias("at")).agg(F.min("idx").alias("idx")).withColumn("before", F.lit(before))
+    asked = bare.select("session_id", F.col("ordinal").alias("at"), F.lit(None).cast(scenes.schema["idx"].dataType).alias("idx"), F.lit(None).cast("boolean").alias("before"))
+    w = Window.partitionBy("session_id").orderBy("at")
+    one = lambda before: F.when(F.col("before") == before, F.struct("at", "idx"))
+    seen = asked.unionByName(edge("last", True)).unionByName(edge("first", False)).withColumns({"a": F.last(one(True), True).over(w.rowsBetween(Window.unboundedPreceding, 0)), "b": F.first(one(False), True).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    sides = F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col("at") - F.col(f"{c}.at")).alias("away"), F.col(f"{c}.idx").alias("idx"))) for c in ("a", "b")]), lambda x: x.isNotNull())
+    near = seen.filter("before IS NULL").select("session_id", F.col("at").alias("ordinal"), F.array_min(sides)["idx"].alias("scene")).filter("scene IS NOT NULL")
     return covered.unionByName(near)
 
 
