@@ -105,12 +105,22 @@ def parse(formatted: Column) -> Column:
     return F.transform(parts, turn)
 
 
+#: Characters of a streamed delta.
+DELTA = 1000
+
+
 def events_of(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as a log: each row streams one message, repeated rows one each."""
-    rows = conversations.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
-    copies = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("copy"))
-    message = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.sha1(F.coalesce("text", F.lit(""))).alias("text"), F.col("text").isNull().alias("none"), F.col("role").isNull().alias("no_role"), "copy")
-    return copies.select("conv_id", message.alias("message_id"), F.col("turn").alias("seq"), F.lit("delta").alias("kind"), "role", "text")
+    """Rows (conv_id, turn, role, text) as a log: each row streams one message in deltas of DELTA characters, repeated rows one each.
+
+    Messages are numbered within their conversation, by turn, role and text, so that
+    folding and rendering need no other shuffle. A null turn comes first.
+    """
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))))
+    rows = conversations.select("conv_id", "role", "text", number.cast("long").alias("message_id"))
+    parts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(F.coalesce("text", F.lit(""))) / DELTA).cast("int") - 1))
+    deltas = rows.select("*", F.explode(parts).alias("part"))
+    piece = F.substring("text", F.col("part") * DELTA + 1, F.lit(DELTA))
+    return deltas.select("conv_id", "message_id", (F.shiftleft("message_id", 20) + F.col("part")).alias("seq"), F.lit("delta").alias("kind"), "role", piece.alias("text"))
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

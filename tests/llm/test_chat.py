@@ -48,3 +48,15 @@ def test_repeated_rows_and_nulls_are_turns_of_their_own(spark):
 def test_sql(spark):
     sf = "/root/testdata/sf0.001"
     same(chat.op4_chat_format(spark, sf), connection(sf), chat.OP4_SQL)
+
+
+def test_long_texts_stream_in_deltas(spark):
+    """Texts of many deltas, ties, repeated rows and columns with clashing names come back as they were."""
+    long = "é### </turn>\\b" * 700
+    rows = [(1, 0, "user", long, "x", 1), (1, 1, "assistant", long[::-1], "x", 2), (1, 1, "assistant", "tie", "x", 3), (1, 1, "assistant", "tie", "x", 4), (2, None, None, None, None, None), (2, 0, "user", "", None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, seq string, message_id int")
+    events = chat.events_of(df)
+    assert events.groupBy("conv_id", "message_id").count().agg({"count": "max"}).first()[0] == -(-len(long) // chat.DELTA)
+    out = {r.conv_id: r for r in chat.render(chat.fold(events)).select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns")).collect()}
+    assert [(t.role, t.text) for t in out[1].turns] == [("user", long), *sorted([("assistant", "tie"), ("assistant", "tie"), ("assistant", long[::-1])])]
+    assert [(t.role, t.text) for t in out[2].turns] == [("", ""), ("user", "")]
