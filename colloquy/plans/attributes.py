@@ -100,7 +100,7 @@ def filler_blanked(spark, sf_dir):
 
 def evidence_items(spark, sf_dir):
     e = A.table(spark, sf_dir, "events")
-    item = F.when(F.col("event_id") % 13 == 0, "no json").otherwise(F.concat(F.lit('{"ref": "u_'), (F.col("event_id") % 40).cast("string"), F.lit('", "kind": "'), "event_type", F.lit('", "stakes": '), F.when(F.col("event_id") % 7 == 0, F.lit('"high"')).otherwise(F.round(F.col("value") / 50, 2).cast("string")), F.lit("}")))
+    item = F.when(F.col("event_id") % 13 == 0, "no json").otherwise(F.concat(F.lit('{"ref": "u_'), (F.col("event_id") % 40).cast("string"), F.lit('", "kind": "'), "event_type", F.lit('", "stakes": '), F.when(F.col("event_id") % 7 == 0, F.lit('"high"')).otherwise((F.floor("value") / 64).cast("string")), F.lit("}")))
     return T.evidence_items(e.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("pos"), item.alias("item")), ["view", "click"]).select("session_id", "ref", "kind", F.round("stakes", 4).alias("stakes"))
 
 
@@ -149,7 +149,7 @@ ORACLES = {
       SELECT page, member, 'class:' || lower(p_type) AS capability, 0.9::DOUBLE AS confidence FROM n UNION ALL SELECT page, member, 'class:' || lower(p_brand), 0.9 FROM n WHERE p_size <= 25 UNION ALL SELECT page, member, 'feature:' || lower(unnest(string_split(p_name, ' '))), 0.7 FROM n""",
     "names_excluded": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')",
     "filler_blanked": """WITH e AS (SELECT ['', ' In this chunk he speaks.', 'the party enters', 'A city by the sea', 'Qualcuno bussa.'][event_id % 5 + 1] AS text FROM events) SELECT text, text IN ('the party enters', 'Qualcuno bussa.') AS party, text IN ('', ' In this chunk he speaks.') AS blank, count(*) AS n FROM e GROUP BY 1, 2, 3""",
-    "evidence_items": """SELECT user_id AS session_id, 'u_' || (event_id % 40) AS ref, CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'other' END AS kind, round(CASE WHEN event_id % 7 = 0 THEN 0.5 ELSE least(1, greatest(0, round(value / 50, 2))) END, 4) AS stakes FROM events WHERE event_id % 13 <> 0
+    "evidence_items": """SELECT user_id AS session_id, 'u_' || (event_id % 40) AS ref, CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'other' END AS kind, round(CASE WHEN event_id % 7 = 0 THEN 0.5 ELSE least(1, greatest(0, floor(value) / 64)) END, 4) AS stakes FROM events WHERE event_id % 13 <> 0
       QUALIFY row_number() OVER (PARTITION BY user_id, event_id % 40 ORDER BY event_id DESC) = 1""",
     "voice_readings": """WITH e AS (SELECT user_id AS session_id, event_id AS pos, 'SPEAKER_0' || (event_id % 4) AS label, event_id % 23 = 0 AS narrator, CASE event_id % 6 WHEN 0 THEN 'Ada' WHEN 4 THEN 'Bo' END AS name FROM events), g AS (SELECT session_id, label, bool_or(narrator) AS narrator, arg_max(name, pos) FILTER (name IS NOT NULL) AS name FROM e GROUP BY 1, 2)
       SELECT session_id, label, narrator, CASE WHEN NOT narrator THEN name END AS character FROM g""",
