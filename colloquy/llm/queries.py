@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from colloquy.llm.bpe import op13_bpe
 from colloquy.llm.chat import OP4_SQL, op4_chat_format
 from colloquy.llm.decontaminate import OP10_SQL, op10_decontaminate
 from colloquy.llm.exact_dedup import OP7_SQL, op7_exact_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
+    "op13_bpe": op13_bpe,
 }
 ORACLES = {
     "op2_near_dedup": OP2_SQL,
