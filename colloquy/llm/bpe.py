@@ -18,6 +18,7 @@ import json
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from hashlib import sha256
 from itertools import accumulate
 
@@ -33,7 +34,7 @@ from colloquy.llm.kernels import slices
 TOKENIZER = "byte_bpe_50k.json"
 SLICE_BYTES = 8 << 20
 #: Words that a task keeps with their ids, and the longest of them in characters.
-KEPT_WORDS, KEPT_CHARS = 400_000, 40
+KEPT_WORDS, KEPT_CHARS = 800_000, 40
 
 # How a byte-level tokenizer splits a text into words.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -76,6 +77,30 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(moved)}
 
 
+class Tokens(dict):
+    """The bytes of each id; an id that the vocabulary lacks has none."""
+
+    def __missing__(self, i: int) -> bytes:
+        return b""
+
+
+class Known(dict):
+    """The packed ids of words that a task has met; it starts anew when it is full."""
+
+    def __init__(self, bpe: Bpe):
+        super().__init__()
+        self.bpe = bpe
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.bpe.merged(word.encode())
+        ids = struct.pack(f"<{len(found)}I", *found)
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Bpe:
     """A tokenizer file's vocabulary and merges. Only byte-level BPE without a normaliser is read."""
 
@@ -93,36 +118,37 @@ class Bpe:
         vocabulary, byte = file["model"]["vocab"], byte_of()
         self.symbol = [vocabulary[c] for c, _ in sorted(byte.items(), key=lambda x: x[1])]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in file["model"]["merges"]]
-        self.merge = {(vocabulary[a], vocabulary[b]): (rank, vocabulary[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.rank = {vocabulary[a] << 20 | vocabulary[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.made = [vocabulary[a + b] for a, b in pairs]
         self.tokens = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in vocabulary.items()}
         added = {t["content"]: t["id"] for t in file["added_tokens"]}
-        self.tokens |= {i: t.encode() for t, i in added.items()}
+        self.tokens = Tokens(self.tokens | {i: t.encode() for t, i in added.items()})
         self.specials = added if specials else {}
         self._cut = re.compile("(" + "|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))) + ")") if self.specials else None
-        self._known: dict[str, bytes] = {}
+        self._known = Known(self)
 
     def merged(self, word: bytes) -> list[int]:
         """The ids of one word."""
-        ids = [self.symbol[b] for b in word]
-        n, merge = len(ids), self.merge
-        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
-        queue = [m[0] << 32 | i for i in range(n - 1) if (m := merge.get((ids[i], ids[i + 1])))]
+        ids = [*map(self.symbol.__getitem__, word), -1]  # no pair with -1 has a rank: it ends the list, and stands where a symbol left it
+        n, rank_of, made = len(ids) - 1, self.rank.get, self.made
+        queue = [r << 32 | i for i in range(n - 1) if (r := rank_of(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(queue)
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
         while queue:
-            rank, i = divmod(heapq.heappop(queue), 1 << 32)
-            j = right[i]
-            found = merge.get((ids[i], ids[j])) if j < n else None
-            if found is None or found[0] != rank:
+            entry = heapq.heappop(queue)
+            rank, i = entry >> 32, entry & 0xFFFFFFFF
+            j = right[i] if ids[i] >= 0 else n
+            if rank_of(ids[i] << 20 | ids[j]) != rank:
                 continue  # stale: one of the two has merged meanwhile
-            ids[i], ids[j] = found[1], -1
+            ids[i], ids[j] = made[rank], -1
             right[i] = after = right[j]
             if after < n:
                 left[after] = i
-                if m := merge.get((ids[i], ids[after])):
-                    heapq.heappush(queue, m[0] << 32 | i)
+                if (r := rank_of(ids[i] << 20 | ids[after])) is not None:
+                    heapq.heappush(queue, r << 32 | i)
             before = left[i]
-            if before >= 0 and (m := merge.get((ids[before], ids[i]))):
-                heapq.heappush(queue, m[0] << 32 | before)
+            if before >= 0 and (r := rank_of(ids[before] << 20 | ids[i])) is not None:
+                heapq.heappush(queue, r << 32 | before)
         return [x for x in ids if x >= 0]
 
     def encode(self, text: str) -> np.ndarray:
@@ -132,26 +158,18 @@ class Bpe:
             if k % 2:
                 out.append(struct.pack("<I", self.specials[part]))
             else:
-                self._encode(part, out)
+                out.extend(map(self._known.__getitem__, words(part)))
         return np.frombuffer(b"".join(out), "<u4")
 
-    def _encode(self, text: str, out: list[bytes]) -> None:
-        known = self._known
-        for word in words(text):
-            ids = known.get(word)
-            if ids is None:
-                found = self.merged(word.encode())
-                ids = struct.pack(f"<{len(found)}I", *found)
-                if len(word) <= KEPT_CHARS:
-                    if len(known) >= KEPT_WORDS:
-                        known.clear()
-                    known[word] = ids
-            out.append(ids)
-
     def decode(self, ids: Iterable[int]) -> str:
         """The text of ids. What isn't UTF-8 becomes U+FFFD, ids that the vocabulary lacks are left out."""
-        get = self.tokens.get
-        return b"".join([get(i, b"") for i in ids]).decode("utf-8", "replace")
+        return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
+
+
+@lru_cache(2)
+def loaded(path: str | None, specials: bool) -> Bpe:
+    """A worker reads a tokenizer once for all its tasks."""
+    return Bpe(path, specials)
 
 
 def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -161,7 +179,7 @@ def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBa
 
 def encode_batches(batches: Iterator[pa.RecordBatch], text_col: str, ids_col: str, tokenizer: str | None, specials: bool) -> Iterator[pa.RecordBatch]:
     """Fills ids_col from text_col, in slices of bounded bytes."""
-    bpe = Bpe(tokenizer, specials)
+    bpe = loaded(tokenizer, specials)
     for batch in batches:
         for a, b in slices(batch.column(text_col), SLICE_BYTES):
             part = batch.slice(a, b - a)
@@ -172,10 +190,10 @@ def encode_batches(batches: Iterator[pa.RecordBatch], text_col: str, ids_col: st
 
 def decode_batches(batches: Iterator[pa.RecordBatch], ids_col: str, text_col: str, tokenizer: str | None) -> Iterator[pa.RecordBatch]:
     """Fills text_col from ids_col."""
-    bpe = Bpe(tokenizer)
+    bpe = loaded(tokenizer, True)
     for batch in batches:
         ids = batch.column(ids_col)
-        texts = [None if not x.is_valid else bpe.decode(x.values.to_pylist()) for x in ids]
+        texts = [None if not x.is_valid else bpe.decode(x.values.to_numpy(zero_copy_only=False).tolist()) for x in ids]
         yield _replaced(batch, text_col, pa.array(texts, pa.string()))
 
 

@@ -46,9 +46,9 @@ def test_plain_merging(own):
     for _ in range(400):
         word = "".join(source.choices("aeinorst ", k=source.randint(1, 30))).encode()
         ids = [own.symbol[b] for b in word]
-        while found := min(((own.merge[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in own.merge), default=None):
+        while found := min(((own.rank[a << 20 | b], i) for i, (a, b) in enumerate(zip(ids, ids[1:])) if a << 20 | b in own.rank), default=None):
             i = found[1]
-            ids[i : i + 2] = [own.merge[ids[i], ids[i + 1]][1]]
+            ids[i : i + 2] = [own.made[found[0]]]
         assert own.merged(word) == ids
 
 
