@@ -11,6 +11,7 @@ from colloquy.llm.licences import op3_licence_scan
 from colloquy.llm.near_dedup import OP2_SQL, op2_near_dedup
 from colloquy.llm.packing import op9_packing
 from colloquy.llm.quality import op8_quality
+from colloquy.llm.resampling import op11_resampling
 from colloquy.llm.url_filter import op6_url_filter
 from colloquy.llm.warc import OP5_SQL, op5_warc
 
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
+    "op11_resampling": op11_resampling,
     "op13_bpe": op13_bpe,
 }
 ORACLES = {
