@@ -29,7 +29,7 @@ from colloquy.operators.ordering import ranked
 BUCKETS = 10_000
 LEAST_WORDS, PERCENT, SEED = 20, 25, 7
 #: Bytes of text that DuckDB gets at once, characters at which a text is cut in pieces, memory of a connection.
-RUN_BYTES, PIECE_CHARS, MEMORY = 8 << 20, 1 << 20, "768MB"
+RUN_BYTES, PIECE_CHARS, MEMORY = 2 << 20, 1 << 19, "384MB"
 _WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
 COUNTS = f"""
