@@ -11,8 +11,6 @@ its rank among pieces of its length, counted per task and summed over tasks.
 
 from __future__ import annotations
 
-import base64
-import re
 import zlib
 from collections import deque
 
@@ -23,52 +21,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from colloquy.llm.common import arrow_rows, stash, table
+from colloquy.llm.common import stash, table
+from colloquy.llm.encoders import encoder
 
 WINDOW = 1024
 END = 0
-#: Letters beyond these blocks are left to the tokenizers library itself.
-_PLAIN = re.compile(r"[\x00-ɏ‐-‧€]*\Z")
-
-
-class Encoder:
-    """Ids of byte_bpe_50k.json by the tokenizers library, add_special_tokens=False.
-
-    The same vocabulary lies beside it as ranks, for a library that is several
-    times faster; texts of Latin letters take that way (the tests compare both).
-    """
-
-    def __init__(self, path: str | None = None, ranks_path: str | None = None):
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import public_tokenizers
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-        self.fast = None
-        if path is None or ranks_path:
-            with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            special = {t.content: i for i, t in self.exact.get_added_tokens_decoder().items()}
-            self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-
-    def __call__(self, text: str) -> list[int]:
-        if self.fast is not None and _PLAIN.match(text):
-            return self.fast.encode(text, allowed_special="all")
-        return self.exact.encode(text, add_special_tokens=False).ids
-
-
 PIECES = "struct<start:long,length:int,crc:long,rank:long>"
 
 
 def cut(docs: DataFrame, window: int, tokenizer: str | None, ranks: str | None) -> DataFrame:
     """(doc_id, chunk, doc_tokens, pieces): rank counts the pieces of one length within the chunk, which is a task."""
-    arrow_rows(docs.sparkSession, 1000)
-
     def run(batches):
-        encode = Encoder(tokenizer, ranks)
+        encode = encoder(tokenizer, ranks)
         chunk = TaskContext.get().partitionId()
         seen = np.zeros(window + 1, np.int64).tolist()
         for batch in batches:
@@ -188,7 +152,6 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, ra
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    arrow_rows(spark, 10_000)
     return ranked.mapInArrow(place, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 

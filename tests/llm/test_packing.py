@@ -5,6 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from colloquy.llm import packing as P
+from colloquy.llm.encoders import Encoder
 
 
 def plain_plan(lengths, window):
@@ -49,7 +50,7 @@ def test_the_tree_finds_the_tightest():
 
 
 def test_both_libraries_give_the_same_ids():
-    source, encode = random.Random(7), P.Encoder()
+    source, encode = random.Random(7), Encoder()
     letters = [chr(c) for c in range(0x250)] + list("‐–—‘’“”…€日本 🙂") + [" ", "a", "<|endoftext|>", "'s", "12", "\n"] * 30
     for _ in range(3000):
         text = "".join(source.choices(letters, k=source.randint(0, 40)))
@@ -60,7 +61,7 @@ def test_pieces_cover_every_document(spark):
     rows = [(i, "ab cd " * (i * 37 % 900)) for i in range(40)] + [(5, "again"), (5, "again"), (None, None), (41, ""), (42, "long " * 30_000)]
     docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, start int, length int").repartition(3)
     out = P.pack(docs).toPandas()
-    encode = P.Encoder()
+    encode = Encoder()
     assert out["length"].max() <= P.WINDOW
     own = out.sort_values(["sequence_id", "offset"])
     assert (own.groupby("sequence_id")["length"].cumsum() - own["length"] == own["offset"]).all()
@@ -81,3 +82,35 @@ def test_hot_length(spark):
     docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("same words here").alias("text"))
     out = P.pack(docs).toPandas()
     assert out.groupby("sequence_id")["length"].sum().max() <= P.WINDOW and len(out) == 500
+
+
+LONG = [" " * 1_100_000, "\t" * 1_100_000, " \n" * 550_000, "a" * 300_000, "word " * 50_000 + " " * 100_000 + "x", "!?" * 100_000, ("Latin, with ü. " * 40_000), "<|endoftext|>" * 1000]
+
+
+def test_both_libraries_give_the_same_ids_of_long_texts():
+    encode = Encoder()
+    for text in LONG:
+        assert encode(text) == encode.exact.encode(text, add_special_tokens=False).ids
+
+
+def test_a_failure_of_the_fast_library_is_no_failure():
+    encode = Encoder()
+
+    class Broken:
+        def encode(self, *_, **__):
+            raise ValueError("Regex error while tokenizing")
+
+    encode.fast = Broken()
+    assert encode("a text") == encode.exact.encode("a text", add_special_tokens=False).ids
+
+
+def test_two_megabytes_of_white_space_are_packed(spark):
+    texts = [" " * 2_000_000, "\t" * 2_000_000, " \n" * 1_000_000, "plain"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    out = P.pack(docs).toPandas()
+    encode = Encoder()
+    for i, text in enumerate(texts):
+        ids = np.array([*encode.exact.encode(text, add_special_tokens=False).ids, P.END], "<u4")
+        own = out[out.doc_id == i].sort_values("start")
+        assert own["length"].sum() == len(ids) and (own.doc_tokens == len(ids)).all()
+        assert [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own.itertuples()] == own.ids_crc32.tolist()
