@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from colloquy.llm.alignment import op12_alignment
 from colloquy.llm.bpe import op13_bpe
 from colloquy.llm.chat import OP4_SQL, op4_chat_format
 from colloquy.llm.decontaminate import OP10_SQL, op10_decontaminate
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_decontaminate": op10_decontaminate,
     "op11_resampling": op11_resampling,
+    "op12_alignment": op12_alignment,
     "op13_bpe": op13_bpe,
 }
 ORACLES = {
