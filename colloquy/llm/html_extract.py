@@ -16,9 +16,8 @@ suffixes of two distinct pages is a repeated substring of at least RUN tokens.
 Hosts of more than one shard also give a row per interval and shard; the rows
 that stand for two distinct pages together name what repeats across shards.
 
-On every page the repeats are cut from the OPEN blocks and the unique runs stay.
-What stands outside the declared main text of a page that has one counts only
-from RUN unique tokens in a block on, as less is a label.
+On every page the repeats are cut from the OPEN blocks and the unique runs stay,
+however short they are.
 """
 
 from __future__ import annotations
@@ -33,8 +32,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import arrow_rows, stash, table
-from colloquy.llm.kernels import NOT_SPACE, U64, Words, mixed
+from colloquy.llm.common import stash, table
+from colloquy.llm.kernels import NOT_SPACE, U64, Words, fewer, mixed
 
 RUN = 8
 SHARD_BYTES = 4 << 20
@@ -165,13 +164,23 @@ def _read(source: str, spared: frozenset[int]) -> tuple[list[tuple[int, str]], l
     parent: list[int] = []
     scopes: dict[str, int] = {}  # open elements of SCOPES
     inner: list[dict[str, int]] = [{}]  # open elements within each open scope
+    # chrome inside a paragraph: its place in the stack, and the paragraph's text before it
+    held: list[tuple[int, list[str]]] = []
     in_main = at = 0
     scan = _Scanner(source)
 
     def flush() -> None:
+        """Ends the block; a paragraph that is interrupted by chrome ends only if a block begins in there."""
+        emit(parts, stack[-1])
+
+    def end_held() -> None:
+        for depth, before in held:
+            emit(before, stack[depth - 1])
+
+    def emit(parts: list[str], owner: tuple[str, int, int, int, int]) -> None:
         text = " ".join("".join(parts).split())
         if text:
-            _, zone, _, main, wrap = stack[-1]
+            _, zone, _, main, wrap = owner
             out.append((zone, text))
             if main >= 0:
                 mains[main][1] += len(text)
@@ -181,12 +190,22 @@ def _read(source: str, spared: frozenset[int]) -> tuple[list[tuple[int, str]], l
 
     def close(ends: tuple[str, ...]) -> None:
         """Ends the last open element with one of these tags, and what it holds."""
-        nonlocal in_main
         i = len(stack) - 1
         while stack[i][0] not in ends:
             i -= 1
+        while held and held[-1][0] >= i:
+            flush()
+            depth, before = held.pop()
+            leave(depth)
+            parts[:] = before
+            if depth == i:
+                return
         if any(t in BLOCKS or z != stack[j - 1][1] for j, (t, z, *_) in enumerate(stack[i:], i)):
             flush()
+        leave(i)
+
+    def leave(i: int) -> None:
+        nonlocal in_main
         for t, z, *_ in stack[i:]:
             in_main -= z == MAIN
             if t in SCOPES:
@@ -225,6 +244,7 @@ def _read(source: str, spared: frozenset[int]) -> tuple[list[tuple[int, str]], l
             if (scopes if tag in SCOPES else inner[-1]).get(tag):
                 close((tag,))
             elif tag in BLOCKS:
+                end_held()
                 flush()
             continue
         if tag in ("br", "td", "th"):
@@ -238,6 +258,7 @@ def _read(source: str, spared: frozenset[int]) -> tuple[list[tuple[int, str]], l
             ends = ("p", *SIBLINGS.get(tag, ()))
             if any(inner[-1].get(t) for t in ends):
                 close(ends)
+            end_held()
             flush()
         if tag in VOID:
             continue
@@ -265,7 +286,11 @@ def _read(source: str, spared: frozenset[int]) -> tuple[list[tuple[int, str]], l
             elif hints or tag == "form":
                 wraps[number], around[number], wrap = 0, wrap, number
         if zone != above and tag not in BLOCKS:
-            flush()
+            if zone == OUT:
+                held.append((len(stack), parts[:]))
+                parts.clear()
+            else:
+                flush()
         if inside < 0 and declared and not hints_of(tag, a, True):
             inside = len(mains)
             mains.append([tag == "main" or a.get("role") == "main", 0, zone == OUT, number])
@@ -277,6 +302,7 @@ def _read(source: str, spared: frozenset[int]) -> tuple[list[tuple[int, str]], l
             inner.append({})
         else:
             inner[-1][tag] = inner[-1].get(tag, 0) + 1
+    end_held()
     flush()
     for n in sorted(wraps, reverse=True):
         if around[n] >= 0:
@@ -297,11 +323,10 @@ PARSED = "page_id {id}, url string, host string, content long, text string, zone
 
 def parse(pages: DataFrame) -> DataFrame:
     """content: a hash of all blocks. A page without OPEN blocks has its text already; its parts are those of its stream, and an empty one where main text stood. Other pages have no text and all their blocks as parts, with their zones."""
-    arrow_rows(pages.sparkSession, 500)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in fewer(batches, 500):
             texts, zones, parts, hosts, contents = [], [], [], [], []
             for url, source in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 found = blocks(source or "")
@@ -388,11 +413,10 @@ def shards(parsed: DataFrame, shard_bytes: int) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = ["host", "content", "row"]  # the row deals out many pages of one content
     rows = parsed.filter("host <> ''").select("host", "content", "row", F.col("text").isNull().alias("undecided"), "zones", "parts")
-    arrow_rows(spark, 500)
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         shard, size, host, opened = [], 0, None, False
-        for batch in batches:
+        for batch in fewer(batches, 500):
             for row in zip(*(batch.column(c).to_pylist() for c in ("host", "content", "undecided", "zones", "parts")), strict=True):
                 changed = row[0] != host
                 if shard and (changed or size >= shard_bytes):
@@ -429,7 +453,7 @@ def _search(host: str, pages: list[tuple[int, bool, bytes, list[str]]], alone: b
     hit = twice & undecided[page]
     touched = np.unique(page[hit])
     if len(touched):
-        starts = [(at[hit & (page == p)] - base[p]).astype(np.int32) for p in touched]
+        starts = np.split((at - base[page])[hit].astype(np.int32), np.flatnonzero(np.diff(page[hit])) + 1)  # places go page by page
         yield rows(len(touched), content=pa.array(contents[touched]), starts=pa.array(starts, pa.list_(pa.int32())))
     if not alone:
         for a in range(0, len(first), 100_000):
@@ -451,7 +475,6 @@ def unique_text(zones: bytes, parts: list[str], starts: list[int], known: set[in
     np.add.at(covered, begins, 1)
     np.add.at(covered, begins + RUN, -1)
     hidden = np.cumsum(covered[:-1]) > 0
-    least = RUN if any(z == MAIN for z in zones) else 1
     out, n = [], 0
     for z, text in zip(zones, parts, strict=True):
         if z == MAIN:
@@ -460,7 +483,7 @@ def unique_text(zones: bytes, parts: list[str], starts: list[int], known: set[in
         tokens = text.split(" ")
         if z == OPEN:
             rest = [t for t, h in zip(tokens, hidden[n : n + len(tokens)], strict=True) if not h]
-            if len(rest) >= least:
+            if rest:
                 out.append(" ".join(rest))
         n += len(tokens)
     return "\n\n".join(out)
@@ -468,11 +491,10 @@ def unique_text(zones: bytes, parts: list[str], starts: list[int], known: set[in
 
 def cut(rows: DataFrame) -> DataFrame:
     """(page_id, url, text) of undecided pages with the starts and keys of what repeats on them."""
-    arrow_rows(rows.sparkSession, 500)
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in fewer(batches, 500):
             columns = (batch.column(c).to_pylist() for c in ("zones", "parts", "starts", "known"))
             texts = [unique_text(z, p, s or [], set(k or ())) for z, p, s, k in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])

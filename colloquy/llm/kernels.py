@@ -42,6 +42,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def fewer(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches, which Spark bounds by bytes, in parts of at most so many rows."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``most`` bytes; a longer text is a range of its own."""
     size = np.diff(offsets(texts)[1])

@@ -95,8 +95,14 @@ def lexical(df: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 def page_labels(pages: DataFrame) -> DataFrame:
-    """(page_id, url, label) of pages (page_id, url, html): 1 if the page is strewn with symbols. Pages with nothing but scripts have a null label."""
-    rest = F.regexp_replace(F.coalesce(F.col("html").cast("string"), F.lit("")), r"(?is)<(script|style)[ >].*?</\1>", "")
+    """(page_id, url, label) of pages (page_id, url, html): 1 if the page is strewn with symbols. Pages with nothing but scripts have a null label.
+
+    A script or style lasts to the next end tag of either, or to the end of the
+    page. The page is cut at these end tags, and each part at its first opening
+    tag: two passes over the page, whatever it holds.
+    """
+    parts = F.split(F.coalesce(F.col("html").cast("string"), F.lit("")), r"(?i)</(?:script|style)\s*>")
+    rest = F.array_join(F.transform(parts, lambda part: F.regexp_extract(part, r"(?is)^(.*?)(?:<(?:script|style)[\s>]|\z)", 1)), "")
     plain = F.length(F.translate("rest", SYMBOLS, ""))
     label = F.when(F.length("rest") > 0, ((F.length("rest") - plain) > NOISE * F.length("rest")).cast("int"))
     return pages.select("page_id", "url", rest.alias("rest")).select("page_id", "url", label.alias("label"))
@@ -109,9 +115,10 @@ def held_out(host: Column) -> Column:
 class UrlModel:
     """Trees and suffix statistics. Without both labels outside the held-out hosts it allows everything."""
 
-    def __init__(self, labelled: DataFrame, url_col: str = "url", *, rows: int = TRAIN_ROWS, rounds: int = 10, depth: int = 4, seed: int = 7):
-        """labelled has url_col and label (0 good, 1 bad; null doesn't count); about ``rows`` of them, chosen by hash, fit the trees."""
-        self.labelled = stash(with_parts(labelled.filter("label IN (0, 1)").select(F.col(url_col).alias("url"), F.col("label").cast("int").alias("label"))).withColumn("held", held_out(F.col("url_host"))))
+    def __init__(self, labelled: DataFrame, url_col: str = "url", *, rows: int = TRAIN_ROWS, rounds: int = 10, depth: int = 4, seed: int = 7, id_col: str = "page_id"):
+        """labelled has url_col and label (0 good, 1 bad; null doesn't count); about ``rows`` of them, chosen by the hash of host, label and id_col (where there is one), fit the trees."""
+        row = F.col(id_col).cast("string") if id_col in labelled.columns else F.lit(None).cast("string")
+        self.labelled = stash(with_parts(labelled.filter("label IN (0, 1)").select(F.col(url_col).alias("url"), F.col("label").cast("int").alias("label"), row.alias("id"))).withColumn("held", held_out(F.col("url_host"))))
         known = self.labelled.filter("NOT held")
         self.hosts = stash(known.groupBy("url_host").agg(F.count(F.lit(1)).alias("n"), F.avg("label").alias("own")))
         self.suffixes = stash(self.hosts.groupBy(suffix(F.col("url_host")).alias("suffix")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("double").alias("hosts"), F.sum("own").alias("bad")))
@@ -120,7 +127,7 @@ class UrlModel:
         self.assembler = VectorAssembler(inputCols=FEATURES, outputCol="f_all", handleInvalid="keep")
         self.model = None
         if 0 < (bad or 0) < n:
-            sample = self._featured(known.filter(chosen(F.xxhash64("url", "label", F.monotonically_increasing_id()), rows / n))).select(*FEATURES, "label")
+            sample = self._featured(known.filter(chosen(F.xxhash64("url_host", "url", "label", "id"), rows / n))).select(*FEATURES, "label")
             sample = stash(self.assembler.transform(sample).select("f_all", F.col("label").cast("double").alias("label")))
             if sample.isEmpty():
                 raise ValueError(f"none of {n} labelled URLs came into the sample")

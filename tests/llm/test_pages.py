@@ -61,11 +61,10 @@ def brute(rows):
     out = {}
     for i, (host, blocks, places, windows) in pages.items():
         gone = {places[k + j] for k, w in enumerate(windows) if w and len(holders.get((host, w), ())) > 1 for j in range(X.RUN)}
-        least = X.RUN if any(z == X.MAIN for z, _ in blocks) else 1
         kept = []
         for b, (z, t) in enumerate(blocks):
             rest = [w for k, w in enumerate(t.split(" ")) if z == X.MAIN or (b, k) not in gone]
-            if z == X.MAIN or (z == X.OPEN and len(rest) >= least):
+            if z == X.MAIN or (z == X.OPEN and rest):
                 kept.append(" ".join(rest))
         out[i] = "\n\n".join(kept)
     return out
@@ -156,6 +155,26 @@ def test_query_is_brute_force(spark):
         assert (out[r.page_id].text, out[r.page_id].n_chars) == (text, len(text))
 
 
+def test_short_open_blocks_stay(spark):
+    rows = [(1, "http://a/", "<body><h1>Seven words make up this page headline</h1><article><p>Text.</p></article><p>End</p></body>")]
+    assert X.extract(spark.createDataFrame(rows, PAGES)).first().text == "Seven words make up this page headline\n\nText.\n\nEnd"
+
+
+def test_chrome_inside_a_paragraph_doesnt_split_it():
+    assert main("<article><p>See <button>press <b>me</b></button> the thing</p></article>") == ["See the thing"]
+    assert X.blocks("<p>a <span class=ad>buy</span>b <button>x</button>c") == [(X.OUT, "buy"), (X.OUT, "x"), (X.OPEN, "a b c")]
+    assert X.blocks("<div>a <span class=ad>buy<div>more</div>now</span> b</div>") == [(X.OPEN, "a"), (X.OUT, "buy"), (X.OUT, "more"), (X.OUT, "now"), (X.OPEN, "b")]
+    assert X.blocks("<div>a <button>x</div>b") == [(X.OUT, "x"), (X.OPEN, "a"), (X.OPEN, "b")]
+    assert X.blocks("a <button>x") == [(X.OPEN, "a"), (X.OUT, "x")]
+
+
+def test_search_is_linear_in_tiny_pages():
+    pages = [(i, True, bytes([X.OPEN, X.OPEN]), [f"w{i} one two three four five six seven eight", "nine"]) for i in range(40_000)]
+    began = time.process_time()
+    rows = [r for batch in X._search("h", pages, True) for r in batch.column("starts").to_pylist()]
+    assert time.process_time() - began < 20 and len(rows) == 40_000 and rows[7][0] == 1  # 40 times as long when each page looks through all
+
+
 def test_parts_of_urls(spark):
     cases = {
         "http://A.Example.com/P/q?x#y": ("a.example.com", "/P/q"), "a://b?c/d": ("b", ""), "a://b#c://d/e": ("b", ""), "x": ("", ""), None: ("", ""), "": ("", ""), "://": ("", ""), "s://É.COM/a\nb?c": ("É.com", "/a\nb"),
@@ -204,6 +223,23 @@ def test_labels_come_from_what_pages_hold(spark):
     assert {r.page_id: r.label for r in U.page_labels(spark.createDataFrame(rows, PAGES)).collect()} == {1: 0, 2: 1, 3: None, 4: None}
 
 
+def test_labels_of_hostile_pages_take_linear_time(spark):
+    made = ["<script>" * 130_000, "</script>" * 120_000, "<script >a</style>" * 60_000, "<style>" + " " * 1_000_000, "</script" + " " * 1_000_000, "<" * 1_000_000, "plain %%% " * 100_000]
+    df = spark.createDataFrame([(i, "u", h) for i, h in enumerate(made)], PAGES)
+    U.page_labels(df.limit(1)).collect()
+    began = time.time()
+    got = {r.page_id: r.label for r in U.page_labels(df).collect()}
+    assert time.time() - began < 10 and got == {0: None, 1: None, 2: None, 3: None, 4: 0, 5: 0, 6: 1}
+
+
+def test_the_sample_is_the_same_however_rows_are_dealt(spark, monkeypatch):
+    rows = [(i, f"http://h{i % 50}.com/{i % 7}", int(i % 50 < 20)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, label int")
+    fresh = U.with_parts(spark.createDataFrame([(f"http://x{i}.com/{i}",) for i in range(40)], "url string"))
+    scores = [[r.url_bad for r in U.UrlModel(df.repartition(n), rows=500).score(fresh).orderBy("url").collect()] for n in (2, 9)]
+    assert max(abs(a - b) for a, b in zip(*scores)) < 1e-9
+
+
 def test_entropy_of_hosts(spark):
     hosts = ["", "a", "aab", "abcd" * 500, "www.example.com"]
     df = U.lexical(U.with_parts(spark.createDataFrame([(f"h://{h}/",) for h in hosts], "url string")))
