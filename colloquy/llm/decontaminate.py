@@ -1,16 +1,17 @@
 """Benchmark decontamination: an FM-index per shard of documents.
 
 A shard is a few megabytes of an Arrow batch. Its words become symbols: one for
-each word of the benchmark, one for all other words; runs of other words are cut
-to one symbol and runs of benchmark words too short for any window are left out,
-which loses no occurrence. Over the shard's symbols stand a suffix array, its
-Burrows-Wheeler transform in a wavelet matrix, and every eighth suffix position.
-All windows are searched backward at once, occurrences are located by walking to
-the next sampled position, and the hits of a document are merged into spans.
-
-The benchmark is dealt to blocks of bounded size in the shared folder. A task reads
-one block at a time and holds it against its shard, so that neither the driver nor
-a task ever has all of it. The documents are not shuffled.
+each of the shard's words that stands in the benchmark, one for all other words; runs
+of other words are cut to one symbol and runs of benchmark words too short for any
+window are left out, which loses no occurrence. Over the shard's symbols stand the
+Burrows-Wheeler transform of their suffix array in a wavelet matrix, and every eighth
+suffix position. All windows are searched backward at once, occurrences are located by
+walking to the next sampled position, and the hits of a document are merged into spans.
+
+The benchmark is dealt to blocks of bounded size in the shared folder. A task takes a
+few shards at a time. The blocks pass by twice, first to mark the words they know, then
+with their windows; in between each shard is indexed, once. Neither the driver nor a
+task ever has all of the benchmark. The documents are not shuffled.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ import pyarrow.parquet
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import UPPER, LOWER, arrow_rows, shared_dir, table
+from colloquy.llm.common import UPPER, LOWER, shared_dir, table
 from colloquy.llm.kernels import ALNUM, Words, slices
 from colloquy.llm.warc import open_dir
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
+#: Shards whose indexes a task holds while the blocks pass by.
+GROUP_BYTES = 16 << 20
 BLOCK_BYTES = 4 << 20
 SAMPLE = 8
 HIT = "struct<word_start:int,word_end:int,char_start:int,char_end:int>"
@@ -41,7 +44,7 @@ class FMIndex:
     def __init__(self, symbols: np.ndarray, largest: int):
         s = np.append(symbols, 0).astype(np.int64)
         self.n = n = len(s)
-        self.suffixes = sa = suffix_array(s)
+        sa = suffix_array(s)
         bwt = s[sa - 1]
         self.levels = max(1, int(largest).bit_length())
         self.smaller = np.concatenate([[0], np.cumsum(np.bincount(s, minlength=1 << self.levels))])
@@ -52,7 +55,7 @@ class FMIndex:
             self.zeros.append(n - int(bit.sum()))
             bwt = np.concatenate([bwt[bit == 0], bwt[bit == 1]])
         self.sampled = sa % SAMPLE == 0
-        self.sample = np.where(self.sampled, sa, -1)
+        self.before, self.sample = np.cumsum(self.sampled) - 1, sa[self.sampled]
 
     def rank(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
         """How often symbol stands before at in the transform."""
@@ -82,7 +85,7 @@ class FMIndex:
         at = at.copy()
         while len(open_):
             got = self.sampled[at[open_]]
-            out[open_[got]] = self.sample[at[open_[got]]] + steps
+            out[open_[got]] = self.sample[self.before[at[open_[got]]]] + steps
             open_ = open_[~got]
             c = self.bwt[at[open_]]
             at[open_] = self.smaller[c] + self.rank(c, at[open_])
@@ -105,96 +108,108 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 
 
 class Phrases:
-    """The windows of a block of benchmark items, as numbers of their words."""
+    """The windows of a block of benchmark items, as numbers of their words in the block; -1 pads a short one."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int):
         words = Words(pa.array([text for _, text in items], pa.large_string()), ALNUM)
         self.vocabulary, symbol = np.unique(words.hash, return_inverse=True)
         owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
         for i, (item, _) in enumerate(items):
-            own = (symbol[words.first[i] : words.first[i + 1]] + 2).tolist()
+            own = symbol[words.first[i] : words.first[i + 1]].tolist()
             for j in range(max(0, len(own) - window) + 1 if own else 0):
                 owners[tuple(own[j : j + window])].update([] if item is None else [item])
         self.lengths = np.array([len(p) for p in owners], np.int64)
-        self.patterns = np.zeros((len(owners), int(self.lengths.max(initial=1))), np.int64)
+        self.patterns = np.full((len(owners), int(self.lengths.max(initial=1))), -1)
         for i, p in enumerate(owners):
             self.patterns[i, : len(p)] = p
         self.owners = [sorted(x) for x in owners.values()]
         self.least = int(self.lengths.min(initial=1 << 30))
 
-    def symbols(self, hashes: np.ndarray) -> np.ndarray:
-        """From 2 on for words of the benchmark, 1 for others."""
+    def knows(self, hashes: np.ndarray) -> np.ndarray:
+        """Which are words of these phrases."""
         if not len(self.vocabulary):
-            return np.ones(len(hashes), np.int64)
+            return np.zeros(len(hashes), bool)
         at = np.searchsorted(self.vocabulary, hashes)
         at[at == len(self.vocabulary)] = 0
-        return np.where(self.vocabulary[at] == hashes, at + 2, 1)
-
-
-def search_shard(texts: pa.Array, phrases: Phrases) -> tuple[np.ndarray, dict[int, list[tuple[int, int, int, int]]], dict[int, set[str]]]:
-    """Words of each text; merged spans and items of those with hits."""
-    words = Words(texts, ALNUM)
-    counts = np.diff(words.first)
-    spans: dict[int, list] = {}
-    items: dict[int, set[str]] = defaultdict(set)
-    symbol = phrases.symbols(words.hash)
-    known = symbol > 1
-    if not known.any():
-        return counts, spans, items
-    # runs of benchmark words within a text
-    begins = known.copy()
-    begins[1:] &= ~(known[:-1] & (words.row[1:] == words.row[:-1]))
-    run = np.cumsum(begins) - 1
-    long = np.bincount(run[known], minlength=int(run[-1]) + 1) >= phrases.least
-    keep = known & long[np.maximum(run, 0)]
-    at = np.flatnonzero(keep)
-    if not len(at):
-        return counts, spans, items
-    # each run after one symbol for whatever stood before it
-    gap = np.cumsum(begins[at])
-    text = np.ones(len(at) + int(gap[-1]) + 1, np.int64)
-    place = np.arange(len(at)) + gap
-    text[place] = symbol[at]
-    word_at = np.full(len(text), -1)
-    word_at[place] = at
-    index = FMIndex(text, len(phrases.vocabulary) + 1)
-    low, high = index.search(phrases.patterns, phrases.lengths)
-    found = np.flatnonzero(high > low)
-    if not len(found):
-        return counts, spans, items
-    times = high[found] - low[found]
-    rows = np.repeat(low[found] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(int(times.sum()))
-    where = word_at[index.locate(rows)]
-    which = np.repeat(found, times)
-    cover = np.zeros(len(words) + 1, np.int64)
-    np.add.at(cover, where, 1)
-    np.add.at(cover, where + phrases.lengths[which], -1)
-    hit = np.cumsum(cover[:-1]) > 0
-    edge = hit.copy()
-    edge[1:] &= ~(hit[:-1] & (words.row[1:] == words.row[:-1]))
-    first = np.flatnonzero(edge)
-    ends = hit.copy()
-    ends[:-1] &= ~(hit[1:] & (words.row[1:] == words.row[:-1]))
-    last = np.flatnonzero(ends)
-    char = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
-    for a, b in zip(first.tolist(), last.tolist(), strict=True):
-        r = int(words.row[a])
-        base, zero = int(words.first[r]), int(char[words.off[r]])
-        spans.setdefault(r, []).append((a - base, b + 1 - base, int(char[words.start[a]]) - zero, int(char[words.end[b]]) - zero))
-    for r, w in set(zip(words.row[where].tolist(), which.tolist(), strict=True)):
-        items[r].update(phrases.owners[w])
-    return counts, spans, items
-
-
-def merged(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    out: list[tuple[int, int, int, int]] = []
-    for s in sorted(spans):
-        if out and s[0] <= out[-1][1]:
-            a, b, c, d = out[-1]
-            out[-1] = (a, max(b, s[1]), c, max(d, s[3]))
-        else:
-            out.append(s)
-    return out
+        return self.vocabulary[at] == hashes
+
+
+class Shard:
+    """The words of some texts and, once all blocks have marked theirs, one index of the words that any block knows."""
+
+    def __init__(self, texts: pa.Array):
+        self.words = Words(texts, ALNUM)
+        self.counts = np.diff(self.words.first)
+        self.known = np.zeros(len(self.words), bool)
+        self.cover = np.zeros(len(self.words) + 1, np.int64)
+        self.items: dict[int, set[str]] = defaultdict(set)
+        self.least, self.index = 1 << 30, None
+
+    def mark(self, phrases: Phrases) -> None:
+        """These phrases are to be searched."""
+        self.known |= phrases.knows(self.words.hash)
+        self.least = min(self.least, phrases.least)
+
+    def build(self) -> None:
+        words, known = self.words, self.known
+        if not known.any():
+            return
+        # runs of known words within a text
+        begins = known.copy()
+        begins[1:] &= ~(known[:-1] & (words.row[1:] == words.row[:-1]))
+        run = np.cumsum(begins) - 1
+        long = np.bincount(run[known], minlength=int(run[-1]) + 1) >= self.least
+        at = np.flatnonzero(known & long[np.maximum(run, 0)])
+        if not len(at):
+            return
+        self.vocabulary, symbol = np.unique(words.hash[at], return_inverse=True)
+        # each run after one symbol for whatever stood before it
+        gap = np.cumsum(begins[at])
+        text = np.ones(len(at) + int(gap[-1]) + 1, np.int64)
+        place = np.arange(len(at)) + gap
+        text[place] = symbol + 2
+        self.word_at = np.full(len(text), -1)
+        self.word_at[place] = at
+        self.index = FMIndex(text, len(self.vocabulary) + 1)
+
+    def search(self, phrases: Phrases) -> None:
+        """Covers the words of every occurrence and notes the items."""
+        if self.index is None or not len(phrases.lengths):
+            return
+        symbol = np.searchsorted(self.vocabulary, phrases.vocabulary)
+        symbol[symbol == len(self.vocabulary)] = 0
+        symbol = np.where(self.vocabulary[symbol] == phrases.vocabulary, symbol + 2, 0)
+        patterns = np.append(symbol, 1)[phrases.patterns]  # what pads a short phrase is never read
+        there = np.flatnonzero((patterns > 0).all(1))
+        low, high = self.index.search(patterns[there], phrases.lengths[there])
+        found = np.flatnonzero(high > low)
+        if not len(found):
+            return
+        times = high[found] - low[found]
+        rows = np.repeat(low[found] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(int(times.sum()))
+        where = self.word_at[self.index.locate(rows)]
+        which = np.repeat(there[found], times)
+        np.add.at(self.cover, where, 1)
+        np.add.at(self.cover, where + phrases.lengths[which], -1)
+        for r, w in set(zip(self.words.row[where].tolist(), which.tolist(), strict=True)):
+            self.items[r].update(phrases.owners[w])
+
+    def spans(self) -> dict[int, list[tuple[int, int, int, int]]]:
+        """The maximal runs of covered words of each text that has any, by word and by code point."""
+        words, out = self.words, {}
+        hit = np.cumsum(self.cover[:-1]) > 0
+        edge, ends = hit.copy(), hit.copy()
+        edge[1:] &= ~(hit[:-1] & (words.row[1:] == words.row[:-1]))
+        ends[:-1] &= ~(hit[1:] & (words.row[1:] == words.row[:-1]))
+        first, last = np.flatnonzero(edge), np.flatnonzero(ends)
+        if not len(first):
+            return out
+        char = np.concatenate([[0], np.cumsum((words.data & 0xC0) != 0x80)])
+        for a, b in zip(first.tolist(), last.tolist(), strict=True):
+            r = int(words.row[a])
+            base, zero = int(words.first[r]), int(char[words.off[r]])
+            out.setdefault(r, []).append((a - base, b + 1 - base, int(char[words.start[a]]) - zero, int(char[words.end[b]]) - zero))
+        return out
 
 
 def write_blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> tuple[str, int]:
@@ -230,38 +245,48 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_co
     null marks words but isn't listed. Columns of docs that bear the three names
     are replaced. Words are compared by 64-bit hashes.
     """
-    spark = docs.sparkSession
     own = [c for c in docs.columns if c not in ("dec_words", "dec_hits", "dec_items")]
     out = docs.select(*own, F.lit(0).alias("dec_words"), F.array().cast(f"array<{HIT}>").alias("dec_hits"), F.array().cast("array<string>").alias("dec_items"))
     uri, n = write_blocks(benchmark, block_bytes)
-    arrow_rows(spark, 1000)
 
     def run(batches):
-        held, phrases = -1, None  # a single block is read once a task
+        held: dict[int, Phrases] = {}  # the last one read: a single block is read once a task
+
+        def block(k: int) -> Phrases:
+            if k not in held:
+                held.clear()
+                held[k] = Phrases(read_block(uri, k), window)
+            return held[k]
+
         for batch in batches:
-            for begin, end in slices(batch.column(text_col), SHARD_BYTES):
-                part = batch.slice(begin, end - begin)
-                spans: dict[int, list] = defaultdict(list)
-                items: dict[int, set[str]] = defaultdict(set)
-                for block in range(n):
-                    if block != held:
-                        held, phrases = block, Phrases(read_block(uri, block), window)
-                    counts, found, named = search_shard(part.column(text_col), phrases)
-                    for r, s in found.items():
-                        spans[r] += s
-                    for r, s in named.items():
-                        items[r] |= s
-                hits = [[dict(zip(("word_start", "word_end", "char_start", "char_end"), x, strict=True)) for x in merged(spans[r])] if r in spans else [] for r in range(part.num_rows)]
-                names = [sorted(items[r]) if r in items else [] for r in range(part.num_rows)]
-                at = {c: i for i, c in enumerate(part.schema.names)}
-                columns = list(part.columns)
-                for c, values in (("dec_words", counts), ("dec_hits", hits), ("dec_items", names)):
-                    columns[at[c]] = pa.array(values, part.schema.field(c).type)
-                yield pa.RecordBatch.from_arrays(columns, schema=part.schema)
+            for begin, end in slices(batch.column(text_col), GROUP_BYTES):
+                group = batch.slice(begin, end - begin)
+                cuts = list(slices(group.column(text_col), SHARD_BYTES))
+                group_shards = [Shard(group.column(text_col).slice(a, b - a)) for a, b in cuts]
+                for k in range(n):
+                    for shard in group_shards:
+                        shard.mark(block(k))
+                for shard in group_shards:
+                    shard.build()
+                for k in reversed(range(n)):
+                    for shard in group_shards:
+                        shard.search(block(k))
+                for (a, b), shard in zip(cuts, group_shards, strict=True):
+                    yield _with_hits(group.slice(a, b - a), shard)
 
     return out.mapInArrow(run, out.schema)
 
 
+def _with_hits(part: pa.RecordBatch, shard: Shard) -> pa.RecordBatch:
+    spans, names = shard.spans(), ("word_start", "word_end", "char_start", "char_end")
+    hits = [[dict(zip(names, x, strict=True)) for x in spans.get(r, ())] for r in range(part.num_rows)]
+    items = [sorted(shard.items.get(r, ())) for r in range(part.num_rows)]
+    columns, at = list(part.columns), {c: i for i, c in enumerate(part.schema.names)}
+    for c, values in (("dec_words", shard.counts), ("dec_hits", hits), ("dec_items", items)):
+        columns[at[c]] = pa.array(values, part.schema.field(c).type)
+    return pa.RecordBatch.from_arrays(columns, schema=part.schema)
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without any hit, with the columns of docs."""
     rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))  # whatever the columns' names

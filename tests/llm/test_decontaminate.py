@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from colloquy.llm import decontaminate as D
 from tests.helpers import connection, same
@@ -38,7 +39,7 @@ def test_suffix_array_and_search():
         s = rng.integers(1, 5, n)
         index = D.FMIndex(s, 9)
         full = [*s.tolist(), 0]
-        assert index.suffixes.tolist() == sorted(range(n + 1), key=lambda i: full[i:])
+        assert D.suffix_array(np.array(full)).tolist() == sorted(range(n + 1), key=lambda i: full[i:])
         lengths = rng.integers(1, 5, 30)
         patterns = rng.integers(1, 10, (30, 4)) if n == 2 else rng.integers(1, 5, (30, 4))
         low, high = index.search(patterns, lengths)
@@ -67,6 +68,45 @@ def test_find_is_brute_force(spark):
             assert (r.dec_words, n, r.dec_items) == (want[r.doc_id][0], marks[r.doc_id][1], want[r.doc_id][2])
 
 
+def test_a_shard_has_one_index_for_all_blocks(spark, monkeypatch):
+    source = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(30)]
+    items = [(str(i), " ".join(source.choices(vocabulary, k=14))) for i in range(60)]
+    texts = [" ".join(source.choices(vocabulary, k=200)) + " " + items[i][1] for i in range(20)]
+    blocks = [D.Phrases(items[k::5], 10) for k in range(5)]
+    built = []
+    init = D.FMIndex.__init__
+    monkeypatch.setattr(D.FMIndex, "__init__", lambda self, *a: (built.append(1), init(self, *a))[1])
+    shard = D.Shard(pa.array(texts))
+    for p in blocks:
+        shard.mark(p)
+    shard.build()
+    for p in blocks:
+        shard.search(p)
+    want = brute(list(enumerate(texts)), items)
+    spans = shard.spans()
+    got = {i: (n, sum(b - a for a, b, _, _ in spans.get(i, [])), sorted(shard.items.get(i, ()))) for i, n in enumerate(shard.counts.tolist())}
+    assert built == [1] and got == want and sum(n for _, n, _ in want.values()) >= 280
+
+
+def test_a_document_longer_than_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(D, "SHARD_BYTES", 500)
+    monkeypatch.setattr(D, "GROUP_BYTES", 1500)
+    passage = " ".join(f"p{i}" for i in range(12))
+    docs = [(1, "filler words " * 300 + passage + " more" * 200), (2, "short"), (3, passage)]
+    d, b = make(spark, docs, [(1, passage), (2, "x y z"), (3, "filler")])
+    want = brute(docs, [(1, passage), (2, "x y z"), (3, "filler")])
+    for block in (D.BLOCK_BYTES, 100):
+        for r in D.find(d, b, block_bytes=block).collect():
+            assert (r.dec_words, sum(h.word_end - h.word_start for h in r.dec_hits), r.dec_items) == want[r.doc_id]
+
+
+def test_settings_of_the_session_stay(spark):
+    before = dict(spark.sparkContext._conf.getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    D.op10_decontaminate(spark, SF).collect()
+    assert before == (dict(spark.sparkContext._conf.getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+
+
 def test_spans_cut_the_passage(spark):
     passage = "Ä one, two three four five six seven eight nine ten"
     d, b = make(spark, [(1, f"ééé before {passage}; after")], [(1, passage)])
