@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import UPPER, LOWER, arrow_rows, join_hot, stash, table, unstash
+from colloquy.llm.common import UPPER, LOWER, join_hot, stash, table, unstash
 from colloquy.llm.components import components
-from colloquy.llm.kernels import NOT_SPACE, U64, Words, mixed, shingles, slices
+from colloquy.llm.kernels import NOT_SPACE, U64, Words, fewer, mixed, shingles, slices
 
 WORDS = 5
 PERCENT = 75
@@ -83,10 +83,9 @@ SIGNATURE = "n_shingles long, fingerprint binary, half_a array<long>, half_b arr
 
 def signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, fingerprint, half_a, half_b); a text without words has a null fingerprint."""
-    arrow_rows(docs.sparkSession, 1000)
 
     def run(batches):
-        for batch in batches:
+        for batch in fewer(batches, 1000):
             sets = shingle_sets(batch.column("text"))
             keys = half_keys(np.array([minhashes(s, slice(_N), 1024) for s in sets]).reshape(len(sets), _N))
             off = np.arange(len(sets) + 1, dtype=np.int32) * HALVES
@@ -102,10 +101,9 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def full_sets(docs: DataFrame) -> DataFrame:
     """(node, shingles, sketch) of docs (node, text)."""
-    arrow_rows(docs.sparkSession, 500)
 
     def run(batches):
-        for batch in batches:
+        for batch in fewer(batches, 500):
             sets = shingle_sets(batch.column("text"))
             off = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
@@ -164,7 +162,6 @@ def rest_pairs(shared: DataFrame, nodes: DataFrame, sets: DataFrame, comps: Data
     all_of = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     members = rows.select("half", "node", "component", "out", F.lit(False).alias("asks"), block("n").alias("m"), all_of("n_out").alias("o"))
     askers = rows.filter("out").select("half", "node", "component", "out", F.lit(True).alias("asks"), all_of("n").alias("m"), block("n_out").alias("o"))
-    arrow_rows(spark, 2000)
     group = ["half", "m", "o"]
     dealt = (
         members.union(askers)
@@ -176,7 +173,7 @@ def rest_pairs(shared: DataFrame, nodes: DataFrame, sets: DataFrame, comps: Data
 
     def run(batches):
         held = None
-        for batch in batches:
+        for batch in fewer(batches, 2000):
             held = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
             key = np.column_stack([held.column(c).to_numpy() for c in group])
             cut = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1

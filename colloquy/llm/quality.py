@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import arrow_rows, stash, table
-from colloquy.llm.kernels import NOT_SPACE, Words, slices
+from colloquy.llm.common import stash, table
+from colloquy.llm.kernels import NOT_SPACE, Words, fewer, slices
 
 BATCH_BYTES = 2 << 20
 SHRINKAGE = 0.1
@@ -84,11 +84,10 @@ def _of_batch(texts: pa.Array) -> np.ndarray:
 
 def with_statistics(docs: DataFrame, text_col: str = "text", name: str = "qda_x") -> DataFrame:
     """docs with the statistics of each text as an array; null counts as empty."""
-    arrow_rows(docs.sparkSession, 1000)
     own = [c for c in docs.columns if c != name]
 
     def run(batches):
-        for batch in batches:
+        for batch in fewer(batches, 1000):
             x = _of_batch(batch.column(text_col))
             values = pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1], x.ravel())
             yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])

@@ -24,7 +24,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import arrow_rows, shared_dir, stash, table
+from colloquy.llm.common import shared_dir, stash, table
+from colloquy.llm.kernels import fewer
 
 ARCHIVE_BYTES = 64 << 20
 STRETCH_BYTES = 8 << 20
@@ -96,7 +97,6 @@ def write(pages: DataFrame, uri: str, least: int = 0, archive_bytes: int = ARCHI
     """
     spark = pages.sparkSession
     decided = decide(pages, least)
-    arrow_rows(spark, 500)
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,7 @@ def write(pages: DataFrame, uri: str, least: int = 0, archive_bytes: int = ARCHI
         fs.create_dir(base, recursive=True)
         out, name, at = None, "", 0
         try:
-            for batch in batches:
+            for batch in fewer(batches, 500):
                 rows = []
                 for page_id, url, html, first in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "first_id")), strict=True):
                     if out is None or at >= archive_bytes:
