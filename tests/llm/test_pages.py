@@ -163,7 +163,8 @@ def test_short_open_blocks_stay(spark):
 def test_chrome_inside_a_paragraph_doesnt_split_it():
     assert main("<article><p>See <button>press <b>me</b></button> the thing</p></article>") == ["See the thing"]
     assert X.blocks("<p>a <span class=ad>buy</span>b <button>x</button>c") == [(X.OUT, "buy"), (X.OUT, "x"), (X.OPEN, "a b c")]
-    assert X.blocks("<div>a <span class=ad>buy<div>more</div>now</span> b</div>") == [(X.OPEN, "a"), (X.OUT, "buy"), (X.OUT, "more"), (X.OUT, "now"), (X.OPEN, "b")]
+    long = "a text of many more words than the advert has"
+    assert X.blocks(f"<div>{long} <span class=ad>buy<div>more</div>now</span> b</div>") == [(X.OPEN, long), (X.OUT, "buy"), (X.OUT, "more"), (X.OUT, "now"), (X.OPEN, "b")]
     assert X.blocks("<div>a <button>x</div>b") == [(X.OUT, "x"), (X.OPEN, "a"), (X.OPEN, "b")]
     assert X.blocks("a <button>x") == [(X.OPEN, "a"), (X.OUT, "x")]
 
