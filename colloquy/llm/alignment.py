@@ -8,7 +8,8 @@ sorted, together with the pairs' document counts; one walk over the stream holds
 counts of one id at a time, finds their maximum and passes over the id's postings,
 however many there are, for the contributions to each document. These are summed by
 document. Ids with very many postings are dealt to several tasks, each of which gets
-the id's counts.
+the id's counts. What a task has for the documents of one slice is one row, and these
+rows are summed by slice.
 """
 
 from __future__ import annotations
@@ -191,8 +192,9 @@ def contributions(found: DataFrame, hot: int = HOT) -> DataFrame:
     counts = pairs.join(parts, "a", "left").select("a", spread.alias("part"), F.lit(0).alias("kind"), F.array("b").alias("b"), F.array(F.col("n")).alias("n"), *[F.lit(None).cast(t).alias(c) for c, t in (("slice", "long"), ("docs", "array<short>"), ("times", "array<int>"))])
     own = posts.join(parts, "a", "left").select("a", F.when(count.isNull(), 0).otherwise(F.pmod(F.xxhash64("slice"), count)).cast("int").alias("part"), F.lit(1).alias("kind"), "b", F.transform("n", lambda x: x.cast("long")).alias("n"), "slice", "docs", "times")
     streams = counts.unionByName(own).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "part").sortWithinPartitions("a", "part", "kind")
-    each = streams.mapInArrow(_merge, "row long, n_best long, count_sum long")
-    return each.groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    each = streams.mapInArrow(_merge, "slice long, docs array<short>, n_best array<long>, count_sum array<long>")
+    by_slice = each.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "slice").sortWithinPartitions("slice")
+    return by_slice.mapInArrow(_sum, "row long, n_best long, count_sum long")
 
 
 def _merge(batches):
@@ -227,11 +229,38 @@ def _merge(batches):
 
 
 def _added(rows: list[np.ndarray], shares: list[np.ndarray]) -> pa.RecordBatch:
+    """A row for each slice: its documents and their shares, each document once."""
     row, at = np.unique(np.concatenate(rows), return_inverse=True)
     both = np.zeros((2, len(row)), np.int64)
     for out, own in zip(both, np.concatenate(shares, axis=1), strict=True):
         np.add.at(out, at, own)
-    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(both[0]), pa.array(both[1])], ["row", "n_best", "count_sum"])
+    slice_, first = np.unique(row >> 15, return_index=True)
+    off = pa.array(np.append(first, len(row)), pa.int32())
+    lists = [pa.ListArray.from_arrays(off, x) for x in (pa.array(row & 0x7FFF, pa.int16()), pa.array(both[0]), pa.array(both[1]))]
+    return pa.RecordBatch.from_arrays([pa.array(slice_), *lists], ["slice", "docs", "n_best", "count_sum"])
+
+
+def _sum(batches):
+    """The shares of each document, summed over a stream sorted by slice; a slice has at most SLICE_DOCS documents."""
+
+    def out(slice_: int, sums: np.ndarray, there: np.ndarray) -> pa.RecordBatch:
+        docs = np.flatnonzero(there)
+        return pa.RecordBatch.from_arrays([pa.array((slice_ << 15) + docs), pa.array(sums[0, docs]), pa.array(sums[1, docs])], ["row", "n_best", "count_sum"])
+
+    at, sums, there = None, None, None
+    for batch in batches:
+        slices_ = batch.column("slice").to_numpy()
+        for i in range(batch.num_rows):
+            if slices_[i] != at:
+                if at is not None:
+                    yield out(at, sums, there)
+                at, sums, there = int(slices_[i]), np.zeros((2, SLICE_DOCS), np.int64), np.zeros(SLICE_DOCS, bool)
+            docs = batch.column("docs")[i].values.to_numpy()
+            there[docs] = True
+            for k, c in enumerate(("n_best", "count_sum")):
+                sums[k, docs] += batch.column(c)[i].values.to_numpy()
+    if at is not None:
+        yield out(at, sums, there)
 
 
 def align(docs: DataFrame, *, byte_level: str | None = None, ranks: str | None = None, pieces: str | None = None, hashed: bool = False, hot: int = HOT) -> DataFrame:
