@@ -45,7 +45,7 @@ def sorted_tokens(name: Column) -> Column:
     return F.array_join(F.array_sort(F.filter(F.split(folded(name), " "), lambda w: w != "")), " ")
 
 
-def _grams(name: Column) -> Column:
+def letter_pairs(name: Column) -> Column:
     """The pairs of letters of a name, each with the number of its occurrence."""
     all_ = F.transform(F.sequence(F.lit(1), F.length(name) - 1), lambda i: F.substring(name, i, 2))
     of = lambda g: F.transform(F.sequence(F.lit(1), F.size(F.filter(all_, lambda x: x == g))), lambda k: F.concat(g, k.cast("string")))
@@ -67,7 +67,7 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, least: float = 0.84, shared
     steep = 1.5 * least - 1
 
     def named(df: DataFrame, side: str) -> DataFrame:
-        return df.select(sorted_tokens(F.col("name")).alias(side)).distinct().filter(F.col(side) != "").withColumn(f"g_{side}", _grams(F.col(side)))
+        return df.select(sorted_tokens(F.col("name")).alias(side)).distinct().filter(F.col(side) != "").withColumn(f"g_{side}", letter_pairs(F.col(side)))
 
     names = {"a": named(left, "a"), "b": named(right, "b")}
     counts = names["a"].select(F.explode("g_a").alias("gram")).unionByName(names["b"].select(F.explode("g_b").alias("gram"))).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
