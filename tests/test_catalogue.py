@@ -1,5 +1,6 @@
 """Every query of the engine against its SQL in DuckDB, or against a plain version where it has none."""
 
+import hashlib
 import itertools
 import math
 from collections import defaultdict
@@ -14,7 +15,8 @@ from colloquy import catalogue
 from colloquy.operators import kernels as K
 from colloquy.operators import resolve as R
 from colloquy.plans import evidence as P
-from colloquy.plans import relational
+from colloquy.plans import naming, relational
+from tests import test_naming
 from tests.helpers import connection, same
 
 SF = "/root/testdata/sf0.001"
@@ -169,6 +171,58 @@ def carried_places(spark, rows):
         assert {i for s, i in got if s == d.doc_id} == {i for i, _ in fresh}
 
 
+def _walked(spark):
+    """What a walk over one session at a time makes of the same items, and the sessions' lines."""
+    if not _walk:
+        items = [(r.session_id, r.kind, r.chunk, r.pos, r.name, r.aliases, r.mentions, r.text, r.facts, r.is_party) for r in naming._items(spark, SF).collect()]
+        lines = [(r.session_id, r.i, r.text) for r in naming._lines(spark, SF).collect()]
+        _walk.extend([items, lines, *test_naming.plain(items, [(s, t) for s, _, t in lines])])
+    return _walk
+
+
+_walk: list = []
+
+
+def names_written(spark, rows):
+    items, lines, *_ = _walked(spark)
+    by = defaultdict(list)
+    for s, _, t in lines:
+        by[s].append(t)
+    want = {(s, n): test_naming.times("\n".join(by[s]), n) for s, n in {(i[0], i[4]) for i in items}}
+    assert {(r.session_id, r["name"]): r.written for r in rows} == {k: n for k, n in want.items() if n}
+
+
+def session_unify(spark, rows):
+    to = _walked(spark)[2]
+    got = {(r.session_id, r.kind, r.key): r.to for r in rows}
+    assert {k: got[k] for k in to} == to and len(got) == len(to) and sum(k[2] != v for k, v in to.items()) > 20
+
+
+def session_merge(spark, rows):
+    folded = _walked(spark)[4]
+    got = {(r.session_id, r.kind, r.key): r for r in rows}
+    assert set(got) == set(folded)
+    for k, e in folded.items():
+        r = got[k]
+        assert (r["name"], r.mentions, r.is_party) == (e["name"], e["mentions"], e["party"])
+        assert set(x.lower() for x in r.facts.split("|")) == {x.lower() for x in e["facts"]}
+
+
+def session_renames(spark, rows):
+    assert {(r.session_id, r.dropped): r.canonical for r in rows} == _walked(spark)[3]
+
+
+def renamed_lines(spark, rows):
+    _, lines, _, renames, _ = _walked(spark)
+    by = defaultdict(dict)
+    for (s, a), b in renames.items():
+        by[s][a] = b
+    got = {(r.session_id, r.i): r.text for r in rows}
+    assert len(got) == len(lines)
+    for s, i, t in lines:
+        assert got[s, i] == hashlib.md5(test_naming.plain_rename(t, by[s]).encode()).hexdigest()
+
+
 def whole(*columns, least=1):
     """Rows are told apart by these columns, and there are some; what the operator does is tested elsewhere."""
 
@@ -180,6 +234,7 @@ def whole(*columns, least=1):
 
 
 PLAIN = {
+    "names_written": names_written, "session_unify": session_unify, "session_merge": session_merge, "session_renames": session_renames, "renamed_lines": renamed_lines,
     "approx_distinct": approx_distinct, "conflict_matching": conflict_matching, "unify_names": unify_names, "fuzzy_match": fuzzy_match, "bp_posteriors": bp_posteriors, "upgma": upgma, "kmeans": kmeans, "purity": purity, "label_splits": label_splits, "page_matches": page_matches, "carried_places": carried_places,
     # against plain versions in test_views, test_planning and test_functions
     "sampled_lines": whole("session_id", "i", least=500), "linked_mentions": whole("text", least=50), "capability_contradiction": whole("session_id", "label", least=10), "channel_weights": whole("campaign", "channel", least=30),
