@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,12 @@ class Pair:
         name = self.pieces.id_to_piece
         self.b = Side([bytes([int(name(i)[3:-1], 16)]) if self.pieces.is_byte(i) else name(i).replace("▁", " ").encode() for i in range(self.pieces.get_piece_size())])
 
+        texts = [t.encode() for t in self.a.text + self.b.text]
+        self.text_length = np.array([len(t) for t in texts], np.int64)
+        self.text = np.zeros((len(texts), int(self.text_length.max())), np.uint8)
+        for i, t in enumerate(texts):
+            self.text[i, : len(t)] = np.frombuffer(t, np.uint8)
+
     def encode(self, text: str | None) -> tuple[list[int], list[int]]:
         """Ids of both over space+text; none if the text is empty or either side's bytes aren't those of space+text."""
         if not text:
@@ -84,36 +91,58 @@ def loaded(byte_level: str | None, ranks: str | None, pieces: str | None) -> Pai
 
 
 class Alignment:
-    """One text's tokens cut into groups where tokens of both sides end, and the pairs of tokens whose byte ranges overlap."""
+    """Some texts' tokens, laid end to end: both sides have the same bytes of every text, so one pass aligns all of them.
+
+    A group ends where tokens of both sides end, as a text does. Links are the pairs of
+    tokens whose byte ranges overlap: both sides' ends together cut the bytes into one
+    stretch for each.
+    """
 
-    def __init__(self, pair: Pair, a: list[int], b: list[int]):
-        self.pair = pair
-        self.a, self.b = np.array(a, np.int64), np.array(b, np.int64)
+    def __init__(self, pair: Pair, a: list[list[int]], b: list[list[int]]):
+        self.pair, self.n_a, self.n_b = pair, np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+        self.a, self.b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((a, self.n_a), (b, self.n_b)))
         self.end_a, self.end_b = np.cumsum(pair.a.length[self.a]), np.cumsum(pair.b.length[self.b])
-        self.common = np.intersect1d(self.end_a, self.end_b, assume_unique=True)
-
-    def links(self) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of each overlapping pair of occurrences: both segmentations' ends together cut the bytes into one stretch for each."""
-        ends = np.union1d(self.end_a, self.end_b)
-        return self.a[np.searchsorted(self.end_a, ends)], self.b[np.searchsorted(self.end_b, ends)]
-
-    def groups(self) -> str:
-        """``a1,a2|b1;a3|b2,b3``."""
-        if not len(self.common):
-            return ""
-        in_a, in_b = np.searchsorted(self.common, self.end_a), np.searchsorted(self.common, self.end_b)
-        last_a, last_b = np.append(in_a[1:] != in_a[:-1], True), np.append(in_b[1:] != in_b[:-1], True)
+        size = int(self.end_a[-1]) + 1 if len(self.end_a) else 1
+        self.at_a, self.at_b = np.zeros(size, bool), np.zeros(size, bool)
+        self.at_a[self.end_a] = self.at_b[self.end_b] = True
+        #: How many tokens of a side have ended by each byte.
+        self.done_a, self.done_b = np.cumsum(self.at_a, dtype=np.int32), np.cumsum(self.at_b, dtype=np.int32)
+        self.both = self.at_a & self.at_b
+        self.common = np.flatnonzero(self.both)
+        of_doc = lambda n: np.concatenate([[0], np.cumsum(n)])
+        self.first_a, self.first_b = of_doc(self.n_a), of_doc(self.n_b)
+
+    def n_groups(self) -> np.ndarray:
+        ends = np.concatenate([[0], self.end_a])[self.first_a]
+        return np.diff(np.searchsorted(self.common, ends, "right"))
+
+    def links(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, id, id) of every link, in order."""
+        ends = np.flatnonzero(self.at_a | self.at_b)
+        in_a, in_b = self.done_a[ends - 1], self.done_b[ends - 1]
+        text = np.repeat(np.arange(len(self.n_a)), self.n_a)
+        return text[in_a], self.a[in_a], self.b[in_b]
+
+    def groups(self) -> list[bytes]:
+        """Of each text, in ASCII, ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
+        done = np.cumsum(self.both, dtype=np.int32)
+        in_a, in_b = done[self.end_a - 1], done[self.end_b - 1]
         size_a, size_b = len(self.pair.a.tokens), len(self.pair.b.tokens)
-        code_a = self.a + size_a * np.where(last_a, 2, 1)
-        code_b = self.b + size_b * np.where(last_b, 3, 1)
-        code_b[-1] = self.b[-1]
-        # before a token of the second side stand all of the first up to its group, and the other way round
-        place_a = np.arange(len(code_a)) + np.searchsorted(in_b, in_a)
-        place_b = np.arange(len(code_b)) + np.searchsorted(in_a, in_b, "right")
-        out = np.empty(len(code_a) + len(code_b), object)
-        out[place_a] = list(map(self.pair.a.text.__getitem__, code_a.tolist()))
-        out[place_b] = list(map(self.pair.b.text.__getitem__, code_b.tolist()))
-        return "".join(out.tolist())
+        code_a = self.a + size_a * np.where(self.both[self.end_a], 2, 1)
+        code_b = self.b + size_b * np.where(self.both[self.end_b], 3, 1)
+        last = self.first_b[1:][self.n_b > 0] - 1
+        code_b[last] = self.b[last]
+        # before a token of the first side stand all of the second in earlier groups; before one of the second all of the first up to its own
+        before_a = np.concatenate([[0], self.done_b[self.common]])[in_a]
+        before_b = self.done_a[self.common][in_b]
+        codes = np.empty(len(code_a) + len(code_b), np.int64)
+        codes[np.arange(len(code_a)) + before_a] = code_a
+        codes[np.arange(len(code_b)) + before_b] = code_b + len(self.pair.a.text)
+        length = self.pair.text_length[codes]
+        there = np.arange(self.pair.text.shape[1]) < length[:, None]
+        data = self.pair.text[codes][there].tobytes()
+        cut = np.concatenate([[0], np.cumsum(length)])[self.first_a + self.first_b].tolist()
+        return [data[x:y] for x, y in zip(cut, cut[1:])]
 
 
 DOC = "doc struct<row:long,id:{id},n_a:long,n_b:long,n_groups:long,n_links:long,groups:string>"
@@ -144,27 +173,23 @@ def postings(docs: DataFrame, byte_level: str | None, ranks: str | None, pieces:
 
 def _slice(pair: Pair, part: pa.RecordBatch, slice_: int, hashed: bool):
     n = part.num_rows
-    counts, texts, keys = np.zeros((4, n), np.int64), [], [np.zeros(0, np.int64)]
-    for i, text in enumerate(part.column("text").to_pylist()):
-        a, b = pair.encode(text)
-        own = Alignment(pair, a, b)
-        groups = own.groups()
-        texts.append(sha256(groups.encode()).hexdigest() if hashed and a else groups)
-        if a:
-            left, right = own.links()
-            counts[:, i] = len(a), len(b), len(own.common), len(left)
-            keys.append((left << 40) | (right << 15) | i)  # ids under 2**23 and 2**25
+    encoded = [pair.encode(text) for text in part.column("text").to_pylist()]
+    own = Alignment(pair, [a for a, _ in encoded], [b for _, b in encoded])
+    groups = own.groups()
+    text, left, right = own.links()
+    groups = [sha256(g).hexdigest() if g else "" for g in groups] if hashed else [g.decode() for g in groups]
+    counts = own.n_a, own.n_b, own.n_groups(), np.bincount(text, minlength=n)
     doc = pa.StructArray.from_arrays(
-        [pa.array((slice_ << 15) + np.arange(n)), part.column("id"), *map(pa.array, counts), pa.array(texts, pa.string())],
+        [pa.array((slice_ << 15) + np.arange(n)), part.column("id"), *[pa.array(c, pa.int64()) for c in counts], pa.array(groups, pa.string())],
         ["row", "id", "n_a", "n_b", "n_groups", "n_links", "groups"],
     )
     empty = [pa.nulls(n, t) for t in _TYPES]
     yield pa.RecordBatch.from_arrays([doc, *empty], ["doc", *_NAMES])
-    key, times = np.unique(np.concatenate(keys), return_counts=True)
-    if not len(key):
+    if not len(text):
         return
-    which, at_pair, per_pair = np.unique(key >> 15, return_index=True, return_counts=True)
-    side, at_a = np.unique(which >> 25, return_index=True)
+    key, _, times = _runs(np.sort((left << 40) | (right << 15) | text))  # ids under 2**23 and 2**25
+    which, at_pair, per_pair = _runs(key >> 15)
+    side, at_a, _ = _runs(which >> 25)
     by_pair = pa.array(np.append(at_a, len(which)), pa.int32())
     by_doc = pa.array(np.append(at_pair[at_a], len(key)), pa.int32())
     lists = lambda off, x, t: pa.ListArray.from_arrays(off, pa.array(x, t))
@@ -175,6 +200,12 @@ def _slice(pair: Pair, part: pa.RecordBatch, slice_: int, hashed: bool):
     yield pa.RecordBatch.from_arrays([pa.nulls(len(side), doc.type), *columns], ["doc", *_NAMES])
 
 
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, starts and lengths of the runs of a sorted array."""
+    starts = np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1])
+    return x[starts], starts, np.diff(np.append(starts, len(x)))
+
+
 _NAMES = ["slice", "a", "b", "n", "docs", "times"]
 _TYPES = [pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int16()), pa.list_(pa.int32())]
 

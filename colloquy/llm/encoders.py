@@ -9,8 +9,17 @@ from functools import lru_cache
 
 #: Letters beyond these blocks are left to the tokenizers library itself.
 _PLAIN = re.compile(r"[\x00-ɏ‐-‧€]*\Z")
-#: So is a text with such a run without or of white space: the faster library gives up on very long ones.
-_LONG = re.compile(r"(?<!\s)\s{4096}|(?<!\S)\S{4096}")
+#: So is a text with a run of so many characters without or of white space: the faster library gives up on very long ones.
+RUN = 4096
+_SPACES = re.compile(rf"(?<!\s)\s{{{RUN}}}")
+
+
+def has_long_run(text: str) -> bool:
+    if len(text) < RUN:
+        return False
+    words = text.split()
+    sizes = list(map(len, words))
+    return max(sizes, default=0) >= RUN or len(text) - sum(sizes) - len(words) >= RUN - 2 and _SPACES.search(text) is not None
 
 
 class Encoder:
@@ -30,7 +39,7 @@ class Encoder:
 
         self.exact = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
         self.exact.encode_special_tokens = not specials
-        self.fast = None
+        self.fast, self.specials = None, [t.content for t in self.exact.get_added_tokens_decoder().values()] if specials else []
         if path is None or ranks_path:
             with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -38,9 +47,11 @@ class Encoder:
             self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is not None and _PLAIN.match(text) and not _LONG.search(text):
+        if self.fast is not None and (text.isascii() or _PLAIN.match(text)) and not has_long_run(text):
             try:
-                return self.fast.encode(text, allowed_special="all", disallowed_special=())
+                if self.specials and any(t in text for t in self.specials):
+                    return self.fast.encode(text, allowed_special="all", disallowed_special=())
+                return self.fast.encode_ordinary(text)
             except Exception:  # the exact library takes every text
                 pass
         return self.exact.encode(text, add_special_tokens=False).ids

@@ -5,7 +5,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from colloquy.llm import packing as P
-from colloquy.llm.encoders import Encoder
+from colloquy.llm.encoders import RUN, Encoder, has_long_run
 
 
 def plain_plan(lengths, window):
@@ -93,6 +93,13 @@ def test_both_libraries_give_the_same_ids_of_long_texts():
         assert encode(text) == encode.exact.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs_are_seen():
+    n = RUN
+    long = [" " * n, "a" * n, "a b " + "\n " * (n // 2), "x" + " \t" * n + "y", "a b" + "c" * n + " d"]
+    short = ["", " ", " " * (n - 1), "a" * (n - 1), ("a" * (n - 1) + " ") * 3, ("a" + " " * (n - 1)) * 3, "a b c " * n, "  a" * n]
+    assert all(map(has_long_run, long)) and not any(map(has_long_run, short))
+
+
 def test_a_failure_of_the_fast_library_is_no_failure():
     encode = Encoder()
 
