@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.functions.text import normal
+from colloquy.functions.text import folded, normal
 from colloquy.functions.vectors import clamp
 from colloquy.operators.review import is_filler
 
@@ -101,8 +101,8 @@ def sanitized(rows: DataFrame) -> DataFrame:
 
 
 def violations(rows: DataFrame) -> DataFrame:
-    """(page, key, error) of what a strict reading rejects: unknown_field, wrong_type, too_long, not_allowed or out_of_range."""
-    r = _read(rows)
+    """(page, key, error) of what a strict reading rejects: unknown_field, wrong_type, too_long, not_allowed or out_of_range. Pages of a kind that has no fields of its own take any."""
+    r = _read(rows).filter(F.col("kind").isin(*FIELDS))
     wanted = F.when(F.col("form").isin("enum", "str"), "string").when(F.col("form") == "list", "list").otherwise("number")
     number = F.col("_text").try_cast("double")
     error = (
@@ -127,7 +127,7 @@ def prose(rows: DataFrame) -> DataFrame:
 def location_type(raw: Column) -> Column:
     """Of a place's free wording, whatever its case and accents; null if it isn't known."""
     known = F.create_map(*[F.lit(x) for t, words in PLACES.items() for w in words.split() for x in (w, t)])
-    return F.element_at(known, F.translate(F.lower(F.trim(raw)), "àèéìòù", "aeeiou"))
+    return F.element_at(known, folded(raw))
 
 
 def pruned(rows: DataFrame) -> DataFrame:

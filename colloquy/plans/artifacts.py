@@ -159,8 +159,7 @@ def text_keys(spark, sf_dir):
     """Folded keys, ids by name, subsets and tokens of names with marks."""
     marked = _array(["Città", "Łódź", "Ősz–Nő", "ﬁn", "İzmir", "Ｆｕｌｌ １", "", "a.b"])
     p = A.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.element_at(marked, (F.col("p_partkey") % 8 + 1).cast("int")), F.lit(" "), "p_name").alias("name"), F.split("p_name", " ").alias("own"))
-    small = p.filter("p_partkey % 8 NOT IN (3)")  # a ligature decomposes into two letters, which no table of single letters holds
-    return small.select("p_partkey", X.folded(F.col("name")).alias("key"), X.uuid5(NAMESPACE, F.col("name")).alias("id"), X.is_subset(F.col("own"), _array(["red", "ring", "bolt"])).alias("subset"), F.array_join(X.content_tokens(F.col("name"), ["red", "a"]), " ").alias("tokens"))
+    return p.select("p_partkey", X.folded(F.col("name")).alias("key"), X.uuid5(NAMESPACE, F.col("name")).alias("id"), X.is_subset(F.col("own"), _array(["red", "ring", "bolt"])).alias("subset"), F.array_join(X.content_tokens(F.col("name"), ["red", "a"]), " ").alias("tokens"))
 
 
 def name_counts(spark, sf_dir):

@@ -11,6 +11,7 @@ from colloquy.operators import evidence as E
 from colloquy.operators import kernels as K
 from colloquy.operators import vectors as V
 from colloquy.plans.evidence import _evidence, _obs, _prior
+from colloquy.streaming import answers as W
 from colloquy.streaming import lifecycle as L
 
 
@@ -52,7 +53,22 @@ def session_lifecycle(spark, sf_dir):
     return L.replay(_requests(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (bp_posteriors, upgma, kmeans, purity, relabel, session_lifecycle)}
+def _answers(spark, sf_dir):
+    """Every fortieth observation of a session is answered in turn by its label, every 120th by nobody."""
+    o = _obs(spark, sf_dir).filter("ref % 40 = 0")
+    return o.select("session_id", F.col("ref").alias("seq"), "ref", F.when(F.col("ref") % 120 > 0, F.concat(F.lit("member:"), F.col("label").cast("string"))).alias("candidate"))
+
+
+def answer_loop(spark, sf_dir):
+    """What each answer of a review moves, belief kept from one to the next."""
+    nodes = _obs(spark, sf_dir).select("session_id", "ref", F.lit(0.5).alias("alpha"))
+    phi = E.fuse(nodes, _evidence(spark, sf_dir), _prior(spark, sf_dir))
+    edges = V.knn_edges(_obs(spark, sf_dir), 1).select("session_id", "i", "j", F.lit(math.log(0.6)).alias("log_same"), F.lit(math.log(0.4)).alias("log_diff"), F.lit(0.75).alias("likeness"))
+    moves = W.replayed(W.events_of(phi, edges, _answers(spark, sf_dir)))
+    return moves.select("session_id", "seq", "ref", "candidate", F.round("p", 5).alias("p"), "asked", "ended")
+
+
+QUERIES = {f.__name__: f for f in (answer_loop, bp_posteriors, upgma, kmeans, purity, relabel, session_lifecycle)}
 
 _NAMES = ", ".join(f"'{s}'" for s in L.STATUSES)
 _EDGES = ", ".join(f"'{e}'" for e in L.EDGES)

@@ -171,6 +171,49 @@ def carried_places(spark, rows):
         assert {i for s, i in got if s == d.doc_id} == {i for i, _ in fresh}
 
 
+def answer_loop(spark, rows):
+    """The last word on every posterior is that of a whole run over the potentials that all answers left."""
+    from colloquy.operators import evidence as E
+    from colloquy.operators import vectors as V
+    from colloquy.operators.planning import SPREAD, USER_ANSWER
+    from colloquy.plans import kernels as Q
+
+    phi = E.fuse(Q._obs(spark, SF).select("session_id", "ref", F.lit(0.5).alias("alpha")), Q._evidence(spark, SF), Q._prior(spark, SF)).toPandas()
+    links = V.knn_edges(Q._obs(spark, SF), 1).toPandas()
+    told = Q._answers(spark, SF).toPandas().sort_values("seq")
+    seen = 0
+    for session, own in phi.groupby("session_id"):
+        wide = own.pivot_table(index="ref", columns="candidate", values="log_phi", fill_value=K.MISSING)
+        e = links[links["session_id"] == session].sort_values(["i", "j"])
+        ij = [(a, b) for a, b in zip(e["i"], e["j"]) if a != b]
+        asked = unsure = 0
+        done = set()
+        for r in told[told["session_id"] == session].itertuples():
+            if asked == 8 or unsure == 2:
+                break
+            asked += 1
+            if r.candidate is None or r.candidate not in wide.columns:
+                unsure += 1
+                continue
+            unsure = 0
+            wide.loc[r.ref, r.candidate] += USER_ANSWER
+            done.add(r.ref)
+            for a, b in ij + [(b, a) for a, b in ij]:
+                if a == r.ref and b not in done:
+                    wide.loc[b, r.candidate] += SPREAD * 0.75
+        at = {x: i for i, x in enumerate(wide.index)}
+        i, j = np.array([at[a] for a, _ in ij]), np.array([at[b] for _, b in ij])
+        p = K.propagate(wide.to_numpy(float), i, j, np.full(len(ij), math.log(0.6)), np.full(len(ij), math.log(0.4)), sweeps=300, most=3000, tolerance=1e-12)[0]
+        last = {}
+        for r in sorted((r for r in rows if r.session_id == session and r.ref is not None), key=lambda r: r.seq):
+            last[r.ref, r.candidate] = r.p
+        for (ref, c), x in last.items():
+            assert abs(p[at[ref], list(wide.columns).index(c)] - x) < 2e-3  # what moves by less isn't told
+            seen += 1
+        assert max(r.asked for r in rows if r.session_id == session) == asked
+    assert seen > 20
+
+
 def _walked(spark):
     """What a walk over one session at a time makes of the same items, and the sessions' lines."""
     if not _walk:
@@ -234,6 +277,7 @@ def whole(*columns, least=1):
 
 
 PLAIN = {
+    "answer_loop": answer_loop,
     "names_written": names_written, "session_unify": session_unify, "session_merge": session_merge, "session_renames": session_renames, "renamed_lines": renamed_lines,
     "approx_distinct": approx_distinct, "conflict_matching": conflict_matching, "unify_names": unify_names, "fuzzy_match": fuzzy_match, "bp_posteriors": bp_posteriors, "upgma": upgma, "kmeans": kmeans, "purity": purity, "label_splits": label_splits, "page_matches": page_matches, "carried_places": carried_places,
     # against plain versions in test_views, test_planning and test_functions
