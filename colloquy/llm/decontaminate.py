@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm.common import UPPER, LOWER, shared_dir, table
-from colloquy.llm.kernels import ALNUM, Words, slices
+from colloquy.llm.kernels import ALNUM, Words, fewer, slices
 from colloquy.llm.warc import open_dir
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
 #: Shards whose indexes a task holds while the blocks pass by.
-GROUP_BYTES = 16 << 20
+GROUP_BYTES = 8 << 20
 BLOCK_BYTES = 4 << 20
 SAMPLE = 8
 HIT = "struct<word_start:int,word_end:int,char_start:int,char_end:int>"
@@ -258,7 +258,7 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, text_co
                 held[k] = Phrases(read_block(uri, k), window)
             return held[k]
 
-        for batch in batches:
+        for batch in fewer(batches, 4000):
             for begin, end in slices(batch.column(text_col), GROUP_BYTES):
                 group = batch.slice(begin, end - begin)
                 cuts = list(slices(group.column(text_col), SHARD_BYTES))
@@ -289,8 +289,10 @@ def _with_hits(part: pa.RecordBatch, shard: Shard) -> pa.RecordBatch:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without any hit, with the columns of docs."""
-    rows = docs.select(F.struct("*").alias("row"), F.col("text").cast("string").alias("text"))  # whatever the columns' names
-    return find(rows, benchmark).filter(F.size("dec_hits") == 0).select("row.*")
+    # whatever the columns' names; the text goes to Python once
+    rows = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("row"), F.col("text").cast("string").alias("text"))
+    clean_ = find(rows, benchmark).filter(F.size("dec_hits") == 0)
+    return clean_.select(*[(F.col("text").cast(docs.schema["text"].dataType).alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c)) for c in docs.columns])
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
