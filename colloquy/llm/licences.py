@@ -1,17 +1,22 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-A candidate is a paragraph that holds a licence word; all others are unknown. A
-sparse multinomial logistic regression over word n-grams names its family. It is trained on the paragraphs of whole licence texts, on pieces of
-them, on notices made of names and frames, and on text of the unknown class: talk
-that only sounds like a licence, licences that are mentioned or denied.
-Probabilities are calibrated by a temperature, found by a line search on
-held-out examples against smoothed targets.
+A paragraph ends at a blank line; its wrapped lines are joined and comment marks at
+their beginnings go. A candidate is a paragraph that holds a licence word; all others
+are unknown. Of a candidate its sentences, its lines and, if it is short, the whole
+are classified by a sparse multinomial logistic regression over word n-grams. It is
+trained on the paragraphs of whole licence texts, on pieces of them, on notices made
+of names and frames, and on text of the unknown class: talk that only sounds like a
+licence, licences that are mentioned or denied. Probabilities are calibrated by a
+temperature, found by a line search against smoothed targets on held-out examples;
+accuracy is told on those of frames and paragraphs that no training example came from.
 
 A family counts if its probability is high enough and a template confirms it, in
-order. Either the paragraph and a paragraph of a licence text share runs of three
-words: most of the template's, or most of the paragraph's, which may be a line of
-it. Or a sentence is a notice: a granting phrase, words that may stand between,
-and a name of the family, or the name alone, without a negation before it.
+order. Either the likeliest family has a licence text of which a paragraph shares runs
+of three words with the candidate: most of the template's, or most of the candidate's.
+Or a sentence is a notice: a granting phrase, words that may stand between, and a name
+of the family, a name that is followed by "licensed", or the name alone, without a
+negation before it. A paragraph may name several families: where the unknown class
+is unlikely, each that a notice names.
 """
 
 from __future__ import annotations
@@ -46,12 +51,14 @@ FRAMES = [
     "Released under the {}.", "Licensed under the {}.", "Licensed under {}.", "This work is licensed under the {}.", "This work is licensed under a {}.", "This project is licensed under the terms of the {}.",
     "Distributed under the {}; see the file LICENSE for details.", "SPDX-License-Identifier: {}", "This program is free software: you can redistribute it and/or modify it under the terms of the {}.", "License: {}", "{}",
     "Copyright the authors. Available under the {}.", "You may not use this file except in compliance with the {}.", "Use of this source code is governed by the {}.", "See the {} for details.", "Dual licensed under the {} and another one.",
+    "{} licensed.", "Copyright 2020 the authors, {} licensed.", "The code is {} licensed.", "{}-licensed code.", "Dual-licensed under {} and a commercial license.", "Use it under the terms of the {} or not at all.",
     "Sous licence {}.", "Distribué sous les termes de la licence {}.", "Veröffentlicht unter der Lizenz {}.", "Lizenziert unter der {}-Lizenz.", "Publicado bajo la licencia {}.",
 ]
 #: Frames that name a licence and grant nothing.
 MENTIONS = [
     "This file is not licensed under the {}.", "The {} was compared with others in this article.", "This library was never released under the {}.", "Lawyers have written much about the {}.", "It is no longer available under the {}.",
     "The history of the {} is the subject of the second chapter.", "Unlike the {}, other licences ask for more.", "We did not choose the {} because of its clauses.", "In a survey the {} was named by a third of all projects.", "Ce fichier n'est pas sous licence {}.",
+    "You cannot use this file under the {}.", "We considered releasing it under the {}.", "They don't distribute it under the {}.", "The team plays under the {} banner.", "He sailed under the {} flag.", "She talked about the {} for an hour.", "It can't be relicensed under the {}.",
 ]
 #: Whole licence texts and notices, as the licences have them, one paragraph each; fixed values.
 TEXTS = {
@@ -136,12 +143,15 @@ CAPITAL = "MIT"
 GLUED = "agpl|lgpl|gpl|mpl|epl|bsl|apache|bsd"
 GATE = r"(?<![A-Za-z0-9])((?i:" + "|".join(ANCHORS) + rf"|(?:{GLUED})v?[0-9]+|public[^\p{{L}}\p{{N}}_\n]+domain)|{CAPITAL})(?![A-Za-z0-9])"
 THRESHOLD, COVER, LEAST_RUNS = 0.5, 0.7, 6
-PARAGRAPH = r"\n+"
-#: Of a notice: what grants, what may stand between that and the name, what may follow a name that stands alone, what denies.
-GRANT = "under|see|sous|unter|bajo|identifier|license|licence|licencia|lizenz|licensed|covered|governed|compliance|published"
-BETWEEN = "the|a|an|terms|of|and|conditions|either|both|gnu|by|with|le|la|les|termes|der|die|dem|des|de|du|los|las|el|standard|simplified|new|license|licence|licencia|lizenz|is"
+#: Ends of paragraphs: blank lines and lines of comment marks; how a wrapped line begins; words of a paragraph that is also taken as a whole.
+PARAGRAPH, WRAPPED, SHORT = r"\n(?:[ \t\r\f#*/;>|-]*\n)+", r"[\r]?\n[ \t]*(?:[#*/;>|-]+[ \t]*)?", 400
+#: Of a notice: what grants if the sentence also speaks of what is granted, what grants by itself, what may stand between that and the name, what may follow a name that stands alone, what denies.
+WEAK = "under|see|sous|unter|bajo"
+GRANT = "identifier|license|licence|licencia|lizenz|licensed|covered|governed|compliance|published"
+BETWEEN = "or|the|a|an|terms|of|and|conditions|either|both|gnu|by|with|le|la|les|termes|der|die|dem|des|de|du|los|las|el|standard|simplified|new|license|licence|licencia|lizenz|is"
 ALONE = "or|any|later|version|only|license|licence|lizenz|0|v|plus|the"
-DENIED = "not|never|nor|neither|without|no|longer|formerly|previously|unlike|isn|wasn|aren|pas|nicht|nunca"
+DENIED = "not|never|nor|neither|without|no|longer|formerly|previously|unlike|isn|wasn|aren|cannot|can t|don t|doesn t|didn t|won t|couldn t|shouldn t|consider|considered|considering|refused|declined|pas|nicht|nunca"
+SPEAKS = "licen[cs]e[sd]?|licensing|relicensed|lizenz|lizenziert|licencia|release|released|releases|releasing|distribute|distributed|redistribute|redistributed|available|published|code|terms|termes|software|covered|governed|offered|provided|copyright|use|used|usable|library|program|package|module|header|project|file|files|work|source|sources|dual"
 SENTENCE = r"(?<=[.;!?])\s+"
 
 
@@ -171,16 +181,17 @@ def grams(words: Column) -> Column:
     return let(words, lambda w: F.concat(of(w, 1), of(w, 2), of(w, 3)))
 
 
-def examples() -> list[tuple[str, str]]:
-    """(family, paragraph): notices from frames and names, paragraphs of licence texts and pieces of twelve words of them, and what is unknown."""
+def examples() -> list[tuple[str, str, str]]:
+    """(family, paragraph, source): notices from frames and names, paragraphs of licence texts and pieces of twelve words of them, and what is unknown. The source is what a row was made from, a frame or a paragraph."""
     named = [(f, n) for f, names in FAMILIES.items() for n in map(_versioned, names)]
-    out = [(f, frame.format(n)) for f, n in named for frame in FRAMES]
-    out += [(UNKNOWN, frame.format(n)) for _, n in named for frame in MENTIONS]
+    out = [(f, frame.format(n), frame) for f, n in named for frame in FRAMES]
+    out += [(UNKNOWN, frame.format(n), frame) for _, n in named for frame in MENTIONS]
     for family, texts in [*TEXTS.items(), *STATEMENTS.items()]:
         for t in texts:
             w = t.split()
-            out += [(family, t)] * 3 + [(family, " ".join(w[i : i + 12])) for i in range(0, max(1, len(w) - 6), 4)]
-    out += [(UNKNOWN, f"{a} {b}") for a in NEAR_MISSES for b in NEAR_MISSES]
+            # a paragraph is alone with its words: only its pieces can be held out
+            out += [(family, t, "")] * 3 + [(family, " ".join(w[i : i + 12]), f"{t} {i % 3}" if i else "") for i in range(0, max(1, len(w) - 6), 4)]
+    out += [(UNKNOWN, f"{a} {b}", a) for a in NEAR_MISSES for b in NEAR_MISSES]
     return sorted(out)
 
 
@@ -189,20 +200,21 @@ def _versioned(name: str) -> str:
 
 
 class LicenceModel:
-    """Fitted on ``examples`` (a few thousand rows, made by rule), a fifth of them held out for the temperature."""
+    """Fitted on ``examples`` (a few thousand rows, made by rule). A fifth of their sources, with all that was made from them, is kept apart to tell accuracy on (``unseen``); of the rest a fifth of the rows is held out for the temperature."""
 
-    def __init__(self, spark: SparkSession, rows: list[tuple[str, str]] | None = None):
+    def __init__(self, spark: SparkSession, rows: list[tuple[str, str, str]] | None = None):
         rows = rows or examples()
-        self.families = sorted({f for f, _ in rows})
+        self.families = sorted({f for f, _, _ in rows})
         number = {f: i for i, f in enumerate(self.families)}
-        data = spark.createDataFrame([(i, number[f], t) for i, (f, t) in enumerate(rows)], "i int, label int, text string")
-        data = data.withColumn("held", F.pmod(F.crc32(F.col("i").cast("string")), F.lit(5)) == 0).withColumn("grams", grams(words_of(F.col("text")))).coalesce(2).cache()
+        data = spark.createDataFrame([(i, source, number[f], t) for i, (f, t, source) in enumerate(rows)], "i int, source string, label int, text string").filter(F.col("text").rlike(GATE))  # the classifier never sees others
+        data = data.withColumn("unseen", (F.col("source") != "") & (F.pmod(F.crc32("source"), F.lit(5)) == 0)).withColumn("held", F.pmod(F.crc32(F.col("i").cast("string")), F.lit(5)) == 0).withColumn("grams", grams(words_of(F.col("text")))).coalesce(2).cache()
         # the vocabulary is that of the examples, far below the bound
         self.vectors = CountVectorizer(inputCol="grams", outputCol="counts", binary=True, minDF=2, vocabSize=1 << 20).fit(data)
-        counts = self.vectors.transform(data).select("label", "held", "counts").cache()
-        self.model = LogisticRegression(featuresCol="counts", labelCol="label", family="multinomial", regParam=0.0005, maxIter=30).fit(counts.filter("NOT held"))
-        scored = self.model.transform(counts.filter("held")).select("label", vector_to_array("rawPrediction").alias("z")).collect()  # a fifth of the examples
-        self.held = [(list(r.z), r.label) for r in scored]
+        counts = self.vectors.transform(data).select("label", "held", "unseen", "counts").cache()
+        self.model = LogisticRegression(featuresCol="counts", labelCol="label", family="multinomial", regParam=0.0005, maxIter=30).fit(counts.filter("NOT held AND NOT unseen"))
+        scored = self.model.transform(counts.filter("held OR unseen")).select("label", "unseen", vector_to_array("rawPrediction").alias("z")).collect()  # some of the examples
+        self.held = [(list(r.z), r.label) for r in scored if not r.unseen]
+        self.unseen = [(list(r.z), r.label) for r in scored if r.unseen]
         self.temperature = _temperature(self.held)
         self.notices = self._notices(spark)
         flat = [(f, t) for f, texts in TEXTS.items() for t in texts]
@@ -211,18 +223,23 @@ class LicenceModel:
         counts.unpersist()
         data.unpersist()
 
-    def _notices(self, spark: SparkSession) -> dict[str, tuple[str, str]]:
-        """Patterns of each family over the words of a sentence: what confirms it, and what denies it."""
+    def _notices(self, spark: SparkSession) -> dict[str, tuple[str, str, str]]:
+        """Patterns of each family over the words of a sentence: what names it, what confirms it without a name if it is the likeliest, and what denies it."""
         flat = [(f, n) for f, names in FAMILIES.items() for n in map(_versioned, names)]
         names = spark.createDataFrame(flat, "f string, n string").select("f", F.array_join(words_of(F.col("n")), " ").alias("n")).collect()  # as many as FAMILIES has
+        every = "|".join(sorted({r.n for r in names}, key=lambda n: (-len(n), n)))
+        # other names may stand between, as in a list; what is taken once isn't read another way
+        between = rf"(?: (?>(?:{every}|{BETWEEN})(?= |$)))*"
         out = {}
         for family in self.families:
             own = sorted({r.n for r in names if r.f == family}, key=lambda n: (-len(n), n))
-            phrases = "|".join(PHRASES.get(family, [])) or "(?!)"
+            phrases = rf"(?<![^ ])(?:{'|'.join(PHRASES.get(family, [])) or '(?!)'})(?= |$)"
             name = rf"(?:{'|'.join(own) or '(?!)'})(?= |$)"
-            grant = rf"(?:(?<![^ ])(?:{GRANT})(?: (?:{BETWEEN}))* {name}|(?<![^ ])(?:{phrases})(?= |$))"
+            grant = rf"(?:(?<![^ ])(?:{GRANT}){between} {name}|(?<![^ ]){name} licensed(?= |$))"
+            weak = rf"(?<![^ ])(?:{WEAK}){between} {name}"
             alone = rf"^(?:(?:{ALONE}) )*{name}(?: (?:{ALONE}))*$"
-            out[family] = rf"{grant}|{alone}", rf"(?<![^ ])(?:{DENIED})(?: [^ ]+){{0,4}} {grant}"
+            speaks = rf"^(?=(?:.* )?(?:{SPEAKS})(?: |$)).*"
+            out[family] = rf"{grant}|{speaks}{weak}|{alone}", phrases, rf"(?<![^ ])(?:{DENIED})(?: [^ ]+){{0,4}} (?:{grant}|{weak}|{phrases})"
         return out
 
     def reliability(self, bins: int = 5) -> list[tuple[float, float, int]]:
@@ -235,20 +252,28 @@ class LicenceModel:
         groups = [[f for f in found if min(int(f[0] * bins), bins - 1) == b] for b in range(bins)]
         return [(sum(p for p, _ in g) / len(g), sum(ok for _, ok in g) / len(g), len(g)) for g in groups if g]
 
-    def classify(self, paragraphs: DataFrame, text_col: str = "paragraph") -> DataFrame:
-        """Adds lic_family (a confirmed family or unknown) and lic_probability. Null and empty paragraphs are unknown."""
+    def classify(self, paragraphs: DataFrame, text_col: str = "paragraph", notices_only: Column | None = None) -> DataFrame:
+        """Adds lic_families (array, sorted: all that are confirmed), lic_family (the likeliest if it is among these, else the first, else unknown) and lic_probability (of the likeliest).
+
+        Null and empty paragraphs are unknown. Where notices_only holds, likeness to a licence text counts for nothing.
+        """
         text = F.coalesce(F.col(text_col), F.lit(""))
         scored = self.model.transform(self.vectors.transform(paragraphs.withColumn("lic_words", words_of(text)).withColumn("grams", grams(F.col("lic_words")))))
         z = F.transform(vector_to_array("rawPrediction"), lambda x: x / self.temperature)
-        top = F.array_max(z)
-        probability = F.lit(1.0) / F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - top))
-        best = F.element_at(F.array(*[F.lit(f) for f in self.families]), F.array_position(z, top).cast("int"))
-        named = scored.withColumn("lic_probability", probability).withColumn("lic_best", best)
-        sentences = F.transform(F.split(text, SENTENCE), lambda s: F.array_join(words_of(s), " "))
-        noticed = F.lit(False)
-        for family, (grant, denied) in self.notices.items():
+        scored = scored.withColumn("lic_z", z)
+        top = F.array_max("lic_z")
+        probability = F.lit(1.0) / F.aggregate("lic_z", F.lit(0.0), lambda a, x: a + F.exp(x - top))
+        best = F.element_at(F.array(*[F.lit(f) for f in self.families]), F.array_position("lic_z", top).cast("int"))
+        gated = text.rlike(GATE)
+        sentences = F.when(gated, F.transform(F.split(text, SENTENCE), lambda s: F.array_join(words_of(s), " "))).otherwise(F.array().cast("array<string>"))
+        named = scored.withColumn("lic_probability", probability).withColumn("lic_best", best).withColumn("lic_sentences", sentences)
+        unknown = F.exp(F.element_at("lic_z", self.families.index(UNKNOWN) + 1) - top) * probability if UNKNOWN in self.families else F.lit(0.0)
+        named = named.withColumn("lic_sentences", F.when(1 - unknown >= THRESHOLD, F.col("lic_sentences")).otherwise(F.array().cast("array<string>")))
+        told = []
+        for family, (grant, phrase, denied) in self.notices.items():
             if family != UNKNOWN:
-                noticed = F.when(F.col("lic_best") == family, F.exists("lic_sentences", _said(grant, denied))).otherwise(noticed)
+                by_phrase = (F.col("lic_best") == family) & F.exists("lic_sentences", _said(phrase, denied)) if family in PHRASES else F.lit(False)
+                told.append(F.when(F.exists("lic_sentences", _said(grant, denied)) | by_phrase, F.lit(family)))
         runs = F.array_distinct(_runs(F.col("lic_words"), 3))
         pairs = [F.lit(x) for f, texts in self.templates.items() for x in (f, texts)]
 
@@ -259,10 +284,12 @@ class LicenceModel:
                 return (common >= F.size(template) * COVER) | ((F.size(own) >= LEAST_RUNS) & (common >= F.size(own) * COVER))
             return F.exists(F.coalesce(F.element_at(F.create_map(*pairs), F.col("lic_best")), F.array().cast("array<array<string>>")), fits)
 
-        sure = (F.col("lic_probability") >= THRESHOLD) & text.rlike(GATE) & (F.col("lic_best") != UNKNOWN)
-        named = named.withColumn("lic_sentences", F.when(sure, sentences).otherwise(F.array().cast("array<string>")))
-        family = F.when(sure & (noticed | let(runs, same)), F.col("lic_best")).otherwise(F.lit(UNKNOWN))
-        return named.select(*paragraphs.columns, family.alias("lic_family"), "lic_probability")
+        sure = (F.col("lic_probability") >= THRESHOLD) & gated & (F.col("lic_best") != UNKNOWN)
+        alike = sure & (~notices_only if notices_only is not None else F.lit(True)) & let(runs, same)
+        families = F.when(gated, F.array_sort(F.array_distinct(F.array_compact(F.array(*told, F.when(alike, F.col("lic_best"))))))).otherwise(F.array().cast("array<string>"))
+        found = named.withColumn("lic_families", families)
+        family = F.when(F.array_contains("lic_families", F.col("lic_best")), F.col("lic_best")).otherwise(F.coalesce(F.get("lic_families", F.lit(0)), F.lit(UNKNOWN)))
+        return found.select(*paragraphs.columns, "lic_families", family.alias("lic_family"), "lic_probability")
 
 
 def _said(grant: str, denied: str):
@@ -296,22 +323,41 @@ def _temperature(held: list[tuple[list[float], int]]) -> float:
     return math.exp((low + high) / 2)
 
 
+def joined(paragraph: Column) -> Column:
+    """Wrapped lines as one, without comment marks at their beginnings."""
+    return F.trim(F.regexp_replace(paragraph, WRAPPED, " "))
+
+
+def units(paragraph: Column) -> Column:
+    """(text, line) of what is classified of a candidate: its sentences, its whole if that is short, and of several lines each; only those with a licence word."""
+    row = lambda line: lambda t: F.struct(t.alias("text"), F.lit(line).alias("line"))
+    lines = F.split(paragraph, r"\r?\n")
+    whole = let(joined(paragraph), lambda j: F.concat(F.split(j, SENTENCE), F.when(F.size(F.split(j, " ")) <= SHORT, F.array(j)).otherwise(F.array().cast("array<string>"))))
+    all_ = F.concat(F.transform(F.array_distinct(whole), row(False)), F.when(F.size(lines) > 1, F.transform(lines, row(True))).otherwise(F.array().cast("array<struct<text:string,line:boolean>>")))
+    return F.filter(all_, lambda u: u["text"].rlike(GATE))
+
+
 def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """One row per row of docs: doc_id, n_paragraphs, n_candidates, n_licences, families (array, sorted).
 
-    A paragraph is a run of text between line ends that isn't blank; a long one is
-    scored as a whole. Candidates hold a licence word. Null and empty texts have no
+    A paragraph is a run of lines between blank ones, whatever its length. Candidates
+    hold a licence word; n_licences counts those with a confirmed family, once each,
+    though they may name several. A line of a wrapped paragraph counts as a notice only,
+    as a piece of a licence text may be that of several. Null and empty texts have no
     paragraphs. Repeated rows each have a row of their own; other columns of docs,
     whatever their names, are ignored; no rows in, no rows out.
     """
-    parts = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), PARAGRAPH), lambda p: F.trim(p) != "")
+    parts = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), PARAGRAPH), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")) != "")
     rows = stash(
         docs.select("doc_id", parts.alias("parts"))
         .select("doc_id", F.size("parts").cast("long").alias("n_paragraphs"), F.filter("parts", lambda p: p.rlike(GATE)).alias("candidates"))
         .withColumn("row", F.monotonically_increasing_id())
     )
-    found = model.classify(rows.select("row", F.explode("candidates").alias("paragraph")))
-    per_row = found.filter(F.col("lic_family") != UNKNOWN).groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("lic_family")).alias("f"))
+    each = rows.select("row", F.posexplode("candidates").alias("place", "paragraph")).select("row", "place", F.explode(units(F.col("paragraph"))).alias("u")).select("row", "place", "u.*")
+    # written first: a filter would be pushed below the model and compute it again for every place that it stands in
+    found = stash(model.classify(each, "text", F.col("line")).select("row", "place", "lic_families")).filter(F.size("lic_families") > 0)
+    # families are few, so that a document's sets are small
+    per_row = found.groupBy("row", "place").agg(F.collect_set("lic_families").alias("f")).groupBy("row").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.array_distinct(F.flatten(F.flatten(F.collect_set("f"))))).alias("f"))
     return rows.join(per_row, "row", "left").select("doc_id", "n_paragraphs", F.size("candidates").cast("long").alias("n_candidates"), F.coalesce("n", F.lit(0)).cast("long").alias("n_licences"), F.coalesce("f", F.array().cast("array<string>")).alias("families"))
 
 

@@ -4,6 +4,7 @@ import re
 
 import corpus_pipeline
 from colloquy.llm import packing, quality
+from colloquy.llm.encoders import Encoder
 from tests.llm.test_decontaminate import brute as leaks
 from tests.llm.test_dedup import brute as copies
 
@@ -26,7 +27,7 @@ def test_run_is_brute_force(spark):
     found = leaks(rows, [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()])
     rows = [(i, t) for i, t in rows if not found[i][1]]
     out = corpus_pipeline.run(spark, SF).toPandas()
-    encode = packing.Encoder()
+    encode = Encoder()
     assert out.groupby("doc_id")["length"].sum().to_dict() == {i: len(encode(t or "")) + 1 for i, t in rows}
     own = out.sort_values(["sequence_id", "offset"])
     assert (own.groupby("sequence_id")["length"].cumsum() - own["length"] == own["offset"]).all() and out.groupby("sequence_id")["length"].sum().max() <= 1024
