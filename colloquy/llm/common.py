@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colloquy.shared import arrow_rows, remove, shared_dir, stash, unstash
+from colloquy.shared import remove, shared_dir, stash, unstash
 
-__all__ = ["LOWER", "UPPER", "arrow_rows", "join_hot", "let", "lower_ascii", "remove", "shared_dir", "stash", "table", "unstash"]
+__all__ = ["LOWER", "UPPER", "join_hot", "let", "lower_ascii", "remove", "shared_dir", "stash", "table", "unstash"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
