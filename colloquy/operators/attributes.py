@@ -14,7 +14,9 @@ from colloquy.functions.vectors import clamp
 from colloquy.operators.review import is_filler
 
 #: Location types, and per kind and field the form: enum with its values, str with its length, list, or float with its range.
-TYPES = "city town village region continent world building structure dungeon wilderness other".split()
+TYPES = [
+    "city", "town", "village", "region", "continent", "world", "building", "structure", "dungeon", "wilderness", "other",
+]
 _SETTLEMENT = {"population": 64, "government": 128, "ruler": 128, "demographics": 255, "economy": 255, "defenses": 255, "religion": 255, "districts": "list", "notable_locations": "list"}
 _REGION = {"government": 128, "ruler": 128, "capital": 128, "terrain": 255, "climate": 255, "notable_locations": "list"}
 _BUILDING = {"owner": 128, "purpose": 255}
@@ -35,10 +37,17 @@ FIELDS = {
 PROSE = ["summary", "history", "physical_look", "personality", "facts", "aliases"]
 #: How places are called, in English and Italian, and the location type of each.
 PLACES = {
-    "city": "city citta metropolis metropoli", "town": "town borgata", "village": "village paese villaggio hamlet borgo", "region": "region regione province provincia duchy ducato kingdom regno",
-    "building": "building inn tavern osteria taverna locanda castle castello tower torre temple tempio church chiesa keep", "dungeon": "dungeon crypt cripta mine miniera",
-    "wilderness": "wilderness forest foresta bosco swamp palude mountains montagna", "continent": "continent continente", "world": "world mondo piano", "structure": "structure struttura edificio",
-}
+    "city": ["city", "citta", "metropolis", "metropoli"],
+    "town": ["town", "borgata"],
+    "village": ["village", "paese", "villaggio", "hamlet", "borgo"],
+    "region": ["region", "regione", "province", "provincia", "duchy", "ducato", "kingdom", "regno"],
+    "building": ["building", "inn", "tavern", "osteria", "taverna", "locanda", "castle", "castello", "tower", "torre", "temple", "tempio", "church", "chiesa", "keep"],
+    "dungeon": ["dungeon", "crypt", "cripta", "mine", "miniera"],
+    "wilderness": ["wilderness", "forest", "foresta", "bosco", "swamp", "palude", "mountains", "montagna"],
+    "continent": ["continent", "continente"],
+    "world": ["world", "mondo", "piano"],
+    "structure": ["structure", "struttura", "edificio"],
+}
 KINDS = ["class", "spell", "feature", "item", "weapon", "language", "skill"]
 PARTY_WORDS = ["the party", "the group", "the adventurers", "someone", "a voice", "il gruppo", "la compagnia", "qualcuno", "una voce"]
 NOBODY = ["null", "none", "unknown", "sconosciuto", "?"]
@@ -126,7 +135,7 @@ def prose(rows: DataFrame) -> DataFrame:
 
 def location_type(raw: Column) -> Column:
     """Of a place's free wording, whatever its case and accents; null if it isn't known."""
-    known = F.create_map(*[F.lit(x) for t, words in PLACES.items() for w in words.split() for x in (w, t)])
+    known = F.create_map(*[F.lit(x) for t, words in PLACES.items() for w in words for x in (w, t)])
     return F.element_at(known, folded(raw))
 
 

@@ -169,7 +169,10 @@ def unify_names(entities: DataFrame, least: float = 0.84) -> DataFrame:
 TYPE_RANK = {"world": 0, "continent": 1, "region": 2, "city": 3, "town": 3, "village": 3, "wilderness": 4, "structure": 5, "building": 6, "dungeon": 6, "other": 7}
 #: How voices name themselves, and words that are no names.
 SELF_NAMING = [r"^\s*([A-ZÀ-Ý][\w'à-ÿ]{2,})\s*:", r"\b(?i:io sono|io mi chiamo|mi chiamo|il mio nome (?:e|è))\s+([A-ZÀ-Ý][\w'à-ÿ]{2,})", r"(?i)^\s*([A-ZÀ-Ý][\w'à-ÿ]{2,})\s*,\s*(?:piacere|cin|presente|salve)\b"]
-NO_VOICE = "domanda allora quindi perche perché ancora invece bene dai ok no si sì ma e il la un una pero però comunque aspetta senti guarda certo".split()
+NO_VOICE = [
+    "domanda", "allora", "quindi", "perche", "perché", "ancora", "invece", "bene", "dai", "ok", "no", "si", "sì", "ma", "e", "il", "la", "un", "una",
+    "pero", "però", "comunque", "aspetta", "senti", "guarda", "certo",
+]
 
 
 def run_history(rows: DataFrame) -> DataFrame:

@@ -14,7 +14,10 @@ from colloquy.operators import evidence as E
 ANSWER_SPREAD, ANSWER_LIKENESS = 2.5, 0.7
 OFFER, OFFER_DM, MOVED = 0.02, 0.05, 1e-3
 #: Words that carry no identity, names of narrators, whole texts that say nothing.
-FILLER_WORDS = "the a an of at in on il lo la i gli le un uno una di del dello della dei delle dal dalla da su l d".split()
+FILLER_WORDS = [
+    "the", "a", "an", "of", "at", "in", "on", "il", "lo", "la", "i", "gli", "le", "un", "uno", "una", "di", "del", "dello", "della", "dei", "delle",
+    "dal", "dalla", "da", "su", "l", "d",
+]
 NARRATORS = ["dungeon master", "dm", "master", "game master", "gm", "narratore", "narrator", "il dungeon master", "il master", "il narratore", "la voce narrante"]
 FILLER_TEXTS = [
     "membro del gruppo", "membro del party", "member of the group", "member of the party", "non interviene", "non appare", "non compare", "non si sa molto",
@@ -26,7 +29,10 @@ OF_THE_RECORDING = [
     "in this fragment", "in the fragment", "of the fragment", "in this session", "in the session", "in this episode", "in this chunk", "in the chunk", "of the transcript",
 ]
 #: Capitals that are no names.
-NO_NAMES = "il lo la i gli le un uno una questo questa quel quella poi dopo mentre intanto the a an and but then when while after".split()
+NO_NAMES = [
+    "il", "lo", "la", "i", "gli", "le", "un", "uno", "una", "questo", "questa", "quel", "quella", "poi", "dopo", "mentre", "intanto", "the", "a",
+    "an", "and", "but", "then", "when", "while", "after",
+]
 
 
 def channels(lines: DataFrame, candidates: DataFrame, dm: str) -> DataFrame:

@@ -132,7 +132,7 @@ _CLEAN = f"""WITH {_SPEC}, {_RAW}, clean AS (SELECT page, kind, key, CASE WHEN f
   WHEN form = 'list' AND len(items) > 0 THEN array_to_string(items, '|') WHEN form = 'float' AND shape <> 'list' AND try_cast(txt AS DOUBLE) BETWEEN low AND high THEN try_cast(txt AS DOUBLE)::VARCHAR END AS value FROM listed)"""
 _REQ = "['Class', ' spell', 'feature ', 'mood', 'skill', 'item'][l_partkey % 6 + 1] || CASE WHEN l_suppkey % 5 = 0 THEN '' ELSE ':' END || CASE WHEN l_linenumber = 3 THEN ' ' ELSE ' Art' || (l_partkey % 9) END"
 _KINDS = ", ".join(f"'{k}'" for k in T.KINDS)
-_PLACE = " ".join(f"WHEN '{w}' THEN '{t}'" for t, words in T.PLACES.items() for w in words.split())
+_PLACE = " ".join(f"WHEN '{w}' THEN '{t}'" for t, words in T.PLACES.items() for w in words)
 ORACLES = {
     "attribute_catalogue": f"WITH {_SPEC} SELECT kind, scope, key, form, coalesce(size, 0) AS size FROM spec",
     "attribute_sanitise": _CLEAN + " SELECT page, key, value FROM clean WHERE value IS NOT NULL",

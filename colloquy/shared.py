@@ -11,8 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Lets Spark delete the shuffle files of a query when it ends; what is stashed never needs them again.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_arrow_before: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,8 +38,6 @@ def stash(df: DataFrame) -> DataFrame:
     try:
         df.write.parquet(path)
     finally:
-        if _arrow_before:
-            spark.conf.set(ARROW_ROWS, _arrow_before.pop("rows"))
         if before is None:
             spark.conf.unset(CLEANUP)
         else:
@@ -60,9 +56,3 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared one."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Rows of an Arrow batch sent to Python, so that a batch of long texts stays small. The next stash puts the session's own value back."""
-    _arrow_before.setdefault("rows", spark.conf.get(ARROW_ROWS))
-    spark.conf.set(ARROW_ROWS, str(rows))
