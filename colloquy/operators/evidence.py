@@ -129,10 +129,10 @@ def classify(p: Column, margin: Column, voice: Column, corroborated: Column, pro
 
 
 def coverage(rows: DataFrame) -> DataFrame:
-    """Per session the share of stakes times seconds that is confident (1 if there are none), and of stakes unresolved (0)."""
+    """Per session the share of stakes times seconds that is confident (1 if there are none), and of stakes that isn't (0): a line that is only leaned towards is as open as one that nothing is known of."""
     weight = F.coalesce("stakes", F.lit(0.5)) * F.col("seconds")
     sure = F.sum(F.when(F.col("status").isin(*CONFIDENT), weight).otherwise(0.0))
-    lost = F.sum(F.when(F.col("status") == "unresolved", F.coalesce("stakes", F.lit(0.5))).otherwise(0.0))
+    lost = F.sum(F.when(~F.coalesce(F.col("status").isin(*CONFIDENT), F.lit(False)), F.coalesce("stakes", F.lit(0.5))).otherwise(0.0))
     stakes = F.sum(F.coalesce("stakes", F.lit(0.5)))
     return rows.groupBy("session_id").agg(F.when(F.sum(weight) > 0, sure / F.sum(weight)).otherwise(1.0).alias("coverage"), F.when(stakes > 0, lost / stakes).otherwise(0.0).alias("unresolved_stakes"))
 

@@ -180,7 +180,7 @@ ORACLES = {
     "status_buckets": _STATUS + "SELECT session_id, " + ", ".join(f"count(*) FILTER (status = '{s}') AS {s}" for s in E.STATUSES) + " FROM st GROUP BY 1",
     "coverage": _STATUS + """, w AS (SELECT st.session_id, status, coalesce(CASE WHEN ref % 4 = 0 THEN NULL ELSE (ref % 10) / 10 END, 0.5) AS stakes, duration FROM st JOIN observations USING (session_id, ref))
       SELECT session_id, round(CASE WHEN sum(stakes * duration) > 0 THEN sum(stakes * duration) FILTER (status IN ('auto_high', 'propagated', 'user_confirmed')) / sum(stakes * duration) ELSE 1 END, 5) AS coverage,
-        round(CASE WHEN sum(stakes) > 0 THEN coalesce(sum(stakes) FILTER (status = 'unresolved'), 0) / sum(stakes) ELSE 0 END, 5) AS unresolved_stakes FROM w GROUP BY 1""",
+        round(CASE WHEN sum(stakes) > 0 THEN coalesce(sum(stakes) FILTER (status NOT IN ('auto_high', 'propagated', 'user_confirmed')), 0) / sum(stakes) ELSE 0 END, 5) AS unresolved_stakes FROM w GROUP BY 1""",
     "speech_share": _SHARES + "SELECT session_id, candidate, round(share, 4) AS share FROM shares",
     "dm_prior": _SHARES + "SELECT session_id, candidate, round(least(1.5, greatest(-1.5, 0.5 * ln(share / avg(share) OVER (PARTITION BY session_id)))), 4) AS log_lr FROM shares",
     "identity_posterior": POSTERIOR_SQL + """, b AS (SELECT s.session_id, label, candidate, max(least(6, greatest(-6, 12 * (score - 0.55)))) AS llr FROM scores s JOIN observations USING (session_id, ref) GROUP BY 1, 2, 3), x AS (SELECT *, exp(llr - max(llr) OVER (PARTITION BY session_id, label)) AS e FROM b)
