@@ -19,6 +19,7 @@ UNKNOWN, IDK = "unknown", "idk"
 MIN_STAKES, OFFER, UNSURE, LEAST_ANSWER = 0.15, 0.02, 0.15, 1e-6
 SIMULATED_OPTIONS, SIMULATED_QUESTIONS, MOST_QUESTIONS, GAIN_FLOOR, EVENT_STAKES = 3, 24, 8, 0.15, 0.5
 USER_ANSWER, VOICE_ANSWER, LEARNED, SPREAD, ALIKE = 8.0, 4.5, 1.2, 2.5, 0.7
+SURE, SURE_MARGIN, TARGET = 0.90, 0.50, 0.10
 SAME_VOICE_EPS, NEUTRAL_EPS, CONTINUITY_EPS, CONTINUITY_GAP = 0.05, 0.5, 0.30, 30.0
 
 
@@ -70,7 +71,7 @@ def gains(options: DataFrame, baseline: DataFrame) -> DataFrame:
     return out.select("session_id", "question", "gain", (F.col("gain") * F.greatest(F.col("stakes"), F.lit(0.0)) / F.greatest(F.col("cost"), F.lit(1e-6)) - 0.5 * F.col("overlap")).alias("score"))
 
 
-def stop(best_gain: Column, unresolved: Column, blocking: Column, target: float = 0.1) -> Column:
+def stop(best_gain: Column, unresolved: Column, blocking: Column, target: float = TARGET) -> Column:
     """Why a review ends: gain_floor, target_reached, or empty while it goes on."""
     return F.when(F.coalesce(best_gain, F.lit(0.0)) < GAIN_FLOOR, "gain_floor").when((unresolved <= target) & (blocking == 0), "target_reached").otherwise("")
 
@@ -269,24 +270,26 @@ class Belief:
         return Belief(phi, self.graph, self.alike, done)
 
 
-def plan(belief: Belief, asked: list[tuple[str, str, int, float, float]], stakes: np.ndarray, unknown: int | None, names: list[str], most: int = MOST_QUESTIONS, floor: float = GAIN_FLOOR, budget: int = SIMULATED_QUESTIONS, tried: int = SIMULATED_OPTIONS) -> tuple[list[tuple], str]:
+def plan(belief: Belief, asked: list[tuple[str, str, int, float, float]], stakes: np.ndarray, unknown: int | None, names: list[str], most: int = MOST_QUESTIONS, floor: float = GAIN_FLOOR, budget: int = SIMULATED_QUESTIONS, tried: int = SIMULATED_OPTIONS, wasted: dict[str, float] | None = None, target: float = 0.0) -> tuple[list[tuple], str]:
     """The questions that a review is expected to ask, one after the other, and why it ends.
 
     asked (kind, prompt, line, stakes, cost). Every step simulates the likeliest
     answers to the questions worth it, from the belief that the answers so far left,
-    and takes the best question with its likeliest answer. (prompt, answer, gain,
-    entropy after) per step.
+    and takes the best question with its likeliest answer. wasted is the share of
+    a kind's answers that told nothing, which a question's score loses. The review
+    ends once less than target of the stakes is on lines that nobody holds at
+    0.90, which is looked at after every answer. (prompt, answer, gain, entropy
+    after) per step.
     """
     left, steps, ended = list(asked), [], "budget"
+    leading = np.sort(np.pad(belief.p, ((0, 0), (0, 1))), 1)[:, ::-1]
+    blocked = (stakes >= EVENT_STAKES) & ~((leading[:, 0] >= SURE) & (leading[:, 0] - leading[:, 1] >= SURE_MARGIN))
     total = lambda b: float((stakes * _entropy(b.p)).sum())
     for _ in range(most):
         now = total(belief)
-        best_two = np.sort(belief.p, 1)[:, ::-1][:, :2]
-        margin = best_two[:, 0] - (best_two[:, 1] if best_two.shape[1] > 1 else 0)
-        blocked = (stakes >= EVENT_STAKES) & ~((best_two[:, 0] >= 0.90) & (margin >= 0.50))
         reach = lambda q: round(float(max(0.0, stakes[q[2]]) * _entropy(belief.p[q[2]]) / max(1e-6, q[4])), 9)  # noqa: B023, E731
         if len(left) > budget:
-            left_now = sorted(left, key=lambda q: (not blocked[q[2]], -reach(q), q[0], q[1]))[:budget]  # noqa: B023
+            left_now = sorted(left, key=lambda q: (not blocked[q[2]], -reach(q), q[0], q[1]))[:budget]
         else:
             left_now = left
         scored = []
@@ -299,7 +302,8 @@ def plan(belief: Belief, asked: list[tuple[str, str, int, float, float]], stakes
             expected = now * (UNSURE + sum(float(chance[k]) for k in order[tried:]))
             expected += sum(float(chance[k]) * total(belief.after(q[2], options[k])) for k in order[:tried])
             gain = max(0.0, now - expected)
-            scored.append((-round(gain * max(0.0, q[3]) / max(1e-6, q[4]), 9), q[0], q[1], gain, options[max(range(len(options)), key=lambda k: (round(float(chance[k]), 9), names[options[k]]))], q))  # noqa: B023
+            score = gain * max(0.0, q[3]) / max(1e-6, q[4]) - (wasted or {}).get(q[0], 0.0)
+            scored.append((-round(score, 9), q[0], q[1], gain, options[max(range(len(options)), key=lambda k: (round(float(chance[k]), 9), names[options[k]]))], q))  # noqa: B023
         if not scored:
             ended = "no_candidates"
             break
@@ -310,20 +314,33 @@ def plan(belief: Belief, asked: list[tuple[str, str, int, float, float]], stakes
         belief = belief.after(q[2], option)
         steps.append((prompt, names[option], gain, total(belief)))
         left = [x for x in left if x[1] != prompt]
+        open_ = float(stakes[belief.p.max(1) < SURE].sum())
+        if open_ < target * stakes.sum() or (target > 0 and stakes.sum() <= 0):
+            ended = "target_reached"
+            break
     return steps, ended
 
 
-def review_plan(potentials: DataFrame, graph: DataFrame, asked: DataFrame, stakes: DataFrame, **setting) -> DataFrame:
+def wasted_rates(told: DataFrame) -> DataFrame:
+    """(campaign, kind, share): of the answers (campaign, kind, informative) to a kind of question how many told nothing; null counts as nothing told."""
+    return told.groupBy("campaign", "kind").agg((F.count_if(~F.coalesce("informative", F.lit(False))) / F.count(F.lit(1))).alias("share"))
+
+
+def review_plan(potentials: DataFrame, graph: DataFrame, asked: DataFrame, stakes: DataFrame, wasted: DataFrame | None = None, **setting) -> DataFrame:
     """(session_id, step, prompt, answer, gain, entropy, ended) of each session's expected review.
 
     potentials (session_id, ref, candidate, log_phi), graph (session_id, i, j,
     log_same, log_diff, likeness or null), asked as ``questions`` has them, stakes
-    (session_id, ref, stakes). A session is one task: its steps build on each other.
+    (session_id, ref, stakes), wasted (session_id, kind, share), the setting as ``plan``
+    has it. A session is one task: its steps build on each other.
     """
     kind = potentials.schema["session_id"].dataType.simpleString()
     nodes = potentials.join(stakes, ["session_id", "ref"], "left").select("session_id", F.lit("node").alias("row"), F.col("ref").alias("i"), F.lit(None).cast(potentials.schema["ref"].dataType).alias("j"), F.col("candidate").alias("name"), F.col("log_phi").alias("a"), F.coalesce("stakes", F.lit(0.5)).alias("b"), F.lit(None).cast("double").alias("c"), F.lit(None).cast("string").alias("text"))
     ties = graph.select("session_id", F.lit("edge").alias("row"), "i", "j", F.lit(None).cast("string").alias("name"), F.col("log_same").alias("a"), F.col("log_diff").alias("b"), F.col("likeness").alias("c"), F.lit(None).cast("string").alias("text"))
     qs = asked.select("session_id", F.lit("question").alias("row"), F.col("ref").alias("i"), F.lit(None).cast(potentials.schema["ref"].dataType).alias("j"), F.col("kind").alias("name"), F.col("stakes").alias("a"), F.col("cost").alias("b"), F.lit(None).cast("double").alias("c"), F.col("prompt").alias("text"))
+    if wasted is not None:
+        own = wasted.select("session_id", "kind", F.col("share").alias("c"))
+        qs = qs.drop("c").join(own.withColumnRenamed("kind", "name"), ["session_id", "name"], "left").select(*nodes.columns)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         columns = ["session_id", "step", "prompt", "answer", "gain", "entropy", "ended"]
@@ -342,8 +359,9 @@ def review_plan(potentials: DataFrame, graph: DataFrame, asked: DataFrame, stake
                 alike.setdefault(y, {})[x] = s
         q = pdf[(pdf["row"] == "question") & pdf["i"].isin(at)].sort_values(["name", "text"])
         rows = [(r["name"], r["text"], at[r["i"]], r["a"], r["b"]) for _, r in q.iterrows()]
+        rates = q.dropna(subset=["c"]).groupby("name")["c"].first().to_dict()
         belief = Belief(wide.to_numpy(float), (i, j, e["a"].to_numpy(float), e["b"].to_numpy(float)), alike)
-        steps, ended = plan(belief, rows, weight, names.index(UNKNOWN) if UNKNOWN in names else None, names, **setting)
+        steps, ended = plan(belief, rows, weight, names.index(UNKNOWN) if UNKNOWN in names else None, names, wasted=rates, **setting)
         out = [(pdf["session_id"].iloc[0], k + 1, *s, ended) for k, s in enumerate(steps)]
         return pd.DataFrame(out or [(pdf["session_id"].iloc[0], 0, None, None, 0.0, float((weight * _entropy(belief.p)).sum()), ended)], columns=columns)
 
