@@ -81,26 +81,44 @@ def _units_of(vectors) -> np.ndarray:
 
 
 def upgma(distance: np.ndarray, k: int | None = None, threshold: float | None = None) -> list[int]:
-    """Average linkage until k clusters are left or the nearest two are farther than threshold; numbered by first member."""
+    """Average linkage until k clusters are left or the nearest two are farther than threshold; numbered by first member.
+
+    Of equally near pairs the first is merged, row by row. Every row keeps its
+    nearest; a merge only moves the distances to one row, so only rows that lose
+    their nearest by it are looked through again.
+    """
     n = len(distance)
+    if n < 2:
+        return [0] * n
     d = distance.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size, of = np.ones(n), np.arange(n)
+    size, of, alive = np.ones(n), np.arange(n), np.ones(n, bool)
+    near = d.argmin(1)
+    best = d[np.arange(n), near]
     live = n
     while live > 1 and (k is None or live > k):
-        i, j = divmod(int(d.argmin()), n)  # the first of equal pairs, row by row
-        if threshold is not None and d[i, j] > threshold:
+        first = int(best.argmin())
+        if threshold is not None and best[first] > threshold:
             break
-        i, j = min(i, j), max(i, j)
+        i, j = sorted((first, int(near[first])))
         row = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
+        row[i] = np.inf
         d[i], d[:, i] = row, row
-        d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
         size[i] += size[j]
         of[of == of[j]] = of[i]
+        alive[j], best[j] = False, np.inf
         live -= 1
-    first: dict[int, int] = {}
-    return [first.setdefault(int(c), len(first)) for c in of]
+        others = alive.copy()
+        others[i] = False
+        nearer = others & ((row < best) | ((row == best) & (i <= near)))
+        lost = others & ~nearer & ((near == i) | (near == j))
+        near[nearer], best[nearer] = i, row[nearer]
+        for r in (*np.flatnonzero(lost), i):
+            near[r] = d[r].argmin()
+            best[r] = d[r, near[r]]
+    numbers: dict[int, int] = {}
+    return [numbers.setdefault(int(c), len(numbers)) for c in of]
 
 
 def kmeans(x: np.ndarray, k: int, restarts: int = 10, most: int = 100, seed: int = 0) -> list[int]:

@@ -16,7 +16,7 @@ from colloquy.operators import kernels as K
 from colloquy.operators import resolve as R
 from colloquy.plans import evidence as P
 from colloquy.plans import naming, relational
-from tests import test_naming
+from tests import test_naming, test_voices
 from tests.helpers import connection, same
 
 SF = "/root/testdata/sf0.001"
@@ -266,6 +266,92 @@ def renamed_lines(spark, rows):
         assert got[s, i] == hashlib.md5(test_naming.plain_rename(t, by[s]).encode()).hexdigest()
 
 
+def _plain_sessions(spark):
+    """What a plain walk over one session at a time makes of its segments, turns, vectors and enrolled people."""
+    if not _plain:
+        from colloquy.operators import transcript as T
+        from colloquy.plans import voices as Q
+
+        segments = Q._segments(spark, SF).collect()
+        vector = {(r.session_id, r.seg_idx): np.array(r.vector) for r in segments}
+        prints = defaultdict(lambda: defaultdict(list))
+        for r in A.prints(spark, SF).collect():
+            prints[r.session_id][r.candidate].append(np.array(r.vector))
+        turns = defaultdict(dict)
+        for t in T.speaker_turns(Q._segments(spark, SF)).collect():
+            turns[t.session_id][t.turn] = (t.start, t.end, list(t.indices))
+        for s, own in turns.items():
+            have = {t: np.mean([vector[s, i] for i in x[2]], axis=0) for t, x in own.items() if x[1] - x[0] >= 4}
+            have = {t: v / np.linalg.norm(v) for t, v in have.items()}
+            people = [(c, np.mean(v, axis=0)) for c, v in sorted(prints[s].items(), key=lambda x: int(x[0].split(":")[1]))]
+            lines = [(r.seg_idx, r.speaker) for r in segments if r.session_id == s]
+            _plain[s] = test_voices.plain_relabel(lines, own, have, people, 6 if s % 2 == 0 else None, 2.0 if s % 2 == 0 else 0.9, 0.25)
+    return _plain
+
+
+_plain: dict = {}
+
+
+def voice_relabel(spark, rows):
+    got = defaultdict(dict)
+    for r in rows:
+        got[r.session_id][r.seg_idx] = r.speaker
+    assert got == {s: speaker for s, (speaker, _) in _plain_sessions(spark).items()}
+
+
+def voice_labels(spark, rows):
+    got = defaultdict(dict)
+    for r in rows:
+        got[r.session_id][r.label] = (r.turns, r.seconds, r.user, r.cosine)
+    want = {s: voices for s, (_, voices) in _plain_sessions(spark).items()}
+    assert {s: {k: v[:3] for k, v in x.items()} for s, x in got.items()} == {s: {k: v[:3] for k, v in x.items()} for s, x in want.items()}
+    assert all(abs((v[3] or 0) - (want[s][k][3] or 0)) < 2e-5 for s, x in got.items() for k, v in x.items()) and len(got[0]) == 6
+
+
+def voice_verdicts(spark, rows):
+    """Purity by the gates over plain numpy; reasons from the query that has SQL."""
+    from colloquy.plans import voices as Q
+
+    by, near = defaultdict(list), defaultdict(list)
+    for r in A.observations(spark, SF).orderBy("ref").collect():
+        by[r.session_id, r.label].append((np.array(r.vector) / np.linalg.norm(r.vector), r.duration))
+    for (s, _), own in by.items():
+        near[s] += [1 - float(a[0] @ b[0]) for a, b in itertools.combinations(own, 2)]
+    why = defaultdict(list)
+    for r in sorted(Q.voice_suspicions(spark, SF).collect(), key=lambda r: r.place):
+        why[r.session_id, r.voice].append(r.kind)
+    assert {(r.session_id, r.voice) for r in rows} == set(by)
+    for r in rows:
+        own = by[r.session_id, r.voice]
+        purity, reason, sep, _ = K.purity_of(np.array([v for v, _ in own]), np.array([d for _, d in own]), float(np.percentile(near[r.session_id], 95)))
+        assert (r.n, r.seconds, r.reason, r.impure) == (len(own), sum(d for _, d in own), reason, reason == "impure") and abs(r.purity - purity) < 1e-3 and abs(r.sep - sep) < 1e-4
+        assert r.triggers == ",".join(why[r.session_id, r.voice])
+
+
+def belief_status(spark, rows):
+    from colloquy.plans import voices as Q
+
+    phi, edges, evidence = (x.collect() for x in Q._graph(spark, SF))
+    own, heard = (x.collect() for x in Q._answered(spark, SF))
+    labels = {(r.session_id, r.ref): r.label for r in A.observations(spark, SF).collect()}
+    got = defaultdict(dict)
+    for r in rows:
+        got[r.session_id][r.ref] = (r.best, r.status, r.decided_by, r.channel)
+    assert sum(map(len, got.values())) == len(labels)
+    for s in {k[0] for k in labels}:
+        here = lambda xs: [x for x in xs if x.session_id == s]  # noqa: B023, E731
+        potentials = defaultdict(dict)
+        for r in here(phi):
+            potentials[r.ref][r.candidate] = r.log_phi
+        links = here(edges)
+        want = test_voices.plain_status(
+            potentials, [(e.i, e.j, e.log_same, e.log_diff) for e in links], {(e.ref, e.channel, e.candidate): e.log_lr for e in here(evidence)}, {r: v for (x, r), v in labels.items() if x == s},
+            {r.ref: r.candidate for r in here(own)}, {r.voice: r.candidate for r in here(heard)}, {r: ["sing"] for x, r in labels if x == s and r % 11 == 0}, {("member:1", "sing")}, [(e.i, e.j, e.likeness) for e in links],
+        )
+        assert got[s] == want
+    assert {x[1] for own in got.values() for x in own.values()} >= {"user_confirmed", "propagated", "auto_high", "auto_low", "unresolved"}
+
+
 def whole(*columns, least=1):
     """Rows are told apart by these columns, and there are some; what the operator does is tested elsewhere."""
 
@@ -277,7 +363,7 @@ def whole(*columns, least=1):
 
 
 PLAIN = {
-    "answer_loop": answer_loop,
+    "answer_loop": answer_loop, "voice_relabel": voice_relabel, "voice_labels": voice_labels, "voice_verdicts": voice_verdicts, "belief_status": belief_status,
     "names_written": names_written, "session_unify": session_unify, "session_merge": session_merge, "session_renames": session_renames, "renamed_lines": renamed_lines,
     "approx_distinct": approx_distinct, "conflict_matching": conflict_matching, "unify_names": unify_names, "fuzzy_match": fuzzy_match, "bp_posteriors": bp_posteriors, "upgma": upgma, "kmeans": kmeans, "purity": purity, "label_splits": label_splits, "page_matches": page_matches, "carried_places": carried_places,
     # against plain versions in test_views, test_planning and test_functions
