@@ -8,6 +8,7 @@ from colloquy import adapters as A
 from colloquy.operators import evidence as E
 from colloquy.operators import vectors as V
 from colloquy.plans.vectors import HITS_SQL, _hits
+from colloquy.shared import stash
 
 
 def _scores(spark, sf_dir):
@@ -30,9 +31,9 @@ def _prior(spark, sf_dir):
     return c.union(unknown).withColumn("p", F.when(F.col("candidate") == "unknown", 0.1).otherwise(0.2))
 
 
-def _posterior(spark, sf_dir):
+def _posterior(spark, sf_dir, evidence=None):
     nodes = _obs(spark, sf_dir).select("session_id", "ref", F.lit(0.5).alias("alpha"))
-    return E.softmax(E.fuse(nodes, _evidence(spark, sf_dir), _prior(spark, sf_dir)), ["session_id", "ref"])
+    return E.softmax(E.fuse(nodes, _evidence(spark, sf_dir) if evidence is None else evidence, _prior(spark, sf_dir)), ["session_id", "ref"])
 
 
 POSTERIOR_SQL = HITS_SQL + """, r AS (SELECT *, row_number() OVER (PARTITION BY session_id, ref, candidate ORDER BY round(cosine, 9) DESC, id) AS r FROM hits
@@ -65,8 +66,9 @@ def entropy_rank(spark, sf_dir):
 
 
 def _status(spark, sf_dir):
-    s = E.summary(_posterior(spark, sf_dir))
-    voice = _evidence(spark, sf_dir).groupBy("session_id", "ref").agg(F.max("log_lr").alias("voice"))
+    evidence = stash(_evidence(spark, sf_dir))  # comparing voices is dear, and two branches need it
+    s = E.summary(_posterior(spark, sf_dir, evidence))
+    voice = evidence.groupBy("session_id", "ref").agg(F.max("log_lr").alias("voice"))
     c = lambda x: F.round(x, 7)
     status = E.classify(c("p_max"), c("margin"), c("voice"), F.col("ref") % 5 == 0, F.col("ref") % 11 == 0, F.col("ref") % 13 == 0)
     return s.join(voice, ["session_id", "ref"]).withColumn("status", status)
