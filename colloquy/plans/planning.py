@@ -195,9 +195,9 @@ def similarity_map(spark, sf_dir):
 
 
 def channel_weights(spark, sf_dir):
-    """What utterances' channels said of candidates, and who it was."""
+    """What utterances' channels said of candidates, and who it was; campaigns grow in number with the table, not in size."""
     l = A.table(spark, sf_dir, "lineitem")
-    examples = l.select((F.col("l_suppkey") % 10).alias("campaign"), F.col("l_orderkey").alias("example"), F.element_at(_array(["voice", "address", "roll"]), (F.col("l_linenumber") % 3 + 1).cast("int")).alias("channel"), F.concat(F.lit("c"), (F.col("l_partkey") % 3).cast("string")).alias("candidate"), F.round(F.col("l_discount") * 20 - 1, 3).alias("log_lr"), F.concat(F.lit("c"), (F.col("l_orderkey") % 3).cast("string")).alias("chosen"))
+    examples = l.select(F.expr("l_orderkey DIV 100").alias("campaign"), F.col("l_orderkey").alias("example"), F.element_at(_array(["voice", "address", "roll"]), (F.col("l_linenumber") % 3 + 1).cast("int")).alias("channel"), F.concat(F.lit("c"), (F.col("l_partkey") % 3).cast("string")).alias("candidate"), F.round(F.col("l_discount") * 20 - 1, 3).alias("log_lr"), F.concat(F.lit("c"), (F.col("l_orderkey") % 3).cast("string")).alias("chosen"))
     return P.channel_weights(examples).select("campaign", "channel", F.round("weight", 4).alias("weight"))
 
 
