@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -96,13 +99,8 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, least: float = 0.84, shared
     return pairs.withColumn("tier", tier).filter("tier IS NOT NULL").select("a", "b", "ratio", "tier")
 
 
-def similar_beats(beats: DataFrame, threshold: float = 0.35) -> DataFrame:
-    """Pairs i < j of one session's beats (session_id, i, span, text) with different spans and Jaccard similarity of at least threshold.
-
-    Beats meet by their rarest words only: a pair that reaches the threshold shares
-    one of the rarest n - ceil(threshold * n) + 1 words of either, so a word that
-    most beats of a session hold makes no rows unless nothing rarer is left.
-    """
+def _by_joins(beats: DataFrame, threshold: float) -> DataFrame:
+    """What ``similar_beats`` finds, for sessions too long for a row: words are counted, ranked and met by joins."""
     words = beats.withColumn("words", content_words(F.col("text"))).withColumn("n", F.size("words")).filter("n > 0").select("session_id", "i", "span", "n", "words")
     flat = words.select("session_id", "i", F.explode("words").alias("word"))
     counts = flat.groupBy("session_id", "word").agg(F.count(F.lit(1)).alias("times"))
@@ -121,6 +119,73 @@ def similar_beats(beats: DataFrame, threshold: float = 0.35) -> DataFrame:
     return both.select("session_id", "i", "j", score.alias("score")).filter(F.col("score") >= threshold)
 
 
+#: Sessions of more beats than this are joined by word over all tasks; others are a row.
+LONG_SESSION = 20_000
+
+
+def _alike(index: list, spans: list, texts: list[str], threshold: float) -> list[tuple]:
+    """(i, j, score) of one session's beats, in order of index; a beat meets those before it that hold one of its rarest words."""
+    sets = [t.split() for t in texts]
+    times = Counter(w for own in sets for w in own)
+    standing = {w: r for r, w in enumerate(sorted(times, key=lambda w: (times[w], w)))}
+    order = sorted(range(len(index)), key=index.__getitem__)
+    ranks = [sorted(standing[w] for w in own) for own in sets]
+    held, sets, out = {}, [set(r) for r in ranks], []
+    for b in order:
+        n, met = len(ranks[b]), set()
+        for r in ranks[b][: n - math.ceil(threshold * n - 1e-9) + 1]:
+            before = held.setdefault(r, [])
+            met.update(before)
+            before.append(b)
+        for a in met:
+            m = len(ranks[a])
+            if index[a] < index[b] and spans[a] != spans[b] and min(n, m) >= threshold * max(n, m):
+                common = len(sets[a] & sets[b])
+                score = common / (n + m - common)
+                if score >= threshold:
+                    out.append((index[a], index[b], score))
+    return out
+
+
+def _by_session(beats: DataFrame, threshold: float) -> DataFrame:
+    """What ``similar_beats`` finds, a session a row; one shuffle by session, many sessions an Arrow batch.
+
+    Words are taken within the aggregate, as a filter on them would take them once more.
+    """
+    fields = {c: beats.schema[c].dataType.simpleString() for c in ("session_id", "i")}
+    beat = F.struct("i", F.col("span").cast("string").alias("span"), F.array_join(content_words(F.col("text")), " ").alias("text"))
+    rows = beats.filter("session_id IS NOT NULL").groupBy("session_id").agg(F.collect_list(beat).alias("b")).filter(F.size("b") > 1)
+    rows = rows.select("session_id", *[F.col("b")[c].alias(c) for c in ("i", "span", "text")])
+
+    def run(batches):
+        for batch in batches:
+            at, found = [], []
+            for row, (index, spans, texts) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("i", "span", "text")), strict=True)):
+                some = _alike(index, spans, texts, threshold)
+                at += [row] * len(some)
+                found += some
+            i, j, score = zip(*found, strict=True) if found else ((), (), ())
+            kind = batch.schema.field("i").type.value_type
+            yield pa.RecordBatch.from_arrays([batch.column("session_id").take(pa.array(at, pa.int64())), pa.array(i, kind), pa.array(j, kind), pa.array(score, pa.float64())], names=["session_id", "i", "j", "score"])
+
+    return rows.mapInArrow(run, f"session_id {fields['session_id']}, i {fields['i']}, j {fields['i']}, score double")
+
+
+def similar_beats(beats: DataFrame, threshold: float = 0.35, long_session: int = LONG_SESSION) -> DataFrame:
+    """Pairs i < j of one session's beats (session_id, i, span, text) with different spans and Jaccard similarity of at least threshold.
+
+    Beats meet by their rarest words only: a pair that reaches the threshold shares
+    one of the rarest n - ceil(threshold * n) + 1 words of either, so a word that
+    most beats of a session hold makes no pairs unless nothing rarer is left.
+    Beats without content words, or of no session, are like nothing. A session is one row, unless it
+    has more than ``long_session`` beats: then its words are joined over all tasks.
+    """
+    long_ = beats.groupBy("session_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > long_session).select("session_id")
+    if long_.isEmpty():
+        return _by_session(beats, threshold)
+    return _by_session(beats.join(long_, "session_id", "left_anti"), threshold).unionByName(_by_joins(beats.join(long_, "session_id", "left_semi"), threshold))
+
+
 def conflict_matching(pairs: DataFrame, most: int = 10) -> DataFrame:
     """Of the similar pairs the strongest first, every beat in one pair at most, ``most`` pairs of a session."""
 

@@ -14,6 +14,7 @@ from colloquy.operators import verdicts as D
 from colloquy.operators import voices as W
 from colloquy.plans.evidence import _evidence, _obs, _prior
 from colloquy.plans.vectors import HITS_SQL, _hits
+from colloquy.shared import stash
 
 def _at():
     """The place of an observation in its session."""
@@ -78,7 +79,7 @@ def _graph(spark, sf_dir):
     """Potentials, edges and evidence: lines by voice, every fifth also by what it takes to say it."""
     o = _obs(spark, sf_dir)
     able = o.filter("ref % 5 = 0").select("session_id", "ref", F.concat(F.lit("member:"), F.col("label")).alias("candidate"), F.lit("capability").alias("channel"), (2 + F.col("ref") % 3).cast("double").alias("log_lr"))
-    evidence = _evidence(spark, sf_dir).unionByName(able)
+    evidence = stash(_evidence(spark, sf_dir)).unionByName(able)
     phi = E.fuse(o.select("session_id", "ref", F.lit(0.5).alias("alpha")), evidence, _prior(spark, sf_dir))
     near = V.knn_edges(o, 1).select("session_id", "i", "j", F.lit(math.log(0.97)).alias("log_same"), F.lit(math.log(0.03)).alias("log_diff"), F.when(F.col("i") % 2 == 0, 0.9).otherwise(0.6).alias("likeness"))
     return phi, near, evidence
