@@ -49,7 +49,9 @@ def folded(text: Column) -> Column:
     letters = F.regexp_extract_all(text, F.lit("(?s)(.)"), 1)
     whole = F.when(text.rlike(some), F.array_join(F.transform(letters, lambda c: F.coalesce(F.element_at(spelt, c), c)), "")).otherwise(text)
     unmarked = F.regexp_replace(F.translate(whole, _MARKED, _PLAIN), r"\p{M}+", "")
-    return F.trim(F.regexp_replace(F.lower(unmarked), "[^0-9a-z]+", " "))
+    # plain ASCII, most names, needs none of the tables
+    plain = F.when(text.rlike(r"[^\x00-\x7F]"), unmarked).otherwise(text)
+    return F.trim(F.regexp_replace(F.lower(plain), "[^0-9a-z]+", " "))
 
 
 def occurrences(text: Column, name: Column) -> Column:

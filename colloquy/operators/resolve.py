@@ -14,6 +14,7 @@ from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
 
 from colloquy.functions.text import content_words, folded, normal
+from colloquy.shared import stash
 
 
 def merge_names(items: DataFrame) -> DataFrame:
@@ -70,7 +71,9 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, least: float = 0.84, shared
     steep = 1.5 * least - 1
 
     def named(df: DataFrame, side: str) -> DataFrame:
-        return df.select(sorted_tokens(F.col("name")).alias(side)).distinct().filter(F.col(side) != "").withColumn(f"g_{side}", letter_pairs(F.col(side)))
+        # written, as Spark would else fold and pair every row before it drops copies, and fold the name anew for each letter
+        once = stash(stash(df.select("name").distinct()).select(sorted_tokens(F.col("name")).alias(side)).distinct())
+        return stash(once.filter(F.col(side) != "").withColumn(f"g_{side}", letter_pairs(F.col(side))))
 
     names = {"a": named(left, "a"), "b": named(right, "b")}
     counts = names["a"].select(F.explode("g_a").alias("gram")).unionByName(names["b"].select(F.explode("g_b").alias("gram"))).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))

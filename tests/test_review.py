@@ -93,3 +93,11 @@ def test_near_names_are_brute_force(spark):
     got = {(r.a, r.b): r.tier for r in resolve.fuzzy_matches(side(names), side(typed)).collect()}
     assert want["alexander", "elexander"] == "same_entity" and want["falco miles sceriffo vice", "miles"] == "related"
     assert got == want
+
+
+def test_fuzzy_matches_read_names_once(spark, tmp_path):
+    spark.createDataFrame([(n,) for n in ["red ring", "ring red", "blue bolt"] * 50], "name string").write.parquet(f"{tmp_path}/names")
+    names = spark.read.parquet(f"{tmp_path}/names")
+    found = resolve.fuzzy_matches(names, names)
+    assert not [f for f in found.inputFiles() if str(tmp_path) in f]  # copies are dropped before names are folded and paired
+    assert {(r.a, r.b, r.tier) for r in found.collect()} == {("red ring", "red ring", "same_name"), ("blue bolt", "blue bolt", "same_name")}
