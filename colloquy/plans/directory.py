@@ -12,7 +12,7 @@ from colloquy.streaming.lifecycle import KEPT, STATUSES
 
 def _members(spark, sf_dir):
     """Customers are members of their nation's campaign; every fortieth is its dm."""
-    return A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user"), F.col("c_nationkey").alias("campaign"), F.when(F.col("c_custkey") % 40 == 0, "dm").otherwise("player").alias("role"), F.col("c_name").alias("name"), F.round(F.col("c_acctbal")).cast("long").alias("joined"))
+    return A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user"), F.col("c_nationkey").alias("campaign"), F.when(F.col("c_custkey") % 40 == 0, "dm").otherwise("player").alias("role"), F.col("c_name").alias("name"), F.bround(F.col("c_acctbal"), 0).cast("long").alias("joined"))
 
 
 def campaigns_of_users(spark, sf_dir):
