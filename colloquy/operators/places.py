@@ -68,8 +68,10 @@ def cut_circles(edges: DataFrame) -> DataFrame:
     for what leads to circles, the least ``at`` on the way is carried along: after as
     many rounds as the longest way has doublings, every page points into its circle,
     and on the circle the least ``at`` of all of it is its label. At last every page
-    looks for the page at which it enters.
+    looks for the page at which it enters. Pages of one ``at``, such as those of two
+    scopes, go by page, so that no two circles have one label.
     """
+    edges = edges.select("page", "parent", F.struct("at", "page").alias("at"))
     rows = stash(edges.filter("parent IS NOT NULL").select("page", F.col("parent").alias("up"), "at", F.col("at").alias("least")))
     ends = edges.filter("parent IS NULL").select(F.col("page").alias("up"))
     # what leads to a root: doubled until no page is left or none drops out any more

@@ -104,3 +104,9 @@ def test_a_hot_name_makes_no_pairs(spark):
 
 def test_no_pages(spark):
     assert P.parents(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_every_circle_is_cut_where_two_scopes_share_the_order(spark):
+    # circles 1-2 and 11-12 of two scopes, whose pages are numbered alike
+    edges = spark.createDataFrame([(1, 5, 2), (2, 6, 1), (11, 5, 12), (12, 6, 11), (13, 4, 12), (20, 1, None)], "page long, at long, parent long")
+    assert {r.page for r in P.cut_circles(edges).collect()} == {1, 12}
