@@ -75,3 +75,20 @@ def test_posteriors_do_not_depend_on_row_order(spark):
     edges = spark.createDataFrame([(1, i, i + 1, -0.3, -1.2) for i in range(5)], "session_id long, i long, j long, log_same double, log_diff double")
     get = lambda a, b: sorted((r.ref, r.candidate, round(r.p, 9)) for r in K.posteriors(a, b).collect())
     assert get(phi, edges) == get(phi.orderBy("log_phi").repartition(3), edges.orderBy("j"))
+
+
+def test_many_models_at_once_are_each_alone():
+    draw = np.random.default_rng(3)
+    models = []
+    for m in range(40):
+        n, e = int(draw.integers(1, 9)), int(draw.integers(0, 14))
+        # strong ties, of which some never settle
+        same = draw.uniform(0.01, 0.99, e)
+        models.append((draw.normal(size=(n, 3)) * 3, draw.integers(0, n, e), draw.integers(0, n, e), np.log(same), np.log(1 - same)))
+    starts = np.cumsum([0, *[len(m[0]) for m in models[:-1]]])
+    left, right = (np.concatenate([m[x] + s for m, s in zip(models, starts, strict=True)]) for x in (1, 2))
+    p, settled = K.propagate_all(np.concatenate([m[0] for m in models]), left, right, *(np.concatenate([m[x] for m in models]) for x in (3, 4)), np.array([len(m[0]) for m in models]))
+    for m, s, ok in zip(models, starts, settled, strict=True):
+        alone, method = K.propagate(*m)
+        assert (p[s : s + len(alone)] == alone).all() and ok == (method == "bp")
+    assert settled.any() and not settled.all()
