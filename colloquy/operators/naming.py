@@ -5,15 +5,18 @@ in one pass (``written``, ``rename_texts``): names and texts are walked together
 session, and a session with very many texts is dealt to several tasks.
 
 Which names fold is decided greedily in the order of standing, as the first spelling
-kept decides about those after it. The order matters only between names that are near
-each other, so whole tables are decided in rounds (``unify``): a name is settled as
-soon as nothing of higher standing that could change its fate is open.
+kept decides about those after it (``unify``). A session's names of one kind are a row,
+walked in that order. The order matters only between names that are near each other,
+so those of very many names are decided in rounds over all tasks: a name is settled
+as soon as nothing of higher standing that could change its fate is open.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from difflib import SequenceMatcher
 from functools import reduce
 
 import pyarrow as pa
@@ -119,6 +122,7 @@ def merge_items(items: DataFrame) -> DataFrame:
 
 def standing(entities: DataFrame, texts: DataFrame | None) -> DataFrame:
     """Adds ``s``, by which names are ranked: occurrences in the session's texts, mentions, chunks, length, then the one met first."""
+    entities = stash(entities)
     if texts is None:
         counted = entities.withColumn("written", F.lit(0).cast("long"))
     else:
@@ -195,15 +199,130 @@ def near_names(ranked: DataFrame) -> DataFrame:
     return decided.unionByName(spelt).select(*on, "hi", "lo", "hi_s", "lo_tokens", "direct", "told")
 
 
-def unify(ranked: DataFrame) -> DataFrame:
+#: A session's names of one kind that are more than this are decided in rounds over all tasks.
+LONG_SESSION = 5_000
+
+
+def unify(ranked: DataFrame, long: int = LONG_SESSION) -> DataFrame:
     """(session_id, kind, key, to): the key of the name that each name folds into, which may be itself, from entities with ``standing``.
 
-    The same as walking a session's names by standing, in which a name joins the first
-    kept one that is the same being, and its aliases become the kept one's. Here in
-    rounds over all sessions: a name folds into the highest kept name near it once no
-    nearer one above that is open, and once all names are settled that tell of it.
+    A session's names are walked by standing: a name joins the first kept one that is
+    the same being, and its aliases become the kept one's. The names of a session and
+    kind are a row, unless they are more than ``long``. The entities are read twice.
     """
     on = ["session_id", "kind"]
+    sizes = stash(ranked.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > long))
+    if sizes.isEmpty():
+        return _by_session(ranked)
+    rest = ranked.join(sizes, on, "left_anti")
+    return _by_session(rest).unionByName(_in_rounds(ranked.join(sizes.drop("n"), on)))
+
+
+def _by_session(ranked: DataFrame) -> DataFrame:
+    """``unify`` for sessions whose names of one kind fit a row."""
+    columns = ["session_id", "kind", "key", "to"]
+
+    def run(batches):
+        for batch in batches:
+            # few sessions at a time: one may have many names
+            for a in range(0, batch.num_rows, 100):
+                part = batch.slice(a, 100)
+                at, keys, to = [], [], []
+                for row, (kind, names) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                    # without a session or kind nothing folds
+                    own = _walked(names, kind == "character") if part.column(0)[row].is_valid and kind is not None else {n["key"]: n["key"] for n in names}
+                    at += [row] * len(own)
+                    keys += own.keys()
+                    to += own.values()
+                at = pa.array(at, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(keys, pa.string()), pa.array(to, pa.string())], columns)
+
+    words = F.regexp_extract_all(F.lower("name"), F.lit(r"([\p{L}\p{N}_]+)"), 1)
+    tokens = F.array_sort(F.array_distinct(content_tokens(F.col("name"), FILLER_WORDS)))
+    one = ranked.select("session_id", "kind", F.struct("s", "key", words.alias("words"), tokens.alias("tokens"), F.array_distinct(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), normal)).alias("aliases")).alias("x"))
+    rows = one.groupBy("session_id", "kind").agg(F.sort_array(F.collect_list("x"), asc=False).alias("x"))
+    told = F.transform("x", lambda x: F.struct(x["key"].alias("key"), x["words"].alias("words"), x["tokens"].alias("tokens"), x["aliases"].alias("aliases")))
+    kinds = {c: ranked.schema[c].dataType.simpleString() for c in ("session_id", "kind")}
+    return rows.select("session_id", "kind", told.alias("names")).mapInArrow(run, f"session_id {kinds['session_id']}, kind {kinds['kind']}, key string, to string")
+
+
+def _walked(names: list[dict], person: bool) -> dict[str, str]:
+    """key to the key that it folds into, of one session's names (key, words, tokens, aliases), the one of the highest standing first."""
+    least = NEAR_PERSON if person else NEAR
+    spelt = [" ".join(n["tokens"]) for n in names]
+    place = {n["key"]: k for k, n in enumerate(names) if n["tokens"]}
+    tellers = defaultdict(list)
+    for k, n in enumerate(names):
+        for alias in n["aliases"] if n["tokens"] else ():
+            if alias in place and place[alias] != k:
+                tellers[place[alias]].append(k)
+    grams = [] if person else _rare_grams(spelt)
+    to: list[int] = []
+    # of the kept names the first that has a spelling, is a whole name, begins a longer one; those that may be near
+    spellings, wholes, beginnings, may = {}, {}, {}, defaultdict(list)
+    matcher = SequenceMatcher(None, "", "")
+    for k, n in enumerate(names):
+        to.append(k)
+        own = set(n["tokens"])
+        if not own:
+            continue
+        sure = [spellings.get(spelt[k], k)]
+        sure += [place[a] for a in n["aliases"] if place.get(a, k) < k and to[place[a]] == place[a] and not own.isdisjoint(names[place[a]]["tokens"])]
+        # a folded name's aliases are those of the name it has folded into
+        sure += [to[t] for t in tellers[k] if t < k and not own.isdisjoint(names[to[t]]["tokens"])]
+        begins = [" ".join(n["words"][:i]) for i in range(1, len(n["words"]) + 1)] if person else []
+        if person:
+            sure += [beginnings.get(begins[-1], k), *(wholes.get(b, k) for b in begins[:-1])]
+        best = min(sure)
+        if person:
+            opens = [n["key"][:OPENING]] if len(n["key"]) >= OPENING else []
+            near = may[opens[0]] if opens else []
+        else:
+            opens = grams[k]
+            near = sorted({x for g in opens for x in may[g]})
+        if near and near[0] < best:
+            matcher.set_seq2(spelt[k])
+            for x in near:
+                if x >= best:
+                    break
+                n_x, n_k = len(spelt[x]), len(spelt[k])
+                if 2 * min(n_x, n_k) < least * (n_x + n_k) - 1e-9:
+                    continue
+                matcher.set_seq1(spelt[x])
+                if matcher.quick_ratio() >= least and matcher.ratio() >= least:
+                    best = x
+                    break
+        to[k] = best
+        if best == k:
+            spellings.setdefault(spelt[k], k)
+            for o in opens:
+                may[o].append(k)
+            if person:
+                wholes.setdefault(begins[-1], k)
+                for b in begins[:-1]:
+                    beginnings.setdefault(b, k)
+    return {n["key"]: names[t]["key"] for n, t in zip(names, to, strict=True)}
+
+
+def _rare_grams(spelt: list[str]) -> list[list[str]]:
+    """What ``_rare_pairs`` tells, for the names of one session and kind."""
+    all_ = []
+    for name in spelt:
+        seen: Counter = Counter()
+        own = []
+        for i in range(len(name) - 1):
+            pair = name[i : i + 2]
+            seen[pair] += 1
+            own.append(f"{pair}{seen[pair]}")
+        all_.append(own)
+    counts = Counter(g for own in all_ for g in own)
+    need = lambda name: max(1, math.ceil((1.5 * NEAR - 1) * len(name) * (1 + NEAR / (2 - NEAR)) - 1 - 1e-9))
+    return [sorted(own, key=lambda g: (counts[g], g))[: max(0, len(own) - need(name) + 1)] for name, own in zip(spelt, all_, strict=True)]
+
+
+def _in_rounds(ranked: DataFrame) -> DataFrame:
+    """What ``unify`` finds, in rounds over all sessions: a name folds into the highest kept name near it once no nearer one above that is open, and once all names are settled that tell of it."""
+    on = ["session_id", "kind"]
     names = stash(ranked.select(*on, "key", "s", F.array_distinct(content_tokens(F.col("name"), FILLER_WORDS)).alias("tokens")))
     edges = stash(near_names(ranked))
     free = names.join(edges.select(*on, F.col("lo").alias("key")).distinct(), [*on, "key"], "left_anti")

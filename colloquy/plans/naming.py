@@ -24,24 +24,32 @@ def _lines(spark, sf_dir) -> DataFrame:
 
 def _items(spark, sf_dir) -> DataFrame:
     """Of every line its first two words as a name, of every fourth the first alone; its first and its last word are an alias of every third."""
-    lines = _lines(spark, sf_dir).withColumn("words", F.regexp_extract_all("text", F.lit(r"(\p{L}+)"), 1)).filter("size(words) > 1")
-    word = lambda k: F.element_at("words", k)
+    # the ends of a line tell these words: a line's other words aren't listed for them
+    head = r"^\P{L}*+(\p{L}++)"
+    words = {"one": F.regexp_extract("text", head, 1), "two": F.regexp_extract("text", head + r"\P{L}++(\p{L}++)", 2), "last": F.reverse(F.regexp_extract(F.reverse("text"), head, 1))}
+    lines = _lines(spark, sf_dir).withColumns(words).filter("two <> ''")
+    pair = F.concat_ws(" ", "one", "two")
     return lines.select(
-        "session_id", F.when(F.col("i") % 3 == 2, "location").otherwise("character").alias("kind"), F.expr(f"i DIV {CHUNK}").cast("int").alias("chunk"), F.col("i").alias("pos"), F.when(F.col("i") % 4 == 1, word(1)).otherwise(F.concat_ws(" ", word(1), word(2))).alias("name"),
-        F.when(F.col("i") % 3 == 0, F.array(F.concat_ws(" ", word(1), word(-1)))).otherwise(F.array()).alias("aliases"), (F.col("i") % 4).cast("long").alias("mentions"), "text", F.array(word(-1)).alias("facts"), (F.col("i") % 17 == 0).alias("is_party"),
+        "session_id", F.when(F.col("i") % 3 == 2, "location").otherwise("character").alias("kind"), F.expr(f"i DIV {CHUNK}").cast("int").alias("chunk"), F.col("i").alias("pos"), F.when(F.col("i") % 4 == 1, F.col("one")).otherwise(pair).alias("name"),
+        F.when(F.col("i") % 3 == 0, F.array(F.concat_ws(" ", "one", "last"))).otherwise(F.array()).alias("aliases"), (F.col("i") % 4).cast("long").alias("mentions"), "text", F.array("last").alias("facts"), (F.col("i") % 17 == 0).alias("is_party"),
     )
 
 
+def _texts(spark, sf_dir) -> DataFrame:
+    """What was said in a session as one text: a name has no line end, so its lines needn't be parted to count it."""
+    return A.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), "text")
+
+
 def names_written(spark, sf_dir):
-    return N.written(_items(spark, sf_dir).select("session_id", "name"), _lines(spark, sf_dir))
+    return N.written(_items(spark, sf_dir).select("session_id", "name"), _texts(spark, sf_dir))
 
 
 def _merged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    return N.merge_session(stash(_items(spark, sf_dir)), _lines(spark, sf_dir).select("session_id", "text"))
+    return N.merge_session(stash(_items(spark, sf_dir)), _texts(spark, sf_dir))
 
 
 def session_unify(spark, sf_dir):
-    return N.unify(stash(N.standing(N.merge_items(_items(spark, sf_dir)), _lines(spark, sf_dir))))
+    return N.unify(stash(N.standing(N.merge_items(_items(spark, sf_dir)), _texts(spark, sf_dir))))
 
 
 def session_merge(spark, sf_dir):

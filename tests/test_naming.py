@@ -217,3 +217,23 @@ def test_words_of_any_script(spark):
     texts = spark.createDataFrame([(1, "È İstanbul, straße STRASSE ſee see"), (1, "日本 日本語")], "session_id long, text string")
     names = spark.createDataFrame([(1, n) for n in ("è", "straße", "日本", "istanbul", "see")], "session_id long, name string")
     assert {r.name: r.written for r in N.written(names, texts).filter(F.col("name") != "istanbul").collect()} == {"è": 1, "straße": 1, "日本": 1, "see": 1}
+
+
+def test_rows_of_names_fold_as_rounds_do(spark):
+    items, texts = sessions(5, n=12, size=20)
+    a, b = frames(spark, items, texts)
+    ranked = N.stash(N.standing(N.merge_items(a), b))
+    told = lambda df: {(r.session_id, r.kind, r.key): r.to for r in df.collect()}
+    walked = N.unify(ranked)
+    plan = walked._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan  # no pair of names is shuffled
+    assert told(walked) == told(N.unify(ranked, long=0)) == told(N.unify(ranked, long=9))
+    assert sum(k[2] != v for k, v in told(walked).items()) > 40
+
+
+def test_workers_import_names_without_the_letter_tables():
+    import subprocess
+    import sys
+
+    code = "import colloquy.operators.naming, colloquy.functions.text as t; print(t._plain_letters.cache_info().currsize)"
+    assert subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.strip() == "0"
