@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,24 +32,24 @@ def normal(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")))
 
 
+@cache
 def _plain_letters() -> tuple[str, str, dict[str, str]]:
-    """Every character whose compatibility decomposition is one ASCII letter or digit with marks, and that letter; and those with ASCII letters or digits among several, and what they are."""
-    made = [(chr(c), "".join(x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)).lower()) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    """Every character whose compatibility decomposition is one ASCII letter or digit with marks, and that letter; and those with ASCII letters or digits among several, and what they are. A walk over all characters, so it waits until a plan asks for it: Python workers import this module too."""
+    split = ((chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000)
+    made = [(c, "".join(x for x in parts if not unicodedata.combining(x)).lower()) for c, parts in split if any(x.isascii() or x.lower().isascii() for x in parts)]
     one = [(c, p) for c, p in made if len(p) == 1 and p.isascii() and p.isalnum()]
     several = {c: "".join(x if x.isascii() and x.isalnum() else " " for x in p) for c, p in made if len(p) > 1 and any(x.isascii() and x.isalnum() for x in p)}
     return "".join(c for c, _ in one), "".join(p for _, p in one), several
 
 
-_MARKED, _PLAIN, _SPELT = _plain_letters()
-
-
 def folded(text: Column) -> Column:
     """Letters and digits without their marks, in lower case, all else as single spaces: also a letter that no decomposition makes plain, such as ł. Signs and ligatures of several characters are spelt out: ﬁ is fi, ½ is 1 2."""
-    some = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in _SPELT) + "]"
-    spelt = F.from_json(F.lit(json.dumps(_SPELT)), "map<string,string>")  # a constant of the plan
+    marked, letter, several = _plain_letters()
+    some = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in several) + "]"
+    spelt = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # a constant of the plan
     letters = F.regexp_extract_all(text, F.lit("(?s)(.)"), 1)
     whole = F.when(text.rlike(some), F.array_join(F.transform(letters, lambda c: F.coalesce(F.element_at(spelt, c), c)), "")).otherwise(text)
-    unmarked = F.regexp_replace(F.translate(whole, _MARKED, _PLAIN), r"\p{M}+", "")
+    unmarked = F.regexp_replace(F.translate(whole, marked, letter), r"\p{M}+", "")
     # plain ASCII, most names, needs none of the tables
     plain = F.when(text.rlike(r"[^\x00-\x7F]"), unmarked).otherwise(text)
     return F.trim(F.regexp_replace(F.lower(plain), "[^0-9a-z]+", " "))

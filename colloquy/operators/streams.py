@@ -11,6 +11,8 @@ from colloquy.shared import stash
 
 #: A key that holds more than this share of the large side, one in so many rows, is dealt to several tasks. Fewer keys than that can.
 SHARE = 1000
+#: Of a batch as many rows are taken to Python at a time as hold so many bytes on the average.
+PART_BYTES = 1 << 22
 
 
 def cogrouped(small: DataFrame, large: DataFrame, key: str, *, share: int = SHARE) -> DataFrame:
@@ -37,11 +39,12 @@ def cogrouped(small: DataFrame, large: DataFrame, key: str, *, share: int = SHAR
 
 
 def walk(batches: Iterator, begin: Callable[[list], object], rows: int = 1000) -> Iterator[tuple[object, list]]:
-    """(what ``begin`` made of a key's small rows, some of its large rows) over a stream of ``cogrouped``; a key without small rows begins with none."""
+    """(what ``begin`` made of a key's small rows, some of its large rows) over a stream of ``cogrouped``; a key without small rows begins with none. Python holds ``rows`` rows at a time, fewer where they are long."""
     at, fresh, state = None, [], None
     for batch in batches:
-        for a in range(0, batch.num_rows, rows):
-            part = batch.slice(a, rows).to_pydict()
+        step = max(1, min(rows, batch.num_rows * PART_BYTES // max(1, batch.nbytes)))
+        for a in range(0, batch.num_rows, step):
+            part = batch.slice(a, step).to_pydict()
             some: list = []
             for key, of, kind, s, l in zip(part["key"], part["part"], part["kind"], part["s"], part["l"], strict=True):
                 if (key, of) != at:
