@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from colloquy.functions.text import clock, normal
+from colloquy.shared import dealt
 
 NOBODY = "(unattributed)"
 #: Fixed values of the sample: lines that are always shown, characters in all.
@@ -161,7 +162,8 @@ def referenced(notes: DataFrame, pages: DataFrame, most: int = 12) -> DataFrame:
     A slug that two pages answer to is the smaller page's.
     """
     owner = page_keys(pages).groupBy("key").agg(F.min("page").alias("page"))
-    said = notes.select("note", F.posexplode("slugs").alias("pos", "key")).join(owner, "key").groupBy("note", "page").agg(F.min("pos").alias("pos"))
+    named = notes.select("note", F.posexplode("slugs").alias("pos", "key")).join(owner, "key").select("note", "page", "pos")
+    said = dealt(named, "note").groupBy("note", "page").agg(F.min("pos").alias("pos"))
     return said.withColumn("place", F.row_number().over(Window.partitionBy("note").orderBy("pos"))).filter(F.col("place") <= most).select("note", "page", "place")
 
 

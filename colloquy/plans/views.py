@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from colloquy import adapters as A
 from colloquy.functions import text as X
 from colloquy.operators import views as V
+from colloquy.shared import dealt, stash
 
 
 def _said(spark, sf_dir):
@@ -134,9 +135,11 @@ def page_keys(spark, sf_dir):
 
 def note_references(spark, sf_dir):
     """Orders are notes, their lines mention parts by stored slug or title; four pages of a note."""
-    said = A.table(spark, sf_dir, "lineitem").join(A.table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    key = F.when(F.col("l_partkey") % 3 == 0, F.concat(F.lit("page-"), F.col("p_partkey").cast("string"))).otherwise(X.slug(F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))))
-    notes = said.groupBy(F.col("l_orderkey").alias("note")).agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", key.alias("k")))), lambda x: x["k"]).alias("slugs"))
+    key = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("page-"), F.col("p_partkey").cast("string"))).otherwise(X.slug(F.concat_ws(" ", "p_name", F.col("p_size").cast("string"))))
+    # what a part is called by is told once a part, not once a line; written, as it would else be told anew behind the join
+    parts = stash(A.table(spark, sf_dir, "part").select("p_partkey", key.alias("k")))
+    said = dealt(A.table(spark, sf_dir, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("note"), "l_linenumber", "k"), "note")
+    notes = said.groupBy("note").agg(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "k"))), lambda x: x["k"]).alias("slugs"))
     return V.referenced(notes, _pages(spark, sf_dir), 4)
 
 

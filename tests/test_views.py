@@ -49,3 +49,13 @@ def test_links_are_the_longest_whole_words(spark):
 def test_nothing_in_nothing_out(spark):
     assert V.sample_lines(spark.createDataFrame([], "session_id int, i int, line string")).count() == 0
     assert V.attributed_lines(spark.createDataFrame([(1, 1, "u_1", None, "  ", None, None), (1, 2, "u_2", None, "a", None, None)], "session_id int, ordinal int, ref string, start double, text string, name string, status string")).collect()[0].line == "[u_2 00:00:00] (unattributed): a"
+
+
+def test_references_are_dealt_by_note(spark):
+    from colloquy.plans import views as Q
+
+    out = Q.note_references(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # before slugs are gathered and before pages are ranked; no slug is made of a line
+    assert plan.count("Repartition") + plan.count("RepartitionByExpression") >= 2
+    assert not [x for x in plan.splitlines() if "l_linenumber" in x and "regexp_replace" in x]
