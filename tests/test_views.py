@@ -57,5 +57,5 @@ def test_references_are_dealt_by_note(spark):
     out = Q.note_references(spark, "/root/testdata/sf0.001")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     # before slugs are gathered and before pages are ranked; no slug is made of a line
-    assert plan.count("Repartition") + plan.count("RepartitionByExpression") >= 2
+    assert plan.count("RepartitionByExpression") >= 2
     assert not [x for x in plan.splitlines() if "l_linenumber" in x and "regexp_replace" in x]
