@@ -15,21 +15,23 @@ def components(links: DataFrame) -> DataFrame:
     folder; the number of steps grows with the logarithm of the longest path.
     """
     edges = stash(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    before = None
-    while True:
+    while not _stars(edges):
         for step in (_large, _small):
             found, least = step(edges)
             stars = stash(found)
             unstash(edges, least)
             edges = stars
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum("v"), F.bit_xor(F.xxhash64("u", "v"))).first())
-        if now == before or not now[0]:
-            break
-        before = now
     # an edge leads from every node to its root, which is the smallest
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every u has one edge and no v is a u: then a component is its root and what is tied to it, and no step changes anything."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("root")).union(edges.select("v", F.lit(0), F.lit(1)))
+    nodes = ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("root").alias("root"))
+    return not nodes.agg(F.count_if((F.col("down") > 1) | ((F.col("down") > 0) & (F.col("root") > 0)))).first()[0]
+
+
 def _large(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Every larger neighbour of u is tied to the smallest of u and its neighbours.
 

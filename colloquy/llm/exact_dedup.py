@@ -40,10 +40,15 @@ class DigestIndex:
         return self.spark.catalog.tableExists(self.name)
 
     def append(self, fresh: DataFrame, batch: str) -> None:
-        """Each write adds files in bucket order; digests must not be in the index yet."""
+        """Each write adds files in bucket order; digests must not be in the index yet.
+
+        A bucket goes to one task, so that it has one file of each write, to however
+        many tasks the buckets are dealt.
+        """
+        bucket = F.pmod(F.hash("digest"), F.lit(self.buckets))  # as Spark tells buckets
         writer = (
             fresh.select("digest", "keep_id", F.lit(batch).alias("batch"))
-            .repartition(self.buckets, "digest")
+            .repartition(max(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), bucket)
             .write.mode("append" if self.exists() else "errorifexists")
             .bucketBy(self.buckets, "digest")
             .sortBy("digest")

@@ -7,6 +7,7 @@ import re
 
 import pytest
 
+from colloquy.llm import components as components_of
 from colloquy.llm import exact_dedup, near_dedup
 from colloquy.llm.components import components
 from tests.helpers import connection, same
@@ -65,6 +66,17 @@ def test_the_index_side_of_the_anti_join_is_not_shuffled(spark):
     assert "SortMergeJoin" in plan and "LeftAnti" in plan and plan.count("Exchange hashpartitioning") == 1
 
 
+def test_a_bucket_has_one_file_of_each_write(spark, monkeypatch):
+    dealt = type(spark.range(0)).repartition
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, n, *cols: dealt(self, max(n, 13), *cols))
+    index = exact_dedup.DigestIndex(spark, "digest_index_of_files", exact_dedup.shared_dir(spark), 5)
+    index.take(docs(spark, [(i, f"text {i}") for i in range(300)]), "one")
+    assert 0 < len(index.rows().inputFiles()) <= 5
+    index.take(docs(spark, [(i, f"text {i}") for i in range(200, 600)]), "two")
+    assert len(index.rows().inputFiles()) <= 10 and index.rows().count() == 600
+    index.drop()
+
+
 def test_two_batches_are_one(spark):
     rows = [*AWKWARD, *[(i, f"t{i % 37}") for i in range(10, 200)], (None, "no id"), (None, "no id")]
     one = exact_dedup.new_index(spark).take(docs(spark, rows)).collect()
@@ -186,6 +198,20 @@ def test_empty_tables(spark):
     assert exact_dedup.new_index(spark).take(none).count() == 0
 
 
+def test_stars_are_told_without_a_step(spark, monkeypatch):
+    frame = lambda rows: spark.createDataFrame(rows, "u long, v long")
+    found = dict(components(frame([(3, 1), (4, 1), (2, 5), (5, 2), (9, 9)])).collect())
+    assert found == {1: 1, 3: 1, 4: 1, 2: 2, 5: 2}
+    steps = []
+    step = components_of._large
+    monkeypatch.setattr(components_of, "_large", lambda edges: steps.append(1) or step(edges))
+    assert dict(components(frame([(i, i % 7) for i in range(7, 300)])).collect()) == {i: i % 7 for i in range(300)} and not steps
+    assert components(frame([])).count() == 0 and not steps
+    # two roots of one node, and a root under a root
+    assert dict(components(frame([(3, 1), (3, 2)])).collect()) == {1: 1, 2: 1, 3: 1} and len(steps) == 1
+    assert dict(components(frame([(3, 2), (2, 1)])).collect()) == {1: 1, 2: 1, 3: 1} and len(steps) == 2
+
+
 def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "u long, v long")
     assert {r.node: r.component for r in components(links).collect()} == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
