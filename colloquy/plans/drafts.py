@@ -62,7 +62,7 @@ def note_change_set(spark, sf_dir):
     pages = p.select(F.col("p_partkey").alias("page"), F.lower("p_type").alias("kind"), F.concat_ws(" ", "p_name", (F.col("p_size") % 9).cast("string")).alias("title"), F.array("p_brand").alias("facts"))
     said = A.table(spark, sf_dir, "lineitem").join(p, F.col("l_partkey") == F.col("p_partkey"))
     rows = said.select(F.col("l_orderkey").alias("note"), (F.col("l_linenumber") * 100_000 + F.col("l_partkey")).alias("pos"), F.when(F.col("l_suppkey") % 3 > 0, F.lower("p_type")).when(F.col("l_suppkey") % 2 > 0, "event").otherwise("").alias("kind"), F.concat(F.upper("p_name"), F.lit("  "), (F.col("l_quantity").cast("int") % 9).cast("string")).alias("title"), F.array(F.lower("p_brand"), F.when(F.col("l_tax") > 0.04, F.col("l_returnflag"))).alias("facts"))
-    return D.note_changes(rows.distinct(), pages).select("note", "id", "action", "kind", "title", "page", F.array_join("facts", "|").alias("facts"), "twin")
+    return D.note_changes(rows, pages).select("note", "id", "action", "kind", "title", "page", F.array_join("facts", "|").alias("facts"), "twin")
 
 
 def change_edits(spark, sf_dir):
